@@ -18,12 +18,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ._text import U64
+from ._text import U64, buffers, slices
 
 #: Bytes of text that a shard should hold.
 SHARD_BYTES = 6 << 20
-SENT = "bucket int, shard int, keys binary, notes binary"
-ANSWER = "shard int, bucket int, codes binary, n_sent long, n_live long, n_scan long"
+SENT = "bucket int, shard long, keys binary, notes binary"
+ANSWER = "shard long, bucket int, codes binary, n_sent long, n_live long, n_scan long"
 
 
 def session_of(df: DataFrame) -> SparkSession:
@@ -42,15 +42,77 @@ def text_bytes(docs: DataFrame, text: str) -> int:
     return docs.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0
 
 
-def n_shards(docs: DataFrame, text: str) -> int:
-    """So many that a shard holds about SHARD_BYTES, and one for each shuffle partition at least."""
-    return max(-(-text_bytes(docs, text) // SHARD_BYTES), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+def shards(docs: DataFrame, ident: str, text: str) -> tuple[DataFrame, int]:
+    """The texts in a table of shards (shard long, blob binary), each about SHARD_BYTES of text, and the number of its buckets.
 
+    A blob holds doc_id and text of the shard's rows as a compressed Arrow stream. The table is bucketed by shard,
+    so passes that meet the answers to a shard move the answers only. It stays in the
+    warehouse until drop_scratch().
+    """
+    spark = docs.sparkSession
+    n = max(-(-text_bytes(docs, text) // SHARD_BYTES), int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    rows = docs.select(F.col(ident).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+
+    def pack_rows(batches):
+        from pyspark import TaskContext
+
+        shard = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            _, offsets = buffers(batch.column("text"))
+            for a, b in slices(offsets, SHARD_BYTES):
+                yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int64()), "blob": pa.array([to_blob(batch.slice(a, b - a))], pa.binary())})
+                shard += 1
+
+    name = scratch_name("palimpsest_shards")
+    rows.mapInArrow(pack_rows, "shard long, blob binary").write.option("compression", "none").bucketBy(n, "shard").format("parquet").saveAsTable(name)
+    return spark.table(name), n
+
+
+def to_blob(batch: pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def of_blob(blob: pa.Scalar) -> pa.Table:
+    return pa.ipc.open_stream(blob.as_buffer()).read_all()
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Drops the tables of shards of this session; results that still read them are lost."""
+    for t in spark.catalog.listTables():
+        if t.name.startswith("palimpsest_shards_"):
+            spark.sql(f"DROP TABLE {t.name}")
+
+
+def per_shard(table: DataFrame, work: Callable, schema: str) -> DataFrame:
+    """work(shard, rows) for every shard."""
 
-def sharded(docs: DataFrame, ident: str, text: str, n: int) -> DataFrame:
-    """shard, doc_id, text. Rows without an id are dealt out by their text."""
-    key, body = F.col(ident).cast("long"), F.col(text).cast("string")
-    return docs.select(F.pmod(F.when(key.isNull(), F.xxhash64(body)).otherwise(F.xxhash64(key)), F.lit(n)).cast("int").alias("shard"), key.alias("doc_id"), body.alias("text"))
+    def run(batches):
+        for batch in batches:
+            for shard, blob in zip(batch.column("shard").to_pylist(), batch.column("blob")):
+                yield from work(shard, of_blob(blob)).to_batches()
+
+    return table.mapInArrow(run, schema)
+
+
+def with_answers(table: DataFrame, answers: DataFrame, work: Callable, schema: str) -> DataFrame:
+    """work(shard, rows, answers to it) for every shard; each shard is a row of the table."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        parts = [work(left["shard"][i].as_py(), of_blob(left["blob"][i]), right) for i in range(left.num_rows)]
+        return pa.concat_tables(parts) if parts else to_arrow(schema)
+
+    return table.groupBy("shard").cogroup(answers.groupBy("shard")).applyInArrow(run, schema)
+
+
+def to_arrow(schema: str) -> pa.Table:
+    """An empty table."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import _parse_datatype_string
+
+    return to_arrow_schema(_parse_datatype_string(schema)).empty_table()
 
 
 def send(shard: int, keys: np.ndarray, notes: np.ndarray, buckets: int, whole: bool = False) -> pa.Table:
@@ -61,7 +123,7 @@ def send(shard: int, keys: np.ndarray, notes: np.ndarray, buckets: int, whole: b
     return pa.table(
         {
             "bucket": pa.array(filled, pa.int32()),
-            "shard": pa.array(np.full(len(filled), shard), pa.int32()),
+            "shard": pa.array(np.full(len(filled), shard, np.int64), pa.int64()),
             "keys": pa.array([out[cuts[b] : cuts[b + 1]].tobytes() for b in filled], pa.binary()),
             "notes": pa.array([pack(notes[cuts[b] : cuts[b + 1]]) for b in filled], pa.binary()),
         }
@@ -87,7 +149,7 @@ def answer(judge: Callable, key_kind, note_kind) -> Callable:
 
     def of_bucket(table: pa.Table) -> pa.Table:
         rows = table.sort_by("shard")
-        shards = rows["shard"].to_numpy()
+        held = rows["shard"].to_numpy()
         keys = [np.frombuffer(x, key_kind) for x in rows["keys"].to_pylist()]
         notes = [unpack(x, note_kind) for x in rows["notes"].to_pylist()]
         sizes = np.array([len(x) for x in keys])
@@ -95,7 +157,7 @@ def answer(judge: Callable, key_kind, note_kind) -> Callable:
         ends = np.cumsum(sizes)
         return pa.table(
             {
-                "shard": pa.array(shards, pa.int32()),
+                "shard": pa.array(held, pa.int64()),
                 "bucket": rows["bucket"].cast(pa.int32()),
                 "codes": pa.array([pack(codes[e - s : e]) for s, e in zip(sizes, ends)], pa.binary()),
                 "n_sent": pa.array(sizes, pa.int64()),
@@ -155,3 +217,11 @@ def components(edges: DataFrame) -> DataFrame:
 
 def scratch_name(prefix: str) -> str:
     return f"{prefix}_{uuid.uuid4().hex[:12]}"
+
+
+def scratch_folder(spark: SparkSession, prefix: str) -> str:
+    """A new folder in the shared one."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="palimpsest-"))
+    return f"{sc.getCheckpointDir()}/{scratch_name(prefix)}"

@@ -27,13 +27,14 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from . import _exchange as X, _text as T
 
 #: The boundary between small and large sets is at most this.
 MOST_SMALL = 200
-DOC = "doc_id long, n long, s1 long, s2 long, posted array<struct<key:long,kind:int,pos:int>>, packed binary"
+DOC = "shard long, doc_id long, n long, s1 long, s2 long, posted array<struct<key:long,kind:int,pos:int>>"
 
 
 def shingle_sets(table: pa.Table, k: int) -> dict:
@@ -158,54 +159,48 @@ def boundary_by_cost(sent: int, live: int, scan: int, threshold: int) -> int:
 
 def jaccard_classes(docs: DataFrame, ident: str = "doc_id", text: str = "text", k: int = 5, threshold: int = 75) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of docs (see the module's text)."""
-    n = X.n_shards(docs, text)
-    by_shard = X.sharded(docs, ident, text, n)
+    table, n = X.shards(docs, ident, text)
 
-    def count(table: pa.Table) -> pa.Table:
-        tokens, notes = sent_tokens(shingle_sets(table, k))
-        return X.send(table["shard"][0].as_py(), tokens, notes, n)
+    def count(shard: int, rows: pa.Table) -> pa.Table:
+        tokens, notes = sent_tokens(shingle_sets(rows, k))
+        return X.send(shard, tokens, notes, n)
 
-    sent = by_shard.groupBy("shard").applyInArrow(count, X.SENT)
+    sent = X.per_shard(table, count, X.SENT)
     answers = X.checkpoint(sent.groupBy("bucket").applyInArrow(X.answer(frequency, np.uint32, np.uint8), X.ANSWER))
     cost = answers.agg(F.sum("n_sent"), F.sum("n_live"), F.sum("n_scan")).first()
     boundary = boundary_by_cost(*(x or 0 for x in cost), threshold)
 
-    def post(table: pa.Table, answered: pa.Table) -> pa.Table:
-        if not table.num_rows:
-            return pa.table({"doc_id": pa.array([], pa.int64()), "n": pa.array([], pa.int64()), "s1": pa.array([], pa.int64()), "s2": pa.array([], pa.int64()), "posted": pa.array([], POSTED), "packed": pa.array([], pa.binary())})
-        sets = shingle_sets(table, k)
+    def post(shard: int, rows: pa.Table, answered: pa.Table) -> pa.Table:
+        sets = shingle_sets(rows, k)
         tokens, _ = sent_tokens(sets)
         codes = X.read_answers(answered, len(tokens))
         if not len(tokens):
             tokens, codes = np.zeros(1, T.U64), np.zeros(1, np.uint8)
-        posted, packed = [None] * len(sets["n"]), [None] * len(sets["n"])
-        known = np.zeros(len(tokens) + 1, np.uint8)
-        known[:-1] = codes
-        for i, keys, kinds, places in postings(sets, known, tokens, threshold, boundary):
+        posted = [None] * len(sets["n"])
+        for i, keys, kinds, places in postings(sets, np.append(codes, np.uint8(0)), tokens, threshold, boundary):
             posted[i] = [{"key": a, "kind": b, "pos": c} for a, b, c in zip(keys.view(np.int64).tolist(), kinds.tolist(), places.tolist())]
-            packed[i] = sets["tok"][sets["bounds"][i] : sets["bounds"][i + 1]].tobytes()
         return pa.table(
             {
+                "shard": pa.array(np.full(len(posted), shard), pa.int64()),
                 "doc_id": pa.array(sets["ids"], pa.int64(), mask=~sets["known"]),
                 "n": pa.array(sets["n"], pa.int64()),
                 "s1": pa.array(sets["s1"].view(np.int64), pa.int64()),
                 "s2": pa.array(sets["s2"].view(np.int64), pa.int64()),
                 "posted": pa.array(posted, POSTED),
-                "packed": pa.array(packed, pa.binary()),
             }
         )
 
-    rows = X.checkpoint(by_shard.groupBy("shard").cogroup(answers.select("shard", "bucket", "codes").groupBy("shard")).applyInArrow(post, DOC))
+    rows = X.checkpoint(X.with_answers(table, answers.select("shard", "bucket", "codes"), post, DOC))
     named = rows.where("n > 0 and doc_id is not null")
     classes = named.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"))
     live = rows.where("posted is not null").join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-    sets = X.checkpoint(live.select("doc_id", "n", "packed"))
-    posts = X.checkpoint(live.select("doc_id", "n", F.explode("posted").alias("p")).select("doc_id", "n", "p.key", "p.kind", "p.pos"))
-    first = star_pairs(posts, threshold, boundary)
-    links = verified(first, sets, threshold)
+    posts = live.select("shard", "doc_id", "n", F.explode("posted").alias("p")).select("shard", "doc_id", "n", "p.key", "p.kind", "p.pos")
+    entries = X.checkpoint(met_lists(posts))
+    first = X.checkpoint(star_pairs(entries, threshold, boundary))
+    links = X.checkpoint(verified(first, sets_of(table, entries, first, k), threshold))
     found = X.components(links)
-    second = cross_pairs(posts, found, threshold, boundary).join(first, ["a", "b"], "left_anti")
-    more = X.checkpoint(verified(second, sets, threshold))
+    second = X.checkpoint(cross_pairs(entries, found, threshold, boundary).join(first, ["a", "b"], "left_anti"))
+    more = X.checkpoint(verified(second, sets_of(table, entries, second, k), threshold)) if second.head(1) else second
     final = X.components(links.unionByName(more)) if more.head(1) else found
     of_class = classes.join(final.withColumnRenamed("v", "rep"), "rep", "left").select("s1", "s2", "n", F.coalesce("component", "rep").alias("component"))
     of_class = of_class.withColumnRenamed("n", "n_of")
@@ -224,25 +219,44 @@ def fits(n: str, pos: str, m: str, qos: str, kind: str, threshold: int, boundary
     return (100 * small >= threshold * large) & (F.least(n - pos, m - qos) >= need) & ((F.col(kind) == 0) & (large <= boundary) | (F.col(kind) == 1) & (large > boundary))
 
 
-def star_pairs(posts: DataFrame, threshold: int, boundary: int) -> DataFrame:
-    """Each list's smallest entry with each other one, once."""
+def met_lists(posts: DataFrame) -> DataFrame:
+    """Entries of the lists that hold more than one, with the list's smallest set."""
     heads = posts.groupBy("kind", "key").agg(F.count("*").alias("entries"), F.min(F.struct("n", "doc_id", "pos")).alias("h")).where("entries > 1").select("kind", "key", F.col("h.n").alias("hn"), F.col("h.doc_id").alias("hd"), F.col("h.pos").alias("hp"))
-    met = posts.join(heads, ["kind", "key"]).where("doc_id <> hd").where(fits("n", "pos", "hn", "hp", "kind", threshold, boundary))
-    return X.checkpoint(met.select(F.least("doc_id", "hd").alias("a"), F.greatest("doc_id", "hd").alias("b")).distinct())
+    return posts.join(heads, ["kind", "key"])
+
 
+def star_pairs(entries: DataFrame, threshold: int, boundary: int) -> DataFrame:
+    """Each list's smallest entry with each other one, once."""
+    met = entries.where("doc_id <> hd").where(fits("n", "pos", "hn", "hp", "kind", threshold, boundary))
+    return met.select(F.least("doc_id", "hd").alias("a"), F.greatest("doc_id", "hd").alias("b")).distinct()
 
-def cross_pairs(posts: DataFrame, found: DataFrame, threshold: int, boundary: int) -> DataFrame:
+
+def cross_pairs(entries: DataFrame, found: DataFrame, threshold: int, boundary: int) -> DataFrame:
     """Pairs of one list in different components; a list's largest component doesn't meet itself."""
     of = found.select(F.col("v").alias("doc_id"), "component")
-    placed = posts.join(of, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    placed = entries.select("kind", "key", "doc_id", "n", "pos").join(of, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     sizes = placed.groupBy("kind", "key", "component").agg(F.count("*").alias("held"))
     mixed = sizes.groupBy("kind", "key").agg(F.count("*").alias("parts"), F.max(F.struct("held", "component")).alias("top")).where("parts > 1").select("kind", "key", F.col("top.component").alias("main"))
-    entries = X.checkpoint(placed.join(mixed, ["kind", "key"]))
-    minor = entries.where("component <> main").select("kind", "key", F.col("doc_id").alias("d"), F.col("n").alias("m"), F.col("pos").alias("qos"), F.col("component").alias("other"))
-    met = entries.join(minor, ["kind", "key"]).where("component <> other and (component = main or doc_id < d)").where(fits("n", "pos", "m", "qos", "kind", threshold, boundary))
+    placed = X.checkpoint(placed.join(mixed, ["kind", "key"]))
+    minor = placed.where("component <> main").select("kind", "key", F.col("doc_id").alias("d"), F.col("n").alias("m"), F.col("pos").alias("qos"), F.col("component").alias("other"))
+    met = placed.join(minor, ["kind", "key"]).where("component <> other and (component = main or doc_id < d)").where(fits("n", "pos", "m", "qos", "kind", threshold, boundary))
     return met.select(F.least("doc_id", "d").alias("a"), F.greatest("doc_id", "d").alias("b")).distinct()
 
 
+def sets_of(table: DataFrame, entries: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
+    """doc_id, packed: the whole sets of the documents in pairs, from their shards."""
+    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
+    wanted = entries.select("shard", "doc_id").distinct().join(ids, "doc_id", "left_semi")
+
+    def fetch(_, rows: pa.Table, asked: pa.Table) -> pa.Table:
+        found = rows.filter(pc.is_in(rows["doc_id"], value_set=asked["doc_id"].combine_chunks()))
+        sets = shingle_sets(found, k)
+        cuts = sets["bounds"]
+        return pa.table({"doc_id": found["doc_id"], "packed": pa.array([sets["tok"][a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:])], pa.binary())})
+
+    return X.checkpoint(X.with_answers(table, wanted, fetch, "doc_id long, packed binary"))
+
+
 def verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     """Pairs whose whole sets reach the threshold."""
 
@@ -262,3 +276,7 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     left = sets.select(F.col("doc_id").alias("a"), F.col("packed").alias("x"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("packed").alias("y"))
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(judge, "a long, b long").distinct()
+
+
+def op4_ngram_jaccard(spark, sf_dir: str) -> DataFrame:
+    return jaccard_classes(spark.read.parquet(f"{sf_dir}/documents.parquet"))
