@@ -7,19 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .ngram_jaccard import jaccard_classes
-
-    return jaccard_classes(table(spark, sf_dir, "documents"))
+from . import decontaminate, ngram_jaccard, substring_dedup, token_files
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op4_ngram_jaccard": op4_ngram_jaccard}
+    return {
+        "op2_winnowing": decontaminate.op2_winnowing,
+        "op4_ngram_jaccard": ngram_jaccard.op4_ngram_jaccard,
+        "op5_repair_tokens": token_files.op5_repair_tokens,
+        "op8_fixed_blocks": substring_dedup.op8_fixed_blocks,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_winnowing": decontaminate.SQL, "op8_fixed_blocks": substring_dedup.SQL}
