@@ -26,10 +26,6 @@ SENT = "bucket int, shard long, keys binary, notes binary"
 ANSWER = "shard long, bucket int, codes binary, n_sent long, n_live long, n_scan long"
 
 
-def session_of(df: DataFrame) -> SparkSession:
-    return df.sparkSession
-
-
 def checkpoint(df: DataFrame) -> DataFrame:
     """A reliable checkpoint in the folder that the cluster names; a folder of its own only where none is set."""
     sc = df.sparkSession.sparkContext
@@ -42,23 +38,24 @@ def text_bytes(docs: DataFrame, text: str) -> int:
     return docs.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0
 
 
-def shards(docs: DataFrame, ident: str, text: str) -> tuple[DataFrame, int]:
+def shards(docs: DataFrame, ident: str, text: str, whole: bool = False) -> tuple[DataFrame, int]:
     """The texts in a table of shards (shard long, blob binary), each about SHARD_BYTES of text, and the number of its buckets.
 
-    A blob holds doc_id and text of the shard's rows as a compressed Arrow stream. The table is bucketed by shard,
+    A blob holds doc_id and text of the shard's rows, or all columns of docs with whole, as a compressed Arrow stream. The table is bucketed by shard,
     so passes that meet the answers to a shard move the answers only. It stays in the
     warehouse until drop_scratch().
     """
     spark = docs.sparkSession
     n = max(-(-text_bytes(docs, text) // SHARD_BYTES), int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    rows = docs.select(F.col(ident).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    rows = docs if whole else docs.select(F.col(ident).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    of_text = text if whole else "text"
 
     def pack_rows(batches):
         from pyspark import TaskContext
 
         shard = TaskContext.get().partitionId() << 32
         for batch in batches:
-            _, offsets = buffers(batch.column("text"))
+            _, offsets = buffers(batch.column(batch.schema.get_field_index(of_text)))
             for a, b in slices(offsets, SHARD_BYTES):
                 yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int64()), "blob": pa.array([to_blob(batch.slice(a, b - a))], pa.binary())})
                 shard += 1
@@ -107,12 +104,17 @@ def with_answers(table: DataFrame, answers: DataFrame, work: Callable, schema: s
     return table.groupBy("shard").cogroup(answers.groupBy("shard")).applyInArrow(run, schema)
 
 
-def to_arrow(schema: str) -> pa.Table:
+def two_columns(rows: pa.Table, ident: str, text: str) -> pa.Table:
+    """doc_id and text of a shard's rows."""
+    return pa.table({"doc_id": rows[ident].cast(pa.int64()), "text": rows[text].cast(pa.string())})
+
+
+def to_arrow(schema) -> pa.Table:
     """An empty table."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
-    return to_arrow_schema(_parse_datatype_string(schema)).empty_table()
+    return to_arrow_schema(_parse_datatype_string(schema) if isinstance(schema, str) else schema).empty_table()
 
 
 def send(shard: int, keys: np.ndarray, notes: np.ndarray, buckets: int, whole: bool = False) -> pa.Table:

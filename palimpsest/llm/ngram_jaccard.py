@@ -10,12 +10,13 @@ so that shingles that are in one class only need not be posted at all.
   shingles: fixed-size subsets, of which any two linked small sets share one.
 * Large sets, and small sets that a large one may link to, post single shingles into
   inverted lists, which are scanned for pairs with a large set in them.
-* The boundary is the largest size at which the expected number of subsets stays below
-  the expected number of list entries to scan; both come from counts over all data.
+* The boundary has the least cost by sums over all sets of each size: a subset costs 1, a
+  list entry 1 + log2 of the list's length; small sets near the boundary pay for both.
 
-A list is never expanded into all its pairs. First every entry meets the list's smallest set; then,
-with components known, only entries of different components meet. That
-finds every link that can change a component, and the work in a group of copies stays linear.
+A list is never expanded into all its pairs. First every entry meets the list's smallest id. Then,
+in a few rounds, entries outside their list's largest component meet one member of it, another each time,
+until few are left. At last the entries left outside meet all of the list in other components. That finds
+every link that can change a component, and the work in a group of copies stays about linear.
 
 Defined cases: null or empty text, or text of blanks, has an empty set and links with nothing;
 a null id gives a row with a null component; repeated rows give a row each, of one vertex;
@@ -34,7 +35,9 @@ from . import _exchange as X, _text as T
 
 #: The boundary between small and large sets is at most this.
 MOST_SMALL = 200
-DOC = "shard long, doc_id long, n long, s1 long, s2 long, posted array<struct<key:long,kind:int,pos:int>>"
+#: Rounds go on while the last step would meet more than so many pairs for each list entry.
+ENOUGH, ROUNDS = 2, 2
+DOC = "shard long, at int, doc_id long, n long, s1 long, s2 long, posted array<struct<key:long,pos:int,code:int>>"
 
 
 def shingle_sets(table: pa.Table, k: int) -> dict:
@@ -113,8 +116,8 @@ def ceil_share(n, threshold: int):
     return -(-threshold * n // 100)
 
 
-def postings(sets: dict, codes: np.ndarray, tokens: np.ndarray, threshold: int, boundary: int):
-    """For each first-of-class row with any: keys, kinds (0: subset, 1: shingle), places."""
+def prefixes(sets: dict, codes: np.ndarray, tokens: np.ndarray, threshold: int):
+    """For each first-of-class row with any: keys, places and codes of the shared shingles among its first n - ceil(t*n) + 2, rarest first."""
     place = np.searchsorted(tokens, sets["tok"])
     for i in np.flatnonzero(sets["first"]):
         a, b = sets["bounds"][i], sets["bounds"][i + 1]
@@ -122,66 +125,63 @@ def postings(sets: dict, codes: np.ndarray, tokens: np.ndarray, threshold: int,
         code = codes[place[a:b]]
         if not code.any():
             continue
-        prefix = n - int(ceil_share(n, threshold)) + 1
         # tok is sorted, so a stable sort by code orders by (code, shingle)
-        order = np.argsort(code, kind="stable")[: prefix + 1]
+        order = np.argsort(code, kind="stable")[: n - ceil_share(n, threshold) + 2]
         pos = np.flatnonzero(code[order] > 0)
-        if not len(pos):
-            continue
-        tok = sets["tok"][a:b][order[pos]]
-        keys, kinds, places = [], [], []
-        if n <= boundary and len(pos) > 1:
-            x, y = np.triu_indices(len(pos), 1)
-            with np.errstate(over="ignore"):
-                keys.append(T.mix(T.mix(tok[x] + T.U64(1)) + tok[y]))
-            kinds.append(np.zeros(len(x), np.int32))
-            places.append(pos[y] - 1)
-        if n > boundary or 100 * n >= threshold * (boundary + 1):
-            single = pos < prefix
-            keys.append(tok[single])
-            kinds.append(np.ones(int(single.sum()), np.int32))
-            places.append(pos[single])
-        if keys and sum(map(len, keys)):
-            yield i, np.concatenate(keys), np.concatenate(kinds), np.concatenate(places)
-
-
-def boundary_by_cost(sent: int, live: int, scan: int, threshold: int) -> int:
-    """The largest size whose subsets cost less than the scan of its shingles' lists."""
-    if not sent or not live:
-        return 0
-    share, length, best = live / sent, scan / live, 0
-    for n in range(3, MOST_SMALL + 1):
-        held = share * (n - ceil_share(n, threshold) + 1)
-        if held * (held + 1) / 2 <= held * length:
-            best = n
-    return best
+        if len(pos):
+            yield i, sets["tok"][a:b][order[pos]], pos, code[order[pos]]
+
+
+def boundary_by_cost(costs: list[tuple[int, float, float]]) -> int:
+    """The size up to which sets post subsets, from (size, subsets, cost of list entries) of sizes up to MOST_SMALL."""
+    small, large = np.zeros(MOST_SMALL + 1), np.zeros(MOST_SMALL + 1)
+    for n, subsets, entries in costs:
+        small[n], large[n] = subsets, entries
+    total = [small[: x + 1].sum() + large[x + 1 :].sum() + large[-(-3 * x // 4) : x + 1].sum() for x in range(2, MOST_SMALL + 1)]
+    return 2 + int(np.argmin(total))
 
 
 def jaccard_classes(docs: DataFrame, ident: str = "doc_id", text: str = "text", k: int = 5, threshold: int = 75) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of docs (see the module's text)."""
-    table, n = X.shards(docs, ident, text)
+    return classified(*X.shards(docs, ident, text), "doc_id", "text", k, threshold).select("doc_id", "n_shingles", "component_id")
+
+
+def deduplicated(docs: DataFrame, ident: str = "doc_id", text: str = "text", k: int = 5, threshold: int = 75) -> DataFrame:
+    """The row of the smallest id of each component of docs, all columns; rows that link with nothing stay."""
+    table, n = X.shards(docs, ident, text, whole=True)
+    found = X.checkpoint(classified(table, n, ident, text, k, threshold))
+    linked = (F.col("n_shingles") > 0) & F.col("component_id").isNotNull()
+    first = found.where(linked).groupBy("component_id").agg(F.min(F.struct("doc_id", "shard", "at")).alias("k")).select("k.shard", "k.at")
+    keep = first.unionByName(found.where(~linked).select("shard", "at"))
+
+    def take(_, rows: pa.Table, kept: pa.Table) -> pa.Table:
+        return rows.take(pa.array(np.sort(kept["at"].to_numpy())))
+
+    return X.with_answers(table, keep, take, docs.schema)
+
+
+def classified(table: DataFrame, n: int, ident: str, text: str, k: int, threshold: int) -> DataFrame:
+    """shard, at (the row's place in it), doc_id, n_shingles, component_id of every row of a table of shards."""
 
     def count(shard: int, rows: pa.Table) -> pa.Table:
-        tokens, notes = sent_tokens(shingle_sets(rows, k))
+        tokens, notes = sent_tokens(shingle_sets(X.two_columns(rows, ident, text), k))
         return X.send(shard, tokens, notes, n)
 
     sent = X.per_shard(table, count, X.SENT)
     answers = X.checkpoint(sent.groupBy("bucket").applyInArrow(X.answer(frequency, np.uint32, np.uint8), X.ANSWER))
-    cost = answers.agg(F.sum("n_sent"), F.sum("n_live"), F.sum("n_scan")).first()
-    boundary = boundary_by_cost(*(x or 0 for x in cost), threshold)
-
     def post(shard: int, rows: pa.Table, answered: pa.Table) -> pa.Table:
-        sets = shingle_sets(rows, k)
+        sets = shingle_sets(X.two_columns(rows, ident, text), k)
         tokens, _ = sent_tokens(sets)
         codes = X.read_answers(answered, len(tokens))
         if not len(tokens):
             tokens, codes = np.zeros(1, T.U64), np.zeros(1, np.uint8)
         posted = [None] * len(sets["n"])
-        for i, keys, kinds, places in postings(sets, np.append(codes, np.uint8(0)), tokens, threshold, boundary):
-            posted[i] = [{"key": a, "kind": b, "pos": c} for a, b, c in zip(keys.view(np.int64).tolist(), kinds.tolist(), places.tolist())]
+        for i, keys, places, rarity in prefixes(sets, np.append(codes, np.uint8(0)), tokens, threshold):
+            posted[i] = [{"key": a, "pos": b, "code": c} for a, b, c in zip(keys.view(np.int64).tolist(), places.tolist(), rarity.tolist())]
         return pa.table(
             {
                 "shard": pa.array(np.full(len(posted), shard), pa.int64()),
+                "at": pa.array(np.arange(len(posted)), pa.int32()),
                 "doc_id": pa.array(sets["ids"], pa.int64(), mask=~sets["known"]),
                 "n": pa.array(sets["n"], pa.int64()),
                 "s1": pa.array(sets["s1"].view(np.int64), pa.int64()),
@@ -194,21 +194,40 @@ def jaccard_classes(docs: DataFrame, ident: str = "doc_id", text: str = "text",
     named = rows.where("n > 0 and doc_id is not null")
     classes = named.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"))
     live = rows.where("posted is not null").join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-    posts = live.select("shard", "doc_id", "n", F.explode("posted").alias("p")).select("shard", "doc_id", "n", "p.key", "p.kind", "p.pos")
+    single = F.expr(f"filter(posted, x -> x.pos <= n - ({threshold} * n + 99) div 100)")
+    spent = live.where(F.col("n") <= MOST_SMALL).groupBy("n").agg(F.sum(F.expr("size(posted) * (size(posted) - 1) / 2")), F.sum(F.aggregate(single, F.lit(0.0), lambda s, x: s + 1 + (x["code"] - 1) / 8)))
+    boundary = boundary_by_cost([tuple(r) for r in spent.collect()])  # MOST_SMALL rows at most
+    subsets = F.expr("flatten(transform(posted, (x, i) -> transform(slice(posted, i + 2, size(posted)), y -> named_struct('key', xxhash64(x.key, y.key), 'pos', y.pos - 1))))")
+    lists = F.transform(single, lambda x: F.struct(x["key"].alias("key"), x["pos"].alias("pos")))
+    of_small = live.where(F.col("n") <= boundary).select("shard", "doc_id", "n", F.lit(0).alias("kind"), F.explode(subsets).alias("p"))
+    of_large = live.where(100 * F.col("n") >= threshold * (boundary + 1)).select("shard", "doc_id", "n", F.lit(1).alias("kind"), F.explode(lists).alias("p"))
+    posts = of_small.unionByName(of_large).select("shard", "doc_id", "n", "kind", "p.key", "p.pos")
     entries = X.checkpoint(met_lists(posts))
     first = X.checkpoint(star_pairs(entries, threshold, boundary))
-    links = X.checkpoint(verified(first, sets_of(table, entries, first, k), threshold))
-    found = X.components(links)
-    second = X.checkpoint(cross_pairs(entries, found, threshold, boundary).join(first, ["a", "b"], "left_anti"))
-    more = X.checkpoint(verified(second, sets_of(table, entries, second, k), threshold)) if second.head(1) else second
-    final = X.components(links.unionByName(more)) if more.head(1) else found
+    links = X.checkpoint(verified(first, sets_of(table, entries, first, ident, text, k), threshold))
+    found, tested, n_entries = X.components(links), first, entries.count()
+    for turn in range(ROUNDS + 1):
+        mixed = X.checkpoint(mixed_lists(entries, found))
+        left = mixed.select("kind", "key", "main", "outside", "entries").distinct().agg(F.sum(F.col("outside") * F.col("entries"))).first()[0] or 0
+        if not left:
+            break
+        last = turn == ROUNDS or left <= ENOUGH * n_entries
+        pairs = (cross_pairs if last else main_pairs)(mixed, turn, threshold, boundary)
+        pairs = X.checkpoint(pairs.join(tested, ["a", "b"], "left_anti"))
+        if pairs.head(1):
+            more = X.checkpoint(verified(pairs, sets_of(table, entries, pairs, ident, text, k), threshold))
+            links, tested = links.unionByName(more), tested.unionByName(pairs)
+            found = X.components(links) if more.head(1) else found
+        if last:
+            break
+    final = found
     of_class = classes.join(final.withColumnRenamed("v", "rep"), "rep", "left").select("s1", "s2", "n", F.coalesce("component", "rep").alias("component"))
     of_class = of_class.withColumnRenamed("n", "n_of")
-    out = rows.select("doc_id", "n", "s1", "s2").join(of_class, ["s1", "s2"], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNull(), None).when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
+    out = rows.select("shard", "at", "doc_id", "n", "s1", "s2").join(of_class, ["s1", "s2"], "left")
+    return out.select("shard", "at", "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNull(), None).when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-POSTED = pa.list_(pa.struct([("key", pa.int64()), ("kind", pa.int32()), ("pos", pa.int32())]))
+POSTED = pa.list_(pa.struct([("key", pa.int64()), ("pos", pa.int32()), ("code", pa.int32())]))
 
 
 def fits(n: str, pos: str, m: str, qos: str, kind: str, threshold: int, boundary: int):
@@ -220,35 +239,49 @@ def fits(n: str, pos: str, m: str, qos: str, kind: str, threshold: int, boundary
 
 
 def met_lists(posts: DataFrame) -> DataFrame:
-    """Entries of the lists that hold more than one, with the list's smallest set."""
-    heads = posts.groupBy("kind", "key").agg(F.count("*").alias("entries"), F.min(F.struct("n", "doc_id", "pos")).alias("h")).where("entries > 1").select("kind", "key", F.col("h.n").alias("hn"), F.col("h.doc_id").alias("hd"), F.col("h.pos").alias("hp"))
+    """Entries of the lists that hold more than one, with the list's smallest id."""
+    heads = posts.groupBy("kind", "key").agg(F.count("*").alias("entries"), F.min(F.struct("doc_id", "n", "pos")).alias("h")).where("entries > 1").select("kind", "key", F.col("h.n").alias("hn"), F.col("h.doc_id").alias("hd"), F.col("h.pos").alias("hp"))
     return posts.join(heads, ["kind", "key"])
 
 
+def pair(a: str, b: str) -> list:
+    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+
+
 def star_pairs(entries: DataFrame, threshold: int, boundary: int) -> DataFrame:
-    """Each list's smallest entry with each other one, once."""
-    met = entries.where("doc_id <> hd").where(fits("n", "pos", "hn", "hp", "kind", threshold, boundary))
-    return met.select(F.least("doc_id", "hd").alias("a"), F.greatest("doc_id", "hd").alias("b")).distinct()
+    """Each list's smallest id with each other one, once."""
+    return entries.where("doc_id <> hd").where(fits("n", "pos", "hn", "hp", "kind", threshold, boundary)).select(*pair("doc_id", "hd")).distinct()
 
 
-def cross_pairs(entries: DataFrame, found: DataFrame, threshold: int, boundary: int) -> DataFrame:
-    """Pairs of one list in different components; a list's largest component doesn't meet itself."""
+def mixed_lists(entries: DataFrame, found: DataFrame) -> DataFrame:
+    """Entries of the lists that hold more than one component, with the largest of these, the number of entries and how many are outside it."""
     of = found.select(F.col("v").alias("doc_id"), "component")
     placed = entries.select("kind", "key", "doc_id", "n", "pos").join(of, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     sizes = placed.groupBy("kind", "key", "component").agg(F.count("*").alias("held"))
-    mixed = sizes.groupBy("kind", "key").agg(F.count("*").alias("parts"), F.max(F.struct("held", "component")).alias("top")).where("parts > 1").select("kind", "key", F.col("top.component").alias("main"))
-    placed = X.checkpoint(placed.join(mixed, ["kind", "key"]))
-    minor = placed.where("component <> main").select("kind", "key", F.col("doc_id").alias("d"), F.col("n").alias("m"), F.col("pos").alias("qos"), F.col("component").alias("other"))
-    met = placed.join(minor, ["kind", "key"]).where("component <> other and (component = main or doc_id < d)").where(fits("n", "pos", "m", "qos", "kind", threshold, boundary))
-    return met.select(F.least("doc_id", "d").alias("a"), F.greatest("doc_id", "d").alias("b")).distinct()
+    mixed = sizes.groupBy("kind", "key").agg(F.count("*").alias("parts"), F.sum("held").alias("entries"), F.max(F.struct("held", "component")).alias("top")).where("parts > 1")
+    return placed.join(mixed.select("kind", "key", "entries", (F.col("entries") - F.col("top.held")).alias("outside"), F.col("top.component").alias("main")), ["kind", "key"])
+
+
+def main_pairs(mixed: DataFrame, turn: int, threshold: int, boundary: int) -> DataFrame:
+    """Entries outside their list's largest component with one member of it, another one each turn."""
+    chosen = mixed.where("component = main").groupBy("kind", "key").agg(F.min(F.struct(F.xxhash64("doc_id", F.lit(turn)).alias("h"), F.col("doc_id").alias("d"), F.col("n").alias("m"), F.col("pos").alias("qos"))).alias("x")).select("kind", "key", "x.d", "x.m", "x.qos")
+    return mixed.where("component <> main").join(chosen, ["kind", "key"]).where(fits("n", "pos", "m", "qos", "kind", threshold, boundary)).select(*pair("doc_id", "d")).distinct()
+
+
+def cross_pairs(mixed: DataFrame, _: int, threshold: int, boundary: int) -> DataFrame:
+    """Pairs of one list in different components; a list's largest component doesn't meet itself."""
+    outside = mixed.where("component <> main").select("kind", "key", F.col("doc_id").alias("d"), F.col("n").alias("m"), F.col("pos").alias("qos"), F.col("component").alias("other"))
+    met = mixed.join(outside, ["kind", "key"]).where("component <> other and (component = main or doc_id < d)").where(fits("n", "pos", "m", "qos", "kind", threshold, boundary))
+    return met.select(*pair("doc_id", "d")).distinct()
 
 
-def sets_of(table: DataFrame, entries: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
+def sets_of(table: DataFrame, entries: DataFrame, pairs: DataFrame, ident: str, text: str, k: int) -> DataFrame:
     """doc_id, packed: the whole sets of the documents in pairs, from their shards."""
     ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
     wanted = entries.select("shard", "doc_id").distinct().join(ids, "doc_id", "left_semi")
 
     def fetch(_, rows: pa.Table, asked: pa.Table) -> pa.Table:
+        rows = X.two_columns(rows, ident, text)
         found = rows.filter(pc.is_in(rows["doc_id"], value_set=asked["doc_id"].combine_chunks()))
         sets = shingle_sets(found, k)
         cuts = sets["bounds"]
