@@ -13,7 +13,7 @@ import numpy as np
 from . import _text as T
 
 #: Pieces that a process keeps; beyond it the store starts anew.
-MOST_PIECES = 2_000_000
+MOST_PIECES = 500_000
 #: 0 letter, 1 digit, 2 other ASCII, 3 apostrophe, 4 part of a character beyond ASCII
 KIND = np.full(256, 4, np.uint8)
 KIND[:128] = 2
@@ -27,6 +27,30 @@ for _x, _y in ((0, 2), (2, 0), (0, 1), (1, 0), (1, 2), (2, 1), (1, 4), (4, 1), (
     CUTS[_x, _y] = True
 
 
+class KeyTable:
+    """Numbers 0, 1, 2, ... for keys in the order in which they were added; 16 bytes a key."""
+
+    def __init__(self):
+        self.keys, self.numbers = np.zeros(0, T.U64), np.zeros(0, np.int64)
+
+    def __len__(self) -> int:
+        return len(self.keys)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Their numbers, -1 for those that aren't there."""
+        if not len(self.keys):
+            return np.full(len(keys), -1)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, self.numbers[at], -1)
+
+    def add(self, keys: np.ndarray) -> None:
+        """Distinct sorted keys, none of them there yet."""
+        both = np.concatenate([self.keys, keys])
+        order = np.argsort(both, kind="stable")
+        self.numbers = np.concatenate([self.numbers, np.arange(len(self.keys), len(both))])[order]
+        self.keys = both[order]
+
+
 class PieceStore:
     """Ids by the hash of a piece, in one growing array."""
 
@@ -35,22 +59,24 @@ class PieceStore:
         self.clear()
 
     def clear(self) -> None:
-        self.place: dict[int, int] = {}
-        self.start, self.size, self.pool, self.used = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(1 << 16, np.int32), 0
-
-    def add(self, keys: list[int], pieces: list[str]) -> None:
-        ids = self.encode(pieces)
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        n, total = len(self.place), int(sizes.sum())
-        while n + len(ids) > len(self.start):
+        self.table = KeyTable()
+        self.start, self.size, self.pool, self.used = np.zeros(1024, np.int64), np.zeros(1024, np.int32), np.zeros(1 << 16, np.int32), 0
+
+    def add(self, keys: np.ndarray, pieces: list[str]) -> None:
+        n, total = len(self.table), 0
+        self.table.add(keys)
+        while n + len(pieces) > len(self.start):
             self.start, self.size = np.resize(self.start, 2 * len(self.start)), np.resize(self.size, 2 * len(self.size))
-        while self.used + total > len(self.pool):
-            self.pool = np.resize(self.pool, 2 * len(self.pool))
-        self.start[n : n + len(ids)] = self.used + np.cumsum(sizes) - sizes
-        self.size[n : n + len(ids)] = sizes
-        self.pool[self.used : self.used + total] = np.fromiter((x for i in ids for x in i), np.int32, total)
-        self.used += total
-        self.place.update(zip(keys, range(n, n + len(ids))))
+        for a in range(0, len(pieces), 20_000):
+            ids = self.encode(pieces[a : a + 20_000])
+            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+            total = int(sizes.sum())
+            while self.used + total > len(self.pool):
+                self.pool = np.resize(self.pool, 2 * len(self.pool))
+            self.start[n + a : n + a + len(ids)] = self.used + np.cumsum(sizes) - sizes
+            self.size[n + a : n + a + len(ids)] = sizes
+            self.pool[self.used : self.used + total] = np.fromiter((x for i in ids for x in i), np.int32, total)
+            self.used += total
 
     def of(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all pieces in a row, and how many each piece has."""
@@ -60,21 +86,18 @@ class PieceStore:
         order = np.argsort(keys)
         ordered = keys[order]
         new = np.concatenate([[True], ordered[1:] != ordered[:-1]])
-        first = order[new]
-        distinct = ordered[new].tolist()
-        if len(self.place) + len(distinct) > self.most:
+        first, distinct = order[new], ordered[new]
+        if len(self.table) + len(distinct) > self.most:
             self.clear()
-        get = self.place.get
-        found = [get(k, -1) for k in distinct]
-        missing = [i for i, x in enumerate(found) if x < 0]
-        if missing:
+        found = self.table.find(distinct)
+        missing = np.flatnonzero(found < 0)
+        if len(missing):
             raw = data.tobytes()
-            a, b = starts[first].tolist(), ends[first].tolist()
-            self.add([distinct[i] for i in missing], [raw[a[i] : b[i]].decode() for i in missing])
-            found = [get(k) for k in distinct] if len(missing) > 100_000 else [x if x >= 0 else get(k) for x, k in zip(found, distinct)]
+            self.add(distinct[missing], [raw[a:b].decode() for a, b in zip(starts[first[missing]].tolist(), ends[first[missing]].tolist())])
+            found = self.table.find(distinct)
         which = np.empty(len(keys), np.int64)
-        which[order] = np.array(found, np.int64)[np.cumsum(new) - 1]
-        counts = self.size[which]
+        which[order] = found[np.cumsum(new) - 1]
+        counts = self.size[which].astype(np.int64)
         return self.pool[T.ragged(self.start[which], counts)], counts
 
 

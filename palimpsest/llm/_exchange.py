@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ._text import U64, buffers, slices
 
 #: Bytes of text that a shard should hold.
-SHARD_BYTES = 6 << 20
+SHARD_BYTES = 4 << 20
 SENT = "bucket int, shard long, keys binary, notes binary"
 ANSWER = "shard long, bucket int, codes binary, n_sent long, n_live long, n_scan long"
 

@@ -8,9 +8,19 @@ every process.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 
+# Arrays of some MB that were freed go back to the system, and Arrow's buffers too; workers live long.
+with contextlib.suppress(OSError, AttributeError):
+    _libc = ctypes.CDLL("libc.so.6")
+    _libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
+    _libc.mallopt(-1, 1 << 20)  # M_TRIM_THRESHOLD
+pa.set_memory_pool(pa.system_memory_pool())
+
 U64 = np.uint64
 _RNG = np.random.RandomState(20240229)
 _BYTE = _RNG.randint(0, 1 << 63, 256, dtype=np.int64).astype(U64) * U64(2) + U64(1)
@@ -89,8 +99,12 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[ends[0] : ends[-1]], ends - ends[0]
 
 
-def slices(offsets: np.ndarray, most: int = 4 << 20):
-    """Ranges of rows of about so many bytes; a longer text is alone."""
+#: Bytes of text that are worked on at once: temporaries take some 50 times as much.
+SLICE = (1 << 20) - 64
+
+
+def slices(offsets: np.ndarray, most: int = SLICE):
+    """Ranges of rows of so many bytes at most; a longer text is alone."""
     a = 0
     while a < len(offsets) - 1:
         b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + most, "right")) - 1)

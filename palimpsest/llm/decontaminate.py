@@ -108,7 +108,7 @@ class Index:
     def scan(self, column: pa.Array):
         """n_words, n_hit, item numbers and word masks of every text."""
         data, offsets = T.buffers(column)
-        for a, b in T.slices(offsets, 1 << 20):
+        for a, b in T.slices(offsets):
             words, bounds = words_of(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
             step = np.zeros(len(words) + 1, np.int64)
             pairs = []

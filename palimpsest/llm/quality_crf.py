@@ -195,7 +195,7 @@ class Judge:
             return np.full(len(column), self.share)
         data, offsets = T.buffers(column)
         out = []
-        for a, b in T.slices(offsets, 4 << 20):
+        for a, b in T.slices(offsets, 2 * T.SLICE):
             out.append(self.regression(document_features(*self.lines(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]))))
         return np.concatenate(out)
 
@@ -208,7 +208,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn, ident: str = "doc_id", text:
     def measure(batches):
         for batch in batches:
             data, offsets = T.buffers(batch.column("text"))
-            for a, b in T.slices(offsets, 4 << 20):
+            for a, b in T.slices(offsets, 2 * T.SLICE):
                 own, bounds, size = own_features(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id").slice(a, b - a), "label": batch.column("label").slice(a, b - a), "own": pa.array([own[x:y].astype(np.float32).tobytes() for x, y in zip(bounds[:-1], bounds[1:])], pa.binary()), "size": pa.array([size[x:y].astype(np.int32).tobytes() for x, y in zip(bounds[:-1], bounds[1:])], pa.binary())})
 
@@ -251,7 +251,7 @@ def line_labels(docs: DataFrame, judge: Judge, ident: str = "doc_id", text: str
     def run(batches):
         for batch in batches:
             data, offsets = T.buffers(batch.column("text"))
-            for a, b in T.slices(offsets, 4 << 20):
+            for a, b in T.slices(offsets, 2 * T.SLICE):
                 bad, _, bounds, _ = sent.value.lines(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 n = np.diff(bounds)
                 yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id").slice(a, b - a).take(pa.array(np.repeat(np.arange(b - a), n))), "line": pa.array(T.ragged(np.zeros(len(n), np.int64), n)), "bad": pa.array(bad)})

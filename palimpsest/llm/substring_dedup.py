@@ -36,7 +36,7 @@ def shard_words(table: pa.Table) -> dict:
     words, counts = [], []
     for column in table["text"].chunks:
         data, offsets = T.buffers(column)
-        for a, b in T.slices(offsets, 1 << 20):
+        for a, b in T.slices(offsets):
             raw = data[offsets[a] : offsets[b]]
             starts, ends, bounds = T.word_bounds(raw, offsets[a : b + 1] - offsets[a], T.SPACED)
             words.append(T.hash_words(raw, starts, ends))

@@ -207,7 +207,7 @@ class TextEncoder:
     def encode(self, column: pa.Array):
         """(first row, last row, ids, tokens of each text) by slices."""
         data, offsets = T.buffers(column)
-        for a, b in T.slices(offsets, 2 << 20):
+        for a, b in T.slices(offsets):
             raw, off = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
             starts, ends, _ = T.word_bounds(raw, off, T.SPACED)
             fold = None

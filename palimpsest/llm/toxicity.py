@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import _exchange as X, _text as T
+from ._encode import KeyTable
 from ._labels import Logistic, labelled, remainder
 
 ORDER, SHARED, DISCOUNT = 6, 2, 0.75
@@ -32,7 +33,7 @@ MOST_GRAMS = 4_000_000
 #: Texts that the logistic regression is fitted on.
 CALIBRATION = 20_000
 #: Words whose ratio a process keeps.
-MOST_WORDS = 2_000_000
+MOST_WORDS = 500_000
 _LENGTH = T.U64(56)
 
 
@@ -73,7 +74,7 @@ def text_grams(column: pa.Array, toxic: np.ndarray) -> tuple[np.ndarray, np.ndar
     """Distinct n-grams of texts and their counts in ordinary and toxic ones."""
     data, offsets = T.buffers(column)
     found = []
-    for a, b in T.slices(offsets, 4 << 20):
+    for a, b in T.slices(offsets):
         raw = T.LOWER[data[offsets[a] : offsets[b]]]
         starts, ends, bounds = T.word_bounds(raw, offsets[a : b + 1] - offsets[a], T.ALNUM)
         if not len(starts):
@@ -137,8 +138,8 @@ class Model:
     def words(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """log p(word | toxic) - log p(word | ordinary)."""
         out = np.zeros(len(starts))
-        for a in range(0, len(starts), 50_000):
-            b = min(a + 50_000, len(starts))
+        for a in range(0, len(starts), 20_000):
+            b = min(a + 20_000, len(starts))
             chars, place, cuts = letters(data, starts[a:b], ends[a:b])
             p = np.repeat(self.base[chars.astype(np.int64)][:, None], 2, 1)
             total = np.zeros((len(chars), 2))
@@ -166,33 +167,31 @@ class Scorer:
     """Features of texts, with the ratios of words met so far."""
 
     def __init__(self, model: Model):
-        self.model, self.known = model, {}
+        self.model, self.known, self.values = model, KeyTable(), np.zeros(0)
 
     def ratios(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         keys = T.hash_words(data, starts, ends)
         order = np.argsort(keys)
         new = np.concatenate([[True], keys[order][1:] != keys[order][:-1]])
         first = order[new]
-        distinct = keys[first].tolist()
+        distinct = keys[first]
         if len(self.known) + len(distinct) > MOST_WORDS:
-            self.known.clear()
-        get = self.known.get
-        found = [get(k) for k in distinct]
-        missing = [i for i, x in enumerate(found) if x is None]
-        if missing:
-            at = first[missing]
-            values = self.model.words(data, starts[at], ends[at]).tolist()
-            for i, v in zip(missing, values):
-                self.known[distinct[i]] = found[i] = v
+            self.known, self.values = KeyTable(), np.zeros(0)
+        found = self.known.find(distinct)
+        missing = np.flatnonzero(found < 0)
+        if len(missing):
+            self.known.add(distinct[missing])
+            self.values = np.concatenate([self.values, self.model.words(data, starts[first[missing]], ends[first[missing]])])
+            found = self.known.find(distinct)
         out = np.empty(len(keys))
-        out[order] = np.array(found)[np.cumsum(new) - 1]
+        out[order] = self.values[found][np.cumsum(new) - 1]
         return out
 
     def features(self, column: pa.Array) -> np.ndarray:
         """Largest ratio per character by size of passage, that of the whole text, log of the number of strong words and of words; nan without words."""
         data, offsets = T.buffers(column)
         parts = []
-        for a, b in T.slices(offsets, 2 << 20):
+        for a, b in T.slices(offsets):
             raw = T.LOWER[data[offsets[a] : offsets[b]]]
             starts, ends, bounds = T.word_bounds(raw, offsets[a : b + 1] - offsets[a], T.ALNUM)
             out = np.full((b - a, N_FEATURES), np.nan)
