@@ -45,7 +45,7 @@ def shingle_sets(table: pa.Table, k: int) -> dict:
     parts, counts = [], []
     for column in table["text"].chunks:
         data, offsets = T.buffers(column)
-        for a, b in T.slices(offsets, 1 << 20):
+        for a, b in T.slices(offsets):
             off = offsets[a : b + 1] - offsets[a]
             raw = data[offsets[a] : offsets[b]]
             starts, ends, bounds = T.word_bounds(raw, off, T.SPACED)
@@ -202,12 +202,14 @@ def classified(table: DataFrame, n: int, ident: str, text: str, k: int, threshol
     of_small = live.where(F.col("n") <= boundary).select("shard", "doc_id", "n", F.lit(0).alias("kind"), F.explode(subsets).alias("p"))
     of_large = live.where(100 * F.col("n") >= threshold * (boundary + 1)).select("shard", "doc_id", "n", F.lit(1).alias("kind"), F.explode(lists).alias("p"))
     posts = of_small.unionByName(of_large).select("shard", "doc_id", "n", "kind", "p.key", "p.pos")
-    entries = X.checkpoint(met_lists(posts))
+    entries = X.checkpoint(met_lists(posts, threshold, boundary))
     first = X.checkpoint(star_pairs(entries, threshold, boundary))
     links = X.checkpoint(verified(first, sets_of(table, entries, first, ident, text, k), threshold))
-    found, tested, n_entries = X.components(links), first, entries.count()
+    found, tested = X.components(links), first
+    mixed = entries.where("entries > 2")  # the only pair of a list of two is tested
+    n_entries = mixed.count()
     for turn in range(ROUNDS + 1):
-        mixed = X.checkpoint(mixed_lists(entries, found))
+        mixed = X.checkpoint(mixed_lists(mixed, found))
         left = mixed.select("kind", "key", "main", "outside", "entries").distinct().agg(F.sum(F.col("outside") * F.col("entries"))).first()[0] or 0
         if not left:
             break
@@ -238,9 +240,12 @@ def fits(n: str, pos: str, m: str, qos: str, kind: str, threshold: int, boundary
     return (100 * small >= threshold * large) & (F.least(n - pos, m - qos) >= need) & ((F.col(kind) == 0) & (large <= boundary) | (F.col(kind) == 1) & (large > boundary))
 
 
-def met_lists(posts: DataFrame) -> DataFrame:
-    """Entries of the lists that hold more than one, with the list's smallest id."""
-    heads = posts.groupBy("kind", "key").agg(F.count("*").alias("entries"), F.min(F.struct("doc_id", "n", "pos")).alias("h")).where("entries > 1").select("kind", "key", F.col("h.n").alias("hn"), F.col("h.doc_id").alias("hd"), F.col("h.pos").alias("hp"))
+def met_lists(posts: DataFrame, threshold: int, boundary: int) -> DataFrame:
+    """Entries of the lists that hold more than one, with their number and the list's smallest id; a list of two that don't fit is left out."""
+    entry = F.struct("doc_id", "n", "pos")
+    heads = posts.groupBy("kind", "key").agg(F.count("*").alias("entries"), F.min(entry).alias("h"), F.max(entry).alias("t")).where("entries > 1")
+    heads = heads.select("kind", "key", "entries", F.col("h.n").alias("hn"), F.col("h.doc_id").alias("hd"), F.col("h.pos").alias("hp"), F.col("t.n").alias("tn"), F.col("t.pos").alias("tp"))
+    heads = heads.where((F.col("entries") > 2) | fits("hn", "hp", "tn", "tp", "kind", threshold, boundary)).drop("tn", "tp")
     return posts.join(heads, ["kind", "key"])
 
 

@@ -40,7 +40,7 @@ def chosen_pivots(rows: DataFrame, n: int) -> np.ndarray:
     """Distinct vectors of the smallest hashes; so many at most."""
     found = rows.select("v").groupBy("v").agg(F.lit(1)).select("v").orderBy(F.xxhash64("v"), "v").limit(n).collect()
     size = len(found[0][0]) if found else 0
-    return np.array([r[0] for r in found if len(r[0]) == size], np.float64).reshape(-1, size)
+    return np.array([r[0] for r in found if len(r[0]) == size], np.float64).reshape(-1, max(size, 1))[:, :size]
 
 
 def places(x: np.ndarray, pivots: np.ndarray, length: int) -> np.ndarray:
@@ -101,7 +101,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, ident: str = "ve
     """query_id, rank, vec_id, score: the k nearest found of every query (rows of the same two columns), never its own id."""
     rows = valid(vectors, ident, vector)
     pivots = chosen_pivots(rows, n_pivots)
-    if not len(pivots):
+    if not pivots.size:
         return rows.select(F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id", F.lit(0.0).alias("score")).where("false")
     width = pivots.shape[1]
     blocks = X.checkpoint(packed(rows.where(F.size("v") == width), BLOCK, "block"))
