@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .plans import forensics
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return forensics.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return forensics.oracle_sql()
