@@ -67,7 +67,7 @@ COMBINED = (
     + """, w(pdf_type, a, b, c, d, e) AS (VALUES ('native_text', 0.20, 0.35, 0.20, 0.15, 0.10), ('scanned', 0.15, 0.05, 0.10, 0.50, 0.20), ('mixed', 0.20, 0.20, 0.15, 0.30, 0.15), ('scanned_native', 0.20, 0.10, 0.15, 0.35, 0.20)),
 raw AS (SELECT scores.*, metadata * CAST(a AS DOUBLE) + content * CAST(b AS DOUBLE) + numeric_ * CAST(c AS DOUBLE) + ela * CAST(d AS DOUBLE) + pymupdf * CAST(e AS DOUBLE) AS score,
   CASE WHEN cleared AND was_modified AND suspicion = 'UNKNOWN' THEN greatest(12, CASE pdf_type WHEN 'scanned' THEN 25 ELSE 20 END - 8) ELSE CASE pdf_type WHEN 'scanned' THEN 25 ELSE 20 END END AS threshold FROM scores JOIN w USING (pdf_type)),
-combined AS (SELECT *, CASE WHEN abs(score - threshold) <= 5 THEN 'UNCERTAIN' WHEN score >= threshold THEN 'MODIFIED' ELSE 'ORIGINAL' END AS verdict, least(99, 50 + CAST(trunc(abs(score - threshold) * CAST(1.8 AS DOUBLE)) AS INT)) AS confidence, round_even(score, 1) AS combined FROM raw)"""
+combined AS (SELECT * EXCLUDE (t), CASE WHEN abs(score - threshold) <= 5 THEN 'UNCERTAIN' WHEN score >= threshold THEN 'MODIFIED' ELSE 'ORIGINAL' END AS verdict, least(99, 50 + CAST(trunc(abs(score - threshold) * CAST(1.8 AS DOUBLE)) AS INT)) AS confidence, CAST(floor(t) + CASE WHEN t - floor(t) > 0.5 OR (t - floor(t) = 0.5 AND floor(t) % 2 = 1) THEN 1 ELSE 0 END AS DOUBLE) / 10 AS combined FROM (SELECT *, CAST(CAST(score AS VARCHAR) AS DECIMAL(20, 15)) * 10 AS t FROM raw))"""
 )
 
 
