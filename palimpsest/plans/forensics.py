@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions.numeric import clean_number, field_type
-from ..operators import cluster, outliers, spatial, verdicts
+from ..operators import cluster, layers, outliers, spatial, verdicts
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -291,6 +291,29 @@ def spearman_order(spark, sf_dir):
     return rows.groupBy("page").agg(F.count("*").alias("n"), F.round(F.corr("paint", "seen"), 6).alias("rho")).where("n >= 3")
 
 
+OVERLAY_KINDS = ["covering_rect", "image_overlay", "char_spacing", "ghost_text", "coordinate_overwrite", "text_stacking"]
+OVERLAYS = "overlays AS (SELECT o_orderkey // 13 AS page, CASE (o_orderkey * 7 + o_custkey) % 23 WHEN 0 THEN 'covering_rect' WHEN 1 THEN 'image_overlay' WHEN 2 THEN 'char_spacing' WHEN 3 THEN 'ghost_text' WHEN 4 THEN 'coordinate_overwrite' WHEN 5 THEN 'text_stacking' END AS kind FROM orders)"
+
+
+def overlays(spark, sf_dir) -> DataFrame:
+    k = (F.col("o_orderkey") * 7 + F.col("o_custkey")) % 23
+    kind = F.coalesce(*[F.when(k == i, name) for i, name in enumerate(OVERLAY_KINDS)])
+    return read(spark, sf_dir, "orders").select(F.floor(F.col("o_orderkey") / 13).alias("page"), kind.alias("kind"))
+
+
+@query(f"WITH {OVERLAYS}, c AS (SELECT page, count(kind) AS n_findings, least(70, 25 * count(*) FILTER (kind = 'covering_rect')) + least(60, 20 * count(*) FILTER (kind = 'image_overlay')) + least(40, 5 * count(*) FILTER (kind = 'char_spacing')) + least(70, 35 * count(*) FILTER (kind = 'ghost_text')) + least(50, 25 * count(*) FILTER (kind = 'coordinate_overwrite')) AS s, least(80, 40 * count(*) FILTER (kind = 'text_stacking')) AS t FROM overlays GROUP BY page) SELECT page, n_findings, least(100, least(100, s) + t) AS score FROM c")
+def overlay_layer_score(spark, sf_dir):
+    return layers.overlay_score(overlays(spark, sf_dir), ["page"], "kind")
+
+
+@query(f"WITH {LINES}, l AS (SELECT doc_id, length(text) % 7 AS font, (length(text) % 41) / 80 + CASE WHEN length(text) % 37 = 0 THEN 0.25 ELSE 0 END AS anomaly, length(text) % 29 = 1 AS off, length(text) % 31 = 2 AS gap, length(text) % 43 = 3 AS mixed FROM lines), f AS (SELECT doc_id, font, count(*) AS n FROM l GROUP BY ALL), d AS (SELECT doc_id, count(*) AS n_fonts, max(n) / sum(n) AS share FROM f GROUP BY doc_id), c AS (SELECT doc_id, count(*) FILTER (anomaly > 0.5) AS n_strong, count(*) FILTER (anomaly > 0.3 AND anomaly <= 0.5) AS n_moderate, count(*) FILTER (off) AS off, count(*) FILTER (gap) AS gap, bool_or(mixed) AS mixed FROM l GROUP BY doc_id) SELECT doc_id, n_fonts, n_strong, n_moderate, CAST(least(100, CASE WHEN mixed THEN 25 ELSE 0 END + CASE WHEN n_fonts > 3 AND share < 0.6 THEN 15 ELSE 0 END + least(50, 12 * n_strong) + least(20, 5 * n_moderate) + least(40, 10 * off) + least(60, 20 * gap) * 0.5) AS DOUBLE) AS score FROM c JOIN d USING (doc_id)")
+def content_layer_score(spark, sf_dir):
+    n = F.length("text")
+    anomaly = (n % 41) / 80 + F.when(n % 37 == 0, 0.25).otherwise(0.0)
+    rows = lines(spark, sf_dir).select("doc_id", (n % 7).alias("font"), anomaly.alias("anomaly"), (n % 29 == 1).alias("off_colour"), (n % 31 == 2).alias("gap_before"), (n % 43 == 3).alias("mixed"))
+    return layers.content_score(rows, ["doc_id"])
+
+
 def queries():
     return dict(Q)
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from palimpsest import catalog
 from palimpsest.functions.numeric import clean_number, currency_value, field_type, texts_differ
-from palimpsest.operators import cluster, outliers, spatial, verdicts
+from palimpsest.operators import cluster, layers, outliers, spatial, verdicts
 
 DATA = "/root/testdata/sf0.001"
 
@@ -116,3 +116,19 @@ def test_raw_objects(spark, tmp_path):
     objects = sources.raw_objects(files)
     assert objects.count() == 3 and {r.eof_marks for r in objects.collect()} == {2}
     assert [(r.objid, r.versions) for r in sources.object_versions(objects).collect()] == [(1, 2)]
+
+
+def test_overlay_score_caps(spark):
+    rows = [("a", "ghost_text")] * 3 + [("b", "text_stacking")] * 3 + [("c", None), ("c", "other")] + [("d", "covering_rect"), ("d", "image_overlay")]
+    rows += [("e", "covering_rect")] * 3 + [("e", "ghost_text")] * 2 + [("e", "text_stacking")]
+    out = layers.overlay_score(spark.createDataFrame(rows, "doc string, kind string"), ["doc"], "kind").collect()
+    assert {r.doc: (r.n_findings, r.score) for r in out} == {"a": (3, 70), "b": (3, 80), "c": (0, 0), "d": (2, 45), "e": (6, 100)}
+
+
+def test_content_score_by_hand(spark):
+    schema = "doc string, font string, anomaly double, off_colour boolean, gap_before boolean, mixed boolean"
+    rows = [("a", f, 0.0, False, False, False) for f in "wxyz"] + [("b", "w", 0.5, True, True, True), ("b", "w", 0.51, False, False, None)]
+    rows += [("c", None, None, None, None, None)] + [("d", "w", 0.9, True, True, True)] * 9 + [("e", "w", 0.3, False, True, False)]
+    out = layers.content_score(spark.createDataFrame(rows, schema), ["doc"]).collect()
+    assert {r.doc: r.score for r in out} == {"a": 15.0, "b": 25 + 12 + 5 + 10 + 10.0, "c": 0.0, "d": 100.0, "e": 10.0}
+    assert layers.content_score(spark.createDataFrame([], schema), ["doc"]).count() == 0
