@@ -46,7 +46,7 @@ def test_entry():
 
 
 def test_numbers_in_words(spark):
-    rows = [("8,500", 8500.0), ("(12.5)", 12.5), ("8,50,000", None), ("A12", None), ("12a", 12.0), ("", None), ("₹72,910", 72910.0)]
+    rows = [("8,500", 8500.0), ("(12.5)", 12.5), ("8,50,000", None), ("A12", None), ("12a", None), ("12.Cr", 12.0), ("", None), ("₹72,910", 72910.0)]
     out = spark.createDataFrame(rows, "w string, v double").select("w", "v", clean_number(F.col("w")).alias("x")).collect()
     assert [r.x for r in out] == [r.v for r in out]
 
