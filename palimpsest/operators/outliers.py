@@ -30,7 +30,7 @@ def leave_one_out(rows: DataFrame, keys: list[str], order: list[str], value: str
     left_out = F.when(whole, c).when(r <= k, F.col("__lo")).when(r > n - k, F.col("__hi")).otherwise(c)
     s = F.when(whole, F.col("__t")).otherwise(F.col("__a")) - left_out
     s2 = F.when(whole, F.col("__t2")).otherwise(F.col("__a2")) - left_out * left_out
-    held = F.when(whole, n - 1).otherwise(n - 1 - 2 * k)
+    held = F.when(whole, F.nullif(n - 1, F.lit(0))).otherwise(n - 1 - 2 * k)  # a value alone has no mean of others: null
     spread = F.when(held > 1, F.sqrt(F.greatest((s2 - s * s / held) / (held - 1), F.lit(0.0)))).otherwise(0.0)
     out = out.withColumn("mean", v - c + s / held).withColumn("std", F.greatest(spread, F.lit(STD_LEAST)))
     return out.withColumn("z", F.abs(v - F.col("mean")) / F.col("std")).drop("__r", "__c", "__k", *sums)
