@@ -251,6 +251,31 @@ def test_classifiers(spark, odd, module, name):
     assert {r.score for r in module.scores(odd, one).collect()} == {1.0}
 
 
+def test_toxicity_keeps_all_grams(spark, odd, monkeypatch):
+    """A model above the bound of what is sent has the same n-grams and gives the same scores."""
+    docs, labels = spark.read.parquet(f"{DATA}/documents.parquet"), spark.read.parquet(f"{DATA}/labels.parquet")
+    both = docs.select("doc_id", "text").unionByName(odd.select("doc_id", "text"))
+    key = lambda r: (str(r[0]), r[1])
+    judge = toxicity.fit(docs, labels, ~toxicity.held_out())
+    sent = sorted(map(tuple, toxicity.scores(both, judge).collect()), key=key)
+    kept = sorted(r.doc_id for r in toxicity.ordinary(docs, judge, 0.3).collect())
+    monkeypatch.setattr(toxicity, "MOST_GRAMS", 2000)
+    judge = toxicity.fit(docs, labels, ~toxicity.held_out())
+    asked = sorted(map(tuple, toxicity.scores(both, judge).collect()), key=key)
+    assert [r[0] for r in asked] == [r[0] for r in sent] and np.allclose([r[1] for r in asked], [r[1] for r in sent], rtol=1e-6, atol=1e-12)
+    found = toxicity.ordinary(docs, judge, 0.3)
+    assert found.columns == docs.columns and sorted(r.doc_id for r in found.collect()) == kept
+
+
+def test_toxicity_counts_what_calibration_leaves(spark, monkeypatch):
+    docs, labels = spark.read.parquet(f"{DATA}/documents.parquet"), spark.read.parquet(f"{DATA}/labels.parquet")
+    counted, count_grams = [], toxicity.count_grams
+    monkeypatch.setattr(toxicity, "CALIBRATION", 5)
+    monkeypatch.setattr(toxicity, "count_grams", lambda learn: counted.append(learn.count()) or count_grams(learn))
+    toxicity.fit(docs, labels, F.lit(True))
+    assert counted == [docs.join(labels.where("toxic is not null").select("doc_id").distinct(), "doc_id").count() - 5]
+
+
 def test_quality_on_held_out(spark):
     sf = "/root/testdata/sf0.01"
     found = quality_crf.op6_line_crf(spark, sf).where("held_out").join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").toPandas()
