@@ -1,13 +1,14 @@
 """Secret scan with false-positive removal by a random forest, in DataFrame operations only.
 
 Candidates are words that hold a run of LEAST_RUN or more token characters with a digit or
-both cases in it, or that are assigned to a name that speaks of secrets. Each has features of its length, its
+both cases in it; values of LEAST_VALUE characters or more that are assigned to a name that speaks of secrets, in the
+words ahead or inside one word (quotes stripped); passwords in URLs; and words after Bearer. Each has features of its length, its
 character transitions, its coverage by a dictionary of common word parts, path marks and the words around it. A forest trained
 from labelled findings (MLlib, in the JVM) is turned into column expressions, so the scan is one projection: no Python
 code, no shuffle, no join.
 
 labelled_findings() makes FINDINGS labelled ones by rule from hashes: keys, tokens and passwords against digests, paths,
-identifiers, placeholders and words. Another table of the same columns can be given to train().
+identifiers, placeholders and words. A value of letters in one case only is a word to the forest, whatever it is assigned to. Another table of the same columns can be given to train().
 
 Defined cases: null or empty texts have no candidates; a word of several runs gives several; texts of any length are
 scanned whole; repeated rows each give a row; a null id is kept; an empty table gives no rows; redacted() keeps all columns.
@@ -20,6 +21,8 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 LEAST_RUN = 16
+#: Characters of a value that is assigned to a speaking name.
+LEAST_VALUE = 4
 FINDINGS, TREES, DEPTH, SEED = 6000, 15, 6, 7
 #: Token characters.
 RUN = r"[A-Za-z0-9_+/=.\-]"
@@ -30,6 +33,12 @@ PARTS = "the|and|tion|ing|ment|able|for|with|that|this|ver|ent|ere|est|ous|com|o
 #: A word that is worth a look, and what is taken out of it.
 WORTH = rf"(?=[A-Za-z_+/=.\-]*[0-9])(?=[0-9_+/=.\-]*[A-Za-z]){RUN}{{{LEAST_RUN},}}|[a-z][A-Z]{RUN}*[a-z][A-Z]"
 TAKEN = rf"{RUN}{{8,}}+"
+#: What is taken out of a word that something is assigned by; name and value in one word; the password in a URL; what stands ahead of a value.
+INSIDE = r"[^\s\"'`,;<>(){}\[\]]"
+VALUE = rf"{INSIDE}{{{LEAST_VALUE - 1},}}[^\s\"'`,;<>(){{}}\[\].:]"
+ASSIGNED = rf"(?i)((?:{SPEAKING})(?:[_\-][a-z0-9_\-]*)?)[\"'`]?[=:]+>?[\"'`]?({VALUE.replace(INSIDE, INSIDE.replace('[^', '[^&'), 1)})"
+IN_URL = r"://[^\s/:@]*:([^\s/@]{" + str(LEAST_VALUE) + r",})@"
+AHEAD = rf"(?i)({SPEAKING})(?:[_\-][a-z0-9_\-]*)?[\"'`]? ?[=:]+>?$|(^|[^a-z])bearer$"
 FEATURES = ["size", "digits", "uppers", "lowers", "turns", "distinct", "parts", "vowels", "slashes", "dots", "dashes", "hex", "speaking", "harmless", "assigned", "quoted", "placeholder", "known"]
 
 
@@ -76,6 +85,7 @@ def labelled_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
     syllables = F.array(*[F.lit(x) for x in ("the", "tion", "and", "er", "ing", "re", "ment", "ou", "ble", "an", "eau", "que", "ung", "sch", "ado", "on")])
     pick = lambda k, m: F.pmod(F.xxhash64(i, F.lit(k)), F.lit(m)).cast("int")
     prose = F.concat_ws("", *[F.element_at(syllables, pick(f"s{k}", 16) + 1) for k in range(6)])
+    plain_word = F.substring(F.concat(prose, F.lit("s")), 1, 4 + F.pmod(F.xxhash64(i, F.lit("y")), F.lit(9)).cast("int"))
     wordy = F.element_at(syllables, pick("w", 16) + 1)
     names = F.array(*[F.lit(x) for x in ("token", "api_key", "password", "secret", "auth_token", "access_key", "TOKEN", "API_KEY", "PASSWORD", "SECRET")])
     plain = F.array(*[F.lit(x) for x in ("sha256", "commit", "checksum", "md5", "digest", "uuid", "revision", "etag", "hash", "build")])
@@ -88,6 +98,9 @@ def labelled_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
         F.concat(F.lit("AKIA"), F.upper(F.substring(F.regexp_replace(b64, "[^A-Za-z0-9]", ""), 1, 16))),
         F.concat(F.lit("ghp_"), F.substring(F.regexp_replace(b64, "[^A-Za-z0-9]", "x"), 1, 36)),
         F.substring(F.regexp_replace(b64, "[/+]", "9"), 1, 20),
+        F.concat(F.substring(prose, 1, 1 + pick("l", 8)), F.conv(F.substring(sha, 1, 1 + pick("d", 4)), 16, 10), F.substring(prose, 3, pick("t", 3))),  # a password
+        F.concat(F.lit("x"), F.lower(F.substring(sha, 2, 4 + pick("l", 9))), pick("d", 10).cast("string")),
+        F.concat(F.initcap(F.substring(prose, 1, 4)), F.substring(F.regexp_replace(b64, "[/+]", "!"), 1, 2 + pick("l", 8)), pick("d", 10).cast("string")),
     ]
     others = [  # not secrets
         F.substring(sha, 1, 40),
@@ -100,13 +113,16 @@ def labelled_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
         F.concat(F.initcap(F.substring(prose, 1, 6)), F.initcap(F.substring(prose, 5, 7)), F.initcap(F.substring(prose, 9, 6))),
         F.concat(F.substring(prose, 1, 9), F.lit("."), F.substring(sha, 1, 2), F.lit("@mail"), pick("m", 9).cast("string"), F.lit(".example.com")),
         F.regexp_replace(F.conv(F.substring(sha, 1, 15), 16, 10), "^", "2"),
+        plain_word,
+        F.initcap(plain_word),
+        F.upper(plain_word),
     ]
     choose = lambda listed, key: F.element_at(F.array(*listed), pick(key, len(listed)) + 1)
     secret = (i % 2).cast("int")
     value = F.when(secret == 1, choose(shapes, "a")).otherwise(choose(others, "b"))
     mark = F.element_at(F.array(F.lit("="), F.lit(":")), pick("e", 2) + 1)
     # digests are named as such; placeholders may stand after a secret's name; other things in prose
-    before = F.when(secret == 1, F.concat_ws(" ", name, mark)).when(value.rlike("^[0-9a-f-]{36,}$"), F.concat_ws(" ", thing, F.when(pick("c", 2) == 0, mark).otherwise(F.lit("")))).when(value.startswith("your"), F.concat_ws(" ", name, mark)).otherwise(F.concat_ws(" ", wordy, wordy))
+    before = F.when(secret == 1, F.concat_ws(" ", name, mark)).when(value.rlike("^[0-9a-f-]{36,}$"), F.concat_ws(" ", thing, F.when(pick("c", 2) == 0, mark).otherwise(F.lit("")))).when(value.startswith("your") | value.rlike("^([a-z]+|[A-Z][a-z]+|[A-Z]+)$"), F.concat_ws(" ", name, mark)).otherwise(F.concat_ws(" ", wordy, wordy))
     word = F.when((secret == 1) & (pick("q", 3) > 0), F.concat(F.lit('"'), value, F.lit('"'))).otherwise(value)
     return spark.range(n).select(value.alias("value"), before.alias("before"), word.alias("word"), secret.alias("secret"))
 
@@ -139,24 +155,33 @@ def sql_of(tree: str) -> str:
 
 def candidates(text: Column) -> tuple[Column, Column]:
     """Array of value, before, word: the candidates of a text, over the column __words; and what __words must be."""
-    worth = F.coalesce(text.rlike(WORTH) | text.rlike(rf"(?i)({SPEAKING})[\"']?\s*[=:]"), F.lit(False))
+    speaks = rf"(?i)({SPEAKING})(?:[_\-][a-z0-9_\-]*)?[\"'`]?\s*[=:]|(^|[^a-z])bearer\s"
+    worth = F.coalesce(text.rlike(WORTH) | text.rlike(speaks) | text.rlike(IN_URL), F.lit(False))
     words = F.when(worth, F.split(text, r"\s+")).otherwise(F.array().cast("array<string>"))
     # the place of each word that may hold a candidate, then its surroundings
-    held = F.expr(
-        f"flatten(transform(filter(transform(__words, (w, i) -> IF(w rlike __pattern OR (length(w) >= 8 AND i > 0 AND lower(concat_ws(' ', IF(i > 1, __words[i - 2], ''), __words[i - 1])) rlike '({SPEAKING})[\"\\']? ?[=:]$'), i, -1)), i -> i >= 0), "
-        "i -> transform(regexp_extract_all(__words[i], __taken, 0), v -> named_struct('value', v, 'before', concat_ws(' ', IF(i > 1, __words[i - 2], ''), IF(i > 0, __words[i - 1], '')), 'word', __words[i]))))"
-    )
+    before = "concat_ws(' ', IF(i > 1, __words[i - 2], ''), IF(i > 0, __words[i - 1], ''))"
+    ahead = f"(i > 0 AND length(__words[i]) >= {LEAST_VALUE} AND {before} rlike __ahead)"
+    places = f"filter(transform(__words, (w, i) -> IF(w rlike __pattern OR w rlike __assigned OR w rlike __url OR {ahead}, i, -1)), i -> i >= 0)"
+    plain = lambda value: f"named_struct('value', {value}, 'before', {before}, 'word', __words[i])"
+    inside = "zip_with(regexp_extract_all(__words[i], __assigned, 1), regexp_extract_all(__words[i], __assigned, 2), (n, v) -> named_struct('value', v, 'before', concat(n, ' ='), 'word', v))"
+    in_url = "transform(regexp_extract_all(__words[i], __url, 1), v -> named_struct('value', v, 'before', 'password =', 'word', v))"
+    rest = "regexp_replace(__words[i], __assigned, ' ')"
+    runs = f"filter(regexp_extract_all({rest}, IF({ahead}, __value, __taken), 0), v -> NOT exists(regexp_extract_all(__words[i], __url, 1), u -> contains(u, v)))"
+    others = f"IF({ahead} OR __words[i] rlike __pattern, transform({runs}, v -> {plain('v')}), array())"
+    in_place = "(x, y) -> instr(__words[i], x.value) - instr(__words[i], y.value)"
+    held = F.expr(f"flatten(transform({places}, i -> array_sort(concat({inside}, {in_url}, {others}), {in_place})))")
     return held, words
 
 
 def scanned(docs: DataFrame, forest: list[str], text: str = "text") -> DataFrame:
     """docs with __found: the candidates (value, secret) of each text; secret if half of the trees say so or more."""
     found, words = candidates(F.col(text).cast("string"))
-    out = docs.withColumn("__words", words).withColumn("__pattern", F.lit(WORTH)).withColumn("__taken", F.lit(TAKEN)).withColumn("__held", found)
+    patterns = {"__pattern": WORTH, "__taken": TAKEN, "__value": VALUE, "__assigned": ASSIGNED, "__url": IN_URL, "__ahead": AHEAD}
+    out = docs.withColumn("__words", words).withColumns({k: F.lit(v) for k, v in patterns.items()}).withColumn("__held", found)
     votes = " + ".join(f"({t})" for t in forest)
     out = out.withColumn("__made", F.transform("__held", lambda x: F.struct(x["value"].alias("value"), features(x["value"], x["before"], x["word"]).alias("f"))))
     judged = F.expr(f"transform(__made, x -> named_struct('value', x.value, 'secret', 2 * ({votes.replace('f.', 'x.f.')}) >= {len(forest)}))")
-    return out.withColumn("__found", judged).drop("__words", "__pattern", "__taken", "__held", "__made")
+    return out.withColumn("__found", judged).drop("__words", *patterns, "__held", "__made")
 
 
 def secrets(docs: DataFrame, forest: list[str], ident: str = "doc_id", text: str = "text") -> DataFrame:
@@ -166,8 +191,11 @@ def secrets(docs: DataFrame, forest: list[str], ident: str = "doc_id", text: str
 
 
 def redacted(docs: DataFrame, forest: list[str], text: str = "text", mask: str = "[secret]") -> DataFrame:
-    """docs with every secret in the texts replaced by the mask; all other columns and rows as they are."""
-    hidden = F.expr(f"aggregate(filter(__found, x -> x.secret), `{text}`, (t, x) -> replace(t, x.value, '{mask}'))")
+    """docs with every secret in the texts replaced by the mask, short ones where they are not part of a longer word; all other columns and rows as they are."""
+    safe = mask.replace("\\", "\\\\").replace("$", "\\$")
+    alone = lambda v: F.concat(F.lit(r"(?<![A-Za-z0-9])\Q"), F.replace(v, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E(?![A-Za-z0-9])"))
+    hide = lambda t, x: F.when(F.length(x["value"]) >= LEAST_RUN, F.replace(t, x["value"], F.lit(mask))).otherwise(F.regexp_replace(t, alone(x["value"]), F.lit(safe)))
+    hidden = F.aggregate(F.filter("__found", lambda x: x["secret"]), F.col(text), hide)
     return scanned(docs, forest, text).withColumn(text, hidden).select(*docs.columns)
 
 

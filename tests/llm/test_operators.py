@@ -288,6 +288,17 @@ def test_insults_are_found(spark):
     found = toxicity.op3_kneser_ney(spark, sf).join(docs.select("doc_id", F.col("text").rlike("(?i)idiot|moron|scum|loser|worthless").alias("rude")), "doc_id").toPandas()
     assert found[found.rude].predicted.mean() > 0.9 and found[~found.rude].predicted.mean() < 0.12
 
+def test_short_and_assigned_secrets(spark):
+    forest = secret_forest.train(secret_forest.labelled_findings(spark))
+    rows = [("password:Tr0ub4dor3", "Tr0ub4dor3"), ("pwd=abc12345", "abc12345"), ('API_KEY="abc123def456"', "abc123def456"), ('{"api_key":"Zx81kQ22mm"}', "Zx81kQ22mm"), ("https://u:s3cretPw99@host.example.com/db", "s3cretPw99"), ("Authorization: Bearer abc123def456", "abc123def456"), ("password = hunter2", "hunter2")]
+    rows += [("password: required here", None), ("the bearer shall sign", None), ("Secret: nothing", None), ("token = None", None), ("plain https://example.com:8080/a page", None), ("author:Someone", None)]
+    table = spark.createDataFrame([(i, f"see {t} or hunter25") for i, (t, _) in enumerate(rows)], "doc_id long, text string")
+    found = {r.doc_id: r.secrets for r in secret_forest.secrets(table, forest).collect()}
+    assert {rows[i][0]: x for i, x in found.items()} == {t: [v] if v else [] for t, v in rows}
+    masked = {r.doc_id: r.text for r in secret_forest.redacted(table, forest).collect()}
+    assert {rows[i][0]: x for i, x in masked.items()} == {t: f"see {t.replace(v, '[secret]') if v else t} or hunter25" for t, v in rows}
+
+
 
 def test_field_of_lines(spark):
     sf = "/root/testdata/sf0.01"
