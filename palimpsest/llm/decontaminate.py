@@ -145,14 +145,14 @@ def chunks(benchmark: DataFrame, ident: str, text: str, chunk_bytes: int) -> lis
     return [items.where(F.pmod(F.xxhash64("item"), F.lit(n)) == c) for c in range(n)]
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, ident: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", window: int = 13, gram: int = 7, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """doc_id, n_words, n_hit, items (ids as strings, sorted) and spans (word ranges that are hit) of every row of docs."""
+def scan(docs: DataFrame, benchmark: DataFrame, ident: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", window: int = 13, gram: int = 7, chunk_bytes: int = CHUNK_BYTES, tagged: bool = False) -> DataFrame:
+    """doc_id, n_words, n_hit, items (ids as strings, sorted) and spans (word ranges that are hit) of every row of docs; with tagged also tag, a hash of the row's text."""
     body = F.col(text).cast("string")
     source = docs.select(F.col(ident).cast("long").alias("doc_id"), F.xxhash64(body).alias("tag"), body.alias("text"))
     parts = chunks(benchmark, item, item_text, chunk_bytes)
     passes = [source.mapInArrow(scanner(sent(docs, part, window, gram)), SCANNED) for part in parts]
     if len(passes) == 1:
-        return passes[0].drop("tag")
+        return passes[0] if tagged else passes[0].drop("tag")
     rest = None
     for i, found in enumerate(passes):
         found = found.where("n_hit > 0").withColumn("pass", F.lit(i)).dropDuplicates(["doc_id", "tag", "pass"])
@@ -160,7 +160,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, ident: str = "doc_id", text: str
     hits = rest.select(F.coalesce("doc_id", F.lit(0)).alias("key"), F.col("doc_id").isNull().alias("no_key"), "tag", "items", "spans").groupBy("key", "no_key", "tag").applyInArrow(merge, "key long, no_key boolean, tag long, n_hit long, items array<string>, spans array<struct<start:long,end:long>>")
     base = passes[0].select("doc_id", F.coalesce("doc_id", F.lit(0)).alias("key"), F.col("doc_id").isNull().alias("no_key"), "tag", "n_words")
     out = base.join(hits, ["key", "no_key", "tag"], "left")
-    return out.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), F.coalesce("spans", F.array().cast("array<struct<start:long,end:long>>")).alias("spans"))
+    return out.select("doc_id", *(["tag"] if tagged else []), "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), F.coalesce("spans", F.array().cast("array<struct<start:long,end:long>>")).alias("spans"))
 
 
 def sent(docs: DataFrame, part: DataFrame, window: int, gram: int):
@@ -217,9 +217,10 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, ident: str = "doc_id",
                 yield batch.filter(pa.array([m is None or 20 * int(m.sum()) < n for n, m, _ in index.value.scan(column)], pa.bool_()))
 
         return docs.mapInArrow(keep, docs.schema)
-    bad = judged(scan(docs, benchmark, ident, text, item, item_text, window, gram, chunk_bytes)).where("contaminated").select(F.col("doc_id").alias("__contaminated")).distinct()
-    # a null id can't be told from another one, so a row without one stays only if no such row is contaminated
-    return docs.join(bad, docs[ident].cast("long").eqNullSafe(bad["__contaminated"]), "left_anti")
+    bad = judged(scan(docs, benchmark, ident, text, item, item_text, window, gram, chunk_bytes, tagged=True)).where("contaminated")
+    bad = bad.select(F.col("doc_id").alias("__contaminated"), F.col("tag").alias("__tag")).distinct()
+    # a row goes by its id and its text, so that rows of one id, or without one, are judged each on their own
+    return docs.join(bad, docs[ident].cast("long").eqNullSafe(bad["__contaminated"]) & (F.xxhash64(docs[text].cast("string")) == bad["__tag"]), "left_anti")
 
 
 def op2_winnowing(spark, sf_dir: str) -> DataFrame:
