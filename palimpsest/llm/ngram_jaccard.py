@@ -17,6 +17,8 @@ A list is never expanded into all its pairs. First every entry meets the list's
 in a few rounds, entries outside their list's largest component meet one member of it, another each time,
 until few are left. At last the entries left outside meet all of the list in other components. That finds
 every link that can change a component, and the work in a group of copies stays about linear.
+That is for components only. jaccard_links() gives the join itself: all links between classes, out of the same lists, which are
+expanded into all their pairs, in blocks of BLOCK entries so that no list makes a task hot; its work grows with the links.
 
 Defined cases: null or empty text, or text of blanks, has an empty set and links with nothing;
 a null id gives a row with a null component; repeated rows give a row each, of one vertex;
@@ -37,6 +39,8 @@ from . import _exchange as X, _text as T
 MOST_SMALL = 200
 #: Rounds go on while the last step would meet more than so many pairs for each list entry.
 ENOUGH, ROUNDS = 2, 2
+#: Entries of a list that meet each other at once when all pairs are wanted.
+BLOCK = 256
 DOC = "shard long, at int, doc_id long, n long, s1 long, s2 long, posted array<struct<key:long,pos:int,code:int>>"
 
 
@@ -146,6 +150,20 @@ def jaccard_classes(docs: DataFrame, ident: str = "doc_id", text: str = "text",
     return classified(*X.shards(docs, ident, text), "doc_id", "text", k, threshold).select("doc_id", "n_shingles", "component_id")
 
 
+def jaccard_links(docs: DataFrame, ident: str = "doc_id", text: str = "text", k: int = 5, threshold: int = 75) -> tuple[DataFrame, DataFrame]:
+    """The join's links and its classes: a, b (a < b) of every pair of representatives whose classes link; and doc_id, n_shingles, class_id
+    (the smallest id of an equal set; null without an id, the row's own without shingles), n_links (of the class, with other classes) of every row of docs."""
+    table, n = X.shards(docs, ident, text)
+    rows, classes, entries, boundary = posted_lists(table, n, "doc_id", "text", k, threshold)
+    pairs = X.checkpoint(all_pairs(entries, threshold, boundary))
+    links = X.checkpoint(verified(pairs, sets_of(table, entries, pairs, "doc_id", "text", k), threshold))
+    each = links.select(F.col("a").alias("rep")).unionByName(links.select(F.col("b").alias("rep"))).groupBy("rep").agg(F.count("*").alias("n_links"))
+    of_class = classes.join(each, "rep", "left").select("s1", "s2", F.col("n").alias("n_of"), "rep", "n_links")
+    out = rows.select("doc_id", "n", "s1", "s2").join(of_class, ["s1", "s2"], "left")
+    own = F.col("doc_id").isNotNull() & (F.col("n") > 0)
+    return links, out.select("doc_id", F.col("n").alias("n_shingles"), F.when(own, F.col("rep")).otherwise(F.col("doc_id")).alias("class_id"), F.when(own, F.coalesce("n_links", F.lit(0))).otherwise(0).cast("long").alias("n_links"))
+
+
 def deduplicated(docs: DataFrame, ident: str = "doc_id", text: str = "text", k: int = 5, threshold: int = 75) -> DataFrame:
     """The row of the smallest id of each component of docs, all columns; rows that link with nothing stay."""
     table, n = X.shards(docs, ident, text, whole=True)
@@ -160,8 +178,8 @@ def deduplicated(docs: DataFrame, ident: str = "doc_id", text: str = "text", k:
     return X.with_answers(table, keep, take, docs.schema)
 
 
-def classified(table: DataFrame, n: int, ident: str, text: str, k: int, threshold: int) -> DataFrame:
-    """shard, at (the row's place in it), doc_id, n_shingles, component_id of every row of a table of shards."""
+def posted_lists(table: DataFrame, n: int, ident: str, text: str, k: int, threshold: int) -> tuple[DataFrame, DataFrame, DataFrame, int]:
+    """The rows of a table of shards, their classes, the entries of the lists that hold more than one, and the boundary."""
 
     def count(shard: int, rows: pa.Table) -> pa.Table:
         tokens, notes = sent_tokens(shingle_sets(X.two_columns(rows, ident, text), k))
@@ -202,7 +220,12 @@ def classified(table: DataFrame, n: int, ident: str, text: str, k: int, threshol
     of_small = live.where(F.col("n") <= boundary).select("shard", "doc_id", "n", F.lit(0).alias("kind"), F.explode(subsets).alias("p"))
     of_large = live.where(100 * F.col("n") >= threshold * (boundary + 1)).select("shard", "doc_id", "n", F.lit(1).alias("kind"), F.explode(lists).alias("p"))
     posts = of_small.unionByName(of_large).select("shard", "doc_id", "n", "kind", "p.key", "p.pos")
-    entries = X.checkpoint(met_lists(posts, threshold, boundary))
+    return rows, classes, X.checkpoint(met_lists(posts, threshold, boundary)), boundary
+
+
+def classified(table: DataFrame, n: int, ident: str, text: str, k: int, threshold: int) -> DataFrame:
+    """shard, at (the row's place in it), doc_id, n_shingles, component_id of every row of a table of shards."""
+    rows, classes, entries, boundary = posted_lists(table, n, ident, text, k, threshold)
     first = X.checkpoint(star_pairs(entries, threshold, boundary))
     links = X.checkpoint(verified(first, sets_of(table, entries, first, ident, text, k), threshold))
     found, tested = X.components(links), first
@@ -280,6 +303,16 @@ def cross_pairs(mixed: DataFrame, _: int, threshold: int, boundary: int) -> Data
     return met.select(*pair("doc_id", "d")).distinct()
 
 
+def all_pairs(entries: DataFrame, threshold: int, boundary: int) -> DataFrame:
+    """All pairs of each list, once; a list is cut into blocks, and every two blocks of it meet on their own."""
+    blocks = F.ceil(F.col("entries") / BLOCK).cast("int")
+    cut = entries.select("kind", "key", "doc_id", "n", "pos", blocks.alias("blocks")).withColumn("block", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int"))
+    left = cut.select("kind", "key", "doc_id", "n", "pos", F.col("block").alias("i"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("j"))
+    right = cut.select("kind", "key", F.col("doc_id").alias("d"), F.col("n").alias("m"), F.col("pos").alias("qos"), F.col("block").alias("j"), F.explode(F.sequence(F.lit(0), "block")).alias("i"))
+    met = left.join(right, ["kind", "key", "i", "j"]).where("i < j and doc_id <> d or i = j and doc_id < d").where(fits("n", "pos", "m", "qos", "kind", threshold, boundary))
+    return met.select(*pair("doc_id", "d")).distinct()
+
+
 def sets_of(table: DataFrame, entries: DataFrame, pairs: DataFrame, ident: str, text: str, k: int) -> DataFrame:
     """doc_id, packed: the whole sets of the documents in pairs, from their shards."""
     ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()

@@ -79,6 +79,39 @@ def test_jaccard_in_a_cluster(spark):
     assert sorted(map(tuple, found), key=str) == jaccard_brute(rows)
 
 
+def links_brute(rows):
+    """Links between the smallest ids of equal sets."""
+    sets = {}
+    for i, t in sorted((r for r in rows if r[0] is not None), reverse=True):
+        w = split(lower(t))
+        if w:
+            sets[frozenset(tuple(w[k : k + 5]) for k in range(max(len(w) - 4, 1)))] = i
+    kept = sorted((i, s) for s, i in sets.items())
+    return sets, sorted((a, b) for k, (b, s) in enumerate(kept) for a, t in kept[:k] if 100 * len(s & t) >= 75 * len(s | t))
+
+
+@pytest.mark.parametrize("block", [256, 8])
+def test_all_links(spark, documents, block, monkeypatch):
+    monkeypatch.setattr(ngram_jaccard, "BLOCK", block)
+    rng = np.random.RandomState(6)
+    rows = []
+    for i in range(60):
+        words = [f"v{k}" for k in range(80)]
+        for k in rng.choice(80, rng.randint(0, 3), replace=False):
+            words[k] = f"x{rng.randint(1 << 30)}"
+        rows.append((1_000_000 + i * 7, " ".join(words)))
+    rows += [(1_100_000, rows[5][1]), (None, rows[5][1]), (1_100_001, ""), (1_100_002, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").unionByName(documents.select("doc_id", "text"))
+    links, members = ngram_jaccard.jaccard_links(docs)
+    sets, expected = links_brute([tuple(r) for r in docs.collect()])
+    assert sorted(map(tuple, links.collect())) == expected and len(expected) > 100
+    ends = Counter(x for pair in expected for x in pair)
+    members = {r.doc_id: r for r in members.collect()}
+    assert members[None].class_id is None and members[1_100_001].n_links == 0 and members[1_100_001].class_id == 1_100_001
+    assert members[1_100_000].class_id == members[rows[5][0]].class_id
+    assert all(r.n_links == ends[r.class_id] for i, r in members.items() if i is not None)
+
+
 def test_deduplicated(odd):
     kept = ngram_jaccard.deduplicated(odd)
     assert kept.columns == odd.columns
@@ -148,6 +181,20 @@ def test_contamination(spark, documents, odd, chunk):
         assert kept.columns == odd.columns and sorted(r.doc_id for r in kept.collect() if r.doc_id) == [3, 4, 5, 6, 7, 10]
 
 
+def test_decontaminated_by_row(spark):
+    """Rows of one id, or of none, stay or go by their own text, however many chunks the benchmark is cut into."""
+    items = [(i, " ".join(f"b{i}w{k}" for k in range(20))) for i in range(60)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    clean = " ".join(f"clean{k}" for k in range(30))
+    rows = [(1, items[3][1], "bad"), (1, clean, "good"), (None, items[4][1], "bad"), (None, clean, "good"), (None, None, "good"), (2, items[5][1], "bad"), (3, clean + " " + items[6][1], "bad"), (4, "", "good")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, kind string")
+    for chunk in (8 << 20, 2000):
+        assert (len(decontaminate.chunks(bench, "item_id", "text", chunk)) > 1) == (chunk == 2000)
+        kept = decontaminate.decontaminated(docs, bench, chunk_bytes=chunk)
+        assert kept.columns == docs.columns
+        assert sorted(map(tuple, kept.collect()), key=str) == sorted((r for r in rows if r[2] == "good"), key=str)
+
+
 def test_token_files(spark, odd, documents, tmp_path):
     from tokenizers import Tokenizer
 
@@ -181,20 +228,6 @@ def test_grammar_round_trip_and_random_access():
         assert held.document(i).tolist() == own
         assert held.tokens(i, 3, 17).tolist() == own[3:17]
 
-def test_decontaminated_by_row(spark):
-    """Rows of one id, or of none, stay or go by their own text, however many chunks the benchmark is cut into."""
-    items = [(i, " ".join(f"b{i}w{k}" for k in range(20))) for i in range(60)]
-    bench = spark.createDataFrame(items, "item_id long, text string")
-    clean = " ".join(f"clean{k}" for k in range(30))
-    rows = [(1, items[3][1], "bad"), (1, clean, "good"), (None, items[4][1], "bad"), (None, clean, "good"), (None, None, "good"), (2, items[5][1], "bad"), (3, clean + " " + items[6][1], "bad"), (4, "", "good")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, kind string")
-    for chunk in (8 << 20, 2000):
-        assert (len(decontaminate.chunks(bench, "item_id", "text", chunk)) > 1) == (chunk == 2000)
-        kept = decontaminate.decontaminated(docs, bench, chunk_bytes=chunk)
-        assert kept.columns == docs.columns
-        assert sorted(map(tuple, kept.collect()), key=str) == sorted((r for r in rows if r[2] == "good"), key=str)
-
-
 
 def test_sentencepiece(odd, documents):
     import sentencepiece
@@ -255,6 +288,17 @@ def test_secrets(spark, documents):
         assert found[r.doc_id] == set(re.findall(r'(?i)token = "([0-9a-f]{40})"', r.text))
 
 
+def test_short_and_assigned_secrets(spark):
+    forest = secret_forest.train(secret_forest.labelled_findings(spark))
+    rows = [("password:Tr0ub4dor3", "Tr0ub4dor3"), ("pwd=abc12345", "abc12345"), ('API_KEY="abc123def456"', "abc123def456"), ('{"api_key":"Zx81kQ22mm"}', "Zx81kQ22mm"), ("https://u:s3cretPw99@host.example.com/db", "s3cretPw99"), ("Authorization: Bearer abc123def456", "abc123def456"), ("password = hunter2", "hunter2")]
+    rows += [("password: required here", None), ("the bearer shall sign", None), ("Secret: nothing", None), ("token = None", None), ("plain https://example.com:8080/a page", None), ("author:Someone", None)]
+    table = spark.createDataFrame([(i, f"see {t} or hunter25") for i, (t, _) in enumerate(rows)], "doc_id long, text string")
+    found = {r.doc_id: r.secrets for r in secret_forest.secrets(table, forest).collect()}
+    assert {rows[i][0]: x for i, x in found.items()} == {t: [v] if v else [] for t, v in rows}
+    masked = {r.doc_id: r.text for r in secret_forest.redacted(table, forest).collect()}
+    assert {rows[i][0]: x for i, x in masked.items()} == {t: f"see {t.replace(v, '[secret]') if v else t} or hunter25" for t, v in rows}
+
+
 @pytest.mark.parametrize("module, name", [(toxicity, "toxic"), (quality_crf, "quality")])
 def test_classifiers(spark, odd, module, name):
     docs, labels = spark.read.parquet(f"{DATA}/documents.parquet"), spark.read.parquet(f"{DATA}/labels.parquet")
@@ -302,17 +346,6 @@ def test_insults_are_found(spark):
     found = toxicity.op3_kneser_ney(spark, sf).join(docs.select("doc_id", F.col("text").rlike("(?i)idiot|moron|scum|loser|worthless").alias("rude")), "doc_id").toPandas()
     assert found[found.rude].predicted.mean() > 0.9 and found[~found.rude].predicted.mean() < 0.12
 
-def test_short_and_assigned_secrets(spark):
-    forest = secret_forest.train(secret_forest.labelled_findings(spark))
-    rows = [("password:Tr0ub4dor3", "Tr0ub4dor3"), ("pwd=abc12345", "abc12345"), ('API_KEY="abc123def456"', "abc123def456"), ('{"api_key":"Zx81kQ22mm"}', "Zx81kQ22mm"), ("https://u:s3cretPw99@host.example.com/db", "s3cretPw99"), ("Authorization: Bearer abc123def456", "abc123def456"), ("password = hunter2", "hunter2")]
-    rows += [("password: required here", None), ("the bearer shall sign", None), ("Secret: nothing", None), ("token = None", None), ("plain https://example.com:8080/a page", None), ("author:Someone", None)]
-    table = spark.createDataFrame([(i, f"see {t} or hunter25") for i, (t, _) in enumerate(rows)], "doc_id long, text string")
-    found = {r.doc_id: r.secrets for r in secret_forest.secrets(table, forest).collect()}
-    assert {rows[i][0]: x for i, x in found.items()} == {t: [v] if v else [] for t, v in rows}
-    masked = {r.doc_id: r.text for r in secret_forest.redacted(table, forest).collect()}
-    assert {rows[i][0]: x for i, x in masked.items()} == {t: f"see {t.replace(v, '[secret]') if v else t} or hunter25" for t, v in rows}
-
-
 
 def test_field_of_lines(spark):
     sf = "/root/testdata/sf0.01"
