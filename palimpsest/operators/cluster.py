@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 
@@ -27,16 +29,25 @@ def start_clusters(rows: DataFrame, keys: list[str], at: str, ident: str, tolera
     return found.select(*keys, F.explode("state").alias("s")).select(*keys, F.col("s.id").alias(ident), F.col("s.at").alias(at), F.col("s.number").alias("cluster"))
 
 
-def page_components(edges: DataFrame, on: list[str], rounds: int = 30) -> DataFrame:
-    """on, v, component (smallest member) of the vertices of edges (a, b) on one page each; labels spread until nothing changes."""
+def page_components(edges: DataFrame, on: list[str]) -> DataFrame:
+    """on, v, component (smallest member) of the vertices of edges (a, b) on one page each; labels spread to neighbours and these neighbours' labels, and take their own label's, until nothing changes."""
     both = edges.select(*on, F.col("a").alias("v"), F.col("b").alias("w")).unionByName(edges.select(*on, F.col("b").alias("v"), F.col("a").alias("w"))).distinct().cache()
     labels = both.groupBy(*on, "v").agg(F.least(F.min("w"), F.col("v")).alias("component"))
-    before = -1
-    for _ in range(rounds):
-        spread = both.join(labels.select(*on, F.col("v").alias("w"), F.col("component").alias("c")), [*on, "w"]).groupBy(*on, "v").agg(F.min("c").alias("c"))
-        labels = labels.join(spread, [*on, "v"]).select(*on, "v", F.least("component", "c").alias("component")).cache()
-        state = labels.agg(F.sum("component")).first()[0]
-        if state == before:
-            break
-        before = state
-    return labels
+    while True:
+        ends = both.join(labels.select(*on, F.col("v").alias("w"), F.col("component").alias("c")), [*on, "w"]).join(labels, [*on, "v"])
+        spread = ends.select(*on, "v", "c").unionByName(ends.select(*on, F.col("component").alias("v"), "c")).groupBy(*on, "v").agg(F.min("c").alias("c"))
+        near = labels.join(spread, [*on, "v"]).select(*on, "v", F.col("component").alias("was"), F.least("component", "c").alias("component"))
+        # a component is a vertex of the page, so it has a label of its own
+        far = labels.select(*on, F.col("v").alias("component"), F.col("component").alias("c"))
+        now = held(near.join(far, [*on, "component"]).select(*on, "v", "was", F.least("component", "c").alias("component")))
+        labels = now.drop("was")
+        if not now.where("component <> was").head(1):
+            return labels
+
+
+def held(df: DataFrame) -> DataFrame:
+    """A checkpoint, so that a plan doesn't grow by the round; in a folder of its own only where the cluster names none."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="palimpsest-"))
+    return df.checkpoint()

@@ -84,6 +84,12 @@ def test_start_clusters(spark):
     assert [r.cluster for r in found] == [0, 0, 1, 1, 2]  # against the cluster's first value, not the last
 
 
+def test_page_components_of_long_chains(spark):
+    edges = [(0, i, i + 1) for i in range(100)] + [(1, i, i + 1) for i in range(3)]
+    found = cluster.page_components(spark.createDataFrame(edges, "page int, a int, b int"), ["page"]).collect()
+    assert sorted((r.page, r.v, r.component) for r in found) == [(p, v, 0) for p, n in ((0, 101), (1, 4)) for v in range(n)]
+
+
 def test_timeline(spark):
     rows = [("Offer of 09 July 2018 and 1/2/2026", 2), (None, 0), ("2024-07-09", 0)]
     out = verdicts.timeline(spark.createDataFrame(rows, "t string, k int"), "t", F.lit(2024)).collect()
