@@ -9,7 +9,7 @@ every document holds counts once a shard, so no key can make a bucket hot.
 
 from __future__ import annotations
 
-import tempfile
+import gc
 import uuid
 import zlib
 from collections.abc import Callable
@@ -22,18 +22,32 @@ from ._text import U64, buffers, slices
 
 #: Bytes of text that a shard should hold.
 SHARD_BYTES = 4 << 20
+#: Tables that shards() made, for drop_scratch().
+_SHARD_TABLES: list[str] = []
 SENT = "bucket int, shard long, keys binary, notes binary"
 ANSWER = "shard long, bucket int, codes binary, n_sent long, n_live long, n_scan long"
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the folder that the cluster names; a folder of its own only where none is set."""
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names for checkpoints; where none is named, one in the warehouse, which driver and executors share too."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="palimpsest-"))
+        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", "") or f"{spark.conf.get('spark.sql.warehouse.dir')}/_palimpsest")
+    return sc.getCheckpointDir()
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """A reliable checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark's cleaner remove the shuffle files and checkpoints that nothing refers to any more. It learns of them by garbage collection only, and a driver of little work collects seldom."""
+    gc.collect()
+    spark.sparkContext._jvm.java.lang.System.gc()
+
+
 def text_bytes(docs: DataFrame, text: str) -> int:
     return docs.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0
 
@@ -61,6 +75,7 @@ def shards(docs: DataFrame, ident: str, text: str, whole: bool = False) -> tuple
                 shard += 1
 
     name = scratch_name("palimpsest_shards")
+    _SHARD_TABLES.append(name)
     rows.mapInArrow(pack_rows, "shard long, blob binary").write.option("compression", "none").bucketBy(n, "shard").format("parquet").saveAsTable(name)
     return spark.table(name), n
 
@@ -77,10 +92,9 @@ def of_blob(blob: pa.Scalar) -> pa.Table:
 
 
 def drop_scratch(spark: SparkSession) -> None:
-    """Drops the tables of shards of this session; results that still read them are lost."""
-    for t in spark.catalog.listTables():
-        if t.name.startswith("palimpsest_shards_"):
-            spark.sql(f"DROP TABLE {t.name}")
+    """Drops the tables of shards that this process made, and no others; results that still read them are lost."""
+    while _SHARD_TABLES:
+        spark.sql(f"DROP TABLE IF EXISTS {_SHARD_TABLES.pop()}")
 
 
 def per_shard(table: DataFrame, work: Callable, schema: str) -> DataFrame:
@@ -94,12 +108,16 @@ def per_shard(table: DataFrame, work: Callable, schema: str) -> DataFrame:
     return table.mapInArrow(run, schema)
 
 
-def with_answers(table: DataFrame, answers: DataFrame, work: Callable, schema: str) -> DataFrame:
-    """work(shard, rows, answers to it) for every shard; each shard is a row of the table."""
+def with_answers(table: DataFrame, answers: DataFrame, work: Callable, schema: str, asked_only: bool = False) -> DataFrame:
+    """work(shard, rows, answers to it) for every shard, or with asked_only for those that have answers; each shard is a row of the table."""
+
+    nothing = to_arrow(schema)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        if asked_only and not right.num_rows:
+            return nothing
         parts = [work(left["shard"][i].as_py(), of_blob(left["blob"][i]), right) for i in range(left.num_rows)]
-        return pa.concat_tables(parts) if parts else to_arrow(schema)
+        return pa.concat_tables(parts) if parts else nothing
 
     return table.groupBy("shard").cogroup(answers.groupBy("shard")).applyInArrow(run, schema)
 
@@ -223,7 +241,4 @@ def scratch_name(prefix: str) -> str:
 
 def scratch_folder(spark: SparkSession, prefix: str) -> str:
     """A new folder in the shared one."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="palimpsest-"))
-    return f"{sc.getCheckpointDir()}/{scratch_name(prefix)}"
+    return f"{shared_folder(spark)}/{scratch_name(prefix)}"

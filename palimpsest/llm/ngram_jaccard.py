@@ -13,7 +13,8 @@ so that shingles that are in one class only need not be posted at all.
 * The boundary has the least cost by sums over all sets of each size: a subset costs 1, a
   list entry 1 + log2 of the list's length; small sets near the boundary pay for both.
 
-A list is never expanded into all its pairs. First every entry meets the list's smallest id. Then,
+A list is kept in cells, one for each shard that has entries of it, so that a list which every document is in makes no task hot.
+It is never expanded into all its pairs. First every entry meets the list's smallest id. Then,
 in a few rounds, entries outside their list's largest component meet one member of it, another each time,
 until few are left. At last the entries left outside meet all of the list in other components. That finds
 every link that can change a component, and the work in a group of copies stays about linear.
@@ -31,7 +32,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from . import _exchange as X, _text as T
 
@@ -154,9 +155,8 @@ def jaccard_links(docs: DataFrame, ident: str = "doc_id", text: str = "text", k:
     """The join's links and its classes: a, b (a < b) of every pair of representatives whose classes link; and doc_id, n_shingles, class_id
     (the smallest id of an equal set; null without an id, the row's own without shingles), n_links (of the class, with other classes) of every row of docs."""
     table, n = X.shards(docs, ident, text)
-    rows, classes, entries, boundary = posted_lists(table, n, "doc_id", "text", k, threshold)
-    pairs = X.checkpoint(all_pairs(entries, threshold, boundary))
-    links = X.checkpoint(verified(pairs, sets_of(table, entries, pairs, "doc_id", "text", k), threshold))
+    rows, classes, cells, boundary = posted_lists(table, n, "doc_id", "text", k, threshold)
+    links = X.checkpoint(verified(table, X.checkpoint(all_pairs(cells, threshold, boundary)), "doc_id", "text", k, threshold))
     each = links.select(F.col("a").alias("rep")).unionByName(links.select(F.col("b").alias("rep"))).groupBy("rep").agg(F.count("*").alias("n_links"))
     of_class = classes.join(each, "rep", "left").select("s1", "s2", F.col("n").alias("n_of"), "rep", "n_links")
     out = rows.select("doc_id", "n", "s1", "s2").join(of_class, ["s1", "s2"], "left")
@@ -179,7 +179,7 @@ def deduplicated(docs: DataFrame, ident: str = "doc_id", text: str = "text", k:
 
 
 def posted_lists(table: DataFrame, n: int, ident: str, text: str, k: int, threshold: int) -> tuple[DataFrame, DataFrame, DataFrame, int]:
-    """The rows of a table of shards, their classes, the entries of the lists that hold more than one, and the boundary."""
+    """The rows of a table of shards, their classes, the cells of the lists that hold more than one entry, and the boundary."""
 
     def count(shard: int, rows: pa.Table) -> pa.Table:
         tokens, notes = sent_tokens(shingle_sets(X.two_columns(rows, ident, text), k))
@@ -225,29 +225,32 @@ def posted_lists(table: DataFrame, n: int, ident: str, text: str, k: int, thresh
 
 def classified(table: DataFrame, n: int, ident: str, text: str, k: int, threshold: int) -> DataFrame:
     """shard, at (the row's place in it), doc_id, n_shingles, component_id of every row of a table of shards."""
-    rows, classes, entries, boundary = posted_lists(table, n, ident, text, k, threshold)
-    first = X.checkpoint(star_pairs(entries, threshold, boundary))
-    links = X.checkpoint(verified(first, sets_of(table, entries, first, ident, text, k), threshold))
-    found, tested = X.components(links), first
-    mixed = entries.where("entries > 2")  # the only pair of a list of two is tested
-    n_entries = mixed.count()
+    spark = table.sparkSession
+    rows, classes, cells, boundary = posted_lists(table, n, ident, text, k, threshold)
+    X.release(spark)
+    tested = X.checkpoint(star_pairs(cells, threshold, boundary))
+    links = X.checkpoint(verified(table, tested, ident, text, k, threshold))
+    tested = tested.select("a", "b")
+    found = X.components(links)
+    mixed = cells.where("entries > 2")  # the only pair of a list of two is tested
+    n_entries = mixed.agg(F.sum(F.size("held"))).first()[0] or 0
     for turn in range(ROUNDS + 1):
+        X.release(spark)
         mixed = X.checkpoint(mixed_lists(mixed, found))
-        left = mixed.select("kind", "key", "main", "outside", "entries").distinct().agg(F.sum(F.col("outside") * F.col("entries"))).first()[0] or 0
+        left = mixed.groupBy("kind", "key").agg(F.max(F.col("outside") * F.col("entries")).alias("met")).agg(F.sum("met")).first()[0] or 0
         if not left:
             break
         last = turn == ROUNDS or left <= ENOUGH * n_entries
         pairs = (cross_pairs if last else main_pairs)(mixed, turn, threshold, boundary)
         pairs = X.checkpoint(pairs.join(tested, ["a", "b"], "left_anti"))
         if pairs.head(1):
-            more = X.checkpoint(verified(pairs, sets_of(table, entries, pairs, ident, text, k), threshold))
-            links, tested = links.unionByName(more), tested.unionByName(pairs)
+            more = X.checkpoint(verified(table, pairs, ident, text, k, threshold))
+            links, tested = links.unionByName(more), tested.unionByName(pairs.select("a", "b"))
             found = X.components(links) if more.head(1) else found
         if last:
             break
-    final = found
-    of_class = classes.join(final.withColumnRenamed("v", "rep"), "rep", "left").select("s1", "s2", "n", F.coalesce("component", "rep").alias("component"))
-    of_class = of_class.withColumnRenamed("n", "n_of")
+    X.release(spark)
+    of_class = classes.join(found.withColumnRenamed("v", "rep"), "rep", "left").select("s1", "s2", F.coalesce("component", "rep").alias("component"))
     out = rows.select("shard", "at", "doc_id", "n", "s1", "s2").join(of_class, ["s1", "s2"], "left")
     return out.select("shard", "at", "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNull(), None).when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
 
@@ -264,89 +267,124 @@ def fits(n: str, pos: str, m: str, qos: str, kind: str, threshold: int, boundary
 
 
 def met_lists(posts: DataFrame, threshold: int, boundary: int) -> DataFrame:
-    """Entries of the lists that hold more than one, with their number and the list's smallest id; a list of two that don't fit is left out."""
-    entry = F.struct("doc_id", "n", "pos")
+    """The cells of the lists that hold more than one entry, with their number and the list's smallest id; a list of two that don't fit is left out.
+
+    A cell (kind, key, shard, held: doc_id, n, pos) holds a list's entries of one shard, so a list that every document is in has a row a shard, not a row a document.
+    """
+    entry = F.struct("doc_id", "n", "pos", "shard")
     heads = posts.groupBy("kind", "key").agg(F.count("*").alias("entries"), F.min(entry).alias("h"), F.max(entry).alias("t")).where("entries > 1")
-    heads = heads.select("kind", "key", "entries", F.col("h.n").alias("hn"), F.col("h.doc_id").alias("hd"), F.col("h.pos").alias("hp"), F.col("t.n").alias("tn"), F.col("t.pos").alias("tp"))
-    heads = heads.where((F.col("entries") > 2) | fits("hn", "hp", "tn", "tp", "kind", threshold, boundary)).drop("tn", "tp")
-    return posts.join(heads, ["kind", "key"])
+    heads = heads.select("kind", "key", "entries", "h", F.col("h.n").alias("hn"), F.col("h.pos").alias("hp"), F.col("t.n").alias("tn"), F.col("t.pos").alias("tp"))
+    heads = heads.where((F.col("entries") > 2) | fits("hn", "hp", "tn", "tp", "kind", threshold, boundary)).select("kind", "key", "entries", "h")
+    return posts.groupBy("kind", "key", "shard").agg(F.collect_list(F.struct("doc_id", "n", "pos")).alias("held")).join(heads, ["kind", "key"])
+
+
+def pair(doc: str, shard: str, hub: str, hub_shard: str) -> list:
+    """Columns of a pair: a < b, and who is the hub, which many may meet."""
+    way = F.struct(F.col(hub).alias("hub"), F.col(hub_shard).alias("hub_shard"), F.col(doc).alias("doc"), F.col(shard).alias("shard"))
+    return [F.least(doc, hub).alias("a"), F.greatest(doc, hub).alias("b"), way.alias("way")]
 
 
-def pair(a: str, b: str) -> list:
-    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+def once(pairs: DataFrame) -> DataFrame:
+    """Each pair once, wherever it was met; a is never b."""
+    return pairs.where("a <> b").groupBy("a", "b").agg(F.min("way").alias("way")).select("a", "b", "way.*")
 
 
-def star_pairs(entries: DataFrame, threshold: int, boundary: int) -> DataFrame:
+def star_pairs(cells: DataFrame, threshold: int, boundary: int) -> DataFrame:
     """Each list's smallest id with each other one, once."""
-    return entries.where("doc_id <> hd").where(fits("n", "pos", "hn", "hp", "kind", threshold, boundary)).select(*pair("doc_id", "hd")).distinct()
+    each = cells.select("kind", "shard", F.col("h.doc_id").alias("hd"), F.col("h.shard").alias("hs"), F.col("h.n").alias("hn"), F.col("h.pos").alias("hp"), F.inline("held"))
+    return once(each.where(fits("n", "pos", "hn", "hp", "kind", threshold, boundary)).select(*pair("doc_id", "shard", "hd", "hs")))
 
 
-def mixed_lists(entries: DataFrame, found: DataFrame) -> DataFrame:
-    """Entries of the lists that hold more than one component, with the largest of these, the number of entries and how many are outside it."""
-    of = found.select(F.col("v").alias("doc_id"), "component")
-    placed = entries.select("kind", "key", "doc_id", "n", "pos").join(of, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    sizes = placed.groupBy("kind", "key", "component").agg(F.count("*").alias("held"))
-    mixed = sizes.groupBy("kind", "key").agg(F.count("*").alias("parts"), F.sum("held").alias("entries"), F.max(F.struct("held", "component")).alias("top")).where("parts > 1")
-    return placed.join(mixed.select("kind", "key", "entries", (F.col("entries") - F.col("top.held")).alias("outside"), F.col("top.component").alias("main")), ["kind", "key"])
+def mixed_lists(cells: DataFrame, found: DataFrame) -> DataFrame:
+    """The cells of the lists that hold more than one component, each of one component now, with the list's largest one, its number of entries and how many are outside that one."""
+    of = found.select(F.col("v").alias("doc_id"), F.col("component").alias("c"))
+    placed = cells.select("kind", "key", "shard", F.inline("held")).join(of, "doc_id", "left").withColumn("component", F.coalesce("c", "doc_id"))
+    held = placed.groupBy("kind", "key", "component", "shard").agg(F.collect_list(F.struct("doc_id", "n", "pos")).alias("held"))
+    sizes = held.groupBy("kind", "key", "component").agg(F.sum(F.size("held")).alias("n_held"))
+    mixed = sizes.groupBy("kind", "key").agg(F.count("*").alias("parts"), F.sum("n_held").alias("entries"), F.max(F.struct("n_held", "component")).alias("top")).where("parts > 1")
+    return held.join(mixed.select("kind", "key", "entries", (F.col("entries") - F.col("top.n_held")).alias("outside"), F.col("top.component").alias("main")), ["kind", "key"])
 
 
 def main_pairs(mixed: DataFrame, turn: int, threshold: int, boundary: int) -> DataFrame:
     """Entries outside their list's largest component with one member of it, another one each turn."""
-    chosen = mixed.where("component = main").groupBy("kind", "key").agg(F.min(F.struct(F.xxhash64("doc_id", F.lit(turn)).alias("h"), F.col("doc_id").alias("d"), F.col("n").alias("m"), F.col("pos").alias("qos"))).alias("x")).select("kind", "key", "x.d", "x.m", "x.qos")
-    return mixed.where("component <> main").join(chosen, ["kind", "key"]).where(fits("n", "pos", "m", "qos", "kind", threshold, boundary)).select(*pair("doc_id", "d")).distinct()
+    member = F.struct(F.xxhash64("doc_id", F.lit(turn)).alias("h"), F.col("doc_id").alias("d"), F.col("shard").alias("ds"), F.col("n").alias("m"), F.col("pos").alias("qos"))
+    chosen = mixed.where("component = main").select("kind", "key", "shard", F.inline("held")).groupBy("kind", "key").agg(F.min(member).alias("x")).select("kind", "key", "x.d", "x.ds", "x.m", "x.qos")
+    met = mixed.where("component <> main").join(chosen, ["kind", "key"]).select("kind", "shard", "d", "ds", "m", "qos", F.inline("held"))
+    return once(met.where(fits("n", "pos", "m", "qos", "kind", threshold, boundary)).select(*pair("doc_id", "shard", "d", "ds")))
+
+
+def in_blocks(entries: Column) -> Column:
+    """Into how many parts a list of so many entries is cut, so that no list makes a task hot."""
+    return F.ceil(entries / BLOCK).cast("int")
 
 
 def cross_pairs(mixed: DataFrame, _: int, threshold: int, boundary: int) -> DataFrame:
-    """Pairs of one list in different components; a list's largest component doesn't meet itself."""
-    outside = mixed.where("component <> main").select("kind", "key", F.col("doc_id").alias("d"), F.col("n").alias("m"), F.col("pos").alias("qos"), F.col("component").alias("other"))
-    met = mixed.join(outside, ["kind", "key"]).where("component <> other and (component = main or doc_id < d)").where(fits("n", "pos", "m", "qos", "kind", threshold, boundary))
-    return met.select(*pair("doc_id", "d")).distinct()
+    """Pairs of one list in different components; a list's largest component doesn't meet itself. The cells outside it go to each of the list's blocks."""
+    blocks = in_blocks(F.col("entries"))
+    cut = mixed.withColumn("block", F.pmod(F.xxhash64("shard", "component"), blocks).cast("int"))
+    outside = mixed.where("component <> main").select("kind", "key", F.col("shard").alias("ds"), F.col("component").alias("other"), F.transform("held", lambda x: F.struct(x["doc_id"].alias("d"), x["n"].alias("m"), x["pos"].alias("qos"))).alias("others"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"))
+    met = cut.join(outside, ["kind", "key", "block"]).where("component <> other and (component = main or component < other)")
+    met = met.select("kind", "shard", "ds", "others", F.inline("held")).select("kind", "shard", "ds", "doc_id", "n", "pos", F.inline("others"))
+    return once(met.where(fits("n", "pos", "m", "qos", "kind", threshold, boundary)).select(*pair("doc_id", "shard", "d", "ds")))
 
 
-def all_pairs(entries: DataFrame, threshold: int, boundary: int) -> DataFrame:
+def all_pairs(cells: DataFrame, threshold: int, boundary: int) -> DataFrame:
     """All pairs of each list, once; a list is cut into blocks, and every two blocks of it meet on their own."""
-    blocks = F.ceil(F.col("entries") / BLOCK).cast("int")
-    cut = entries.select("kind", "key", "doc_id", "n", "pos", blocks.alias("blocks")).withColumn("block", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int"))
-    left = cut.select("kind", "key", "doc_id", "n", "pos", F.col("block").alias("i"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("j"))
-    right = cut.select("kind", "key", F.col("doc_id").alias("d"), F.col("n").alias("m"), F.col("pos").alias("qos"), F.col("block").alias("j"), F.explode(F.sequence(F.lit(0), "block")).alias("i"))
+    cut = cells.select("kind", "key", "shard", in_blocks(F.col("entries")).alias("blocks"), F.inline("held")).withColumn("block", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int"))
+    left = cut.select("kind", "key", "shard", "doc_id", "n", "pos", F.col("block").alias("i"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("j"))
+    right = cut.select("kind", "key", F.col("shard").alias("ds"), F.col("doc_id").alias("d"), F.col("n").alias("m"), F.col("pos").alias("qos"), F.col("block").alias("j"), F.explode(F.sequence(F.lit(0), "block")).alias("i"))
     met = left.join(right, ["kind", "key", "i", "j"]).where("i < j and doc_id <> d or i = j and doc_id < d").where(fits("n", "pos", "m", "qos", "kind", threshold, boundary))
-    return met.select(*pair("doc_id", "d")).distinct()
+    return once(met.select(*pair("doc_id", "shard", "d", "ds")))
 
 
-def sets_of(table: DataFrame, entries: DataFrame, pairs: DataFrame, ident: str, text: str, k: int) -> DataFrame:
-    """doc_id, packed: the whole sets of the documents in pairs, from their shards."""
-    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    wanted = entries.select("shard", "doc_id").distinct().join(ids, "doc_id", "left_semi")
+def verified(table: DataFrame, pairs: DataFrame, ident: str, text: str, k: int, threshold: int) -> DataFrame:
+    """a, b of the pairs whose whole sets reach the threshold.
 
-    def fetch(_, rows: pa.Table, asked: pa.Table) -> pa.Table:
+    The set of each hub goes once to each shard that holds a partner of it, and is compared there with sets made from the texts, so that no set moves by the pair.
+    """
+
+    def some_sets(rows: pa.Table, asked: pa.ChunkedArray) -> tuple[np.ndarray, dict]:
         rows = X.two_columns(rows, ident, text)
-        found = rows.filter(pc.is_in(rows["doc_id"], value_set=asked["doc_id"].combine_chunks()))
-        sets = shingle_sets(found, k)
-        cuts = sets["bounds"]
-        return pa.table({"doc_id": found["doc_id"], "packed": pa.array([sets["tok"][a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:])], pa.binary())})
-
-    return X.checkpoint(X.with_answers(table, wanted, fetch, "doc_id long, packed binary"))
-
-
-def verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
-    """Pairs whose whole sets reach the threshold."""
-
-    def judge(batches):
-        for batch in batches:
-            a, b, x, y = (batch.column(c).to_pylist() for c in ("a", "b", "x", "y"))
-            keep = []
-            for i in range(len(a)):
-                p, q = np.frombuffer(x[i], T.U64), np.frombuffer(y[i], T.U64)
-                both = np.concatenate([p, q])
-                both.sort()
-                common = int((both[1:] == both[:-1]).sum())
-                if 100 * common >= threshold * (len(both) - common):
-                    keep.append(i)
-            yield pa.RecordBatch.from_pydict({"a": pa.array([a[i] for i in keep], pa.int64()), "b": pa.array([b[i] for i in keep], pa.int64())})
-
-    left = sets.select(F.col("doc_id").alias("a"), F.col("packed").alias("x"))
-    right = sets.select(F.col("doc_id").alias("b"), F.col("packed").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(judge, "a long, b long").distinct()
+        rows = rows.filter(pc.is_in(rows["doc_id"], value_set=asked.combine_chunks()))
+        return rows["doc_id"].to_numpy(), shingle_sets(rows, k)
+
+    def fetch(_, rows: pa.Table, asked: pa.Table) -> pa.Table:
+        ids, sets = some_sets(rows, asked["doc_id"])
+        cuts, of = sets["bounds"], {}
+        for i, x in enumerate(ids.tolist()):
+            of.setdefault(x, set()).add(sets["tok"][cuts[i] : cuts[i + 1]].tobytes())
+        out = [(to, x, packed) for to, x in zip(asked["dest"].to_pylist(), asked["doc_id"].to_pylist()) for packed in of[x]]
+        return pa.table({"shard": pa.array([r[0] for r in out], pa.int64()), "hub": pa.array([r[1] for r in out], pa.int64()), "doc": pa.nulls(len(out), pa.int64()), "packed": pa.array([r[2] for r in out], pa.binary())})
+
+    def judge(_, rows: pa.Table, sent: pa.Table) -> pa.Table:
+        known = np.array(sent["doc"].combine_chunks().is_valid())
+        hubs: dict[int, list] = {}
+        for x, packed in zip(sent["hub"].filter(pa.array(~known)).to_pylist(), sent["packed"].filter(pa.array(~known))):
+            hubs.setdefault(x, []).append(np.frombuffer(packed.as_buffer(), T.U64))
+        asked = sent.filter(pa.array(known))
+        ids, sets = some_sets(rows, asked["doc"])
+        places: dict[int, list] = {}
+        for i, x in enumerate(ids.tolist()):
+            places.setdefault(x, []).append(i)
+        links = []
+        for x, y in zip(asked["hub"].to_pylist(), asked["doc"].to_pylist()):
+            if any(reaches(p, sets["tok"][sets["bounds"][i] : sets["bounds"][i + 1]], threshold) for p in hubs[x] for i in places[y]):
+                links.append((min(x, y), max(x, y)))
+        return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
+
+    wanted = pairs.select(F.col("hub_shard").alias("shard"), F.col("hub").alias("doc_id"), F.col("shard").alias("dest")).distinct()
+    sent = X.with_answers(table, wanted, fetch, "shard long, hub long, doc long, packed binary", asked_only=True)
+    asked = pairs.select("shard", "hub", "doc", F.lit(None).cast("binary").alias("packed"))
+    return X.with_answers(table, sent.unionByName(asked), judge, "a long, b long", asked_only=True)
+
+
+def reaches(p: np.ndarray, q: np.ndarray, threshold: int) -> bool:
+    """Whether two sorted sets have the similarity."""
+    small, large = (p, q) if len(p) <= len(q) else (q, p)
+    if not len(small) or 100 * len(small) < threshold * len(large):
+        return False
+    common = int((large[np.minimum(np.searchsorted(large, small), len(large) - 1)] == small).sum())
+    return 100 * common >= threshold * (len(p) + len(q) - common)
 
 
 def op4_ngram_jaccard(spark, sf_dir: str) -> DataFrame:
