@@ -13,7 +13,7 @@ import numpy as np
 from . import _text as T
 
 #: Pieces that a process keeps; beyond it the store starts anew.
-MOST_PIECES = 500_000
+MOST_PIECES = 1_500_000
 #: 0 letter, 1 digit, 2 other ASCII, 3 apostrophe, 4 part of a character beyond ASCII
 KIND = np.full(256, 4, np.uint8)
 KIND[:128] = 2
@@ -45,44 +45,57 @@ class KeyTable:
 
     def add(self, keys: np.ndarray) -> None:
         """Distinct sorted keys, none of them there yet."""
-        both = np.concatenate([self.keys, keys])
-        order = np.argsort(both, kind="stable")
-        self.numbers = np.concatenate([self.numbers, np.arange(len(self.keys), len(both))])[order]
-        self.keys = both[order]
+        at = np.searchsorted(self.keys, keys)
+        self.keys, self.numbers = np.insert(self.keys, at, keys), np.insert(self.numbers, at, np.arange(len(self), len(self) + len(keys)))
+
+
+class Ragged:
+    """Rows of unequal sizes in one growing array."""
+
+    def __init__(self, kind):
+        self.start, self.size, self.pool, self.used, self.n = np.zeros(1024, np.int64), np.zeros(1024, np.int32), np.zeros(1 << 16, kind), 0, 0
+
+    def add(self, sizes: np.ndarray, values: np.ndarray) -> None:
+        while self.n + len(sizes) > len(self.start):
+            self.start, self.size = np.resize(self.start, 2 * len(self.start)), np.resize(self.size, 2 * len(self.size))
+        while self.used + len(values) > len(self.pool):
+            self.pool = np.resize(self.pool, 2 * len(self.pool))
+        self.start[self.n : self.n + len(sizes)] = self.used + np.cumsum(sizes) - sizes
+        self.size[self.n : self.n + len(sizes)] = sizes
+        self.pool[self.used : self.used + len(values)] = values
+        self.n, self.used = self.n + len(sizes), self.used + len(values)
+
+    def rows(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The values of these rows, one after the other, and their sizes."""
+        sizes = self.size[which].astype(np.int64)
+        return self.pool[T.ragged(self.start[which], sizes)], sizes
 
 
 class PieceStore:
-    """Ids by the hash of a piece, in one growing array."""
+    """Ids by the hash of a piece. The pieces' bytes are kept too and compared on every hit, so that equal hashes of different pieces do no harm."""
 
     def __init__(self, encode, most: int = MOST_PIECES):
         self.encode, self.most = encode, most
         self.clear()
 
     def clear(self) -> None:
-        self.table = KeyTable()
-        self.start, self.size, self.pool, self.used = np.zeros(1024, np.int64), np.zeros(1024, np.int32), np.zeros(1 << 16, np.int32), 0
+        self.table, self.ids, self.bytes = KeyTable(), Ragged(np.int32), Ragged(np.uint8)
 
-    def add(self, keys: np.ndarray, pieces: list[str]) -> None:
-        n, total = len(self.table), 0
+    def add(self, keys: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: np.ndarray | None) -> None:
         self.table.add(keys)
-        while n + len(pieces) > len(self.start):
-            self.start, self.size = np.resize(self.start, 2 * len(self.start)), np.resize(self.size, 2 * len(self.size))
-        for a in range(0, len(pieces), 20_000):
-            ids = self.encode(pieces[a : a + 20_000])
+        raw = data.tobytes()
+        for a in range(0, len(starts), 20_000):
+            ids = self.encode([raw[x:y].decode() for x, y in zip(starts[a : a + 20_000].tolist(), ends[a : a + 20_000].tolist())])
             sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-            total = int(sizes.sum())
-            while self.used + total > len(self.pool):
-                self.pool = np.resize(self.pool, 2 * len(self.pool))
-            self.start[n + a : n + a + len(ids)] = self.used + np.cumsum(sizes) - sizes
-            self.size[n + a : n + a + len(ids)] = sizes
-            self.pool[self.used : self.used + total] = np.fromiter((x for i in ids for x in i), np.int32, total)
-            self.used += total
+            self.ids.add(sizes, np.fromiter((x for i in ids for x in i), np.int32, int(sizes.sum())))
+        held = data[T.ragged(starts, ends - starts)]
+        self.bytes.add(ends - starts, held if fold is None else fold[held])
 
     def of(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all pieces in a row, and how many each piece has."""
         if not len(starts):
             return np.zeros(0, np.int32), np.zeros(0, np.int64)
-        keys = T.hash_words(data, starts, ends, fold)
+        keys, own = T.hash_ranges(data, starts, ends, fold)
         order = np.argsort(keys)
         ordered = keys[order]
         new = np.concatenate([[True], ordered[1:] != ordered[:-1]])
@@ -92,13 +105,25 @@ class PieceStore:
         found = self.table.find(distinct)
         missing = np.flatnonzero(found < 0)
         if len(missing):
-            raw = data.tobytes()
-            self.add(distinct[missing], [raw[a:b].decode() for a, b in zip(starts[first[missing]].tolist(), ends[first[missing]].tolist())])
+            self.add(distinct[missing], data, starts[first[missing]], ends[first[missing]], fold)
             found = self.table.find(distinct)
         which = np.empty(len(keys), np.int64)
         which[order] = found[np.cumsum(new) - 1]
-        counts = self.size[which].astype(np.int64)
-        return self.pool[T.ragged(self.start[which], counts)], counts
+        sizes = ends - starts
+        odd = self.bytes.size[which] != sizes
+        if not odd.any():
+            unequal = np.flatnonzero(self.bytes.rows(which)[0] != own)
+            odd[np.searchsorted(np.cumsum(sizes), unequal, "right")] = True
+        if odd.any():
+            return self.apart(data, starts, ends, fold, odd)
+        return self.ids.rows(which)
+
+    def apart(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: np.ndarray | None, odd: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """As of(), where some hits are of other pieces: those are encoded without the store."""
+        raw, out = data.tobytes(), []
+        for i, (a, b) in enumerate(zip(starts.tolist(), ends.tolist())):
+            out.append(self.encode([raw[a:b].decode()])[0] if odd[i] else self.of(data, starts[i : i + 1], ends[i : i + 1], fold)[0].tolist())
+        return np.fromiter((x for ids in out for x in ids), np.int32), np.fromiter(map(len, out), np.int64, len(out))
 
 
 def fine_pieces(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

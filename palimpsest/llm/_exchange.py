@@ -9,8 +9,6 @@ every document holds counts once a shard, so no key can make a bucket hot.
 
 from __future__ import annotations
 
-import gc
-import uuid
 import zlib
 from collections.abc import Callable
 
@@ -18,8 +16,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..operators.cluster import components
+from ..scratch import checkpoint, release, remove_folder, scratch_folder, scratch_name
 from ._text import U64, buffers, slices
 
+__all__ = ["checkpoint", "components", "release", "remove_folder", "scratch_folder", "scratch_name"]
+
 #: Bytes of text that a shard should hold.
 SHARD_BYTES = 4 << 20
 #: Tables that shards() made, for drop_scratch().
@@ -28,26 +30,6 @@ SENT = "bucket int, shard long, keys binary, notes binary"
 ANSWER = "shard long, bucket int, codes binary, n_sent long, n_live long, n_scan long"
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names for checkpoints; where none is named, one in the warehouse, which driver and executors share too."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", "") or f"{spark.conf.get('spark.sql.warehouse.dir')}/_palimpsest")
-    return sc.getCheckpointDir()
-
-
-def checkpoint(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the shared folder."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
-
-
-def release(spark: SparkSession) -> None:
-    """Lets Spark's cleaner remove the shuffle files and checkpoints that nothing refers to any more. It learns of them by garbage collection only, and a driver of little work collects seldom."""
-    gc.collect()
-    spark.sparkContext._jvm.java.lang.System.gc()
-
-
 def text_bytes(docs: DataFrame, text: str) -> int:
     return docs.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0
 
@@ -209,36 +191,3 @@ def read_answers(table: pa.Table, n_keys: int, kind=np.uint8) -> np.ndarray:
     if len(out) != n_keys:
         raise ValueError(f"{len(out)} answers for {n_keys} keys")
     return out
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """v, component (the smallest v that it is joined to) of every vertex of edges (a, b).
-
-    Alternating large-star and small-star steps over edges only; each vertex's
-    neighbours are reduced to a minimum before the shuffle and joined back, so that
-    a vertex of very many edges is a skewed join that the planner may split.
-    """
-    now = checkpoint(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
-    before = None
-    while True:
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(least, "u")
-        small = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(joined.select("u", F.col("m").alias("v"))).distinct()
-        now = checkpoint(small)
-        state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(state) == before:
-            break
-        before = tuple(state)
-    return now.select(F.col("u").alias("v"), F.col("v").alias("component")).unionByName(now.select("v", F.col("v").alias("component")).distinct())
-
-
-def scratch_name(prefix: str) -> str:
-    return f"{prefix}_{uuid.uuid4().hex[:12]}"
-
-
-def scratch_folder(spark: SparkSession, prefix: str) -> str:
-    """A new folder in the shared one."""
-    return f"{shared_folder(spark)}/{scratch_name(prefix)}"

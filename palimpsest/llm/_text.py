@@ -24,34 +24,6 @@ pa.set_memory_pool(pa.system_memory_pool())
 U64 = np.uint64
 _RNG = np.random.RandomState(20240229)
 _BYTE = _RNG.randint(0, 1 << 63, 256, dtype=np.int64).astype(U64) * U64(2) + U64(1)
-_P = U64(0x9E3779B97F4A7C15 | 1)
-_Q = U64(0xD6E8FEB86659FD93 | 1)
-
-
-def _inverse(p: U64) -> U64:
-    """Of an odd number, modulo 2**64."""
-    return U64(pow(int(p), -1, 1 << 64))
-
-
-class _Powers:
-    """p**i and p**-i modulo 2**64, as far as they were needed so far."""
-
-    def __init__(self, p: U64):
-        self.p, self.q = p, _inverse(p)
-        self.up = self.down = np.ones(1, U64)
-
-    def __call__(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if n > len(self.up):
-            m = 1 << max(16, int(n - 1).bit_length())
-            with np.errstate(over="ignore"):
-                for name, base in (("up", self.p), ("down", self.q)):
-                    x = np.full(m, base, U64)
-                    x[0] = 1
-                    setattr(self, name, np.cumprod(x, dtype=U64))
-        return self.up[:n], self.down[:n]
-
-
-_BYTE_POWERS, _WORD_POWERS = _Powers(_P), _Powers(_Q)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -64,6 +36,23 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+class _Factors:
+    """A fixed random odd number for each place, as many as were needed so far. Powers of one number would not do: modulo 2**64 texts whose hashes are equal can be written down for any of them."""
+
+    def __init__(self, seed: int):
+        self.seed, self.held = U64(seed), np.zeros(0, U64)
+
+    def __call__(self, n: int) -> np.ndarray:
+        if n > len(self.held):
+            m = 1 << max(12, int(n - 1).bit_length())
+            with np.errstate(over="ignore"):
+                self.held = mix(np.arange(1, m + 1, dtype=U64) * U64(0x9E3779B97F4A7C15) + self.seed) | U64(1)
+        return self.held[:n]
+
+
+_BYTE_FACTORS, _WORD_FACTORS = _Factors(0xD6E8FEB86659FD93), _Factors(0x2545F4914F6CDD1D)
+
+
 def word_table(outside: str) -> np.ndarray:
     """True for every byte but the ASCII characters given."""
     table = np.ones(256, bool)
@@ -135,18 +124,30 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tup
 
 
 def hash_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: np.ndarray | None = None) -> np.ndarray:
-    """A hash of each range of bytes; fold maps bytes first."""
-    if not len(starts):
-        return np.zeros(0, U64)
-    up, down = _BYTE_POWERS(len(data) + 1)
-    sums = np.zeros(len(data) + 1, U64)
+    """A hash of each range of bytes: the sum of each byte's number times its place's; fold maps bytes first."""
+    return hash_ranges(data, starts, ends, fold)[0]
+
+
+def hash_ranges(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """As hash_words(), with the ranges' bytes (mapped by fold) one after the other."""
+    sizes = ends - starts
+    after = np.cumsum(sizes)
+    total = int(after[-1]) if len(after) else 0
+    if not total:
+        return np.zeros(len(starts), U64), data[:0]
+    begin = after - sizes
+    at = np.arange(total, dtype=np.int32)
+    place = at - np.repeat(begin.astype(np.int32), sizes)
+    at += np.repeat((starts - begin).astype(np.int32), sizes)
+    held = data[at] if fold is None else fold[data[at]]
     with np.errstate(over="ignore"):
-        values = (_BYTE if fold is None else _BYTE[fold])[data]
-        values *= up[:-1]
-        np.cumsum(values, out=sums[1:])
-        out = (sums[ends] - sums[starts]) * down[starts]
-        out += (ends - starts).astype(U64) * U64(0x2545F4914F6CDD1D)
-        return mix(out)
+        values = _BYTE[held]
+        values *= _BYTE_FACTORS(int(sizes.max()))[place]
+        out = np.add.reduceat(values, np.minimum(begin, total - 1))
+        if (sizes == 0).any():
+            out[sizes == 0] = 0
+        out += sizes.astype(U64) * U64(0x2545F4914F6CDD1D)
+        return mix(out), held
 
 
 def hash_windows(words: np.ndarray, size: int) -> np.ndarray:
@@ -154,12 +155,10 @@ def hash_windows(words: np.ndarray, size: int) -> np.ndarray:
     n = len(words) - size + 1
     if n <= 0:
         return np.zeros(0, U64)
-    up, down = _WORD_POWERS(len(words) + 1)
-    sums = np.zeros(len(words) + 1, U64)
     with np.errstate(over="ignore"):
-        np.cumsum(words * up[:-1], out=sums[1:])
-        out = (sums[size:] - sums[:n]) * down[:n]
-        out += U64(size) * U64(0x9FB21C651E98DF25)
+        out = np.full(n, U64(size) * U64(0x9FB21C651E98DF25))
+        for i, factor in enumerate(_WORD_FACTORS(size)):
+            out += words[i : i + n] * factor
         return mix(out)
 
 

@@ -6,9 +6,9 @@ words, so equal windows have equal fingerprints: any shared span of `window` wor
 Document windows join benchmark fingerprints; each hit is extended by comparing the whole
 window. Items shorter than `window` words use their own length as the gram.
 
-The benchmark index is sent to all executors only up to CHUNK_BYTES of text. A larger
-benchmark is cut by item into chunks below that bound, with one pass over the documents for
-each, and the passes' hits are merged by document. Windows are compared by 64-bit hashes.
+The benchmark index is sent to all executors only up to CHUNK_BYTES of text. Of a larger
+benchmark nothing is sent: its windows stay in ranges of fingerprints, each shard of documents sends its distinct fingerprints there and
+gets the windows that have one of them, so the texts are read twice whatever the benchmark's size. Both ways give the same rows. Windows are compared by 64-bit hashes.
 
 Defined cases: null or empty texts have no words, no hits, no items; a null id stays a row;
 items without words or without an id have no windows; repeated rows each give a row; an empty
@@ -23,9 +23,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from . import _text as T
+from . import _exchange as X, _text as T
 
-#: Text of a benchmark chunk that is indexed at once.
+#: Text of a benchmark whose index is sent to all executors.
 CHUNK_BYTES = 8 << 20
 SCANNED = "doc_id long, tag long, n_words long, n_hit long, items array<string>, spans array<struct<start:long,end:long>>"
 _SPAN = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
@@ -49,31 +49,36 @@ def fingerprints(words: np.ndarray, window: int, gram: int) -> np.ndarray:
     return out
 
 
+def item_windows(items: list[tuple[str, str]], window: int, gram: int):
+    """size, hashes, fingerprints and item of the windows of each item; windows of an item shorter than window are their own fingerprints."""
+    for name, text in items:
+        raw = np.frombuffer(text.encode(), np.uint8)
+        words, _ = words_of(raw, np.array([0, len(raw)], np.int64))
+        if len(words):
+            size = min(window, len(words))
+            runs = T.hash_windows(words, size)
+            yield size, runs, fingerprints(words, window, gram) if size == window else runs, name
+
+
 class Index:
     """Windows of some benchmark items, by length."""
 
-    def __init__(self, items: list[tuple[str, str]], window: int, gram: int):
-        self.window, self.gram = window, gram
-        found: dict[int, list] = defaultdict(list)
-        prints = []
-        self.names = sorted({name for name, _ in items})
+    def __init__(self, windows, window: int, gram: int, winnow: bool = True):
+        """windows: as item_windows() gives them; without winnow all of them are looked for, as fingerprints have met already."""
+        self.window, self.gram, self.winnow = window, gram, winnow
+        windows = list(windows)
+        self.names = sorted({name for *_, name in windows})
         number = {name: i for i, name in enumerate(self.names)}
-        for name, text in items:
-            raw = np.frombuffer(text.encode(), np.uint8)
-            words, _ = words_of(raw, np.array([0, len(raw)], np.int64))
-            if not len(words):
-                continue
-            size = min(window, len(words))
-            runs = T.hash_windows(words, size)
+        found: dict[int, list] = defaultdict(list)
+        for size, runs, _, name in windows:
             found[size].append((runs, np.full(len(runs), number[name])))
-            if size == window:
-                prints.append(fingerprints(words, window, gram))
         self.sizes = {}
         for size, parts in found.items():
             keys, item = (np.concatenate(x) for x in zip(*parts))
             pairs = np.unique(np.stack([keys, item.astype(T.U64)], 1), axis=0) if len(keys) else np.zeros((0, 2), T.U64)
             keys, first = np.unique(pairs[:, 0], return_index=True)
             self.sizes[size] = (keys, np.append(first, len(pairs)), pairs[:, 1].astype(np.int64), self.low(keys))
+        prints = [p for size, _, p, _ in windows if size == window and winnow]
         self.prints = np.unique(np.concatenate(prints)) if prints else np.zeros(0, T.U64)
         self.print_low = self.low(self.prints)
 
@@ -98,7 +103,7 @@ class Index:
             at = T.window_starts(bounds, size)
             if not len(at):
                 continue
-            if size == self.window:
+            if size == self.window and self.winnow:
                 at = at[self.among(fingerprints(words, size, self.gram)[at], self.prints, self.print_low)]
             runs = T.hash_windows(words, size)[at]
             keep = self.among(runs, keys, low)
@@ -134,70 +139,99 @@ def spans(mask: np.ndarray) -> list[dict]:
     return [{"start": int(a), "end": int(b)} for a, b in zip(edge[0::2], edge[1::2])]
 
 
-def chunks(benchmark: DataFrame, ident: str, text: str, chunk_bytes: int) -> list[DataFrame]:
-    """The benchmark's items, cut so that each part's text has about chunk_bytes at most."""
-    items = benchmark.select(F.col(ident).cast("string").alias("item"), F.col(text).cast("string").alias("text")).where("item is not null and text is not null")
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = -(-size // chunk_bytes)
-    if n <= 1:
-        return [items]
-    n *= 2
-    return [items.where(F.pmod(F.xxhash64("item"), F.lit(n)) == c) for c in range(n)]
+def items_of(benchmark: DataFrame, ident: str, text: str) -> DataFrame:
+    return benchmark.select(F.col(ident).cast("string").alias("item"), F.col(text).cast("string").alias("text")).where("item is not null and text is not null")
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, ident: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", window: int = 13, gram: int = 7, chunk_bytes: int = CHUNK_BYTES, tagged: bool = False) -> DataFrame:
     """doc_id, n_words, n_hit, items (ids as strings, sorted) and spans (word ranges that are hit) of every row of docs; with tagged also tag, a hash of the row's text."""
     body = F.col(text).cast("string")
+    items = items_of(benchmark, item, item_text)
     source = docs.select(F.col(ident).cast("long").alias("doc_id"), F.xxhash64(body).alias("tag"), body.alias("text"))
-    parts = chunks(benchmark, item, item_text, chunk_bytes)
-    passes = [source.mapInArrow(scanner(sent(docs, part, window, gram)), SCANNED) for part in parts]
-    if len(passes) == 1:
-        return passes[0] if tagged else passes[0].drop("tag")
-    rest = None
-    for i, found in enumerate(passes):
-        found = found.where("n_hit > 0").withColumn("pass", F.lit(i)).dropDuplicates(["doc_id", "tag", "pass"])
-        rest = found if rest is None else rest.unionByName(found)
-    hits = rest.select(F.coalesce("doc_id", F.lit(0)).alias("key"), F.col("doc_id").isNull().alias("no_key"), "tag", "items", "spans").groupBy("key", "no_key", "tag").applyInArrow(merge, "key long, no_key boolean, tag long, n_hit long, items array<string>, spans array<struct<start:long,end:long>>")
-    base = passes[0].select("doc_id", F.coalesce("doc_id", F.lit(0)).alias("key"), F.col("doc_id").isNull().alias("no_key"), "tag", "n_words")
-    out = base.join(hits, ["key", "no_key", "tag"], "left")
-    return out.select("doc_id", *(["tag"] if tagged else []), "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), F.coalesce("spans", F.array().cast("array<struct<start:long,end:long>>")).alias("spans"))
+    small = (items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) <= chunk_bytes
+    found = source.mapInArrow(scanner(sent(docs, items, window, gram)), SCANNED) if small else scan_by_shards(source, items, window, gram)
+    return found if tagged else found.drop("tag")
+
 
+def sent(docs: DataFrame, items: DataFrame, window: int, gram: int):
+    """The index of a benchmark of CHUNK_BYTES at most, on all executors."""
+    return docs.sparkSession.sparkContext.broadcast(Index(item_windows([tuple(r) for r in items.collect()], window, gram), window, gram))
 
-def sent(docs: DataFrame, part: DataFrame, window: int, gram: int):
-    """The index of one chunk on all executors; its size is bounded by chunks()."""
-    return docs.sparkSession.sparkContext.broadcast(Index([tuple(r) for r in part.collect()], window, gram))
+
+def scanned(index: Index, batch) -> pa.RecordBatch | pa.Table:
+    """Rows of SCANNED of the rows of a batch or table."""
+    columns = batch.column("text")
+    found = [x for c in (columns.chunks if isinstance(columns, pa.ChunkedArray) else [columns]) for x in index.scan(c)]
+    return type(batch).from_pydict(
+        {
+            "doc_id": batch.column("doc_id"),
+            "tag": batch.column("tag"),
+            "n_words": pa.array([n for n, _, _ in found], pa.int64()),
+            "n_hit": pa.array([0 if m is None else int(m.sum()) for _, m, _ in found], pa.int64()),
+            "items": pa.array([[index.names[i] for i in items] for _, _, items in found], pa.list_(pa.string())),
+            "spans": pa.array([[] if m is None else spans(m) for _, m, _ in found], _SPAN),
+        }
+    )
 
 
 def scanner(index):
     def run(batches):
         for batch in batches:
-            found = list(index.value.scan(batch.column("text")))
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "doc_id": batch.column("doc_id"),
-                    "tag": batch.column("tag"),
-                    "n_words": pa.array([n for n, _, _ in found], pa.int64()),
-                    "n_hit": pa.array([0 if m is None else int(m.sum()) for _, m, _ in found], pa.int64()),
-                    "items": pa.array([[index.value.names[i] for i in items] for _, _, items in found], pa.list_(pa.string())),
-                    "spans": pa.array([[] if m is None else spans(m) for _, m, _ in found], _SPAN),
-                }
-            )
+            yield scanned(index.value, batch)
 
     return run
 
 
-def merge(table: pa.Table) -> pa.Table:
-    """One document's hits out of a few passes."""
-    ranges = sorted((s["start"], s["end"]) for row in table["spans"].to_pylist() for s in row)
-    joined: list[list[int]] = []
-    for a, b in ranges:
-        if joined and a <= joined[-1][1]:
-            joined[-1][1] = max(joined[-1][1], b)
-        else:
-            joined.append([a, b])
-    items = sorted({x for row in table["items"].to_pylist() for x in row})
-    one = table.slice(0, 1)
-    return pa.table({"key": one["key"], "no_key": one["no_key"], "tag": one["tag"], "n_hit": pa.array([sum(b - a for a, b in joined)], pa.int64()), "items": pa.array([items], pa.list_(pa.string())), "spans": pa.array([[{"start": a, "end": b} for a, b in joined]], _SPAN)})
+def scan_by_shards(source: DataFrame, items: DataFrame, window: int, gram: int) -> DataFrame:
+    """SCANNED of source (doc_id, tag, text), for a benchmark of any size."""
+    table, n = X.shards(source, "doc_id", "text", whole=True)
+    edges = np.array([((b << 64) // n) for b in range(1, n)], T.U64)
+
+    def windows(batches):
+        for batch in batches:
+            for size, runs, prints, name in item_windows(list(zip(batch.column("item").to_pylist(), batch.column("text").to_pylist())), window, gram):
+                pairs = np.unique(np.stack([prints, runs], 1), axis=0)
+                yield pa.RecordBatch.from_pydict({"bucket": pa.array(np.searchsorted(edges, pairs[:, 0], "right"), pa.int32()), "size": pa.array(np.full(len(pairs), size), pa.int32()), "print": pa.array(pairs[:, 0].view(np.int64)), "run": pa.array(pairs[:, 1].view(np.int64)), "item": pa.array([name] * len(pairs), pa.string())})
+
+    indexed = X.checkpoint(items.mapInArrow(windows, "bucket int, size int, print long, run long, item string"))
+    sizes = sorted(r[0] for r in indexed.select("size").distinct().collect())  # window at most
+
+    def ask(shard: int, rows: pa.Table) -> pa.Table:
+        parts = []
+        for c in rows["text"].chunks:
+            data, offsets = T.buffers(c)
+            for a, b in T.slices(offsets):
+                words, bounds = words_of(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                for size in sizes:
+                    at = T.window_starts(bounds, size)
+                    if len(at):
+                        parts.append(np.unique((fingerprints(words, size, gram) if size == window else T.hash_windows(words, size))[at]))
+        keys = np.unique(np.concatenate(parts)) if parts else np.zeros(0, T.U64)
+        return X.send(shard, keys, np.zeros(len(keys), np.uint8), n, whole=True)
+
+    def tell(asked: pa.Table, held: pa.Table) -> pa.Table:
+        """The windows with a fingerprint that a shard has."""
+        known = held["print"].to_numpy().view(T.U64)
+        parts = [nothing]
+        for shard, keys in zip(asked["shard"].to_pylist(), asked["keys"].to_pylist()):
+            keys = np.frombuffer(keys, T.U64)
+            place = np.minimum(np.searchsorted(keys, known), len(keys) - 1)
+            rows = held.select(["size", "run", "item"]).filter(pa.array(keys[place] == known))
+            parts.append(rows.add_column(0, "shard", pa.array(np.full(rows.num_rows, shard), pa.int64())).cast(nothing.schema))
+        return pa.concat_tables(parts)
+
+    def look(_, rows: pa.Table, told: pa.Table) -> pa.Table:
+        held = defaultdict(list)
+        for size, run, name in zip(told["size"].to_pylist(), told["run"].to_pylist(), told["item"].to_pylist()):
+            held[size, name].append(run)
+        index = Index(((size, np.array(runs, np.int64).view(T.U64), None, name) for (size, name), runs in held.items()), window, gram, winnow=False)
+        return scanned(index, rows).cast(out)
+
+    schema = "shard long, size int, run long, item string"
+    nothing, out = X.to_arrow(schema), X.to_arrow(SCANNED).schema
+    asked = X.per_shard(table, ask, X.SENT)
+    told = asked.groupBy("bucket").cogroup(indexed.groupBy("bucket")).applyInArrow(tell, schema)
+    return X.with_answers(table, told, look, SCANNED)
 
 
 def judged(scanned: DataFrame) -> DataFrame:
@@ -207,9 +241,9 @@ def judged(scanned: DataFrame) -> DataFrame:
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, ident: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", window: int = 13, gram: int = 7, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """The rows of docs that are not contaminated, all columns."""
-    parts = chunks(benchmark, item, item_text, chunk_bytes)
-    if len(parts) == 1:
-        index = sent(docs, parts[0], window, gram)
+    items = items_of(benchmark, item, item_text)
+    if (items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) <= chunk_bytes:
+        index = sent(docs, items, window, gram)
 
         def keep(batches):
             for batch in batches:

@@ -15,6 +15,11 @@ Rules come first: the longest rule (host and path) whose host is the page's or a
 whose path begins the page's decides. In the query these decisions are the labelled outcomes: pages that a
 rule allows are good, those that it blocks bad.
 
+Groups go by the bare host, without user and port. A suffix is the last label, or the last two if the last has two letters (a country) and the one before is
+one of GENERIC, as in co.uk; a registered domain is the suffix and one label more. An IP address is its own domain, of the suffix "ip".
+
+Only pages that no rule decides meet the blocked hosts, which are the only ones that can change their verdict; hosts are counted once and kept.
+
 Defined cases: a null url, or one without ://, has an empty host and path, and the empty host is a group of its own; repeated rows
 count each; a page with a null id is kept; an empty table gives no rows; other columns are not read.
 """
@@ -23,9 +28,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from . import _exchange as X
+
 Z, HALF = 1.645, 0.5
 #: The rules of the query, host and path, and whether they allow.
 RULES = {"org/": True, "example.org/es/": False, "example.org/en/1": False, "com/fr/": True, "com/de/": False}
+#: Labels under a country that are no one's domain.
+GENERIC = "co|com|net|org|ac|edu|gov|gob|mil|or|ne|go"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -47,13 +56,25 @@ def rule_of(host: Column, path: Column, rules: dict[str, bool]) -> Column:
     return out
 
 
-def domain_of(host: Column) -> Column:
-    """The registered domain: the last two labels."""
-    return F.regexp_extract(host, r"([^.]*\.)?[^.]*$", 0)
+#: Of a bare host: an address, its suffix (the longer alternative is tried first), its registered domain.
+ADDRESS = r"^(?:[0-9]+[.][0-9]+[.][0-9]+[.][0-9]+|\[.*)$"
+SUFFIX = rf"((?:^|[.])(?:{GENERIC})[.][a-z][a-z]|[^.]*)$"
+
+
+def bare(host: Column) -> Column:
+    """A host without user and port."""
+    return F.regexp_replace(F.regexp_replace(host, "^.*@", ""), ":[0-9]*$", "")
 
 
 def suffix_of(host: Column) -> Column:
-    return F.regexp_extract(host, r"[^.]*$", 0)
+    """The suffix of a bare host."""
+    return F.when(host.rlike(ADDRESS), "ip").otherwise(F.regexp_replace(F.regexp_extract(host, SUFFIX, 1), "^[.]", ""))
+
+
+def domain_of(host: Column) -> Column:
+    """The registered domain of a bare host."""
+    ahead = F.substr(host, F.lit(1), F.greatest(F.length(host) - F.length(suffix_of(host)) - 1, F.lit(0)))
+    return F.when(host.rlike(ADDRESS), host).otherwise(F.concat(F.regexp_extract(ahead, "([^.]*)$", 1), F.lit("."), suffix_of(host)))
 
 
 def posterior(level: DataFrame) -> DataFrame:
@@ -72,8 +93,8 @@ def posterior(level: DataFrame) -> DataFrame:
 
 def reputation(pages: DataFrame, z: float = Z, half: float = HALF) -> DataFrame:
     """host, n_labelled, mean, upper, blocked of every host; pages has host and good (1, 0 or null for unlabelled)."""
-    hosts = pages.groupBy("host").agg(F.count("good").alias("n"), F.coalesce(F.sum("good"), F.lit(0)).alias("k"))
-    hosts = hosts.select("host", domain_of(F.col("host")).alias("domain"), suffix_of(F.col("host")).alias("suffix"), "n", "k")
+    hosts = pages.groupBy("host").agg(F.count("good").alias("n"), F.coalesce(F.sum("good"), F.lit(0)).alias("k")).withColumn("bare", bare(F.col("host")))
+    hosts = X.checkpoint(hosts.select("host", domain_of(F.col("bare")).alias("domain"), suffix_of(F.col("bare")).alias("suffix"), "n", "k"))  # one row a host, read by every level
     domains = hosts.groupBy("suffix", "domain").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
     overall = suffixes.agg(((F.coalesce(F.sum("k"), F.lit(0)) + 1) / (F.coalesce(F.sum("n"), F.lit(0)) + 2)).alias("m"))  # one row
@@ -86,15 +107,17 @@ def reputation(pages: DataFrame, z: float = Z, half: float = HALF) -> DataFrame:
 
 
 def judged(pages: DataFrame, rules: dict[str, bool] = RULES, ident: str = "page_id", url: str = "url", outcome: Column | None = None) -> DataFrame:
-    """page_id, host, path, rule, verdict, and the host's n_labelled, mean and upper bound. outcome: 1 good, 0 bad, null unlabelled; what the rules decide, if not given."""
+    """page_id, host, path, rule, verdict. outcome: 1 good, 0 bad, null unlabelled; what the rules decide, if not given. reputation() has the hosts' means and bounds."""
     host, path = host_of(F.col(url)), path_of(F.col(url))
     rule = rule_of(host, path, rules)
     good = rule.isin([r for r, ok in rules.items() if ok]).cast("int")
     rows = pages.select(F.col(ident).alias("page_id"), host.alias("host"), path.alias("path"), rule.alias("rule"), good.alias("allowed"), (good if outcome is None else outcome).alias("good"))
-    found = rows.join(reputation(rows), "host")
-    by_host = F.when(F.col("blocked"), "block").otherwise("allow")
-    verdict = F.when(F.col("allowed") == 1, "allow").when(F.col("allowed") == 0, "block").otherwise(by_host)
-    return found.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "n_labelled", "mean", "upper")
+    bad = reputation(rows).where("blocked").select("host", F.lit(True).alias("blocked"))
+    # a page that a rule decides meets no host: its key is null
+    asked = rows.withColumn("open", F.when(F.col("allowed").isNull(), F.col("host")))
+    found = asked.join(bad.withColumnRenamed("host", "open"), "open", "left")
+    verdict = F.when(F.col("allowed") == 1, "allow").when((F.col("allowed") == 0) | F.col("blocked"), "block").otherwise("allow")
+    return found.select("page_id", "host", "path", "rule", verdict.alias("verdict"))
 
 
 def op7_host_reputation(spark, sf_dir: str) -> DataFrame:
@@ -115,8 +138,11 @@ r AS (
   SELECT page_id, host, path, CASE WHEN in_example AND starts_with(path, '/en/1') THEN 'example.org/en/1' WHEN in_example AND starts_with(path, '/es/') THEN 'example.org/es/'
     WHEN in_com AND starts_with(path, '/fr/') THEN 'com/fr/' WHEN in_com AND starts_with(path, '/de/') THEN 'com/de/' WHEN in_org AND starts_with(path, '/') THEN 'org/' END AS rule FROM fits),
 g AS (SELECT *, CASE WHEN rule IN ('org/', 'com/fr/') THEN 1 WHEN rule IS NOT NULL THEN 0 END AS good FROM r),
+h0 AS (SELECT host, regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', '') AS bare, count(good) AS n, coalesce(sum(good), 0) AS k FROM g GROUP BY host),
+h1 AS (
+  SELECT *, CASE WHEN regexp_matches(bare, '^([0-9]+[.][0-9]+[.][0-9]+[.][0-9]+|\\[.*)$') THEN 'ip' WHEN regexp_matches(bare, '(^|[.])({GENERIC})[.][a-z][a-z]$') THEN regexp_extract(bare, '[^.]*[.][^.]*$', 0) ELSE regexp_extract(bare, '[^.]*$', 0) END AS suffix FROM h0),
 h AS (
-  SELECT host, regexp_extract(host, '([^.]*[.])?[^.]*$', 0) AS domain, regexp_extract(host, '[^.]*$', 0) AS suffix, count(good) AS n, coalesce(sum(good), 0) AS k FROM g GROUP BY host),
+  SELECT host, suffix, n, k, CASE WHEN suffix = 'ip' THEN bare ELSE regexp_extract(left(bare, greatest(length(bare) - length(suffix) - 1, 0)), '[^.]*$', 0) || '.' || suffix END AS domain FROM h1),
 d AS (SELECT suffix, domain, sum(n) AS n, sum(k) AS k FROM h GROUP BY ALL),
 t AS (SELECT suffix, sum(n) AS n, sum(k) AS k FROM d GROUP BY ALL),
 o AS (SELECT (sum(k) + 1) / (sum(n) + 2) AS m FROM t),

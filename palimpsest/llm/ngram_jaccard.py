@@ -13,6 +13,7 @@ so that shingles that are in one class only need not be posted at all.
 * The boundary has the least cost by sums over all sets of each size: a subset costs 1, a
   list entry 1 + log2 of the list's length; small sets near the boundary pay for both.
 
+An entry stays in a list only while it may reach one of another component by the sizes and places that the list's size classes hold.
 A list is kept in cells, one for each shard that has entries of it, so that a list which every document is in makes no task hot.
 It is never expanded into all its pairs. First every entry meets the list's smallest id. Then,
 in a few rounds, entries outside their list's largest component meet one member of it, another each time,
@@ -42,6 +43,8 @@ MOST_SMALL = 200
 ENOUGH, ROUNDS = 2, 2
 #: Entries of a list that meet each other at once when all pairs are wanted.
 BLOCK = 256
+#: Classes of set sizes for each power of two.
+SIZE_CLASSES = 4
 DOC = "shard long, at int, doc_id long, n long, s1 long, s2 long, posted array<struct<key:long,pos:int,code:int>>"
 
 
@@ -232,11 +235,10 @@ def classified(table: DataFrame, n: int, ident: str, text: str, k: int, threshol
     links = X.checkpoint(verified(table, tested, ident, text, k, threshold))
     tested = tested.select("a", "b")
     found = X.components(links)
-    mixed = cells.where("entries > 2")  # the only pair of a list of two is tested
-    n_entries = mixed.agg(F.sum(F.size("held"))).first()[0] or 0
+    mixed, n_entries = cells, cells.agg(F.sum(F.size("held"))).first()[0] or 0
     for turn in range(ROUNDS + 1):
         X.release(spark)
-        mixed = X.checkpoint(mixed_lists(mixed, found))
+        mixed = X.checkpoint(mixed_lists(mixed, found, threshold, boundary))
         left = mixed.groupBy("kind", "key").agg(F.max(F.col("outside") * F.col("entries")).alias("met")).agg(F.sum("met")).first()[0] or 0
         if not left:
             break
@@ -267,15 +269,30 @@ def fits(n: str, pos: str, m: str, qos: str, kind: str, threshold: int, boundary
 
 
 def met_lists(posts: DataFrame, threshold: int, boundary: int) -> DataFrame:
-    """The cells of the lists that hold more than one entry, with their number and the list's smallest id; a list of two that don't fit is left out.
+    """The cells of the lists in which some entries may reach each other, with the list's smallest id.
 
     A cell (kind, key, shard, held: doc_id, n, pos) holds a list's entries of one shard, so a list that every document is in has a row a shard, not a row a document.
     """
-    entry = F.struct("doc_id", "n", "pos", "shard")
-    heads = posts.groupBy("kind", "key").agg(F.count("*").alias("entries"), F.min(entry).alias("h"), F.max(entry).alias("t")).where("entries > 1")
-    heads = heads.select("kind", "key", "entries", "h", F.col("h.n").alias("hn"), F.col("h.pos").alias("hp"), F.col("t.n").alias("tn"), F.col("t.pos").alias("tp"))
-    heads = heads.where((F.col("entries") > 2) | fits("hn", "hp", "tn", "tp", "kind", threshold, boundary)).select("kind", "key", "entries", "h")
-    return posts.groupBy("kind", "key", "shard").agg(F.collect_list(F.struct("doc_id", "n", "pos")).alias("held")).join(heads, ["kind", "key"])
+    sized = posts.withColumn("component", F.col("doc_id"))
+    head = F.min(F.struct("doc_id", "n", "pos", "shard")).alias("h")
+    lists = size_classes(sized, head).agg(F.collect_list("class").alias("classes"), F.sum("class.held").alias("entries"), F.min("h").alias("h")).where("entries > 1")
+    cells = posts.groupBy("kind", "key", "shard").agg(F.collect_list(F.struct("doc_id", "n", "pos")).alias("held")).join(lists, ["kind", "key"])
+    return cells.withColumn("held", F.expr(f"filter(held, e -> {reachable('e.doc_id', threshold, boundary)})")).where(F.size("held") > 0).drop("classes", "entries")
+
+
+def size_classes(entries: DataFrame, *more):
+    """By list (kind, key): for each class of about equal sizes, the sizes, the most that is left of a set from its place on, the components and the number of entries."""
+    facts = [F.min("n").alias("n_min"), F.max("n").alias("n_max"), F.max(F.col("n") - F.col("pos")).alias("left"), F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("held")]
+    by_size = entries.groupBy("kind", "key", F.floor(SIZE_CLASSES * F.log2("n")).alias("size")).agg(*facts, *more)
+    names = ["n_min", "n_max", "left", "lo", "hi", "held"]
+    return by_size.select("kind", "key", F.struct(*names).alias("class"), *[c for c in by_size.columns if c not in ("kind", "key", "size", *names)]).groupBy("kind", "key")
+
+
+def reachable(component: str, threshold: int, boundary: int) -> str:
+    """SQL: whether an entry e may fit with one of another component in the list, by the list's size classes."""
+    m = f"greatest(c.n_min, ({threshold} * e.n + 99) div 100)"
+    return f"""exists(classes, c -> (c.lo <> {component} OR c.hi <> {component}) AND 100 * c.n_max >= {threshold} * e.n AND {threshold} * c.n_min <= 100 * e.n
+        AND least(e.n - e.pos, c.left) >= ceil((e.n + {m}) * {threshold} / {100 + threshold}D - 1e-9) AND (kind = 0 OR greatest(e.n, c.n_max) > {boundary}))"""
 
 
 def pair(doc: str, shard: str, hub: str, hub_shard: str) -> list:
@@ -295,11 +312,14 @@ def star_pairs(cells: DataFrame, threshold: int, boundary: int) -> DataFrame:
     return once(each.where(fits("n", "pos", "hn", "hp", "kind", threshold, boundary)).select(*pair("doc_id", "shard", "hd", "hs")))
 
 
-def mixed_lists(cells: DataFrame, found: DataFrame) -> DataFrame:
-    """The cells of the lists that hold more than one component, each of one component now, with the list's largest one, its number of entries and how many are outside that one."""
+def mixed_lists(cells: DataFrame, found: DataFrame, threshold: int, boundary: int) -> DataFrame:
+    """The cells of the lists in which entries of different components may reach each other, each cell of one component now, without the entries that
+    can't; with the list's largest component, its number of entries and how many are outside that one."""
     of = found.select(F.col("v").alias("doc_id"), F.col("component").alias("c"))
     placed = cells.select("kind", "key", "shard", F.inline("held")).join(of, "doc_id", "left").withColumn("component", F.coalesce("c", "doc_id"))
-    held = placed.groupBy("kind", "key", "component", "shard").agg(F.collect_list(F.struct("doc_id", "n", "pos")).alias("held"))
+    lists = size_classes(placed).agg(F.collect_list("class").alias("classes"), F.min("class.lo").alias("lo"), F.max("class.hi").alias("hi")).where("lo <> hi").select("kind", "key", "classes")
+    held = placed.groupBy("kind", "key", "component", "shard").agg(F.collect_list(F.struct("doc_id", "n", "pos")).alias("held")).join(lists, ["kind", "key"])
+    held = X.checkpoint(held.withColumn("held", F.expr(f"filter(held, e -> {reachable('component', threshold, boundary)})")).where(F.size("held") > 0).drop("classes"))
     sizes = held.groupBy("kind", "key", "component").agg(F.sum(F.size("held")).alias("n_held"))
     mixed = sizes.groupBy("kind", "key").agg(F.count("*").alias("parts"), F.sum("n_held").alias("entries"), F.max(F.struct("n_held", "component")).alias("top")).where("parts > 1")
     return held.join(mixed.select("kind", "key", "entries", (F.col("entries") - F.col("top.n_held")).alias("outside"), F.col("top.component").alias("main")), ["kind", "key"])
@@ -313,26 +333,30 @@ def main_pairs(mixed: DataFrame, turn: int, threshold: int, boundary: int) -> Da
     return once(met.where(fits("n", "pos", "m", "qos", "kind", threshold, boundary)).select(*pair("doc_id", "shard", "d", "ds")))
 
 
-def in_blocks(entries: Column) -> Column:
+def blocks_of(entries: str) -> Column:
     """Into how many parts a list of so many entries is cut, so that no list makes a task hot."""
-    return F.ceil(entries / BLOCK).cast("int")
+    return F.ceil(F.col(entries) / BLOCK).cast("int")
+
+
+def named_partner(rows: DataFrame, *more) -> DataFrame:
+    return rows.select("kind", "key", F.col("shard").alias("ds"), F.col("doc_id").alias("d"), F.col("n").alias("m"), F.col("pos").alias("qos"), *more)
 
 
 def cross_pairs(mixed: DataFrame, _: int, threshold: int, boundary: int) -> DataFrame:
-    """Pairs of one list in different components; a list's largest component doesn't meet itself. The cells outside it go to each of the list's blocks."""
-    blocks = in_blocks(F.col("entries"))
-    cut = mixed.withColumn("block", F.pmod(F.xxhash64("shard", "component"), blocks).cast("int"))
-    outside = mixed.where("component <> main").select("kind", "key", F.col("shard").alias("ds"), F.col("component").alias("other"), F.transform("held", lambda x: F.struct(x["doc_id"].alias("d"), x["n"].alias("m"), x["pos"].alias("qos"))).alias("others"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"))
-    met = cut.join(outside, ["kind", "key", "block"]).where("component <> other and (component = main or component < other)")
-    met = met.select("kind", "shard", "ds", "others", F.inline("held")).select("kind", "shard", "ds", "doc_id", "n", "pos", F.inline("others"))
-    return once(met.where(fits("n", "pos", "m", "qos", "kind", threshold, boundary)).select(*pair("doc_id", "shard", "d", "ds")))
+    """Pairs of one list in different components; a list's largest component doesn't meet itself. The entries outside it go to each of the list's blocks."""
+    each = mixed.select("kind", "key", "shard", "component", "main", blocks_of("entries").alias("blocks"), F.inline("held"))
+    cut = each.withColumn("block", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int"))
+    outside = named_partner(each.where("component <> main"), F.col("component").alias("other"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    fit = F.expr("component <> other AND (component = main OR component < other)") & fits("n", "pos", "m", "qos", "kind", threshold, boundary)
+    return once(cut.join(outside, ["kind", "key", "block"]).where(fit).select(*pair("doc_id", "shard", "d", "ds")))
 
 
 def all_pairs(cells: DataFrame, threshold: int, boundary: int) -> DataFrame:
     """All pairs of each list, once; a list is cut into blocks, and every two blocks of it meet on their own."""
-    cut = cells.select("kind", "key", "shard", in_blocks(F.col("entries")).alias("blocks"), F.inline("held")).withColumn("block", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int"))
+    sizes = cells.groupBy("kind", "key").agg(F.sum(F.size("held")).alias("entries"))
+    cut = cells.join(sizes, ["kind", "key"]).select("kind", "key", "shard", blocks_of("entries").alias("blocks"), F.inline("held")).withColumn("block", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int"))
     left = cut.select("kind", "key", "shard", "doc_id", "n", "pos", F.col("block").alias("i"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("j"))
-    right = cut.select("kind", "key", F.col("shard").alias("ds"), F.col("doc_id").alias("d"), F.col("n").alias("m"), F.col("pos").alias("qos"), F.col("block").alias("j"), F.explode(F.sequence(F.lit(0), "block")).alias("i"))
+    right = named_partner(cut, F.col("block").alias("j"), F.explode(F.sequence(F.lit(0), "block")).alias("i"))
     met = left.join(right, ["kind", "key", "i", "j"]).where("i < j and doc_id <> d or i = j and doc_id < d").where(fits("n", "pos", "m", "qos", "kind", threshold, boundary))
     return once(met.select(*pair("doc_id", "shard", "d", "ds")))
 

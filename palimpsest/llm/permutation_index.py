@@ -1,18 +1,25 @@
 """Approximate nearest neighbours by a permutation index.
 
-A vector is represented by the order of its nearest pivots. The index keeps, for blocks of
-vectors, an inverted file for each pivot: the pivot's place in the order of every vector of the block
-(LIST, if it isn't among the LIST nearest). A query reads the files of its own nearest pivots, adds up the footrule
-distances of places, takes the SHARE of the block that is nearest by them (LEAST vectors at least), and ranks these by the
-exact inner product. Blocks and packs of queries meet by key, so that a task holds one block and PACKS packs
-of queries; the best of each block are merged by query.
-
-Pivots are N_PIVOTS distinct vectors of the smallest hashes among the valid ones, a bounded sample; every valid
-vector is indexed. On the check tables recall is above 0.95 (tests measure it against brute force).
-
-Defined cases: vectors that are null, zero, of another length than the first pivot, or hold null or non-finite
-components take no part, nor do null ids; equal vectors are told apart by id, ties go to the smaller one; a repeated id
-is one more candidate; an empty table gives no rows; other columns are not read.
+A vector is represented by the ordered list of its LIST nearest pivots out of N_PIVOTS. For a block of vectors the index
+holds an inverted file for each pivot: the vectors that have the pivot in their list, and its place there. A query
+reads the files of the pivots in its own list and no others, and adds up LIST - |its place - the vector's place| for each
+vector that it meets there: the footrule distance of the lists, counted from the other end. The SHARE of the block that is nearest by that (WANTED vectors for each
+neighbour that is asked for, at least) is ranked by the exact inner product.
+
+Nearness is the largest inner product, so vectors are lifted: with M the largest norm of all, a vector x gets one more
+component sqrt(M^2 - |x|^2) and a query gets 0, and Euclidean nearness of lifted vectors is nearness by inner product.
+
+Blocks hold vectors of about the same region (by their nearest pivot) and have a centre c and a radius r. A query q looks
+into the block of the nearest centre first. Its k-th score there bounds the rest: a block with q.c + |q| r below it can hold none of the k
+nearest, and is not visited. Where vectors lie in clusters that leaves a few blocks; vectors without any structure take all of them.
+
+Equal vectors are indexed k + 1 times at most, by their smallest ids, which is all that a result may hold; equal queries are asked once.
+Pivots are a bounded sample, those of the smallest hashes; every valid vector is indexed. The blocks' centres go to all
+executors: there are MOST_BLOCKS at most, blocks get larger beyond that.
+
+Defined cases: vectors that are null, zero, or hold null or non-finite components take no part, nor do null ids, nor vectors of
+another length than the most frequent one (of equally frequent ones the smallest); ties go to the smaller id; rows of one id and
+one vector count once; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -23,123 +30,222 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from . import _exchange as X
 
-N_PIVOTS, LIST = 96, 96
-SHARE, LEAST = 0.08, 1000
-BLOCK, PACK, PACKS = 8192, 512, 128
+N_PIVOTS, LIST = 384, 96
+#: Of a block, what is ranked exactly: this share, and so many vectors for each neighbour wanted, at least.
+SHARE, WANTED = 0.10, 25
+#: Vectors of a block, queries that meet a block at once, and the most blocks.
+BLOCK, PACK, MOST_BLOCKS = 8192, 1 << 16, 100_000
+BLOCKS = "block long, ids binary, x binary, centre binary, radius double"
+FOUND = "rep long, vec_id long, score double"
 
 
 def valid(vectors: DataFrame, ident: str, vector: str) -> DataFrame:
-    """vec_id, v (doubles) of the vectors that take part."""
+    """vec_id, v (doubles) of the vectors that take part, whatever their length."""
     v = F.col("v")
     rows = vectors.select(F.col(ident).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("v"))
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
     return rows.where(F.col("vec_id").isNotNull() & v.isNotNull() & finite & F.exists(v, lambda x: x != 0))
 
 
-def chosen_pivots(rows: DataFrame, n: int) -> np.ndarray:
-    """Distinct vectors of the smallest hashes; so many at most."""
-    found = rows.select("v").groupBy("v").agg(F.lit(1)).select("v").orderBy(F.xxhash64("v"), "v").limit(n).collect()
-    size = len(found[0][0]) if found else 0
-    return np.array([r[0] for r in found if len(r[0]) == size], np.float64).reshape(-1, max(size, 1))[:, :size]
-
-
-def places(x: np.ndarray, pivots: np.ndarray, length: int) -> np.ndarray:
-    """For each pivot, its place in the order of each vector's nearest pivots, length at most; pivots by vectors."""
-    order = np.argsort(-(x @ pivots.T), axis=1, kind="stable")
-    out = np.empty(order.shape, np.uint8)
-    np.put_along_axis(out, order, np.minimum(np.arange(order.shape[1]), length).astype(np.uint8)[None], 1)
-    return np.ascontiguousarray(out.T)
+def first_of_equal(rows: DataFrame, most: int) -> DataFrame:
+    """Of equal vectors the smallest ids, so many at most, once each, with their rank. The rank limit holds before the shuffle too, so a frequent vector makes no task hot."""
+    of_v = Window.partitionBy("v").orderBy("vec_id")
+    few = rows.withColumn("rank", F.dense_rank().over(of_v)).where(F.col("rank") <= most)
+    return few.withColumn("before", F.lag("vec_id").over(of_v)).where("before is null or before <> vec_id").drop("before")
+
+
+class Pivots:
+    """Lifted pivots, and the largest norm."""
+
+    def __init__(self, x: np.ndarray, norm: float, length: int):
+        self.norm = norm
+        self.x = self.lift(x)
+        self.half = (self.x * self.x).sum(1) / 2
+        self.length = min(length, len(x))
+
+    def lift(self, x: np.ndarray) -> np.ndarray:
+        return np.column_stack([x, np.sqrt(np.maximum(self.norm**2 - (x * x).sum(1), 0))])
+
+    def lists(self, x: np.ndarray, query: bool = False) -> np.ndarray:
+        """The numbers of the nearest pivots of each vector, nearest first."""
+        lifted = np.column_stack([x, np.zeros(len(x))]) if query else self.lift(x)
+        near = self.half - lifted @ self.x.T
+        if self.length < near.shape[1]:
+            some = np.sort(np.argpartition(near, self.length - 1, axis=1)[:, : self.length], axis=1)
+            return np.take_along_axis(some, np.argsort(np.take_along_axis(near, some, 1), axis=1, kind="stable"), 1)
+        return np.argsort(near, axis=1, kind="stable")
+
+
+class Files:
+    """The inverted files of a block: for each pivot, which vectors have it in their list, and what its place is worth."""
+
+    def __init__(self, x: np.ndarray, pivots: Pivots):
+        lists = pivots.lists(x)
+        n, self.length = lists.shape
+        order = np.argsort(lists.ravel(), kind="stable")  # within a file by vector
+        self.vector = (order // self.length).astype(np.int32)
+        self.place = (order % self.length).astype(np.int16)
+        self.start = np.searchsorted(lists.ravel()[order], np.arange(len(pivots.x) + 1))
+        self.n = n
+
+    def credit(self, wanted: np.ndarray) -> np.ndarray:
+        """For each vector the sum of length - |difference of places| over the pivots that it shares with a query's list."""
+        total = np.zeros(self.n, np.float32)
+        for place, pivot in enumerate(wanted.tolist()):
+            a, b = self.start[pivot], self.start[pivot + 1]
+            total[self.vector[a:b]] += self.length - np.abs(self.place[a:b] - place)  # a vector is in a file once
+        return total
+
+
+def best_of_block(ids: np.ndarray, x: np.ndarray, files: Files, wanted: np.ndarray, q: np.ndarray, k: int, share: float) -> tuple[np.ndarray, np.ndarray]:
+    """vec_id and score of the k best of the block, ties to the smaller id; ids must be ascending."""
+    reach = min(len(ids), max(int(np.ceil(share * len(ids))), WANTED * k))
+    at = np.arange(len(ids))
+    if reach < len(ids):
+        credit = files.credit(wanted)
+        bound = np.partition(credit, len(ids) - reach)[len(ids) - reach]
+        inner, edge = np.flatnonzero(credit > bound), np.flatnonzero(credit == bound)
+        at = np.sort(np.concatenate([inner, edge[: reach - len(inner)]]))
+    score = (x[at] * q).sum(1)
+    best = np.lexsort((ids[at], -score))[:k]
+    return ids[at[best]], score[best]
+
+
+def packed(rows: DataFrame, pivots: Pivots, size: int, n_blocks: int) -> DataFrame:
+    """BLOCKS: vectors dealt by their nearest pivot, then by id, and cut into blocks, sorted by id each."""
+
+    def near(batches):
+        for batch in batches:
+            x = matrix(batch.column("v"))
+            first = pivots.lists(x)[:, 0] if len(x) else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_pydict({"pivot": pa.array(first, pa.int32()), "vec_id": batch.column("vec_id"), "x": pa.array([r.tobytes() for r in x], pa.binary())})
 
+    def cut(batches):
+        from pyspark import TaskContext
 
-def packed(rows: DataFrame, size: int, name: str) -> DataFrame:
-    """name (a number), ids, x: matrices of about size vectors, sorted by id."""
+        number, held, n = TaskContext.get().partitionId() << 32, [], 0
 
-    def run(batches):
-        from pyspark import TaskContext
+        def block(ids, x):
+            order = np.argsort(ids, kind="stable")
+            centre = x.mean(0)
+            radius = float(np.sqrt(((x - centre) ** 2).sum(1).max()))
+            return pa.RecordBatch.from_pydict({"block": pa.array([number], pa.int64()), "ids": pa.array([ids[order].astype("<i8").tobytes()], pa.binary()), "x": pa.array([x[order].tobytes()], pa.binary()), "centre": pa.array([centre.tobytes()], pa.binary()), "radius": pa.array([radius])})
 
-        number = TaskContext.get().partitionId() << 32
         for batch in batches:
-            n = batch.num_rows
-            if not n:
+            if not batch.num_rows:
                 continue
-            ids = batch.column("vec_id").to_numpy()
-            column = batch.column("v")
-            sizes = np.diff(column.offsets.to_numpy())
-            order = np.argsort(ids, kind="stable")
-            cells = [np.asarray(c, np.float64) for c in np.split(column.flatten().to_numpy(zero_copy_only=False), np.cumsum(sizes)[:-1])]
-            for part in np.array_split(order, -(-n // size)):
-                for width in sorted(set(sizes[part].tolist())):
-                    at = [i for i in part if sizes[i] == width]
-                    yield pa.RecordBatch.from_pydict({name: pa.array([number], pa.int64()), "width": pa.array([width], pa.int32()), "ids": pa.array([ids[at].astype("<i8").tobytes()], pa.binary()), "x": pa.array([np.stack([cells[i] for i in at]).tobytes()], pa.binary())})
-                    number += 1
-
-    return rows.mapInArrow(run, f"{name} long, width int, ids binary, x binary")
-
-
-def search_block(ids: np.ndarray, x: np.ndarray, files: np.ndarray, q_ids: np.ndarray, q: np.ndarray, pivots: np.ndarray, k: int, length: int, share: float, least: int):
-    """For each query its k best of the block: query_id, vec_id, score."""
-    n = len(ids)
-    reach = min(n, max(int(np.ceil(share * n)), least, k + 1))
-    q_places = places(q, pivots, length)
-    signed = files.astype(np.int8) if length < 128 else files.astype(np.int16)
-    for i in range(len(q_ids)):
-        near = np.flatnonzero(q_places[:, i] < length)
-        if reach < n:
-            distance = np.abs(signed[near] - q_places[near, i].astype(signed.dtype)[:, None]).sum(0, dtype=np.int32)
-            bound = np.partition(distance, reach - 1)[reach - 1]
-            inner, edge = np.flatnonzero(distance < bound), np.flatnonzero(distance == bound)
-            at = np.sort(np.concatenate([inner, edge[: reach - len(inner)]]))
-        else:
-            at = np.arange(n)
-        at = at[ids[at] != q_ids[i]]
-        score = (x[at] * q[i]).sum(1)
-        best = np.lexsort((ids[at], -score))[:k]
-        yield q_ids[i], ids[at[best]], score[best]
-
-
-def search(vectors: DataFrame, queries: DataFrame, k: int = 20, ident: str = "vec_id", vector: str = "embedding", n_pivots: int = N_PIVOTS, length: int = LIST, share: float = SHARE, least: int = LEAST) -> DataFrame:
+            held.append((batch.column("vec_id").to_numpy(), np.frombuffer(b"".join(batch.column("x").to_pylist())).reshape(batch.num_rows, -1)))
+            n += batch.num_rows
+            while n >= 2 * size:
+                ids, x = (np.concatenate(p) for p in zip(*held))
+                yield block(ids[:size], x[:size])
+                number, held, n = number + 1, [(ids[size:], x[size:])], n - size
+        if n:  # up to two blocks, halves of what is left if it is more than one
+            ids, x = (np.concatenate(p) for p in zip(*held))
+            parts = -(-n // size)
+            for i, y in zip(np.array_split(ids, parts), np.array_split(x, parts)):
+                yield block(i, y)
+                number += 1
+
+    dealt = rows.select("vec_id", "v").mapInArrow(near, "pivot int, vec_id long, x binary").repartitionByRange(n_blocks, "pivot", "vec_id").sortWithinPartitions("pivot", "vec_id")
+    return dealt.mapInArrow(cut, BLOCKS)
+
+
+def matrix(column: pa.Array) -> np.ndarray:
+    """Rows of doubles of one length."""
+    if not len(column):
+        return np.zeros((0, 0))
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    return flat.reshape(len(column), -1)
+
+
+class Regions:
+    """Centres and radii of all blocks."""
+
+    def __init__(self, rows):
+        self.blocks = np.array([r[0] for r in rows], np.int64)
+        self.centres = np.array([np.frombuffer(r[1]) for r in rows])
+        self.radii = np.array([r[2] for r in rows])
+
+    def bounds(self, q: np.ndarray) -> np.ndarray:
+        """The largest inner product that a vector of each block can have with q, and a little more for rounding."""
+        size = np.sqrt((q * q).sum())
+        return self.centres @ q + size * self.radii * (1 + 1e-9) + 1e-9 * size
+
+
+def search(vectors: DataFrame, queries: DataFrame, k: int = 20, ident: str = "vec_id", vector: str = "embedding", n_pivots: int = N_PIVOTS, length: int = LIST, share: float = SHARE, block: int = BLOCK) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of every query (rows of the same two columns), never its own id."""
-    rows = valid(vectors, ident, vector)
-    pivots = chosen_pivots(rows, n_pivots)
-    if not pivots.size:
-        return rows.select(F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id", F.lit(0.0).alias("score")).where("false")
-    width = pivots.shape[1]
-    blocks = X.checkpoint(packed(rows.where(F.size("v") == width), BLOCK, "block"))
-    asked = X.checkpoint(packed(valid(queries, ident, vector).where(F.size("v") == width), PACK, "pack"))
-    n_blocks, n_packs = blocks.count(), asked.count()
-    groups = max(1, -(-n_packs // PACKS))
-    # blocks and groups of packs meet by key: each block once for each group of packs
-    left = blocks.select("ids", "x", F.posexplode(F.array_repeat("block", groups)).alias("part", "block"))
-    part = F.pmod(F.xxhash64("pack"), F.lit(groups)).cast("int")
-    names = blocks.select(F.col("block").alias("b"))
-    right = copies(asked.withColumn("part", part), names, n_blocks)
-    sent = pivots
-
-    def run(table: pa.Table, packs: pa.Table) -> pa.Table:
-        query, vec, score = [], [], []
-        for b in range(table.num_rows):
-            ids = np.frombuffer(table["ids"][b].as_buffer(), "<i8")
-            x = np.frombuffer(table["x"][b].as_buffer(), np.float64).reshape(len(ids), -1)
-            files = places(x, sent, length)
-            for j in range(packs.num_rows):
-                q_ids = np.frombuffer(packs["ids"][j].as_buffer(), "<i8")
-                q = np.frombuffer(packs["x"][j].as_buffer(), np.float64).reshape(len(q_ids), -1)
-                for one, at, value in search_block(ids, x, files, q_ids, q, sent, k, length, share, least):
-                    query.append(np.full(len(at), one))
-                    vec.append(at)
-                    score.append(value)
+    spark = vectors.sparkSession
+    every = valid(vectors, ident, vector)
+    widths = every.groupBy(F.size("v").alias("width")).count().orderBy(F.desc("count"), "width").limit(1).collect()
+    if not widths:
+        return every.select(F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id", F.lit(0.0).alias("score")).where("false")
+    same = F.size("v") == widths[0][0]
+    rows = X.checkpoint(first_of_equal(every.where(same), k + 1))
+    asked = valid(queries, ident, vector).where(same)
+    reps = X.checkpoint(first_of_equal(asked, 1).select(F.xxhash64("v", "vec_id").alias("rep"), "v"))
+    n, largest = rows.agg(F.count("*"), F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)))).first()
+    sample = rows.where("rank = 1").orderBy(F.xxhash64("v"), "v").select("v").limit(n_pivots).collect()
+    pivots = Pivots(np.array([r[0] for r in sample]), largest, length)
+    size = max(block, -(-n // MOST_BLOCKS))
+    blocks = X.checkpoint(packed(rows, pivots, size, max(1, -(-n // size))))
+    regions = spark.sparkContext.broadcast(Regions(blocks.select("block", "centre", "radius").collect()))
+    parts = max(1, -(-reps.count() // PACK))
+
+    def visits(chosen):
+        """Rows of (block, part, rep, q, wanted) for the blocks that a query visits."""
+
+        def run(batches):
+            for batch in batches:
+                x = matrix(batch.column("v"))
+                wanted = pivots.lists(x, query=True).astype("<i2") if len(x) else []
+                out = {name: [] for name in ("block", "part", "rep", "q", "wanted")}
+                for i, rep in enumerate(batch.column("rep").to_pylist()):
+                    for at in chosen(regions.value, x[i], batch, i):
+                        for name, value in zip(out, (int(regions.value.blocks[at]), rep % parts, rep, x[i].tobytes(), wanted[i].tobytes())):
+                            out[name].append(value)
+                yield pa.RecordBatch.from_pydict({name: pa.array(value, kind) for (name, value), kind in zip(out.items(), (pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary()))})
+
+        return run
+
+    def look(held: pa.Table, met: pa.Table) -> pa.Table:
+        rep, vec, score = [], [], []
+        for b in range(held.num_rows if met.num_rows else 0):
+            ids = np.frombuffer(held["ids"][b].as_buffer(), "<i8")
+            x = np.frombuffer(held["x"][b].as_buffer()).reshape(len(ids), -1)
+            files = Files(x, pivots)
+            for one, q, wanted in zip(met["rep"].to_pylist(), met["q"].to_pylist(), met["wanted"].to_pylist()):
+                at, value = best_of_block(ids, x, files, np.frombuffer(wanted, "<i2"), np.frombuffer(q), k + 1, share)
+                rep.append(np.full(len(at), one))
+                vec.append(at)
+                score.append(value)
         cat = lambda parts, kind: np.concatenate(parts).astype(kind) if parts else np.zeros(0, kind)
-        return pa.table({"query_id": cat(query, np.int64), "vec_id": cat(vec, np.int64), "score": cat(score, np.float64)})
-
-    met = left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInArrow(run, "query_id long, vec_id long, score double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return met.select("query_id", rank.alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
-
-
-def copies(asked: DataFrame, names: DataFrame, n_blocks: int) -> DataFrame:
-    """Each pack of queries with the name of every block; there is a name for each BLOCK vectors."""
-    listed = [r[0] for r in names.collect()]  # 8 bytes for each BLOCK vectors
-    return asked.select("part", "ids", "x", F.explode(F.lit(np.array(listed, np.int64)).cast("array<long>")).alias("block"))
+        return pa.table({"rep": cat(rep, np.int64), "vec_id": cat(vec, np.int64), "score": cat(score, np.float64)})
+
+    copies = blocks.select("block", "ids", "x", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
+
+    def found(met: DataFrame) -> DataFrame:
+        return copies.groupBy("block", "part").cogroup(met.groupBy("block", "part")).applyInArrow(look, FOUND)
+
+    kind = "block long, part int, rep long, q binary, wanted binary"
+    nearest = lambda r, q, batch, i: [int(np.argmax(r.centres @ q))]
+    first = X.checkpoint(found(reps.mapInArrow(visits(nearest), kind)))
+    # the k-th of others than the query's own id: k + 1 may hold that id, so the last of k + 1 is a bound for sure
+    least = first.groupBy("rep").agg(F.count("*").alias("n"), F.min("score").alias("least")).select("rep", F.when(F.col("n") > k, F.col("least")).alias("least"))
+
+    def others(r, q, batch, i):
+        least = batch.column("least")[i].as_py()
+        may = np.ones(len(r.blocks), bool) if least is None else r.bounds(q) >= least
+        may[nearest(r, q, batch, i)[0]] = False
+        return np.flatnonzero(may).tolist()
+
+    rest = found(reps.join(least, "rep", "left").mapInArrow(visits(others), kind))
+    rank = F.row_number().over(Window.partitionBy("rep").orderBy(F.desc("score"), "vec_id"))
+    best = first.unionByName(rest).withColumn("rank", rank).where(F.col("rank") <= k + 1)
+    listed = best.groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("rank", "vec_id", "score"))).alias("held"))  # k + 1 at most
+    mine = asked.select(F.col("vec_id").alias("query_id"), "v").join(reps, "v").join(listed, "rep")
+    kept = F.slice(F.filter("held", lambda x: x["vec_id"] != F.col("query_id")), 1, k)
+    return mine.select("query_id", F.posexplode(kept).alias("rank", "x")).select("query_id", (F.col("rank") + 1).alias("rank"), "x.vec_id", "x.score")
 
 
 def op1_permutation_index(spark, sf_dir: str) -> DataFrame:

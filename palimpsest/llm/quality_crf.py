@@ -6,26 +6,28 @@ is fitted on labelled documents, whose label all their lines take, by gradient s
 Forward-backward gives each line's probability of being bad; their means weighted by line length,
 and the probability of the worst stretch, go through logistic regression to the score.
 
-The fit takes FIT documents at most and of each such document all lines; scores cover whole texts.
+The fit takes FIT documents at most, none longer than FIT_TEXT bytes, and of these so many that their lines' features fit into FIT_BYTES; of each such document all
+lines. Scores cover whole texts of any length.
 
 Defined cases: null or empty texts have one empty line; with labels of one class only all texts get that
-class's share; repeated rows each give a row; a null id is kept; an empty table gives no rows.
+class's share; repeated rows each give a row, and one of an id is learned from, with the largest of its labels; a null id is kept; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from . import _text as T
 from ._labels import Logistic, labelled, remainder
 
 #: Documents that the field and the regression are fitted on, half each.
 FIT = 6000
+#: Bytes of the longest text that is learned from, and of all features that are.
+FIT_TEXT, FIT_BYTES = 1 << 20, 256 << 20
 STEPS, RATE, RIDGE = 150, 0.1, 1e-3
 N_OWN = 14
-#: Three counters of 21 bits in one table: upper case, digits, marks; blanks, bars, bytes beyond ASCII
 _BYTES = np.arange(256)
 _IS = {
     "upper": (_BYTES >= 65) & (_BYTES <= 90),
@@ -35,8 +37,6 @@ _IS = {
     "bar": (_BYTES == ord("|")),
     "high": _BYTES >= 128,
 }
-_PACK = [sum(_IS[k].astype(np.int64) << (21 * i) for i, k in enumerate(names)) for names in (("upper", "digit", "mark"), ("blank", "bar", "high"))]
-_LOW = (1 << 21) - 1
 
 
 def line_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -61,11 +61,10 @@ def own_features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     n = np.maximum(size, 1)
     out = np.empty((len(starts), N_OWN))
     out[:, 0] = np.log1p(size)
-    for i, table in enumerate(_PACK):
-        sums = np.concatenate([[0], np.cumsum(table[data])])
-        held = sums[ends] - sums[starts]
-        for j in range(3):
-            out[:, 1 + 3 * i + j] = ((held >> (21 * j)) & _LOW) / n
+    sums = np.zeros(len(data) + 1, np.int64)
+    for i, table in enumerate(_IS.values()):
+        np.cumsum(table[data], out=sums[1:])
+        out[:, 1 + i] = (sums[ends] - sums[starts]) / n
     same = np.zeros(len(data) + 1, np.int64)
     if len(data) > 1:
         same[2:] = np.cumsum((data[1:] == data[:-1]) & _IS["mark"][data[1:]])
@@ -202,8 +201,11 @@ class Judge:
 
 def fit(docs: DataFrame, labels: DataFrame, learn, ident: str = "doc_id", text: str = "text", label: str = "quality") -> Judge:
     """A classifier from FIT documents at most, those of the smallest hashes among the labels that may be learned from."""
-    chosen = labels.where(F.col(label).isNotNull() & F.col(ident).isNotNull() & learn).orderBy(F.xxhash64(ident), ident).limit(FIT)
-    rows = labelled(docs, chosen, label, F.lit(True), ident, text)
+    known = labels.where(F.col(label).isNotNull() & F.col(ident).isNotNull() & learn).groupBy(ident).agg(F.max(label).alias(label))
+    chosen = known.orderBy(F.xxhash64(ident), ident).limit(FIT)
+    rows = labelled(docs.where(F.coalesce(F.octet_length(F.col(text).cast("string")), F.lit(0)) <= FIT_TEXT), chosen, label, F.lit(True), ident, text)
+    # of rows of one id the one of the smallest hash
+    rows = rows.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text", "label")).alias("r")).select("doc_id", "r.text", "r.label")
 
     def measure(batches):
         for batch in batches:
@@ -212,7 +214,9 @@ def fit(docs: DataFrame, labels: DataFrame, learn, ident: str = "doc_id", text:
                 own, bounds, size = own_features(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id").slice(a, b - a), "label": batch.column("label").slice(a, b - a), "own": pa.array([own[x:y].astype(np.float32).tobytes() for x, y in zip(bounds[:-1], bounds[1:])], pa.binary()), "size": pa.array([size[x:y].astype(np.int32).tobytes() for x, y in zip(bounds[:-1], bounds[1:])], pa.binary())})
 
-    found = rows.mapInArrow(measure, "doc_id long, label int, own binary, size binary").dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id", F.lit("half")), "doc_id").collect()
+    half = [F.xxhash64("doc_id", F.lit("half")), F.col("doc_id")]
+    before = F.sum(F.octet_length("own")).over(Window.orderBy(*half).rowsBetween(Window.unboundedPreceding, 0))  # over FIT rows
+    found = rows.mapInArrow(measure, "doc_id long, label int, own binary, size binary").withColumn("before", before).where(F.col("before") <= FIT_BYTES).orderBy(*half).drop("before").collect()
     good = np.array([r[1] for r in found], float)
     if len(set(good.tolist())) < 2:
         return Judge(float(good.mean()) if len(good) else 0.5)

@@ -1,8 +1,9 @@
 """Secret scan with false-positive removal by a random forest, in DataFrame operations only.
 
-Candidates are words that hold a run of LEAST_RUN or more token characters with a digit or
-both cases in it; values of LEAST_VALUE characters or more that are assigned to a name that speaks of secrets, in the
-words ahead or inside one word (quotes stripped); passwords in URLs; and words after Bearer. Each has features of its length, its
+Candidates are words that hold a run of LEAST_RUN or more token characters with a digit and a letter, or
+two changes from lower to upper case in it; values of LEAST_VALUE characters or more that are assigned to a name that speaks of secrets (its tail after the speaking
+word has NAME_TAIL characters at most), in the
+words ahead or inside one word (quotes stripped); passwords in URLs; and words after Bearer. Patterns are tried where a run begins only, so that a run of any length is read once. Each has features of its length, its
 character transitions, its coverage by a dictionary of common word parts, path marks and the words around it. A forest trained
 from labelled findings (MLlib, in the JVM) is turned into column expressions, so the scan is one projection: no Python
 code, no shuffle, no join.
@@ -10,8 +11,8 @@ code, no shuffle, no join.
 labelled_findings() makes FINDINGS labelled ones by rule from hashes: keys, tokens and passwords against digests, paths,
 identifiers, placeholders and words. A value of letters in one case only is a word to the forest, whatever it is assigned to. Another table of the same columns can be given to train().
 
-Defined cases: null or empty texts have no candidates; a word of several runs gives several; texts of any length are
-scanned whole; repeated rows each give a row; a null id is kept; an empty table gives no rows; redacted() keeps all columns.
+Defined cases: null or empty texts have no candidates; a word of several runs gives several; texts and words of any length are
+scanned whole; repeated rows each give a row; a null id is kept; an empty table gives no rows; redacted() keeps all columns, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 LEAST_RUN = 16
 #: Characters of a value that is assigned to a speaking name.
 LEAST_VALUE = 4
+#: Characters that a speaking name may go on with, as in token_of_the_day.
+NAME_TAIL = 64
 FINDINGS, TREES, DEPTH, SEED = 6000, 15, 6, 7
 #: Token characters.
 RUN = r"[A-Za-z0-9_+/=.\-]"
@@ -31,14 +34,18 @@ SPEAKING = "token|secret|passwd|password|pwd|api_?key|apikey|auth|credential|pri
 HARMLESS = "sha|sha1|sha256|md5|commit|checksum|digest|hash|uuid|guid|id|revision|etag|version|build|path|file|url|ref|isbn"
 PARTS = "the|and|tion|ing|ment|able|for|with|that|this|ver|ent|ere|est|ous|com|org|net|www|http|src|lib|usr|var|data|test|example|main|file|index|page|image|user|admin|config|build|news|html|json|eur|eau|que|ung|sch|ich|ción|mente|ado"
 #: A word that is worth a look, and what is taken out of it.
-WORTH = rf"(?=[A-Za-z_+/=.\-]*[0-9])(?=[0-9_+/=.\-]*[A-Za-z]){RUN}{{{LEAST_RUN},}}|[a-z][A-Z]{RUN}*[a-z][A-Z]"
+BEGIN = rf"(?<!{RUN})"
+WORTH = rf"{BEGIN}(?={RUN}{{{LEAST_RUN}}})(?=[A-Za-z_+/=.\-]*[0-9])(?=[0-9_+/=.\-]*[A-Za-z])|{BEGIN}{RUN}*?[a-z][A-Z]{RUN}*?[a-z][A-Z]"
 TAKEN = rf"{RUN}{{8,}}+"
 #: What is taken out of a word that something is assigned by; name and value in one word; the password in a URL; what stands ahead of a value.
+NAME = rf"(?:{SPEAKING})(?:[_\-][a-z0-9_\-]{{0,{NAME_TAIL}}})?"
 INSIDE = r"[^\s\"'`,;<>(){}\[\]]"
 VALUE = rf"{INSIDE}{{{LEAST_VALUE - 1},}}[^\s\"'`,;<>(){{}}\[\].:]"
-ASSIGNED = rf"(?i)((?:{SPEAKING})(?:[_\-][a-z0-9_\-]*)?)[\"'`]?[=:]+>?[\"'`]?({VALUE.replace(INSIDE, INSIDE.replace('[^', '[^&'), 1)})"
+ASSIGNED = rf"(?i)({NAME})[\"'`]?[=:]+>?[\"'`]?({VALUE.replace(INSIDE, INSIDE.replace('[^', '[^&'), 1)})"
 IN_URL = r"://[^\s/:@]*:([^\s/@]{" + str(LEAST_VALUE) + r",})@"
-AHEAD = rf"(?i)({SPEAKING})(?:[_\-][a-z0-9_\-]*)?[\"'`]? ?[=:]+>?$|(^|[^a-z])bearer$"
+AHEAD = rf"(?i){NAME}[\"'`]? ?[=:]+>?$|(^|[^a-z])bearer$"
+#: A text that may hold anything of that kind.
+SPEAKS = rf"(?i){NAME}[\"'`]?\s*[=:]|(^|[^a-z])bearer\s"
 FEATURES = ["size", "digits", "uppers", "lowers", "turns", "distinct", "parts", "vowels", "slashes", "dots", "dashes", "hex", "speaking", "harmless", "assigned", "quoted", "placeholder", "known"]
 
 
@@ -127,76 +134,100 @@ def labelled_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
     return spark.range(n).select(value.alias("value"), before.alias("before"), word.alias("word"), secret.alias("secret"))
 
 
-def train(findings: DataFrame, trees: int = TREES, depth: int = DEPTH) -> list[str]:
-    """The trees of a forest as SQL expressions over a struct f of FEATURES; each is 1 for a secret."""
+def train(findings: DataFrame, trees: int = TREES, depth: int = DEPTH) -> list:
+    """The trees of a forest: a leaf is 0 or 1 (a secret), a node is (feature, threshold, tree at or below it, tree above it)."""
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.feature import VectorAssembler
 
     rows = findings.select(features(F.col("value"), F.col("before"), F.col("word")).alias("f"), F.col("secret").cast("double").alias("label")).select("f.*", "label").coalesce(1)
     model = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=SEED, maxBins=64).fit(VectorAssembler(inputCols=FEATURES, outputCol="features").transform(rows))
-    return [sql_of(t.toDebugString) for t in model.trees]
+    return [tree_of(t.toDebugString) for t in model.trees]
 
 
-def sql_of(tree: str) -> str:
-    """A tree's printed form as nested SQL conditions."""
-    lines = [x.strip() for x in tree.split("\n") if re.match(r"\s*(If|Else|Predict)", x)]
+def tree_of(printed: str):
+    """A tree out of its printed form."""
+    lines = [x.strip() for x in printed.split("\n") if re.match(r"\s*(If|Else|Predict)", x)]
 
-    def node(at: int) -> tuple[str, int]:
+    def node(at: int):
         line = lines[at]
         if line.startswith("Predict"):
-            return str(int(float(line.split(":")[1]))), at + 1
+            return int(float(line.split(":")[1])), at + 1
         found = re.match(r"If \(feature (\d+) <= ([-0-9.E]+)\)", line)
         yes, at = node(at + 1)
         no, at = node(at + 1)  # at stands on Else
-        return f"IF(f.{FEATURES[int(found[1])]} <= {float(found[2])!r}D, {yes}, {no})", at
+        return (FEATURES[int(found[1])], float(found[2]), yes, no), at
 
     return node(0)[0]
 
 
-def candidates(text: Column) -> tuple[Column, Column]:
-    """Array of value, before, word: the candidates of a text, over the column __words; and what __words must be."""
-    speaks = rf"(?i)({SPEAKING})(?:[_\-][a-z0-9_\-]*)?[\"'`]?\s*[=:]|(^|[^a-z])bearer\s"
-    worth = F.coalesce(text.rlike(WORTH) | text.rlike(speaks) | text.rlike(IN_URL), F.lit(False))
-    words = F.when(worth, F.split(text, r"\s+")).otherwise(F.array().cast("array<string>"))
-    # the place of each word that may hold a candidate, then its surroundings
-    before = "concat_ws(' ', IF(i > 1, __words[i - 2], ''), IF(i > 0, __words[i - 1], ''))"
-    ahead = f"(i > 0 AND length(__words[i]) >= {LEAST_VALUE} AND {before} rlike __ahead)"
-    places = f"filter(transform(__words, (w, i) -> IF(w rlike __pattern OR w rlike __assigned OR w rlike __url OR {ahead}, i, -1)), i -> i >= 0)"
-    plain = lambda value: f"named_struct('value', {value}, 'before', {before}, 'word', __words[i])"
-    inside = "zip_with(regexp_extract_all(__words[i], __assigned, 1), regexp_extract_all(__words[i], __assigned, 2), (n, v) -> named_struct('value', v, 'before', concat(n, ' ='), 'word', v))"
-    in_url = "transform(regexp_extract_all(__words[i], __url, 1), v -> named_struct('value', v, 'before', 'password =', 'word', v))"
-    rest = "regexp_replace(__words[i], __assigned, ' ')"
-    runs = f"filter(regexp_extract_all({rest}, IF({ahead}, __value, __taken), 0), v -> NOT exists(regexp_extract_all(__words[i], __url, 1), u -> contains(u, v)))"
-    others = f"IF({ahead} OR __words[i] rlike __pattern, transform({runs}, v -> {plain('v')}), array())"
-    in_place = "(x, y) -> instr(__words[i], x.value) - instr(__words[i], y.value)"
-    held = F.expr(f"flatten(transform({places}, i -> array_sort(concat({inside}, {in_url}, {others}), {in_place})))")
-    return held, words
-
-
-def scanned(docs: DataFrame, forest: list[str], text: str = "text") -> DataFrame:
-    """docs with __found: the candidates (value, secret) of each text; secret if half of the trees say so or more."""
-    found, words = candidates(F.col(text).cast("string"))
-    patterns = {"__pattern": WORTH, "__taken": TAKEN, "__value": VALUE, "__assigned": ASSIGNED, "__url": IN_URL, "__ahead": AHEAD}
-    out = docs.withColumn("__words", words).withColumns({k: F.lit(v) for k, v in patterns.items()}).withColumn("__held", found)
-    votes = " + ".join(f"({t})" for t in forest)
-    out = out.withColumn("__made", F.transform("__held", lambda x: F.struct(x["value"].alias("value"), features(x["value"], x["before"], x["word"]).alias("f"))))
-    judged = F.expr(f"transform(__made, x -> named_struct('value', x.value, 'secret', 2 * ({votes.replace('f.', 'x.f.')}) >= {len(forest)}))")
-    return out.withColumn("__found", judged).drop("__words", *patterns, "__held", "__made")
-
-
-def secrets(docs: DataFrame, forest: list[str], ident: str = "doc_id", text: str = "text") -> DataFrame:
+def voted(tree, f: Column) -> Column:
+    """A tree's vote as a column over a struct of FEATURES."""
+    if isinstance(tree, int):
+        return F.lit(tree)
+    feature, threshold, yes, no = tree
+    return F.when(f[feature] <= threshold, voted(yes, f)).otherwise(voted(no, f))
+
+
+def tokens(text: Column) -> Column:
+    """A text that may hold a candidate as its words, each with the white space after it, so that together they are the text; of other texts null."""
+    worth = text.rlike(WORTH) | text.rlike(SPEAKS) | text.rlike(IN_URL)
+    return F.when(worth, F.split(text, r"(?<=\s)(?=\S)"))
+
+
+def candidates(held: Column, token: Column, i: Column) -> Column:
+    """Array of value, before, word: the candidates of one token of an array of tokens, in order of place."""
+    bare = lambda t: F.regexp_replace(t, r"\s+$", "")
+    word = bare(token)
+    earlier = lambda k: F.when(i >= k, bare(F.get(held, i - k))).otherwise("")
+    before = F.concat_ws(" ", earlier(2), earlier(1))
+    ahead = (i > 0) & (F.length(word) >= LEAST_VALUE) & before.rlike(AHEAD)
+    one = lambda value, name, around: F.struct(value.alias("value"), name.alias("before"), around.alias("word"))
+    inside = F.zip_with(F.regexp_extract_all(word, F.lit(ASSIGNED), F.lit(1)), F.regexp_extract_all(word, F.lit(ASSIGNED), F.lit(2)), lambda n, v: one(v, F.concat(n, F.lit(" =")), v))
+    urls = F.regexp_extract_all(word, F.lit(IN_URL), F.lit(1))
+    in_url = F.transform(urls, lambda v: one(v, F.lit("password ="), v))
+    rest = F.regexp_replace(word, ASSIGNED, " ")
+    runs = F.when(ahead, F.regexp_extract_all(rest, F.lit(VALUE), F.lit(0))).otherwise(F.regexp_extract_all(rest, F.lit(TAKEN), F.lit(0)))
+    others = F.transform(F.filter(runs, lambda v: ~F.exists(urls, lambda u: F.contains(u, v))), lambda v: one(v, before, word))
+    none = F.array().cast("array<struct<value:string,before:string,word:string>>")
+    looked = word.rlike(WORTH) | ahead
+    found = F.concat(inside, in_url, F.when(looked, others).otherwise(none))
+    in_place = lambda x, y: F.instr(word, x["value"]) - F.instr(word, y["value"])
+    return F.when(looked | word.rlike(ASSIGNED) | word.rlike(IN_URL), F.array_sort(found, in_place)).otherwise(none)
+
+
+def judged(found: Column, forest: list[str]) -> Column:
+    """Array of value and secret out of candidates; secret if half of the trees say so or more."""
+    made = F.transform(found, lambda x: F.struct(x["value"].alias("value"), features(x["value"], x["before"], x["word"]).alias("f")))
+    return F.transform(made, lambda x: F.struct(x["value"].alias("value"), (2 * sum((voted(t, x["f"]) for t in forest[1:]), voted(forest[0], x["f"])) >= len(forest)).alias("secret")))
+
+
+def fresh(columns: list[str], name: str) -> str:
+    """A name that none of the columns has."""
+    while name.lower() in {c.lower() for c in columns}:
+        name += "_"
+    return name
+
+
+def secrets(docs: DataFrame, forest: list, ident: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_candidates, secrets (array of texts, in order of place) of every row."""
-    rows = scanned(docs.select(F.col(ident).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")), forest)
-    return rows.select("doc_id", F.size("__found").cast("long").alias("n_candidates"), F.expr("transform(filter(__found, x -> x.secret), x -> x.value)").alias("secrets"))
+    rows = docs.select(F.col(ident).cast("long").alias("doc_id"), tokens(F.col(text).cast("string")).alias("held"))
+    found = F.coalesce(F.flatten(F.transform("held", lambda t, i: candidates(F.col("held"), t, i))), F.array().cast("array<struct<value:string,before:string,word:string>>"))
+    rows = rows.select("doc_id", judged(found, forest).alias("found"))
+    return rows.select("doc_id", F.size("found").cast("long").alias("n_candidates"), F.transform(F.filter("found", lambda x: x["secret"]), lambda x: x["value"]).alias("secrets"))
+
+
+def redacted(docs: DataFrame, forest: list, text: str = "text", mask: str = "[secret]") -> DataFrame:
+    """docs with every secret replaced by the mask where it stands: in the word that it was found in, longer ones first; all other columns and rows as they are."""
+    held = fresh(docs.columns, "tokens")
 
+    def hide(token: Column, i: Column) -> Column:
+        found = F.filter(judged(candidates(F.col(held), token, i), forest), lambda x: x["secret"])
+        longest = F.array_sort(found, lambda x, y: F.length(y["value"]) - F.length(x["value"]))
+        return F.aggregate(longest, token, lambda t, x: F.replace(t, x["value"], F.lit(mask)))
 
-def redacted(docs: DataFrame, forest: list[str], text: str = "text", mask: str = "[secret]") -> DataFrame:
-    """docs with every secret in the texts replaced by the mask, short ones where they are not part of a longer word; all other columns and rows as they are."""
-    safe = mask.replace("\\", "\\\\").replace("$", "\\$")
-    alone = lambda v: F.concat(F.lit(r"(?<![A-Za-z0-9])\Q"), F.replace(v, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E(?![A-Za-z0-9])"))
-    hide = lambda t, x: F.when(F.length(x["value"]) >= LEAST_RUN, F.replace(t, x["value"], F.lit(mask))).otherwise(F.regexp_replace(t, alone(x["value"]), F.lit(safe)))
-    hidden = F.aggregate(F.filter("__found", lambda x: x["secret"]), F.col(text), hide)
-    return scanned(docs, forest, text).withColumn(text, hidden).select(*docs.columns)
+    rows = docs.withColumn(held, tokens(F.col(text).cast("string")))
+    hidden = F.array_join(F.transform(held, hide), "")
+    return rows.withColumn(text, F.coalesce(hidden, F.col(text))).select(*docs.columns)
 
 
 def op10_secret_forest(spark, sf_dir: str) -> DataFrame:

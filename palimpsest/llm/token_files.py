@@ -1,15 +1,18 @@
 """Token-id files compressed by Re-Pair, a grammar for each shard.
 
 A file (one blob) holds the ids of consecutive documents. Its text is a sequence of symbols:
-ids, and nonterminals for pairs of symbols, found by repeatedly replacing
-frequent pairs; pairs never reach over a document's end. Rules come with their
+ids, and nonterminals for pairs of symbols, found by replacing the most frequent pairs over and over
+until no pair occurs LEAST_COUNT times, so often that its rule (three numbers) pays; pairs never reach over a document's end. A round replaces all pairs
+of at least a quarter of the highest count whose occurrences don't overlap with those of a more frequent one; pairs are
+counted once, and after that only the pairs next to a replaced one are counted anew. Rules come with their
 expansion lengths, and each document's place in the sequence is stored, so any document, or any token
 range of it, is decoded without the rest.
 
-Layout, little-endian: magic "PRP1"; uint32 version 1, documents, rules, first nonterminal;
+Layout, little-endian: magic "PRP2"; uint32 version 2, documents, rules, first nonterminal;
 uint64 symbols; then int64 ids of the documents, uint8 whether the id is known, uint32 tokens of each,
-uint32 symbols of each, uint32 left and right symbol of each rule, uint32 expansion length of each rule,
-uint32 symbols of the sequence; the last six parts are deflated, each after its uint64 byte size.
+uint32 symbols of each, uint32 left and right symbol of each rule, uint32 expansion length of each rule, the
+symbols of the sequence in as many bits each as the last nonterminal takes, the highest bit first. Of the last six parts each comes after its uint64 byte size, and all
+but the sequence are deflated.
 
 Files are binary columns of Parquet tables, so they are written and read through Spark in any
 store it knows. Documents are dealt out by ranges of their ids, sorted within each, null ids first.
@@ -20,6 +23,7 @@ place; an empty table gives no files and no rows; other columns are not read.
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 import zlib
@@ -31,11 +35,11 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from . import _exchange as X, _text as T
 from ._encode import PieceStore, fine_pieces
 
-MAGIC = b"PRP1"
+MAGIC = b"PRP2"
 #: Tokens of a file, about.
 FILE_TOKENS = 1 << 20
-#: A pair must be so frequent to become a rule, and a round replaces so many pairs at most.
-LEAST_COUNT, ROUND_PAIRS, ROUNDS = 64, 1024, 4
+#: A pair that is so frequent becomes a rule: it saves a symbol each time and costs three numbers.
+LEAST_COUNT = 4
 #: ahead: tokens of the part's files before this one.
 FILES = "part int, file int, n_docs long, n_tokens long, ahead long, blob binary"
 #: Up to so many parts, their offsets (24 bytes each) go to all executors; beyond, they are joined.
@@ -45,62 +49,103 @@ MOST_PARTS = 1 << 16
 # ---------------------------------------------------------------- grammar
 
 
-def frequent_pairs(left: np.ndarray, right: np.ndarray, most: int, least: int) -> np.ndarray:
-    """The most frequent pairs as left << 32 | right, most frequent first."""
-    if not len(left):
-        return np.zeros(0, T.U64)
-    keys = (left.astype(T.U64) << T.U64(32)) | right.astype(T.U64)
-    with np.errstate(over="ignore"):
-        slot = ((keys * T.U64(0x9E3779B97F4A7C15)) >> T.U64(46)).astype(np.int64)
-    held = np.bincount(slot, minlength=1 << 18)
-    full = held >= least
-    keys = keys[full[slot]]
-    if not len(keys):
-        return keys
-    distinct, counts = np.unique(keys, return_counts=True)
-    keep = counts >= least
-    distinct, counts = distinct[keep], counts[keep]
-    order = np.lexsort((distinct, -counts))[:most]
-    return distinct[order]
-
-
-def compress(ids: np.ndarray, ends: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def pair_keys(seq: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """left << 32 | right of the pairs at these places."""
+    return (seq[at].astype(T.U64) << T.U64(32)) | seq[at + 1]
+
+
+def apart(pairs: np.ndarray) -> np.ndarray:
+    """Those of the pairs, the most frequent first, whose occurrences overlap with no occurrence of an earlier one."""
+    left, right, kept = set(), set(), []
+    for i, (a, b) in enumerate(zip((pairs >> T.U64(32)).tolist(), (pairs & T.U64(0xFFFFFFFF)).tolist())):
+        if a not in right and b not in left and (a != b or a not in left and b not in right):
+            left.add(a)
+            right.add(b)
+            kept.append(i)
+    return pairs[kept]
+
+
+class PairCounts:
+    """Counts of the pairs that occur LEAST times or more; a pair of known symbols only gets rarer."""
+
+    def __init__(self, keys: np.ndarray, least: int):
+        self.least, self.keys, self.counts = least, np.zeros(0, T.U64), np.zeros(0, np.int64)
+        self.add(keys)
+
+    def add(self, keys: np.ndarray) -> None:
+        """New pairs, by their occurrences."""
+        found, n = np.unique(keys, return_counts=True)
+        found, n = found[n >= self.least], n[n >= self.least]
+        at = np.searchsorted(self.keys, found)
+        self.keys, self.counts = np.insert(self.keys, at, found), np.insert(self.counts, at, n)
+
+    def drop(self, gone: np.ndarray, lost: np.ndarray) -> None:
+        """gone: distinct pairs to forget; lost: occurrences that are no more."""
+        found, n = np.unique(lost, return_counts=True)
+        at = np.minimum(np.searchsorted(self.keys, found), len(self.keys) - 1)
+        held = self.keys[at] == found
+        self.counts[at[held]] -= n[held]
+        self.counts[np.searchsorted(self.keys, gone)] = 0
+        keep = self.counts >= self.least
+        self.keys, self.counts = self.keys[keep], self.counts[keep]
+
+    def best(self) -> np.ndarray:
+        """Pairs of a quarter of the highest count or more, the most frequent first."""
+        much = np.flatnonzero(self.counts >= max(self.least, int(self.counts.max()) // 4))
+        return self.keys[much[np.argsort(-self.counts[much], kind="stable")]]
+
+
+def occurrences(seq: np.ndarray, last: np.ndarray, pairs: np.ndarray, symbols: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the pairs (sorted, apart) and which pair is there; of a run of one symbol every other place."""
+    is_left, is_right = np.zeros(symbols, bool), np.zeros(symbols, bool)
+    is_left[(pairs >> T.U64(32)).astype(np.int64)] = True
+    is_right[(pairs & T.U64(0xFFFFFFFF)).astype(np.int64)] = True
+    at = np.flatnonzero(is_left[seq[:-1]] & is_right[seq[1:]] & ~last[:-1])
+    held = pair_keys(seq, at)
+    which = np.minimum(np.searchsorted(pairs, held), len(pairs) - 1)
+    hit = pairs[which] == held
+    at, which = at[hit], which[hit]
+    begin = np.flatnonzero(np.concatenate([[True], np.diff(at) != 1]))[: len(at)]
+    keep = (np.arange(len(at)) - np.repeat(begin, np.diff(np.append(begin, len(at))))) % 2 == 0
+    return at[keep], which[keep]
+
+
+def beside(seq: np.ndarray, last: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+    """The pairs that occurrences of this size have with their neighbours, each once."""
+    mine = np.zeros(len(seq) + size, bool)
+    mine[at] = True
+    before = at[at > 0] - 1
+    before = before[~last[before] & ~mine[before - (size - 1)]]  # the pair with an occurrence before it is that one's
+    after = at + size - 1
+    return pair_keys(seq, np.concatenate([before, after[~last[after]]]))
+
+
+def compress(ids: np.ndarray, ends: np.ndarray, first: int, least: int = LEAST_COUNT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Symbols, their count by document, and rules (left, right); ends are the documents' ends in ids, first the first free symbol."""
     seq = ids.astype(np.uint32)
-    doc = np.repeat(np.arange(len(ends), dtype=np.int32), np.diff(np.concatenate([[0], ends])))
-    rules: list[np.ndarray] = []
-    n_rules = 0
-    for _ in range(ROUNDS):
-        if len(seq) < 2:
-            break
-        same = doc[1:] == doc[:-1]
-        pairs = frequent_pairs(seq[:-1][same], seq[1:][same], ROUND_PAIRS, LEAST_COUNT)
-        if not len(pairs):
-            break
-        # which rule stands at each place: pairs are few, so a table by the left symbol narrows them down first
-        starts = np.zeros(first + n_rules + 1, bool)
-        starts[(pairs >> T.U64(32)).astype(np.int64)] = True
-        at = np.flatnonzero(starts[seq[:-1]] & same)
-        keys = (seq[at].astype(T.U64) << T.U64(32)) | seq[at + 1].astype(T.U64)
-        order = np.argsort(pairs)
-        place = np.minimum(np.searchsorted(pairs[order], keys), len(pairs) - 1)
-        hit = pairs[order][place] == keys
-        at, rank = at[hit], order[place[hit]]
-        # of overlapping places in a run, the first, third, ... stay
-        run = np.concatenate([[True], np.diff(at) != 1])
-        begin = np.maximum.accumulate(np.where(run, np.arange(len(at)), 0))
-        keep = (np.arange(len(at)) - begin) % 2 == 0
-        at, rank = at[keep], rank[keep]
-        used, rank = np.unique(rank, return_inverse=True)
-        seq[at] = first + n_rules + rank
-        gone = np.ones(len(seq), bool)
-        gone[at + 1] = False
-        seq, doc = seq[gone], doc[gone]
-        rules.append(pairs[used])
-        n_rules += len(used)
-    found = np.concatenate(rules) if rules else np.zeros(0, T.U64)
-    table = np.stack([(found >> T.U64(32)).astype(np.uint32), (found & T.U64(0xFFFFFFFF)).astype(np.uint32)], 1)
-    return seq, np.bincount(doc, minlength=len(ends)).astype(np.uint32), table
+    symbols = np.diff(np.concatenate([[0], ends])).astype(np.int64)
+    doc = np.repeat(np.arange(len(ends), dtype=np.int32), symbols)
+    last = np.ones(len(seq), bool)  # of its document
+    last[:-1] = doc[1:] != doc[:-1]
+    counts = PairCounts(pair_keys(seq, np.flatnonzero(~last)), least)
+    rules, n_rules = [np.zeros(0, T.U64)], 0
+    while len(counts.keys):
+        pairs = np.sort(apart(counts.best()))
+        at, which = occurrences(seq, last, pairs, first + n_rules)
+        often = np.bincount(which, minlength=len(pairs)) >= least  # a run of one symbol holds its pair half as often as counted
+        at, which = at[often[which]], which[often[which]]
+        counts.drop(pairs, beside(seq, last, at, 2))
+        seq[at] = (first + n_rules - 1 + np.cumsum(often))[which]
+        last[at] = last[at + 1]
+        symbols -= np.bincount(doc[at], minlength=len(ends))
+        stay = np.ones(len(seq), bool)
+        stay[at + 1] = False
+        seq, last, doc = seq[stay], last[stay], doc[stay]
+        counts.add(beside(seq, last, at - np.arange(len(at)), 1))
+        rules.append(pairs[often])
+        n_rules += int(often.sum())
+    found = np.concatenate(rules)
+    return seq, symbols.astype(np.uint32), np.stack([(found >> T.U64(32)).astype(np.uint32), (found & T.U64(0xFFFFFFFF)).astype(np.uint32)], 1)
 
 
 def lengths(rules: np.ndarray, first: int) -> np.ndarray:
@@ -115,32 +160,38 @@ def lengths(rules: np.ndarray, first: int) -> np.ndarray:
     return out[first:]
 
 
-def expand(seq: np.ndarray, rules: np.ndarray, first: int) -> np.ndarray:
-    """The ids that symbols stand for."""
-    seq = seq.astype(np.uint32)
-    while True:
+def expand(seq: np.ndarray, rules: np.ndarray, spans: np.ndarray, first: int) -> np.ndarray:
+    """The ids that symbols stand for; spans are the rules' expansion lengths, which say where each part goes."""
+    sizes_of = lambda x: np.where(x >= first, spans[np.maximum(x - first, 0)], 1) if len(spans) else np.ones(len(x), np.int64)
+    seq, spans = seq.astype(np.int64), spans.astype(np.int64)
+    sizes = sizes_of(seq)
+    at = np.cumsum(sizes) - sizes
+    out = np.empty(int(sizes.sum()), np.uint32)
+    while len(seq):
         high = seq >= first
-        if not high.any():
-            return seq
-        sizes = 1 + high.astype(np.int64)
-        at = np.cumsum(sizes) - sizes
-        out = np.empty(int(sizes.sum()), np.uint32)
         out[at[~high]] = seq[~high]
-        rule = seq[high] - first
-        out[at[high]] = rules[rule, 0]
-        out[at[high] + 1] = rules[rule, 1]
-        seq = out
+        left, right = (rules[seq[high] - first, side].astype(np.int64) for side in (0, 1))
+        seq, at = np.concatenate([left, right]), np.concatenate([at[high], at[high] + sizes_of(left)])
+    return out
+
+
+def to_bits(x: np.ndarray, wide: int) -> bytes:
+    """The lowest so many bits of each number."""
+    return np.packbits(np.unpackbits(x.astype(">u4").view(np.uint8).reshape(-1, 4), axis=1)[:, 32 - wide :]).tobytes()
+
+
+def of_bits(body: bytes, wide: int, n: int) -> np.ndarray:
+    full = np.zeros((n, 32), np.uint8)
+    full[:, 32 - wide :] = np.unpackbits(np.frombuffer(body, np.uint8), count=n * wide).reshape(n, wide)
+    return np.packbits(full, axis=1).view(">u4").ravel().astype(np.uint32)
 
 
 def to_blob(doc_ids: np.ndarray, known: np.ndarray, ids: np.ndarray, sizes: np.ndarray, first: int) -> bytes:
     seq, symbols, rules = compress(ids, np.cumsum(sizes), first)
-    parts = [sizes.astype("<u4"), symbols.astype("<u4"), rules[:, 0].astype("<u4"), rules[:, 1].astype("<u4"), lengths(rules, first).astype("<u4"), seq.astype("<u2") if first + len(rules) <= 1 << 16 else seq.astype("<u4")]
-    out = [MAGIC, struct.pack("<IIIIQ", 1, len(doc_ids), len(rules), first, len(seq)), doc_ids.astype("<i8").tobytes(), known.astype(np.uint8).tobytes()]
-    for i, part in enumerate(parts):
-        raw = part.tobytes()
-        body = raw if i == 5 else zlib.compress(raw, 1)
-        out += [struct.pack("<Q", len(body)), body]
-    return b"".join(out)
+    packed = [zlib.compress(x.astype("<u4").tobytes(), 1) for x in (sizes, symbols, rules[:, 0], rules[:, 1], lengths(rules, first))]
+    packed.append(to_bits(seq, (first + len(rules) - 1).bit_length()))
+    out = [MAGIC, struct.pack("<IIIIQ", 2, len(doc_ids), len(rules), first, len(seq)), doc_ids.astype("<i8").tobytes(), known.astype(np.uint8).tobytes()]
+    return b"".join(out + [x for body in packed for x in (struct.pack("<Q", len(body)), body)])
 
 
 class TokenFile:
@@ -150,7 +201,7 @@ class TokenFile:
         if blob[:4] != MAGIC:
             raise ValueError("not a token file")
         version, n, n_rules, self.first, n_seq = struct.unpack_from("<IIIIQ", blob, 4)
-        if version != 1:
+        if version != 2:
             raise ValueError(f"version {version}")
         at = 28
         self.doc_ids = np.frombuffer(blob, "<i8", n, at)
@@ -160,17 +211,14 @@ class TokenFile:
         for i in range(6):
             (size,) = struct.unpack_from("<Q", blob, at)
             body = blob[at + 8 : at + 8 + size]
-            wide = "<u4" if i < 5 or self.first + n_rules > 1 << 16 else "<u2"
-            parts.append(np.frombuffer(body if i == 5 else zlib.decompress(body), wide))
+            parts.append(np.frombuffer(zlib.decompress(body), "<u4") if i < 5 else of_bits(body, (self.first + n_rules - 1).bit_length(), n_seq))
             at += 8 + size
         self.sizes, self.symbols, left, right, self.spans, self.seq = parts
         self.rules = np.stack([left, right], 1)
-        if len(self.seq) != n_seq:
-            raise ValueError("cut short")
         self.begin = np.concatenate([[0], np.cumsum(self.symbols.astype(np.int64))])
 
     def document(self, i: int) -> np.ndarray:
-        return expand(self.seq[self.begin[i] : self.begin[i + 1]], self.rules, self.first)
+        return expand(self.seq[self.begin[i] : self.begin[i + 1]], self.rules, self.spans, self.first)
 
     def tokens(self, i: int, start: int, end: int) -> np.ndarray:
         """Tokens start..end of document i; only the symbols that reach into the range are expanded."""
@@ -181,42 +229,66 @@ class TokenFile:
         if a >= b:
             return np.zeros(0, np.uint32)
         skip = start - int(after[a] - size[a])
-        return expand(seq[a:b], self.rules, self.first)[skip : skip + end - start]
+        return expand(seq[a:b], self.rules, self.spans, self.first)[skip : skip + end - start]
 
     def all(self) -> np.ndarray:
-        return expand(self.seq, self.rules, self.first)
+        return expand(self.seq, self.rules, self.spans, self.first)
 
 
 # ---------------------------------------------------------------- encoding
 
 
+#: Steps of a tokenizer file for which texts may be cut at white space, and parts of ASCII where letters, digits and other characters meet.
+KNOWN_NORMALIZERS = ({"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"})
+KNOWN_PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+
+
 class TextEncoder:
-    """Ids of texts by a tokenizer whose pre-tokens never cross white space, with an end id after each text."""
+    """Ids of texts by a tokenizer, with an end id after each text.
+
+    Texts are put together from the ids of their pieces only where the tokenizer's file says that this gives the same ids; any other
+    tokenizer gets whole texts.
+    """
 
     def __init__(self, path: str, end_id: int):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer, self.end = Tokenizer.from_file(path), end_id
         self.first = max(self.tokenizer.get_vocab_size(with_added_tokens=True), end_id + 1)
         self.store = PieceStore(self.ids_of)
+        parts = json.loads(self.tokenizer.to_str())
+        normalizers, splits = ((parts[k] or {}).get(key, [parts[k]] if parts[k] else []) for k, key in (("normalizer", "normalizers"), ("pre_tokenizer", "pretokenizers")))
+        split = [x for x in splits if x["type"] == "Split"]
+        self.added = [x["content"].encode() for x in parts["added_tokens"]]
+        plain = all(x in KNOWN_NORMALIZERS for x in normalizers) and len(split) == 1 and split[0]["pattern"] == {"Regex": KNOWN_PATTERN} and split[0]["behavior"] == "Removed" and split[0]["invert"]
+        plain = plain and all(x["type"] == "Split" or x["type"] == "ByteLevel" and not x["add_prefix_space"] and not x["use_regex"] for x in splits)
+        self.by_pieces = plain and not any(any(c.isspace() for c in x["content"]) or x["lstrip"] or x["rstrip"] or x["single_word"] or x["normalized"] for x in parts["added_tokens"])
+        self.fold = T.LOWER if {"type": "Lowercase"} in normalizers else None
 
     def ids_of(self, pieces: list[str]) -> list[list[int]]:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # read at every call; pieces are short, and each core has a task of its own
         return [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
 
+    def slice_ids(self, raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the texts, and how many each has."""
+        body = raw.tobytes()
+        if not self.by_pieces:
+            ids = self.ids_of([body[a:b].decode() for a, b in zip(off[:-1].tolist(), off[1:].tolist())])
+            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+            return np.fromiter((x for i in ids for x in i), np.int32, int(sizes.sum())), sizes
+        starts, ends, _ = T.word_bounds(raw, off, T.SPACED)
+        fold = None
+        if not any(x in body for x in self.added):  # only a whole part shows an added token
+            starts, ends = fine_pieces(raw, starts, ends)
+            fold = self.fold
+        ids, counts = self.store.of(raw, starts, ends, fold)
+        return ids, np.diff(np.concatenate([[0], np.cumsum(counts)])[np.searchsorted(starts, off)])
+
     def encode(self, column: pa.Array):
         """(first row, last row, ids, tokens of each text) by slices."""
         data, offsets = T.buffers(column)
         for a, b in T.slices(offsets):
-            raw, off = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
-            starts, ends, _ = T.word_bounds(raw, off, T.SPACED)
-            fold = None
-            if b"<|" not in raw.tobytes():  # such texts may hold special tokens, which only the whole part shows
-                starts, ends = fine_pieces(raw, starts, ends)
-                fold = T.LOWER
-            ids, counts = self.store.of(raw, starts, ends, fold)
-            per = np.concatenate([[0], np.cumsum(counts)])[np.searchsorted(starts, off)]
-            sizes = np.diff(per)
+            ids, sizes = self.slice_ids(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
             out = np.full(len(ids) + (b - a), self.end, np.uint32)
             ends_at = np.cumsum(sizes + 1) - 1
             inner = np.ones(len(out), bool)

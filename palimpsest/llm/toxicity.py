@@ -229,7 +229,7 @@ def unmix(x: np.ndarray) -> np.ndarray:
     """The inverse of mix()."""
     for factor in (0xC4CEB9FE1A85EC53, 0xFF51AFD7ED558CCD):
         x = x ^ (x >> T.U64(33))
-        x = x * T._inverse(T.U64(factor))
+        x = x * T.U64(pow(factor, -1, 1 << 64))
     return x ^ (x >> T.U64(33))
 
 
@@ -288,6 +288,7 @@ class Grams:
 
     def __init__(self, summed: DataFrame, n: int):
         self.n = n
+        no_counts = X.to_arrow("bucket int, keys binary, counts binary")  # made here, as workers know no schema texts
 
         def passed(row, keys: np.ndarray, notes: np.ndarray):
             """Rows of SENT of one bucket's notes to other keys."""
@@ -305,7 +306,7 @@ class Grams:
 
         def adjust(left: pa.Table, right: pa.Table) -> pa.Table:
             if not left.num_rows:
-                return X.to_arrow("bucket int, keys binary, counts binary")
+                return no_counts
             mixed = np.frombuffer(left["keys"][0].as_py(), T.U64)
             counts = X.unpack(left["counts"][0].as_py(), np.int64).reshape(-1, 2).copy()
             order, bodies = parts_of(unmix(mixed))
@@ -354,6 +355,7 @@ class Grams:
         """work(rows, scorer) for every shard of docs, the scorer out of the n-grams of the shard's words."""
         table, _ = X.shards(docs, "doc_id", text, whole=True)
         n, begin, base = self.n, self.begin, self.base
+        no_codes = X.to_arrow("shard long, bucket int, codes binary")
 
         def asked(rows: pa.Table) -> np.ndarray:
             column = rows[text].cast(pa.string()).combine_chunks()
@@ -368,7 +370,7 @@ class Grams:
             if right.num_rows:
                 keys, stats = np.frombuffer(right["keys"][0].as_py(), T.U64), X.unpack(right["stats"][0].as_py(), np.float32).reshape(-1, 6)
             if not left.num_rows:
-                return X.to_arrow("shard long, bucket int, codes binary")
+                return no_codes
             codes = [X.pack(placed(np.frombuffer(x, T.U64), keys, stats)) for x in left["keys"].to_pylist()]
             return pa.table({"shard": left["shard"].cast(pa.int64()), "bucket": left["bucket"].cast(pa.int32()), "codes": pa.array(codes, pa.binary())})
 
@@ -418,12 +420,16 @@ class Judge:
         return docs.mapInArrow(batched, schema)
 
     def __call__(self, column: pa.Array) -> np.ndarray:
-        out = np.full(len(column), self.share)
+        return self.judged(column)[0]
+
+    def judged(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Scores, and whether there is anything to judge: a model, and words."""
+        out, ok = np.full(len(column), self.share), np.zeros(len(column), bool)
         if self.regression is not None and len(column):
             x = self.scorer.features(column)
             ok = ~np.isnan(x[:, 0])
             out[ok] = self.regression(x[ok])
-        return out
+        return out, ok
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn, ident: str = "doc_id", text: str = "text", label: str = "toxic") -> Judge:
@@ -468,10 +474,11 @@ def scores(docs: DataFrame, judge: Judge, ident: str = "doc_id", text: str = "te
 
 
 def ordinary(docs: DataFrame, judge: Judge, threshold: float = 0.3, text: str = "text") -> DataFrame:
-    """The rows of docs below the threshold, all columns."""
+    """The rows of docs below the threshold, all columns; null, empty and wordless texts stay, and all texts where no model was learned, as nothing speaks against them."""
 
     def work(batch: pa.RecordBatch, judge: Judge) -> pa.RecordBatch:
-        return batch.filter(pa.array(judge(batch.column(batch.schema.get_field_index(text))) < threshold))
+        score, spoken = judge.judged(batch.column(batch.schema.get_field_index(text)))
+        return batch.filter(pa.array((score < threshold) | ~spoken))
 
     return judge.run(docs, work, docs.schema, text)
 

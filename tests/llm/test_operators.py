@@ -176,20 +176,18 @@ def test_contamination(spark, documents, odd, chunk):
     found = decontaminate.scan(docs, bench, chunk_bytes=chunk).select("doc_id", "n_words", "n_hit", "items").collect()
     expected = contamination_brute([tuple(r) for r in docs.collect()], items)
     assert sorted(map(tuple, found), key=str) == expected
-    if chunk > 4000:
-        kept = decontaminate.decontaminated(odd, bench)
-        assert kept.columns == odd.columns and sorted(r.doc_id for r in kept.collect() if r.doc_id) == [3, 4, 5, 6, 7, 10]
+    kept = decontaminate.decontaminated(odd, bench, chunk_bytes=chunk)
+    assert kept.columns == odd.columns and sorted(r.doc_id for r in kept.collect() if r.doc_id) == [3, 4, 5, 6, 7, 10]
 
 
 def test_decontaminated_by_row(spark):
-    """Rows of one id, or of none, stay or go by their own text, however many chunks the benchmark is cut into."""
+    """Rows of one id, or of none, stay or go by their own text, whether the benchmark is sent or not."""
     items = [(i, " ".join(f"b{i}w{k}" for k in range(20))) for i in range(60)]
     bench = spark.createDataFrame(items, "item_id long, text string")
     clean = " ".join(f"clean{k}" for k in range(30))
     rows = [(1, items[3][1], "bad"), (1, clean, "good"), (None, items[4][1], "bad"), (None, clean, "good"), (None, None, "good"), (2, items[5][1], "bad"), (3, clean + " " + items[6][1], "bad"), (4, "", "good")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, kind string")
     for chunk in (8 << 20, 2000):
-        assert (len(decontaminate.chunks(bench, "item_id", "text", chunk)) > 1) == (chunk == 2000)
         kept = decontaminate.decontaminated(docs, bench, chunk_bytes=chunk)
         assert kept.columns == docs.columns
         assert sorted(map(tuple, kept.collect()), key=str) == sorted((r for r in rows if r[2] == "good"), key=str)
