@@ -14,17 +14,19 @@ from . import _text as T
 
 #: Pieces that a process keeps; beyond it the store starts anew.
 MOST_PIECES = 1_500_000
-#: 0 letter, 1 digit, 2 other ASCII, 3 apostrophe, 4 part of a character beyond ASCII
+#: 0 letter, 1 digit, 2 other ASCII, 3 apostrophe, 4 part of a character beyond ASCII, 5 white space
 KIND = np.full(256, 4, np.uint8)
 KIND[:128] = 2
 KIND[ord("0") : ord("9") + 1] = 1
 for _a in ("A", "a"):
     KIND[ord(_a) : ord(_a) + 26] = 0
 KIND[ord("'")] = 3
-#: Whether a piece may end between a byte of the first and one of the second kind.
-CUTS = np.zeros((5, 5), bool)
+KIND[~T.SPACED] = 5
+#: Whether a piece may end between a byte of the first and one of the second kind: by 6 * first + second.
+CUTS = np.zeros(36, bool)
 for _x, _y in ((0, 2), (2, 0), (0, 1), (1, 0), (1, 2), (2, 1), (1, 4), (4, 1), (1, 1)):
-    CUTS[_x, _y] = True
+    CUTS[6 * _x + _y] = True
+_KIND6 = KIND * 6
 
 
 class KeyTable:
@@ -71,8 +73,24 @@ class Ragged:
         return self.pool[T.ragged(self.start[which], sizes)], sizes
 
 
+#: Pieces of so many bytes are their own key, longer ones have a hash with the highest bit set.
+SHORT = 7
+_LONG = T.U64(1 << 63)
+
+
+def short_keys(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The bytes of pieces of up to SHORT bytes as a number, and their size above that."""
+    words = np.zeros(len(data) // 8 + 2, T.U64)
+    words.view(np.uint8)[: len(data)] = data
+    at, shift = starts >> 3, ((starts & 7) << 3).astype(T.U64)
+    # of two words what begins at the piece; a shift by 64 has no defined result, so the second is shifted twice
+    value = (words[at] >> shift) | ((words[at + 1] << T.U64(1)) << (T.U64(63) - shift))
+    wide = sizes.astype(T.U64)
+    return (value & ((T.U64(1) << (wide << T.U64(3))) - T.U64(1))) | (wide << T.U64(56))
+
+
 class PieceStore:
-    """Ids by the hash of a piece. The pieces' bytes are kept too and compared on every hit, so that equal hashes of different pieces do no harm."""
+    """Ids by a piece; encode gives the ids of a list of pieces, one after the other, and how many each has. Of pieces that go by a hash the bytes are kept too and compared on every hit, so that equal hashes of different pieces do no harm."""
 
     def __init__(self, encode, most: int = MOST_PIECES):
         self.encode, self.most = encode, most
@@ -85,17 +103,21 @@ class PieceStore:
         self.table.add(keys)
         raw = data.tobytes()
         for a in range(0, len(starts), 20_000):
-            ids = self.encode([raw[x:y].decode() for x, y in zip(starts[a : a + 20_000].tolist(), ends[a : a + 20_000].tolist())])
-            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-            self.ids.add(sizes, np.fromiter((x for i in ids for x in i), np.int32, int(sizes.sum())))
-        held = data[T.ragged(starts, ends - starts)]
-        self.bytes.add(ends - starts, held if fold is None else fold[held])
+            ids, sizes = self.encode([raw[x:y].decode() for x, y in zip(starts[a : a + 20_000].tolist(), ends[a : a + 20_000].tolist())])
+            self.ids.add(sizes, ids)
+        sizes = np.where(ends - starts > SHORT, ends - starts, 0)
+        held = data[T.ragged(starts, sizes)]
+        self.bytes.add(sizes, held if fold is None else fold[held])
 
     def of(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all pieces in a row, and how many each piece has."""
         if not len(starts):
             return np.zeros(0, np.int32), np.zeros(0, np.int64)
-        keys, own = T.hash_ranges(data, starts, ends, fold)
+        sizes = ends - starts
+        far = np.flatnonzero(sizes > SHORT)
+        keys = short_keys(data if fold is None else fold[data], starts, np.minimum(sizes, SHORT))
+        hashes, own = T.hash_ranges(data, starts[far], ends[far], fold)
+        keys[far] = hashes | _LONG
         order = np.argsort(keys)
         ordered = keys[order]
         new = np.concatenate([[True], ordered[1:] != ordered[:-1]])
@@ -109,12 +131,12 @@ class PieceStore:
             found = self.table.find(distinct)
         which = np.empty(len(keys), np.int64)
         which[order] = found[np.cumsum(new) - 1]
-        sizes = ends - starts
-        odd = self.bytes.size[which] != sizes
+        odd = self.bytes.size[which[far]] != sizes[far]
         if not odd.any():
-            unequal = np.flatnonzero(self.bytes.rows(which)[0] != own)
-            odd[np.searchsorted(np.cumsum(sizes), unequal, "right")] = True
+            unequal = np.flatnonzero(self.bytes.rows(which[far])[0] != own)
+            odd[np.searchsorted(np.cumsum(sizes[far]), unequal, "right")] = True
         if odd.any():
+            odd = np.isin(np.arange(len(keys)), far[odd])
             return self.apart(data, starts, ends, fold, odd)
         return self.ids.rows(which)
 
@@ -122,21 +144,22 @@ class PieceStore:
         """As of(), where some hits are of other pieces: those are encoded without the store."""
         raw, out = data.tobytes(), []
         for i, (a, b) in enumerate(zip(starts.tolist(), ends.tolist())):
-            out.append(self.encode([raw[a:b].decode()])[0] if odd[i] else self.of(data, starts[i : i + 1], ends[i : i + 1], fold)[0].tolist())
+            out.append(self.encode([raw[a:b].decode()])[0].tolist() if odd[i] else self.of(data, starts[i : i + 1], ends[i : i + 1], fold)[0].tolist())
         return np.fromiter((x for ids in out for x in ids), np.int32), np.fromiter(map(len, out), np.int64, len(out))
 
 
+def flat(ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Lists of ids as one array, and their sizes."""
+    sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+    return np.fromiter((x for i in ids for x in i), np.int32, int(sizes.sum())), sizes
+
+
 def fine_pieces(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The parts cut where a letter, a digit and other ASCII meet, nowhere next to an apostrophe."""
+    """The parts (between white space, or between texts) cut where a letter, a digit and other ASCII meet, nowhere next to an apostrophe."""
     if len(data) < 2:
         return starts, ends
-    kind = KIND[data]
-    cut = np.flatnonzero(CUTS[kind[:-1], kind[1:]]) + 1
-    inside = np.zeros(len(data) + 1, np.int8)
-    inside[starts] += 1
-    inside[ends] -= 1
-    within = np.cumsum(inside) > 0
-    edge = np.zeros(len(data) + 1, bool)
-    edge[starts] = True
-    cut = cut[within[cut] & within[cut - 1] & ~edge[cut]]
-    return np.sort(np.concatenate([starts, cut])), np.sort(np.concatenate([ends, cut]))
+    begin = np.zeros(len(data) + 1, bool)
+    begin[1:-1] = CUTS[_KIND6[data[:-1]] + KIND[data[1:]]]
+    end = begin.copy()
+    begin[starts] = end[ends] = True
+    return np.flatnonzero(begin), np.flatnonzero(end)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import _text as T
-from ._encode import PieceStore
+from ._encode import PieceStore, flat
 from .token_files import tokenizer_path
 
 NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6
@@ -150,10 +150,10 @@ class Codec:
         self.cuts = self.safe_cuts() if m.type == BPE and m.prefix and m.keeps_text else None
 
     @staticmethod
-    def batch(tokenizer, texts: list[str]) -> list[list[int]]:
-        """Ids of texts, by the library's threads."""
+    def batch(tokenizer, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts and how many each has, by the library's threads."""
         os.environ["TOKENIZERS_PARALLELISM"] = "true"  # read at every call
-        return [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return flat([e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)])
 
     def safe_cuts(self) -> np.ndarray:
         """Whether two bytes may be parted: ASCII characters (a blank stands for the mark) that meet in no piece; any byte and a blank, if no piece has the mark after another character."""
@@ -179,9 +179,7 @@ class Codec:
             sizes = np.diff(off)
             if self.cuts is None or b"\xe2\x96\x81" in raw.tobytes():
                 texts = [x or "" for x in column[a:b].to_pylist()]
-                held = [ids if t else [] for ids, t in zip(self.batch(self.whole, texts), texts)]
-                n = np.array([len(h) for h in held], np.int64)
-                ids = np.fromiter((i for h in held for i in h), np.int32, int(n.sum()))
+                ids, n = self.batch(self.whole, texts)
             else:
                 # a blank before each text that isn't empty stands for the mark that begins it
                 full = sizes > 0

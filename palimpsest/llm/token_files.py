@@ -3,7 +3,7 @@
 A file (one blob) holds the ids of consecutive documents. Its text is a sequence of symbols:
 ids, and nonterminals for pairs of symbols, found by replacing the most frequent pairs over and over
 until no pair occurs LEAST_COUNT times, so often that its rule (three numbers) pays; pairs never reach over a document's end. A round replaces all pairs
-of at least a quarter of the highest count whose occurrences don't overlap with those of a more frequent one; pairs are
+of at least an eighth of the highest count whose occurrences don't overlap with those of a more frequent one; pairs are
 counted once, and after that only the pairs next to a replaced one are counted anew. Rules come with their
 expansion lengths, and each document's place in the sequence is stored, so any document, or any token
 range of it, is decoded without the rest.
@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import struct
 import zlib
 
@@ -33,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from . import _exchange as X, _text as T
-from ._encode import PieceStore, fine_pieces
+from ._encode import PieceStore, fine_pieces, flat
 
 MAGIC = b"PRP2"
 #: Tokens of a file, about.
@@ -90,20 +91,21 @@ class PairCounts:
         self.keys, self.counts = self.keys[keep], self.counts[keep]
 
     def best(self) -> np.ndarray:
-        """Pairs of a quarter of the highest count or more, the most frequent first."""
-        much = np.flatnonzero(self.counts >= max(self.least, int(self.counts.max()) // 4))
+        """Pairs of an eighth of the highest count or more, the most frequent first."""
+        much = np.flatnonzero(self.counts >= max(self.least, int(self.counts.max()) // 8))
         return self.keys[much[np.argsort(-self.counts[much], kind="stable")]]
 
 
 def occurrences(seq: np.ndarray, last: np.ndarray, pairs: np.ndarray, symbols: int) -> tuple[np.ndarray, np.ndarray]:
     """Places of the pairs (sorted, apart) and which pair is there; of a run of one symbol every other place."""
-    is_left, is_right = np.zeros(symbols, bool), np.zeros(symbols, bool)
-    is_left[(pairs >> T.U64(32)).astype(np.int64)] = True
-    is_right[(pairs & T.U64(0xFFFFFFFF)).astype(np.int64)] = True
-    at = np.flatnonzero(is_left[seq[:-1]] & is_right[seq[1:]] & ~last[:-1])
+    side = np.zeros(symbols, np.uint8)
+    side[(pairs >> T.U64(32)).astype(np.int64)] = 1
+    side[(pairs & T.U64(0xFFFFFFFF)).astype(np.int64)] |= 2
+    of = side[seq]
+    at = np.flatnonzero((of[:-1] & (of[1:] >> 1)) & 1)
     held = pair_keys(seq, at)
     which = np.minimum(np.searchsorted(pairs, held), len(pairs) - 1)
-    hit = pairs[which] == held
+    hit = (pairs[which] == held) & ~last[at]
     at, which = at[hit], which[hit]
     begin = np.flatnonzero(np.concatenate([[True], np.diff(at) != 1]))[: len(at)]
     keep = (np.arange(len(at)) - np.repeat(begin, np.diff(np.append(begin, len(at))))) % 2 == 0
@@ -120,13 +122,18 @@ def beside(seq: np.ndarray, last: np.ndarray, at: np.ndarray, size: int) -> np.n
     return pair_keys(seq, np.concatenate([before, after[~last[after]]]))
 
 
+def marked(n: int, places: np.ndarray) -> np.ndarray:
+    out = np.zeros(n, bool)
+    out[places] = True
+    return out
+
+
 def compress(ids: np.ndarray, ends: np.ndarray, first: int, least: int = LEAST_COUNT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Symbols, their count by document, and rules (left, right); ends are the documents' ends in ids, first the first free symbol."""
     seq = ids.astype(np.uint32)
-    symbols = np.diff(np.concatenate([[0], ends])).astype(np.int64)
-    doc = np.repeat(np.arange(len(ends), dtype=np.int32), symbols)
-    last = np.ones(len(seq), bool)  # of its document
-    last[:-1] = doc[1:] != doc[:-1]
+    full = np.diff(np.concatenate([[0], ends])) > 0
+    final = ends[full].astype(np.int64) - 1  # the place of each document's last symbol
+    last = marked(len(seq), final)
     counts = PairCounts(pair_keys(seq, np.flatnonzero(~last)), least)
     rules, n_rules = [np.zeros(0, T.U64)], 0
     while len(counts.keys):
@@ -136,16 +143,16 @@ def compress(ids: np.ndarray, ends: np.ndarray, first: int, least: int = LEAST_C
         at, which = at[often[which]], which[often[which]]
         counts.drop(pairs, beside(seq, last, at, 2))
         seq[at] = (first + n_rules - 1 + np.cumsum(often))[which]
-        last[at] = last[at + 1]
-        symbols -= np.bincount(doc[at], minlength=len(ends))
-        stay = np.ones(len(seq), bool)
-        stay[at + 1] = False
-        seq, last, doc = seq[stay], last[stay], doc[stay]
+        seq = seq[~marked(len(seq), at + 1)]
+        final -= np.searchsorted(at, final, "left")  # every occurrence ahead takes a symbol
+        last = marked(len(seq), final)
         counts.add(beside(seq, last, at - np.arange(len(at)), 1))
         rules.append(pairs[often])
         n_rules += int(often.sum())
+    symbols = np.zeros(len(ends), np.uint32)
+    symbols[full] = np.diff(final, prepend=-1)
     found = np.concatenate(rules)
-    return seq, symbols.astype(np.uint32), np.stack([(found >> T.U64(32)).astype(np.uint32), (found & T.U64(0xFFFFFFFF)).astype(np.uint32)], 1)
+    return seq, symbols, np.stack([(found >> T.U64(32)).astype(np.uint32), (found & T.U64(0xFFFFFFFF)).astype(np.uint32)], 1)
 
 
 def lengths(rules: np.ndarray, first: int) -> np.ndarray:
@@ -243,6 +250,10 @@ KNOWN_NORMALIZERS = ({"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "
 KNOWN_PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 
 
+#: A piece that is one word whatever the case: letters only, none of which a normaliser decomposes, joins or lengthens.
+ONE_WORD = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
+
+
 class TextEncoder:
     """Ids of texts by a tokenizer, with an end id after each text.
 
@@ -264,18 +275,43 @@ class TextEncoder:
         plain = plain and all(x["type"] == "Split" or x["type"] == "ByteLevel" and not x["add_prefix_space"] and not x["use_regex"] for x in splits)
         self.by_pieces = plain and not any(any(c.isspace() for c in x["content"]) or x["lstrip"] or x["rstrip"] or x["single_word"] or x["normalized"] for x in parts["added_tokens"])
         self.fold = T.LOWER if {"type": "Lowercase"} in normalizers else None
-
-    def ids_of(self, pieces: list[str]) -> list[list[int]]:
+        # by the suffix that ends a word one can tell which ids end one
+        suffix = parts["model"].get("end_of_word_suffix") if self.by_pieces and parts["model"]["type"] == "BPE" else None
+        self.closes = np.zeros(self.first, bool)
+        for piece, i in parts["model"]["vocab"].items() if suffix else ():
+            self.closes[i] = piece.endswith(suffix)
+
+    def ids_of(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all pieces, and how many each has."""
+        one = np.fromiter((ONE_WORD.fullmatch(p) is not None for p in pieces), bool, len(pieces)) & self.closes.any()
+        words = [p for p, x in zip(pieces, one) if x]
+        ids, sizes = self.words(words)
+        if len(sizes) != len(words):  # some word has no id that closes it
+            return self.each(pieces)
+        if one.all():
+            return ids, sizes
+        other, n = self.each([p for p, x in zip(pieces, one) if not x])
+        counts = np.empty(len(pieces), np.int64)
+        counts[one], counts[~one] = sizes, n
+        out = np.empty(len(ids) + len(other), np.int32)
+        of_word = np.repeat(one, counts)
+        out[of_word], out[~of_word] = ids, other
+        return out, counts
+
+    def each(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # read at every call; pieces are short, and each core has a task of its own
-        return [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+        return flat([e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)])
+
+    def words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """As each(), of pieces of one word each, many in a text: an id that closes a word ends its piece."""
+        ids, _ = self.each([" ".join(words[a : a + 500]) for a in range(0, len(words), 500)])
+        return ids, np.diff(np.flatnonzero(self.closes[ids]), prepend=-1)
 
     def slice_ids(self, raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the texts, and how many each has."""
         body = raw.tobytes()
         if not self.by_pieces:
-            ids = self.ids_of([body[a:b].decode() for a, b in zip(off[:-1].tolist(), off[1:].tolist())])
-            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-            return np.fromiter((x for i in ids for x in i), np.int32, int(sizes.sum())), sizes
+            return self.each([body[a:b].decode() for a, b in zip(off[:-1].tolist(), off[1:].tolist())])
         starts, ends, _ = T.word_bounds(raw, off, T.SPACED)
         fold = None
         if not any(x in body for x in self.added):  # only a whole part shows an added token
