@@ -25,7 +25,6 @@ from __future__ import annotations
 
 import json
 import os
-import re
 import struct
 import zlib
 
@@ -250,8 +249,19 @@ KNOWN_NORMALIZERS = ({"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "
 KNOWN_PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 
 
-#: A piece that is one word whatever the case: letters only, none of which a normaliser decomposes, joins or lengthens.
-ONE_WORD = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
+#: Bytes of the letters A-Z, a-z and À-ÿ (without × and ÷), of which no normaliser decomposes, joins or lengthens any.
+WORD_BYTES = np.zeros(256, bool)
+WORD_BYTES[[*range(65, 91), *range(97, 123), 0xC3, *range(0x80, 0xC0)]] = True
+WORD_BYTES[[0x97, 0xB7]] = False
+
+
+def one_word(pieces: list[str]) -> np.ndarray:
+    """Whether each piece (none empty, none with a line feed) is one word whatever the case: such letters only."""
+    raw = np.frombuffer("\n".join(pieces).encode(), np.uint8)
+    cuts = np.flatnonzero(raw == 10)
+    other = ~WORD_BYTES[raw]
+    other[cuts] = False
+    return ~np.logical_or.reduceat(other, np.concatenate([[0], cuts + 1]))
 
 
 class TextEncoder:
@@ -283,7 +293,8 @@ class TextEncoder:
 
     def ids_of(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all pieces, and how many each has."""
-        one = np.fromiter((ONE_WORD.fullmatch(p) is not None for p in pieces), bool, len(pieces)) & self.closes.any()
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # read at every call; pieces are short, and each core has a task of its own
+        one = one_word(pieces) & self.closes.any()
         words = [p for p, x in zip(pieces, one) if x]
         ids, sizes = self.words(words)
         if len(sizes) != len(words):  # some word has no id that closes it
@@ -299,12 +310,12 @@ class TextEncoder:
         return out, counts
 
     def each(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # read at every call; pieces are short, and each core has a task of its own
         return flat([e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)])
 
     def words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """As each(), of pieces of one word each, many in a text: an id that closes a word ends its piece."""
-        ids, _ = self.each([" ".join(words[a : a + 500]) for a in range(0, len(words), 500)])
+        held = self.tokenizer.encode_batch_fast([" ".join(words[a : a + 500]) for a in range(0, len(words), 500)], add_special_tokens=False)
+        ids = np.concatenate([np.zeros(0, np.int32), *[np.array(e.ids, np.int32) for e in held]])
         return ids, np.diff(np.flatnonzero(self.closes[ids]), prepend=-1)
 
     def slice_ids(self, raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
