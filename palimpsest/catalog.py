@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import forensics
+from .plans import evidence, forensics, results  # noqa: F401  evidence and results add their queries to the table that forensics holds
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

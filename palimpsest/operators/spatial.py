@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.geometry import box, intersects, overlap, overlap_of_smaller
-from ..functions.numeric import texts_differ
+from ..functions.numeric import currency_value
 
 
 def cells(rows: DataFrame, size: float) -> DataFrame:
@@ -32,13 +32,16 @@ def grid_join(left: DataFrame, right: DataFrame, on: list[str], size: float, kee
 def stacked_pairs(spans: DataFrame, on: list[str], order: str = "ord", least: float = 0.5, size: float = 64) -> DataFrame:
     """Pairs of different texts of which one covers so much of the other."""
     share = overlap_of_smaller(box("a_"), box("b_"))
-    keep = (F.col(f"a_{order}") < F.col(f"b_{order}")) & (share >= least) & texts_differ(F.col("a_text"), F.col("b_text"))
-    return grid_join(spans, spans, on, size, keep).withColumn("overlap", share)
+    # a span's bare text and amount are made once, not for every pair
+    rows = spans.withColumn("bare", F.regexp_replace("text", r"\s+", "")).where("bare <> ''").withColumn("amount", currency_value(F.col("text")))
+    differ = (F.col("a_bare") != F.col("b_bare")) & ~F.coalesce(F.col("a_amount") == F.col("b_amount"), F.lit(False))
+    met = grid_join(rows, rows, on, size, (F.col(f"a_{order}") < F.col(f"b_{order}")) & (share >= least) & differ)
+    return met.drop("a_bare", "b_bare", "a_amount", "b_amount").withColumn("overlap", share)
 
 
 def ghosts(blocks: DataFrame, on: list[str], page_area: float, order: str = "ord", size: float = 64) -> DataFrame:
     """Pairs of small blocks of different text that overlap by more than 5 points either way and 0.3 of the smaller."""
-    small = blocks.where((F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0")) <= 0.3 * page_area).where(F.length("text") >= 2)
+    small = blocks.withColumn("text", F.trim("text")).where((F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0")) <= 0.3 * page_area).where(F.length("text") >= 2)
     w, h = overlap(box("a_"), box("b_"))
     share = overlap_of_smaller(box("a_"), box("b_"))
     return grid_join(small, small, on, size, (F.col(f"a_{order}") < F.col(f"b_{order}")) & (F.col("a_text") != F.col("b_text")) & (w > 5) & (h > 5) & (share > 0.3)).withColumn("overlap", share)
@@ -60,11 +63,11 @@ def outside(rows: DataFrame, zones: DataFrame, on: list[str], order: str = "ord"
 
 
 def overwritten(spans: DataFrame, on: list[str], order: str = "ord") -> DataFrame:
-    """Spans at the same box, to a tenth of a point, as an earlier span of another text; each is held against the first."""
+    """Spans at the same box, to a tenth of a point, as an earlier span of another text (without blanks around it); each is held against the first. Blank spans take no part."""
     key = [F.bround(c, 1) for c in box()]
     place = Window.partitionBy(*on, *key).orderBy(order)
     digest = F.sha2("text", 256)
-    out = spans.withColumn("first_text", F.first("text").over(place)).withColumn("first_ord", F.first(order).over(place))
+    out = spans.withColumn("text", F.trim("text")).where("text <> ''").withColumn("first_text", F.first("text").over(place)).withColumn("first_ord", F.first(order).over(place))
     return out.where(F.sha2("first_text", 256) != digest)
 
 

@@ -113,15 +113,23 @@ def magnitude_ratio(spark, sf_dir):
     return rows.select("grp", "ord", "value", "max_other", F.round("ratio", 6).alias("ratio"), (F.col("ratio") >= outliers.RATIO_LEAST).alias("flagged"))
 
 
-@query(f"WITH {NUMBERS}, big AS (SELECT *, ord - 1 AS i, count(*) OVER (PARTITION BY grp) AS size FROM numbers), wins AS (SELECT big.*, win FROM big, unnest(generate_series(0, 40)) AS s(win) WHERE size > 30 AND win * 5 <= size - 10 AND i >= win * 5 AND i < win * 5 + 10), {LEFT_OUT.format(keys='grp, win', rows='wins')}, h AS (SELECT *, row_number() OVER (PARTITION BY grp, page, line ORDER BY win, ord) AS f FROM z WHERE z >= 2.5) SELECT grp, page, line, ord, CAST(win AS BIGINT) AS win, value, round(z, 4) AS z FROM h WHERE f = 1")
+@query(f"WITH {NUMBERS}, big AS (SELECT *, ord - 1 AS i, count(*) OVER (PARTITION BY grp) AS size FROM numbers), wins AS (SELECT big.*, win FROM big, unnest(generate_series(0, (size - 10) // 5)) AS s(win) WHERE size > 30 AND win * 5 <= size - 10 AND i >= win * 5 AND i < win * 5 + 10), {LEFT_OUT.format(keys='grp, win', rows='wins')}, h AS (SELECT *, row_number() OVER (PARTITION BY grp, page, line ORDER BY win, ord) AS f FROM z WHERE z >= 2.5) SELECT grp, page, line, ord, CAST(win AS BIGINT) AS win, value, round(z, 4) AS z FROM h WHERE f = 1")
 def rolling_window_outliers(spark, sf_dir):
     rows = outliers.rolling(numbers(spark, sf_dir), ["grp"], ["ord"], ["page", "line"])
     return rows.select("grp", "page", "line", "ord", "win", "value", F.round("z", 4).alias("z"))
 
 
-@query(f"WITH {FOUND} SELECT grp, page, ord, count(*) OVER (PARTITION BY page) > 1 AS boosted, round(z + CASE WHEN count(*) OVER (PARTITION BY page) > 1 THEN 15 ELSE 0 END, 4) AS z FROM found")
+@query(f"WITH {FOUND}, c AS (SELECT grp, ord, z, page % 4 AS page, line // 64 AS line FROM found) SELECT grp, page, line, ord, count(*) OVER (PARTITION BY page, line) > 1 AS boosted, round(z + CASE WHEN count(*) OVER (PARTITION BY page, line) > 1 THEN 15 ELSE 0 END, 4) AS z FROM c")
 def cross_column_boost(spark, sf_dir):
-    return outliers.boosted(found_outliers(spark, sf_dir), ["page"]).select("grp", "page", "ord", "boosted", F.round("z", 4).alias("z"))
+    rows = found_outliers(spark, sf_dir).withColumn("page", F.col("page") % 4).withColumn("line", F.floor(F.col("line") / 64))
+    return outliers.boosted(rows, ["page", "line"]).select("grp", "page", "line", "ord", "boosted", F.round("z", 4).alias("z"))
+
+
+@query(f"WITH {FOUND}, r AS (SELECT page % 5 AS doc, grp, ord, z, row_number() OVER (PARTITION BY page % 5 ORDER BY round(z, 6) DESC, grp, ord) AS rank FROM found) SELECT doc, grp, ord, round(z, 4) AS z, rank FROM r WHERE rank <= 10")
+def reported_numbers(spark, sf_dir):
+    rows = found_outliers(spark, sf_dir).withColumn("doc", F.col("page") % 5)
+    rank = F.row_number().over(Window.partitionBy("doc").orderBy(F.desc(F.round("z", 6)), "grp", "ord"))
+    return rows.withColumn("rank", rank).where("rank <= 10").select("doc", "grp", "ord", F.round("z", 4).alias("z"), "rank")
 
 
 @query(f"WITH {FOUND}, c AS (SELECT page, count(*) FILTER (round_even(z, 2) >= 5) AS n_extreme, count(*) FILTER (round_even(z, 2) >= 3 AND round_even(z, 2) < 5) AS n_high FROM found GROUP BY page) SELECT page, n_extreme, n_high, CAST(least(100, least(60, 20 * n_extreme) + least(30, 10 * n_high)) AS BIGINT) AS score FROM c")
@@ -151,12 +159,11 @@ def stacked_text_pairs(spark, sf_dir):
     return rows.select("page", "a_ord", "b_ord", "a_text", "b_text", F.round("overlap", 6).alias("overlap"))
 
 
-@query(f"WITH RECURSIVE {SPANS}, m AS (SELECT a.page, a.ord AS a, b.ord AS b, {MEET} FROM spans a JOIN spans b ON a.page = b.page AND a.ord < b.ord AND a.text <> b.text), e AS (SELECT a, b FROM m WHERE w > 0 AND h > 0 AND w * h / smaller >= 0.5), both_ AS (SELECT a AS v, b AS w FROM e UNION SELECT b, a FROM e), reach(v, r) AS (SELECT v, v FROM both_ UNION SELECT both_.w, r FROM reach JOIN both_ ON reach.v = both_.v), c AS (SELECT v, min(r) AS component FROM reach GROUP BY v) SELECT component, count(*) AS n_members, string_agg(DISTINCT text, ',' ORDER BY text) AS texts FROM c JOIN spans ON ord = v GROUP BY component HAVING count(DISTINCT text) >= 2")
+@query(f"WITH RECURSIVE {SPANS}, m AS (SELECT a.page, a.ord AS a, b.ord AS b, {MEET} FROM spans a JOIN spans b ON a.page = b.page AND a.ord < b.ord AND a.text <> b.text), e AS (SELECT a, b FROM m WHERE w > 0 AND h > 0 AND w * h / smaller >= 0.5), both_ AS (SELECT a AS v, b AS w FROM e UNION SELECT b, a FROM e), reach(v, r) AS (SELECT v, v FROM both_ UNION SELECT both_.w, r FROM reach JOIN both_ ON reach.v = both_.v), c AS (SELECT v, min(r) AS component FROM reach GROUP BY v), t AS (SELECT component, text, count(*) AS n, min(v) AS first FROM c JOIN spans ON ord = v GROUP BY component, text), s AS (SELECT component, sum(n) AS n_members, string_agg(text, ',' ORDER BY first) AS texts FROM t GROUP BY component HAVING count(*) >= 2), best AS (SELECT c.component, first(m.a ORDER BY w * h / smaller DESC, m.a, m.b) AS a, first(m.b ORDER BY w * h / smaller DESC, m.a, m.b) AS b, max(w * h / smaller) AS overlap FROM m JOIN c ON c.v = m.a WHERE w > 0 AND h > 0 AND w * h / smaller >= 0.5 GROUP BY c.component) SELECT component, n_members, texts, a, b, round(overlap, 6) AS overlap FROM s JOIN best USING (component)")
 def stacked_components(spark, sf_dir):
     rows = spans(spark, sf_dir)
-    pairs = spatial.stacked_pairs(rows, ["page"]).select("page", F.col("a_ord").alias("a"), F.col("b_ord").alias("b"))
-    found = cluster.page_components(pairs, ["page"]).join(rows.select("page", F.col("ord").alias("v"), "text"), ["page", "v"])
-    return found.groupBy("component").agg(F.count("*").alias("n_members"), F.array_join(F.array_sort(F.collect_set("text")), ",").alias("texts")).where(F.size(F.split("texts", ",")) >= 2)
+    found = cluster.stacks(rows, spatial.stacked_pairs(rows, ["page"]), ["page"])
+    return found.select("component", "n_members", F.array_join("texts", ",").alias("texts"), "a", "b", F.round("overlap", 6).alias("overlap"))
 
 
 @query(f"WITH {SPANS}, m AS (SELECT a.page, a.ord AS a_ord, b.ord AS b_ord, {MEET} FROM spans a JOIN spans b ON a.page = b.page AND a.ord < b.ord AND a.text <> b.text) SELECT page, a_ord, b_ord, round(w * h / smaller, 6) AS overlap FROM m WHERE w > 5 AND h > 5 AND w * h / smaller > 0.3")
@@ -170,7 +177,7 @@ def paint_order_cover(spark, sf_dir):
     return spatial.covered(rows.where("ord % 3 <> 0"), rows.where("ord % 3 = 0"), ["page"])
 
 
-@query(f"WITH {SPANS}, k AS (SELECT page // 200 AS sheet, ord, text, first(text) OVER k AS first_text, first(ord) OVER k AS first_ord FROM spans WINDOW k AS (PARTITION BY page // 200, x0, y0, x1, y1 ORDER BY ord)) SELECT sheet, ord, text, first_ord, first_text FROM k WHERE text <> first_text")
+@query(f"WITH {SPANS}, k AS (SELECT page // 200 AS sheet, ord, text, first(trim(text, ' ')) OVER k AS first_text, first(ord) OVER k AS first_ord FROM spans WINDOW k AS (PARTITION BY page // 200, x0, y0, x1, y1 ORDER BY ord)) SELECT sheet, ord, text, first_ord, first_text FROM k WHERE text <> first_text")
 def coordinate_overwrite(spark, sf_dir):
     rows = spans(spark, sf_dir).withColumn("sheet", F.floor(F.col("page") / 200))
     return spatial.overwritten(rows, ["sheet"]).select("sheet", "ord", "text", "first_ord", "first_text")
@@ -219,13 +226,18 @@ def repeated_lines(spark, sf_dir):
 
 @query(f"WITH {LINES}, long AS (SELECT DISTINCT doc_id, text FROM lines WHERE length(text) > 40), small AS (SELECT text, count(*) AS held, min(doc_id) AS first_doc FROM long GROUP BY text HAVING count(*) > 1), p AS (SELECT l.doc_id, s.first_doc, count(*) AS shared FROM long l JOIN small s USING (text) WHERE l.doc_id > s.first_doc GROUP BY ALL), own AS (SELECT doc_id, count(DISTINCT text) AS n FROM lines GROUP BY doc_id), both_ AS (SELECT p.doc_id, p.first_doc, p.shared, count(DISTINCT a.text) AS common FROM p JOIN lines a ON a.doc_id = p.doc_id JOIN lines b ON b.doc_id = p.first_doc AND a.text = b.text GROUP BY ALL) SELECT doc_id, first_doc, shared, o1.n - coalesce(common, 0) AS added, o2.n - coalesce(common, 0) AS removed FROM both_ JOIN own o1 USING (doc_id) JOIN own o2 ON o2.doc_id = first_doc")
 def revision_diff(spark, sf_dir):
-    rows = lines(spark, sf_dir)
-    long = rows.where(F.length("text") > 40).select("doc_id", "text").distinct()
+    rows = lines(spark, sf_dir).select("doc_id", "text").distinct()
+    long = rows.where(F.length("text") > 40)
     first = long.groupBy("text").agg(F.count("*").alias("held"), F.min("doc_id").alias("first_doc")).where("held > 1")
     pairs = long.join(first, "text").where("doc_id > first_doc").groupBy("doc_id", "first_doc").agg(F.count("*").alias("shared"))
-    sets = rows.groupBy("doc_id").agg(F.collect_set("text").alias("s"))
-    both = pairs.join(sets, "doc_id").join(sets.select(F.col("doc_id").alias("first_doc"), F.col("s").alias("t")), "first_doc")
-    return both.select("doc_id", "first_doc", "shared", F.size(F.array_except("s", "t")).cast("long").alias("added"), F.size(F.array_except("t", "s")).cast("long").alias("removed"))
+    # lines go by a hash, and only those of documents in pairs
+    keyed = rows.select("doc_id", F.xxhash64("text").alias("h"), F.sha2("text", 256).alias("s"))
+    own = keyed.groupBy("doc_id").agg(F.count("*").alias("n"))
+    left = pairs.join(keyed, "doc_id").select("doc_id", "first_doc", "h", "s")
+    common = left.join(keyed.withColumnRenamed("doc_id", "first_doc"), ["first_doc", "h", "s"]).groupBy("doc_id", "first_doc").agg(F.count("*").alias("common"))
+    both = pairs.join(common, ["doc_id", "first_doc"], "left").join(own.withColumnRenamed("n", "n1"), "doc_id").join(own.select(F.col("doc_id").alias("first_doc"), F.col("n").alias("n2")), "first_doc")
+    held = F.coalesce("common", F.lit(0))
+    return both.select("doc_id", "first_doc", "shared", (F.col("n1") - held).alias("added"), (F.col("n2") - held).alias("removed"))
 
 
 @query("WITH f AS (SELECT p_brand AS name, p_size % 2 = 0 AS embedded, p_type FROM part) SELECT p_type, string_agg(DISTINCT name, ',' ORDER BY name) AS families FROM f a WHERE embedded AND EXISTS (SELECT 1 FROM f b WHERE b.p_type = a.p_type AND b.name = a.name AND NOT b.embedded) GROUP BY p_type")
@@ -247,14 +259,16 @@ def combine_verdict(spark, sf_dir):
     return combined(spark, sf_dir).select("doc_id", "pdf_type", "threshold", "combined", "verdict", "confidence")
 
 
-REGIONS = "regions AS (SELECT doc_id, CASE WHEN length(text) % 2 = 0 THEN 'HIGH' ELSE 'MEDIUM' END AS region_confidence FROM lines WHERE line < 2 AND length(text) % 3 = 0)"
+REGIONS = "regions AS (SELECT doc_id, CASE length(text) % 97 WHEN 0 THEN 'HIGH' WHEN 1 THEN 'MEDIUM' WHEN 2 THEN 'MEDIUM' ELSE 'LOW' END AS region_confidence FROM lines)"
 
 
 def regions(spark, sf_dir) -> DataFrame:
-    return lines(spark, sf_dir).where("line < 2 and length(text) % 3 = 0").select("doc_id", F.when(F.length("text") % 2 == 0, "HIGH").otherwise("MEDIUM").alias("region_confidence"))
+    """Every line is a region; its length says how sure it is."""
+    n = F.length("text") % 97
+    return lines(spark, sf_dir).select("doc_id", F.when(n == 0, "HIGH").when(n < 3, "MEDIUM").otherwise("LOW").alias("region_confidence"))
 
 
-@query(f"WITH {COMBINED}, {LINES}, {REGIONS}, g AS (SELECT doc_id, least(15, sum(CASE region_confidence WHEN 'HIGH' THEN 10 ELSE 5 END)) AS gain FROM regions GROUP BY doc_id), n AS (SELECT c.*, CASE WHEN verdict = 'ORIGINAL' AND gain > 0 THEN round_even(least(100, combined + gain), 1) END AS fresh FROM combined c LEFT JOIN g USING (doc_id)) SELECT doc_id, coalesce(fresh, combined) AS combined, CASE WHEN fresh IS NULL THEN verdict WHEN abs(fresh - threshold) <= 5 THEN 'UNCERTAIN' WHEN fresh >= threshold THEN 'MODIFIED' ELSE 'ORIGINAL' END AS verdict, CASE WHEN fresh IS NULL THEN confidence ELSE least(99, 50 + CAST(trunc(abs(fresh - threshold) * CAST(1.8 AS DOUBLE)) AS INT)) END AS confidence FROM n")
+@query(f"WITH {COMBINED}, {LINES}, {REGIONS}, g AS (SELECT doc_id, least(15, sum(CASE region_confidence WHEN 'HIGH' THEN 10 WHEN 'MEDIUM' THEN 5 ELSE 0 END)) AS gain FROM regions GROUP BY doc_id), n AS (SELECT c.*, CASE WHEN verdict = 'ORIGINAL' AND gain > 0 THEN round_even(least(100, combined + gain), 1) END AS fresh FROM combined c LEFT JOIN g USING (doc_id)) SELECT doc_id, coalesce(fresh, combined) AS combined, CASE WHEN fresh IS NULL THEN verdict WHEN abs(fresh - threshold) <= 5 THEN 'UNCERTAIN' WHEN fresh >= threshold THEN 'MODIFIED' ELSE 'ORIGINAL' END AS verdict, CASE WHEN fresh IS NULL THEN confidence ELSE least(99, 50 + CAST(trunc(abs(fresh - threshold) * CAST(1.8 AS DOUBLE)) AS INT)) END AS confidence FROM n")
 def fusion_escalation(spark, sf_dir):
     return verdicts.escalate(combined(spark, sf_dir), regions(spark, sf_dir), "doc_id").select("doc_id", "combined", "verdict", "confidence")
 

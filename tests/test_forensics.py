@@ -15,7 +15,7 @@ DATA = "/root/testdata/sf0.001"
 
 def plain(frame):
     def one(x):
-        if x is None or x != x:
+        if x is None or str(x) in ("<NA>", "NaT") or x != x:
             return "null"
         return f"{x:.9g}" if isinstance(x, float) else str(x)
 
