@@ -104,7 +104,7 @@ def content_lines(spark, sf_dir) -> DataFrame:
     font = F.when(m == 0, "ABCDEF+Courier").when(m == 1, "CIDFont+F1").when(m == 2, "Times-Bold").when(m < 6, "Arial-BoldMT").when(F.col("doc_id") % 5 == 0, "CIDFont+F2").when(m == 7, "ABCDEF+Helvetica").otherwise("Helvetica")
     gap = F.when((n * 3 + F.col("i")) % 31 == 4, 40.0).otherwise(0.0) + (n % 5) * 0.75
     on_page = F.col("i") % 12
-    return rows.select("doc_id", F.floor(F.col("i") / 12).alias("page"), on_page.alias("line"), text.alias("text"), font.alias("font"), (11 + (n % 3) * 0.25 + F.when(m == 9, 20.0).otherwise(0.0)).alias("font_size"), (5 + (n % 7) * 0.1 + F.when(m == 11, 9.0).otherwise(0.0)).alias("char_spacing"), F.when(m == 13, 0.0).otherwise(3 + (n % 4) * 0.2 + F.when(m == 15, 13.3).otherwise(0.0)).alias("word_spacing"), (12 + (n % 2) * 0.5 + F.when(m == 17, 25.0).otherwise(0.0)).alias("line_height"), F.when(m % 6 == 0, 0.01 + (n % 9) * 0.01).alias("char_cv"), (on_page * 20 + gap).alias("y0"), (on_page * 20 + 12 + gap * 0.5).alias("y1"))
+    return rows.select("doc_id", F.floor(F.col("i") / 12).alias("page"), on_page.alias("line"), text.alias("text"), font.alias("font"), (11 + (n % 3) * 0.25 + F.when(m == 9, 20.0).otherwise(0.0)).alias("font_size"), (5 + (n % 7) * 0.1 + F.when(m == 11, 9.0).otherwise(0.0)).alias("char_spacing"), F.when(m == 13, 0.0).otherwise(3 + (n % 4) * 0.23 + (n % 5) * 0.017 + F.when(m == 15, 13.3).otherwise(0.0)).alias("word_spacing"), (12 + (n % 2) * 0.5 + F.when(m == 17, 25.0).otherwise(0.0)).alias("line_height"), F.when(m % 6 == 0, 0.01 + (n % 9) * 0.01).alias("char_cv"), (on_page * 20 + gap).alias("y0"), (on_page * 20 + 12 + gap * 0.5).alias("y1"))
 
 
 def _decorated() -> str:
@@ -116,7 +116,7 @@ c1 AS (SELECT *, CASE WHEN (n * 3 + i) % 31 = 4 THEN 40.0::DOUBLE ELSE 0.0::DOUB
 clines AS (SELECT doc_id, i // 12 AS page, i % 12 AS line, text,
   CASE WHEN m = 0 THEN 'ABCDEF+Courier' WHEN m = 1 THEN 'CIDFont+F1' WHEN m = 2 THEN 'Times-Bold' WHEN m < 6 THEN 'Arial-BoldMT' WHEN doc_id % 5 = 0 THEN 'CIDFont+F2' WHEN m = 7 THEN 'ABCDEF+Helvetica' ELSE 'Helvetica' END AS font,
   11 + (n % 3) * 0.25::DOUBLE + CASE WHEN m = 9 THEN 20 ELSE 0 END AS font_size, 5 + (n % 7) * 0.1::DOUBLE + CASE WHEN m = 11 THEN 9 ELSE 0 END AS char_spacing,
-  CASE WHEN m = 13 THEN 0.0::DOUBLE ELSE 3 + (n % 4) * 0.2::DOUBLE + CASE WHEN m = 15 THEN 13.3::DOUBLE ELSE 0 END END AS word_spacing, 12 + (n % 2) * 0.5::DOUBLE + CASE WHEN m = 17 THEN 25 ELSE 0 END AS line_height,
+  CASE WHEN m = 13 THEN 0.0::DOUBLE ELSE 3 + (n % 4) * 0.23::DOUBLE + (n % 5) * 0.017::DOUBLE + CASE WHEN m = 15 THEN 13.3::DOUBLE ELSE 0 END END AS word_spacing, 12 + (n % 2) * 0.5::DOUBLE + CASE WHEN m = 17 THEN 25 ELSE 0 END AS line_height,
   CASE WHEN m % 6 = 0 THEN 0.01::DOUBLE + (n % 9) * 0.01::DOUBLE END AS char_cv, (i % 12) * 20 + gap AS y0, (i % 12) * 20 + 12 + gap * 0.5::DOUBLE AS y1 FROM c1),
 flags AS (SELECT *, count(*) OVER (PARTITION BY doc_id, trim(text, ' ')) > 1 AS repeated FROM clines),
 slines AS (SELECT *, {structural_sql('text', 'page', 'line', 'line_height', 'repeated')} AS structural, {form_sql('text')} AS form_field, {gap_field_sql('text')} AS gap_field FROM flags)"""

@@ -74,7 +74,7 @@ def information(files: DataFrame) -> DataFrame:
     """path and the entries of the files' information dictionaries and XMP packets that are plain text: title, author, subject, keywords, creator, producer, created, modified (texts), xmp_producer, xmp_tool, xmp_created, xmp_modified, xmp_metadata_date. The last one of a kind counts, as later revisions come later; the first
     that is not empty of /Info and XMP is taken for producer, creator and author by first_of()."""
     t = F.col("t")
-    last = lambda found: F.nullif(F.trim(F.coalesce(F.element_at(found, -1), F.lit(""))), F.lit(""))
+    last = lambda found: F.nullif(F.trim(F.coalesce(F.try_element_at(found, F.lit(-1)), F.lit(""))), F.lit(""))
     literal = lambda name: last(F.regexp_extract_all(t, F.lit(rf"/{name}\s*\(((?:[^()\\]|\\.)*)\)"), F.lit(1)))
     tag = lambda name: last(F.concat(F.regexp_extract_all(t, F.lit(rf"<{name}>\s*(?:<rdf:\w+>\s*<rdf:li[^>]*>)?([^<]*)"), F.lit(1)), F.regexp_extract_all(t, F.lit(rf'{name}="([^"]*)"'), F.lit(1))))
     info = {"title": "Title", "author": "Author", "subject": "Subject", "keywords": "Keywords", "creator": "Creator", "producer": "Producer", "created": "CreationDate", "modified": "ModDate"}
