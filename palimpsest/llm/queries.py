@@ -26,4 +26,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_winnowing": decontaminate.SQL, "op7_host_reputation": host_reputation.SQL, "op8_fixed_blocks": substring_dedup.SQL}
+    return {"op2_winnowing": decontaminate.SQL, "op4_ngram_jaccard": ngram_jaccard.SQL, "op7_host_reputation": host_reputation.SQL, "op8_fixed_blocks": substring_dedup.SQL}

@@ -410,6 +410,21 @@ def test_pipeline(spark):
     assert sorted(r.doc_id for r in out.collect()) == sorted(r.doc_id for r in kept.collect())
 
 
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_query_against_sql(spark, name):
+    import os
+
+    import duckdb
+
+    con = duckdb.connect()
+    for table in os.listdir(DATA):
+        con.sql(f"CREATE VIEW {table[:-8]} AS SELECT * FROM '{DATA}/{table}'")
+    expected = con.sql(queries.oracle_sql()[name]).df()
+    found = queries.queries()[name](spark, DATA).toPandas()[list(expected.columns)]
+    key = lambda frame: sorted(map(str, frame.itertuples(index=False, name=None)))
+    assert key(found.astype(object)) == key(expected.astype(object))
+
+
 def test_registered():
     assert [n.split("_")[0] for n in queries.queries()] == [f"op{i}" for i in range(1, 11)]
 
