@@ -102,7 +102,10 @@ def is_id_number(value: Column, text: Column) -> Column:
     capitals = F.size(F.filter(F.split(text, "[^A-Za-z]+"), lambda w: (F.length(w) >= 4) & (F.upper(w) == w)))
     last = text.rlike(r"[-,]\s*[0-9]+\s*$") & (F.regexp_extract(text, r"[-,]\s*([0-9]+)\s*$", 1) == digits)
     postal = holds_any(low, POSTAL) | holds_any(low, STATES) | (~holds_any(low, CURRENCY) & ((capitals >= 2) | last))
-    beside = F.regexp_like(text, F.concat(F.lit(r"[/\-]\s*"), digits, F.lit(EDGE_AFTER))) | F.regexp_like(text, F.concat(F.lit(EDGE_BEFORE), digits, F.lit(r"\s*[/\-]")))
+    # runs of digits after or before a slash or hyphen
+    after = F.regexp_extract_all(text, F.lit(r"(?<=[/\-])\s*([0-9]+)(?![\p{L}\p{N}_])"), F.lit(1))
+    ahead = F.regexp_extract_all(text, F.lit(r"(?<![\p{L}\p{N}_])([0-9]+)(?=\s*[/\-])"), F.lit(1))
+    beside = F.array_contains(after, digits) | F.array_contains(ahead, digits)
     year = (F.length(digits) == 4) & value.between(FIRST_YEAR, LAST_YEAR) & (holds_any(low, YEAR_WORDS) | beside)
     return holds_any(low, REFERENCE) | holds_word(low, REFERENCE_WORDS) | (F.length(digits) > ID_DIGITS) | ((F.length(digits) == PIN_DIGITS) & postal) | year
 

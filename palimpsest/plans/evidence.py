@@ -255,7 +255,7 @@ _DIGITS = "CASE WHEN v = floor(v) THEN CAST(CAST(v AS BIGINT) AS VARCHAR) ELSE '
 
 
 @query(
-    f"WITH {NUMBER_LINES}, d AS (SELECT *, {_DIGITS} AS digits, lower(text) AS low FROM n0) SELECT grp, ord, {any_part('low', L.REFERENCE)} OR {any_word('low', L.REFERENCE_WORDS)} OR length(digits) > 8 OR (length(digits) = 6 AND ({any_part('low', L.POSTAL)} OR {any_part('low', L.STATES)} OR (NOT {any_part('low', L.CURRENCY)} AND (len(list_filter(regexp_extract_all(text, '[A-Za-z]+'), lambda w: length(w) >= 4 AND upper(w) = w)) >= 2 OR regexp_extract(text, '[-,]\\s*([0-9]+)\\s*$', 1) = digits)))) OR (length(digits) = 4 AND v BETWEEN 1950 AND 2099 AND ({any_part('low', L.YEAR_WORDS)} OR regexp_matches(text, '[/\\-]\\s*' || digits || '(?:[^\\p{{L}}\\p{{N}}_]|$)') OR regexp_matches(text, '(?:^|[^\\p{{L}}\\p{{N}}_])' || digits || '\\s*[/\\-]'))) AS is_id FROM d"
+    f"WITH {NUMBER_LINES}, d AS (SELECT *, {_DIGITS} AS digits, lower(text) AS low, replace(replace(text, '/', '//'), '-', '--') AS twice FROM n0) SELECT grp, ord, {any_part('low', L.REFERENCE)} OR {any_word('low', L.REFERENCE_WORDS)} OR length(digits) > 8 OR (length(digits) = 6 AND ({any_part('low', L.POSTAL)} OR {any_part('low', L.STATES)} OR (NOT {any_part('low', L.CURRENCY)} AND (len(list_filter(regexp_extract_all(text, '[A-Za-z]+'), lambda w: length(w) >= 4 AND upper(w) = w)) >= 2 OR regexp_extract(text, '[-,]\\s*([0-9]+)\\s*$', 1) = digits)))) OR (length(digits) = 4 AND v BETWEEN 1950 AND 2099 AND ({any_part('low', L.YEAR_WORDS)} OR list_contains(regexp_extract_all(twice, '[/\\-]\\s*([0-9]+)(?:[^\\p{{L}}\\p{{N}}_]|$)', 1), digits) OR list_contains(regexp_extract_all(twice, '(?:^|[^\\p{{L}}\\p{{N}}_])([0-9]+)\\s*[/\\-]', 1), digits))) AS is_id FROM d"
 )
 def id_numbers(spark, sf_dir):
     return number_lines(spark, sf_dir).select("grp", "ord", L.is_id_number(F.col("v"), F.col("text")).alias("is_id"))

@@ -236,7 +236,7 @@ def points(spark, sf_dir) -> DataFrame:
 @query(f"""WITH {COMBINED}, {POINTS}, s AS (SELECT doc_id, {', '.join(f"sum(points) FILTER (layer = '{x}') AS p_{x}" for x in ('content', 'numeric', 'ela', 'pymupdf'))} FROM pts GROUP BY doc_id),
 a AS (SELECT c.*, greatest(0, content - coalesce(p_content, 0)) AS c2, greatest(0, numeric_ - coalesce(p_numeric, 0)) AS n2, greatest(0, ela - coalesce(p_ela, 0)) AS e2, greatest(0, pymupdf - coalesce(p_pymupdf, 0)) AS o2 FROM combined c LEFT JOIN s USING (doc_id)),
 l AS (SELECT a.*, (content - c2) * CAST(b AS DOUBLE) + (numeric_ - n2) * CAST(c AS DOUBLE) + (ela - e2) * CAST(d AS DOUBLE) + (pymupdf - o2) * CAST(e AS DOUBLE) AS lost FROM a JOIN w USING (pdf_type)),
-f AS (SELECT *, CASE WHEN lost > 0 THEN greatest(0, combined - lost) END AS raw_ FROM l), h AS (SELECT *, CAST(CAST(raw_ AS VARCHAR) AS DECIMAL(20, 15)) * 10 AS t FROM f), g AS (SELECT *, CAST(floor(t) + CASE WHEN t - floor(t) > 0.5 OR (t - floor(t) = 0.5 AND floor(t) % 2 = 1) THEN 1 ELSE 0 END AS DOUBLE) / 10 AS fresh FROM h)
+f AS (SELECT *, CASE WHEN lost > 0 THEN greatest(0, combined - lost) END AS raw_ FROM l), h AS (SELECT *, CAST(CAST(raw_ AS VARCHAR) AS DECIMAL(30, 22)) * 10 AS t FROM f), g AS (SELECT *, CAST(floor(t) + CASE WHEN t - floor(t) > 0.5 OR (t - floor(t) = 0.5 AND floor(t) % 2 = 1) THEN 1 ELSE 0 END AS DOUBLE) / 10 AS fresh FROM h)
 SELECT doc_id, c2 AS content, round(coalesce(fresh, combined), 1) AS combined, CASE WHEN fresh IS NULL THEN verdict WHEN abs(fresh - threshold) <= 5 THEN 'UNCERTAIN' WHEN fresh >= threshold THEN 'MODIFIED' ELSE 'ORIGINAL' END AS verdict FROM g""")
 def contradicted_verdicts(spark, sf_dir):
     return fusion.contradicted(combined(spark, sf_dir), points(spark, sf_dir), "doc_id").select("doc_id", "content", F.round("combined", 1).alias("combined"), "verdict")
