@@ -1,7 +1,8 @@
 """Approximate nearest neighbours by a permutation index.
 
 A vector is represented by the ordered list of its LIST nearest pivots out of N_PIVOTS. For a block of vectors the index
-holds an inverted file for each pivot: the vectors that have the pivot in their list, and its place there. A query
+holds an inverted file for each pivot: the place that the pivot has in the list of each vector of the block, or FAR, where it is not in the list. (A quarter of the vectors are
+in a file, so a byte for each is less than a number and a place for those.) A query
 reads the files of the pivots in its own list and no others, and adds up LIST - |its place - the vector's place| for each
 vector that it meets there: the footrule distance of the lists, counted from the other end. The SHARE of the block that is nearest by that (WANTED vectors for each
 neighbour that is asked for, at least) is ranked by the exact inner product.
@@ -9,9 +10,9 @@ neighbour that is asked for, at least) is ranked by the exact inner product.
 Nearness is the largest inner product, so vectors are lifted: with M the largest norm of all, a vector x gets one more
 component sqrt(M^2 - |x|^2) and a query gets 0, and Euclidean nearness of lifted vectors is nearness by inner product.
 
-Blocks hold vectors of about the same region (by their nearest pivot) and have a centre c and a radius r. A query q looks
+Blocks hold vectors of about the same region (neighbouring pivots' vectors, by counts of all pivots; a pivot of many is cut by id) and have a centre c and a radius r. A query q looks
 into the block of the nearest centre first. Its k-th score there bounds the rest: a block with q.c + |q| r below it can hold none of the k
-nearest, and is not visited. Where vectors lie in clusters that leaves a few blocks; vectors without any structure take all of them.
+nearest, and is not visited, and of a visited one only what reaches it goes on. Where vectors lie in clusters that leaves a few blocks; vectors without any structure take all of them.
 
 Equal vectors are indexed k + 1 times at most, by their smallest ids, which is all that a result may hold; equal queries are asked once.
 Pivots are a bounded sample, those of the smallest hashes; every valid vector is indexed. The blocks' centres go to all
@@ -31,6 +32,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 from . import _exchange as X
 
 N_PIVOTS, LIST = 384, 96
+#: The place of a pivot that is not in a list; lists are shorter.
+FAR = 127
 #: Of a block, what is ranked exactly: this share, and so many vectors for each neighbour wanted, at least.
 SHARE, WANTED = 0.10, 25
 #: Vectors of a block, queries that meet a block at once, and the most blocks.
@@ -77,24 +80,26 @@ class Pivots:
 
 
 class Files:
-    """The inverted files of a block: for each pivot, which vectors have it in their list, and what its place is worth."""
+    """The inverted files of a block, a row of bytes for each pivot."""
 
     def __init__(self, x: np.ndarray, pivots: Pivots):
         lists = pivots.lists(x)
         n, self.length = lists.shape
-        order = np.argsort(lists.ravel(), kind="stable")  # within a file by vector
-        self.vector = (order // self.length).astype(np.int32)
-        self.place = (order % self.length).astype(np.int16)
-        self.start = np.searchsorted(lists.ravel()[order], np.arange(len(pivots.x) + 1))
-        self.n = n
+        if self.length >= FAR:
+            raise ValueError(f"lists must be shorter than {FAR}")
+        self.place = np.full((len(pivots.x), n), FAR, np.int8)
+        self.place[lists.ravel(), np.repeat(np.arange(n), self.length)] = np.tile(np.arange(self.length, dtype=np.int8), n)
 
     def credit(self, wanted: np.ndarray) -> np.ndarray:
         """For each vector the sum of length - |difference of places| over the pivots that it shares with a query's list."""
-        total = np.zeros(self.n, np.float32)
-        for place, pivot in enumerate(wanted.tolist()):
-            a, b = self.start[pivot], self.start[pivot + 1]
-            total[self.vector[a:b]] += self.length - np.abs(self.place[a:b] - place)  # a vector is in a file once
-        return total
+        off = self.place[wanted]
+        off -= np.arange(len(wanted), dtype=np.int8)[:, None]
+        np.abs(off, out=off)
+        np.subtract(np.int8(self.length), off, out=off)
+        np.maximum(off, 0, out=off)
+        half = off.view(np.uint8)[: len(wanted) // 2] + off.view(np.uint8)[len(wanted) // 2 : len(wanted) // 2 * 2]  # two credits fit into a byte
+        total = half.sum(0, dtype=np.uint16)
+        return total + off[-1] if len(wanted) % 2 else total
 
 
 def best_of_block(ids: np.ndarray, x: np.ndarray, files: Files, wanted: np.ndarray, q: np.ndarray, k: int, share: float) -> tuple[np.ndarray, np.ndarray]:
@@ -111,8 +116,24 @@ def best_of_block(ids: np.ndarray, x: np.ndarray, files: Files, wanted: np.ndarr
     return ids[at[best]], score[best]
 
 
-def packed(rows: DataFrame, pivots: Pivots, size: int, n_blocks: int) -> DataFrame:
-    """BLOCKS: vectors dealt by their nearest pivot, then by id, and cut into blocks, sorted by id each."""
+def block_names(counts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each pivot its first block and into how many blocks its vectors are cut: pivots of few vectors share a block with their neighbours in number."""
+    first, parts = np.zeros(len(counts), np.int64), np.ones(len(counts), np.int64)
+    name, held = 0, 0
+    for i, n in enumerate(counts.tolist()):
+        if held and held + n > size:
+            name, held = name + 1, 0
+        first[i] = name
+        if n > size:
+            parts[i] = -(-n // size)
+            name, held = name + parts[i], 0
+        else:
+            held += n
+    return first, parts
+
+
+def packed(rows: DataFrame, pivots: Pivots, size: int) -> DataFrame:
+    """BLOCKS: vectors dealt by their nearest pivot, and cut by a hash of the id where a pivot has too many, sorted by id each."""
 
     def near(batches):
         for batch in batches:
@@ -120,35 +141,23 @@ def packed(rows: DataFrame, pivots: Pivots, size: int, n_blocks: int) -> DataFra
             first = pivots.lists(x)[:, 0] if len(x) else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_pydict({"pivot": pa.array(first, pa.int32()), "vec_id": batch.column("vec_id"), "x": pa.array([r.tobytes() for r in x], pa.binary())})
 
-    def cut(batches):
-        from pyspark import TaskContext
+    dealt = X.checkpoint(rows.select("vec_id", "v").mapInArrow(near, "pivot int, vec_id long, x binary"))
+    counts = np.zeros(len(pivots.x), np.int64)
+    for pivot, n in dealt.groupBy("pivot").count().collect():  # N_PIVOTS at most
+        counts[pivot] = n
+    first, parts = block_names(counts, size)
+    of = lambda values: F.get(F.lit(values).cast("array<long>"), F.col("pivot"))
+    named = dealt.withColumn("block", of(first) + F.pmod(F.xxhash64("vec_id"), of(parts)))
 
-        number, held, n = TaskContext.get().partitionId() << 32, [], 0
+    def pack(table: pa.Table) -> pa.Table:
+        table = table.sort_by("vec_id")
+        ids = table["vec_id"].to_numpy()
+        x = np.frombuffer(b"".join(table["x"].to_pylist())).reshape(len(ids), -1)
+        centre = x.mean(0)
+        radius = float(np.sqrt(((x - centre) ** 2).sum(1).max()))
+        return pa.table({"block": table["block"][:1].cast(pa.int64()), "ids": pa.array([ids.astype("<i8").tobytes()], pa.binary()), "x": pa.array([x.tobytes()], pa.binary()), "centre": pa.array([centre.tobytes()], pa.binary()), "radius": pa.array([radius])})
 
-        def block(ids, x):
-            order = np.argsort(ids, kind="stable")
-            centre = x.mean(0)
-            radius = float(np.sqrt(((x - centre) ** 2).sum(1).max()))
-            return pa.RecordBatch.from_pydict({"block": pa.array([number], pa.int64()), "ids": pa.array([ids[order].astype("<i8").tobytes()], pa.binary()), "x": pa.array([x[order].tobytes()], pa.binary()), "centre": pa.array([centre.tobytes()], pa.binary()), "radius": pa.array([radius])})
-
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            held.append((batch.column("vec_id").to_numpy(), np.frombuffer(b"".join(batch.column("x").to_pylist())).reshape(batch.num_rows, -1)))
-            n += batch.num_rows
-            while n >= 2 * size:
-                ids, x = (np.concatenate(p) for p in zip(*held))
-                yield block(ids[:size], x[:size])
-                number, held, n = number + 1, [(ids[size:], x[size:])], n - size
-        if n:  # up to two blocks, halves of what is left if it is more than one
-            ids, x = (np.concatenate(p) for p in zip(*held))
-            parts = -(-n // size)
-            for i, y in zip(np.array_split(ids, parts), np.array_split(x, parts)):
-                yield block(i, y)
-                number += 1
-
-    dealt = rows.select("vec_id", "v").mapInArrow(near, "pivot int, vec_id long, x binary").repartitionByRange(n_blocks, "pivot", "vec_id").sortWithinPartitions("pivot", "vec_id")
-    return dealt.mapInArrow(cut, BLOCKS)
+    return named.select("block", "vec_id", "x").groupBy("block").applyInArrow(pack, BLOCKS)
 
 
 def matrix(column: pa.Array) -> np.ndarray:
@@ -188,23 +197,24 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, ident: str = "ve
     sample = rows.where("rank = 1").orderBy(F.xxhash64("v"), "v").select("v").limit(n_pivots).collect()
     pivots = Pivots(np.array([r[0] for r in sample]), largest, length)
     size = max(block, -(-n // MOST_BLOCKS))
-    blocks = X.checkpoint(packed(rows, pivots, size, max(1, -(-n // size))))
+    blocks = X.checkpoint(packed(rows, pivots, size))
     regions = spark.sparkContext.broadcast(Regions(blocks.select("block", "centre", "radius").collect()))
     parts = max(1, -(-reps.count() // PACK))
 
     def visits(chosen):
-        """Rows of (block, part, rep, q, wanted) for the blocks that a query visits."""
+        """Rows of (block, part, rep, q, wanted, least) for the blocks that a query visits."""
 
         def run(batches):
             for batch in batches:
                 x = matrix(batch.column("v"))
                 wanted = pivots.lists(x, query=True).astype("<i2") if len(x) else []
-                out = {name: [] for name in ("block", "part", "rep", "q", "wanted")}
+                out = {name: [] for name in ("block", "part", "rep", "q", "wanted", "least")}
+                least = batch.column("least").to_pylist() if "least" in batch.schema.names else [None] * batch.num_rows
                 for i, rep in enumerate(batch.column("rep").to_pylist()):
                     for at in chosen(regions.value, x[i], batch, i):
-                        for name, value in zip(out, (int(regions.value.blocks[at]), rep % parts, rep, x[i].tobytes(), wanted[i].tobytes())):
+                        for name, value in zip(out, (int(regions.value.blocks[at]), rep % parts, rep, x[i].tobytes(), wanted[i].tobytes(), least[i])):
                             out[name].append(value)
-                yield pa.RecordBatch.from_pydict({name: pa.array(value, kind) for (name, value), kind in zip(out.items(), (pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary()))})
+                yield pa.RecordBatch.from_pydict({name: pa.array(value, kind) for (name, value), kind in zip(out.items(), (pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.float64()))})
 
         return run
 
@@ -214,8 +224,10 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, ident: str = "ve
             ids = np.frombuffer(held["ids"][b].as_buffer(), "<i8")
             x = np.frombuffer(held["x"][b].as_buffer()).reshape(len(ids), -1)
             files = Files(x, pivots)
-            for one, q, wanted in zip(met["rep"].to_pylist(), met["q"].to_pylist(), met["wanted"].to_pylist()):
+            for one, q, wanted, least in zip(*(met[c].to_pylist() for c in ("rep", "q", "wanted", "least"))):
                 at, value = best_of_block(ids, x, files, np.frombuffer(wanted, "<i2"), np.frombuffer(q), k + 1, share)
+                if least is not None:
+                    at, value = at[value >= least], value[value >= least]
                 rep.append(np.full(len(at), one))
                 vec.append(at)
                 score.append(value)
@@ -227,7 +239,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, ident: str = "ve
     def found(met: DataFrame) -> DataFrame:
         return copies.groupBy("block", "part").cogroup(met.groupBy("block", "part")).applyInArrow(look, FOUND)
 
-    kind = "block long, part int, rep long, q binary, wanted binary"
+    kind = "block long, part int, rep long, q binary, wanted binary, least double"
     nearest = lambda r, q, batch, i: [int(np.argmax(r.centres @ q))]
     first = X.checkpoint(found(reps.mapInArrow(visits(nearest), kind)))
     # the k-th of others than the query's own id: k + 1 may hold that id, so the last of k + 1 is a bound for sure

@@ -38,14 +38,19 @@ def test_files_are_read_in_part():
     x = rng.randn(500, 16)
     pivots = P.Pivots(x[:96], np.linalg.norm(x, axis=1).max(), 24)
     files = P.Files(x, pivots)
-    assert len(files.vector) == 500 * 24
+    assert (files.place != P.FAR).sum() == 500 * 24
     lists = pivots.lists(x)
     wanted = pivots.lists(x[7:8], query=True)[0]
     credit = files.credit(wanted)
     for i in (0, 7, 100, 499):
         place = {p: j for j, p in enumerate(lists[i])}
         assert credit[i] == sum(24 - abs(j - place[p]) for j, p in enumerate(wanted) if p in place)
-    assert sum(files.start[p + 1] - files.start[p] for p in wanted) < len(files.vector) / 2
+    assert len(wanted) == 24 and P.Files(x, P.Pivots(x[:9], 5.0, 3)).credit(np.array([0, 1, 2])).max() <= 9
+
+
+def test_blocks_of_pivots():
+    first, parts = P.block_names(np.array([5, 3, 4, 0, 25, 1, 9]), 10)
+    assert first.tolist() == [0, 0, 1, 1, 2, 5, 5] and parts.tolist() == [1, 1, 1, 1, 3, 1, 1]
 
 
 def test_blocks_that_cannot_hold_a_neighbour():
