@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, functions as F
 
 #: One number of a word with little around it: at most three characters before, none a letter or digit, and three after, none a digit.
@@ -19,11 +22,25 @@ def clean_number(word: Column) -> Column:
     return F.when(found != "", parse_number(found))
 
 
+#: Signs and short names of currencies; words of addresses.
+SIGNS, CURRENCIES = "₹$€£¥", ("rs", "inr", "usd", "eur", "gbp")
+ADDRESS_WORDS = ("street", "road", "avenue", "city", "state", "country", "pin", "postal")
+DIGITS, BLANKS = "0123456789", " \t\n\r\x0b\x0c"
+
+
+def only_of(text: Column, characters: str) -> Column:
+    """Whether a text has characters, all of them among these."""
+    return (text != "") & (F.translate(text, characters, "") == "")
+
+
 def currency_value(text: Column) -> Column:
     """The value of an amount without its separators, currency and signs around it, or null."""
-    bare = F.regexp_replace(F.regexp_replace(text, r"[,\s]", ""), r"(?i)^(?:rs\.?|inr|usd|eur|gbp)", "")
-    bare = F.regexp_replace(bare, r"^[₹$€£¥.]+|[₹$€£¥.]+$", "")
-    return F.when(bare.rlike(r"^[-+]?\d*\.?\d+$"), bare.try_cast("double"))
+    bare = F.translate(text, "," + BLANKS, "")
+    ahead = F.regexp_replace(bare, f"(?i)^(?:{'|'.join(CURRENCIES)})", "")
+    bare = F.trim(F.when(bare != ahead, F.regexp_replace(ahead, "^[.]", "")).otherwise(bare), F.lit(SIGNS + "."))
+    signed = F.regexp_replace(bare, "^[-+]", "")
+    number = only_of(signed, DIGITS + ".") & (F.length(F.translate(signed, DIGITS, "")) <= 1) & ~signed.endswith(".")
+    return F.when(number, bare.try_cast("double"))
 
 
 def texts_differ(a: Column, b: Column) -> Column:
@@ -35,12 +52,15 @@ def texts_differ(a: Column, b: Column) -> Column:
 
 def field_type(text: Column) -> Column:
     """amount, date, id_number, name, address or unknown: the first that fits."""
-    address = r"street|road|avenue|city|state|country|pin|postal"
-    return (
-        F.when(text.rlike(r"^[\d,.\s₹$€£]+$"), "amount")
-        .when(text.rlike(r"\d{1,2}[/\-.]\d{1,2}[/\-.]\d{2,4}"), "date")
-        .when(F.upper(text).rlike(r"^[A-Z]{1,4}[\d/\-]+$"), "id_number")
-        .when(text.rlike(r"^[A-Za-z\s.]+$") & (F.length(text) > 3), "name")
-        .when(F.lower(text).rlike(address), "address")
-        .otherwise("unknown")
-    )
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    ahead = F.regexp_extract(F.upper(text), "^[A-Z]{1,4}", 0)
+    rest = F.substr(F.upper(text), F.length(ahead) + 1)
+    parts = F.regexp_extract_all(text, F.lit("[0-9]{1,2}([-/.])[0-9]{1,2}([-/.])[0-9]{2,4}"), F.lit(0))
+    kinds = {
+        "amount": only_of(text, DIGITS + BLANKS + ",.₹$€£"),
+        "date": F.size(parts) > 0,
+        "id_number": (ahead != "") & only_of(rest, DIGITS + "/-"),
+        "name": only_of(text, letters + letters.lower() + BLANKS + ".") & (F.length(text) > 3),
+        "address": reduce(or_, [F.contains(F.lower(text), F.lit(w)) for w in ADDRESS_WORDS]),
+    }
+    return F.coalesce(*[F.when(holds, F.lit(name)) for name, holds in kinds.items()], F.lit("unknown"))

@@ -71,10 +71,13 @@ def overwritten(spans: DataFrame, on: list[str], order: str = "ord") -> DataFram
     return out.where(F.sha2("first_text", 256) != digest)
 
 
-def y_buckets(spans: DataFrame, on: list[str], order: str = "ord") -> DataFrame:
-    """Pairs of different texts on one line (2 points) that overlap by more than 5 points or begin within 5."""
-    line = spans.withColumn("y_key", F.bround((F.col("y0") + F.col("y1")) / 2 / 2) * 2)
-    a, b = named(line, "a_", [*on, "y_key"]), named(line, "b_", [*on, "y_key"])
+def y_buckets(spans: DataFrame, on: list[str], order: str = "ord", size: float = 64) -> DataFrame:
+    """Pairs of different texts on one line (2 points) that overlap by more than 5 points or begin within 5. They meet by cells along the line, so a crowded line is no join of all its spans."""
+    at = lambda c: F.floor(c / size)
+    line = spans.withColumn("y_key", F.bround((F.col("y0") + F.col("y1")) / 2 / 2) * 2).withColumn("cx", F.explode(F.sequence(at(F.col("x0") - 2.5), at(F.col("x1") + 2.5))))
+    cell = [*on, "y_key", "cx"]
+    a, b = named(line, "a_", cell), named(line, "b_", cell)
     w, _ = overlap(box("a_"), box("b_"))
     near = (w > 5) | (F.abs(F.col("a_x0") - F.col("b_x0")) < 5)
-    return a.join(b, [*on, "y_key"]).where((F.col(f"a_{order}") < F.col(f"b_{order}")) & (F.col("a_text") != F.col("b_text")) & near)
+    lowest = F.col("cx") == at(F.greatest("a_x0", "b_x0") - 2.5)
+    return a.join(b, cell).where(lowest & (F.col(f"a_{order}") < F.col(f"b_{order}")) & (F.col("a_text") != F.col("b_text")) & near).drop("cx")
