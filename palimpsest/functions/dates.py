@@ -42,3 +42,19 @@ def edit_age(modified: Column, now: Column) -> Column:
     for holds, words, factor in reversed(steps):
         human, risk = F.when(holds, words).otherwise(human), F.when(holds, F.lit(factor)).otherwise(risk)
     return F.struct(days.cast("long").alias("days_ago"), human.alias("human_readable"), risk.alias("risk_factor"), F.coalesce(days < 1, F.lit(False)).alias("is_recent"), F.coalesce((days == 0) & (hours < 3), F.lit(False)).alias("is_very_recent"))
+
+
+def described(at: Column, now: Column) -> Column:
+    """Struct iso8601, formatted, human, relative, age_days, epoch of a timestamp in UTC; null for null."""
+    age = edit_age(at, now)
+    hours = F.floor((now.cast("long") - at.cast("long")) % DAY / 3600)
+    relative = F.when(age["days_ago"] != 0, age["human_readable"]).when(hours > 0, F.concat(hours.cast("string"), F.lit(" hours ago"))).otherwise("Just now")
+    parts = {
+        "iso8601": F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss'+00:00'"),
+        "formatted": F.date_format(at, "yyyy-MM-dd HH:mm:ss"),
+        "human": F.date_format(at, "MMMM dd, yyyy 'at' hh:mm a"),
+        "relative": relative,
+        "age_days": age["days_ago"],
+        "epoch": at.cast("long"),
+    }
+    return F.when(at.isNotNull(), F.struct(*[c.alias(n) for n, c in parts.items()]))

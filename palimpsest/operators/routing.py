@@ -123,3 +123,19 @@ def latest(rows: DataFrame, key: str, time: str, most: int) -> DataFrame:
     """The newest rows, so many of them: retention of a spool; rows with one key count once, the newest."""
     one = F.row_number().over(Window.partitionBy(key).orderBy(F.desc(time)))
     return rows.withColumn("__r", one).where("__r = 1").drop("__r").orderBy(F.desc(time), key).limit(most)
+
+
+def reading_order(words: DataFrame, on: list[str], band: float = 4.0) -> DataFrame:
+    """words (top, x0) with place: their number on the page by bands of the height, then from left to right."""
+    order = Window.partitionBy(*on).orderBy(F.bround(F.col("top") / band) * band, "x0", "ord")
+    return words.withColumn("place", F.row_number().over(order))
+
+
+def full_metadata(rows: DataFrame, key: str) -> DataFrame:
+    """key and one struct of what a report says of a file's metadata: empty texts as null, whether and how long after its creation it was changed, the age of the edit (edit_age), and all further columns."""
+    texts = [c for c in ("producer", "creator", "author", "title", "subject", "keywords") if c in rows.columns]
+    seconds = F.col("delta_seconds")
+    interval = F.when(seconds < 120, F.format_string("%.0f seconds", seconds)).when(seconds.isNotNull(), F.format_string("%.1f minutes", seconds / 60))
+    rest = [c for c in rows.columns if c not in (key, *texts, "delta_seconds")]
+    body = [F.nullif(F.col(c), F.lit("")).alias(c) for c in texts] + [(F.coalesce(seconds, F.lit(0.0)) > 0).alias("was_modified_later"), interval.alias("modification_interval"), *rest]
+    return rows.select(key, F.struct(*body).alias("metadata"))

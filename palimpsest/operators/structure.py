@@ -143,3 +143,23 @@ def block_clusters(blocks: DataFrame, on: list[str], gap: float = 4.0, least: in
     edges = grid_join(wide, wide, on, size, (F.col(f"a_{order}") < F.col(f"b_{order}")) & near).select(*on, F.col(f"a_{order}").alias("a"), F.col(f"b_{order}").alias("b"))
     found = components(edges, on).join(blocks.select(*on, F.col(order).alias("v"), "x0", "y0", "x1", "y1"), [*on, "v"])
     return found.groupBy(*on, "component").agg(F.count("*").alias("n_blocks"), *[F.min(c).alias(c) for c in ("x0", "y0")], *[F.max(c).alias(c) for c in ("x1", "y1")]).where(F.col("n_blocks") >= least)
+
+
+def associated(rows: DataFrame, others: DataFrame, on: list[str], name: str, order: str = "ord", size: float = 64) -> DataFrame:
+    """rows with a flag: whether their box meets one of the others'."""
+    from ..functions.geometry import box, intersects
+    from .spatial import grid_join
+
+    met = grid_join(rows, others, on, size, intersects(box("a_"), box("b_"))).select(*on, F.col(f"a_{order}").alias(order)).distinct()
+    return rows.join(met.withColumn(name, F.lit(True)), [*on, order], "left").withColumn(name, F.coalesce(name, F.lit(False)))
+
+
+def stamped(patches: DataFrame, stamps: DataFrame, on: list[str], least: float = 0.5, order: str = "ord", size: float = 64) -> DataFrame:
+    """patches with stamp_associated: whether they cover so much of a stamp."""
+    from ..functions.geometry import box, overlap
+    from .spatial import grid_join
+
+    w, h = overlap(box("a_"), box("b_"))
+    area = (F.col("b_x1") - F.col("b_x0")) * (F.col("b_y1") - F.col("b_y0"))
+    met = grid_join(patches, stamps, on, size, (w > 0) & (h > 0) & (area > 0) & (w * h >= least * area)).select(*on, F.col(f"a_{order}").alias(order)).distinct()
+    return patches.join(met.withColumn("stamp_associated", F.lit(True)), [*on, order], "left").withColumn("stamp_associated", F.coalesce("stamp_associated", F.lit(False)))

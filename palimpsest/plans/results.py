@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from ..functions import dates, geometry
 from ..operators import drawing, fusion, metadata, routing, structure, verdicts
 from .evidence import HIT, PSPANS, any_part, page_spans, quoted
 from .forensics import COMBINED, combined, query, read
@@ -438,3 +439,58 @@ def boxes_to_draw(spark, sf_dir):
 @query(f"WITH RECURSIVE {PSPANS}, l AS (SELECT doc, page, list({{'ord': ord, 'x0': x0, 'y0': y0}} ORDER BY ord) AS held FROM pspans GROUP BY doc, page), s(doc, page, grp, held, got) AS (SELECT doc, page, -1, held, held[1:0] FROM l UNION ALL SELECT doc, page, grp + 1, list_filter(held, lambda x: (x.x0 - held[1].x0) ** 2 + (x.y0 - held[1].y0) ** 2 >= 3600), list_filter(held, lambda x: (x.x0 - held[1].x0) ** 2 + (x.y0 - held[1].y0) ** 2 < 3600) FROM s WHERE len(held) > 0), o AS (SELECT doc, page, grp, unnest(got, recursive := true) FROM s WHERE grp >= 0) SELECT doc, page, ord, grp FROM o")
 def anchor_groups(spark, sf_dir):
     return drawing.anchors(page_spans(spark, sf_dir), ["doc", "page"], "ord", 60.0)
+
+
+# ---------------------------------------------------------------- descriptions and places
+
+
+@query("WITH a AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 9 > 0 THEN to_timestamp(1700000000 - (o_orderkey * o_orderkey % 7000) * 5000) AT TIME ZONE 'UTC' END AS at_, (o_orderkey * o_orderkey % 7000) * 5000 AS s FROM orders) SELECT k, strftime(at_, '%Y-%m-%dT%H:%M:%S+00:00') AS iso, strftime(at_, '%B %d, %Y at %I:%M %p') AS human, CASE WHEN at_ IS NOT NULL THEN s // 86400 END AS age_days, CASE WHEN at_ IS NULL THEN NULL WHEN s // 86400 = 0 THEN CASE WHEN s // 3600 > 0 THEN s // 3600 || ' hours ago' ELSE 'Just now' END WHEN s // 86400 < 7 THEN s // 86400 || CASE WHEN s // 86400 > 1 THEN ' days ago' ELSE ' day ago' END WHEN s // 86400 < 30 THEN s // 86400 // 7 || CASE WHEN s // 86400 // 7 > 1 THEN ' weeks ago' ELSE ' week ago' END WHEN s // 86400 < 365 THEN s // 86400 // 30 || CASE WHEN s // 86400 // 30 > 1 THEN ' months ago' ELSE ' month ago' END ELSE s // 86400 // 365 || CASE WHEN s // 86400 // 365 > 1 THEN ' years ago' ELSE ' year ago' END END AS relative FROM a")
+def described_dates(spark, sf_dir):
+    k = F.col("o_orderkey")
+    at = F.when(k % 9 > 0, F.timestamp_seconds(1_700_000_000 - k * k % 7000 * 5000))
+    rows = read(spark, sf_dir, "orders").select(k.alias("k"), dates.described(at, F.timestamp_seconds(F.lit(1_700_000_000))).alias("d"))
+    return rows.select("k", F.col("d.iso8601").alias("iso"), "d.human", "d.age_days", "d.relative")
+
+
+@query(f"WITH {PSPANS} SELECT doc, page, ord, row_number() OVER (PARTITION BY doc, page ORDER BY round_even(y0 / 4, 0) * 4, x0, ord) AS place FROM pspans")
+def reading_order(spark, sf_dir):
+    return routing.reading_order(page_spans(spark, sf_dir).withColumn("top", F.col("y0")), ["doc", "page"]).select("doc", "page", "ord", "place")
+
+
+@query(f"WITH {PSPANS}, r AS (SELECT doc, page, rank() OVER (PARTITION BY doc, page ORDER BY seqno) + (count(*) OVER (PARTITION BY doc, page, seqno) - 1) / 2.0 AS paint, rank() OVER (PARTITION BY doc, page ORDER BY y0) + (count(*) OVER (PARTITION BY doc, page, y0) - 1) / 2.0 AS seen FROM pspans), c AS (SELECT doc, page, corr(paint, seen) AS rho FROM r GROUP BY doc, page HAVING count(*) >= 3) SELECT doc, round(avg(rho), 6) AS mean_rho FROM c GROUP BY doc")
+def mean_correlations(spark, sf_dir):
+    def ranks(c):
+        tied = F.count("*").over(Window.partitionBy("doc", "page", c))
+        return F.rank().over(Window.partitionBy("doc", "page").orderBy(c)) + (tied - 1) / 2
+
+    rows = page_spans(spark, sf_dir).select("doc", "page", ranks("seqno").alias("paint"), ranks("y0").alias("seen"))
+    each = rows.groupBy("doc", "page").agg(F.count("*").alias("n"), F.corr("paint", "seen").alias("rho")).where("n >= 3")
+    return each.groupBy("doc").agg(F.round(F.avg("rho"), 6).alias("mean_rho"))
+
+
+_AREA = "(least(a.x1, b.x1) - greatest(a.x0, b.x0)) * (least(a.y1, b.y1) - greatest(a.y0, b.y0))"
+
+
+@query(f"WITH {PSPANS} SELECT doc, page, ord, EXISTS (SELECT 1 FROM pspans b WHERE b.ord % 4 = 1 AND b.doc = a.doc AND b.page = a.page AND {HIT}) AS sharp, EXISTS (SELECT 1 FROM pspans b WHERE b.ord % 4 = 2 AND b.doc = a.doc AND b.page = a.page AND {HIT} AND {_AREA} >= 0.5 * (b.x1 - b.x0) * (b.y1 - b.y0)) AS stamp_associated FROM pspans a WHERE ord % 4 = 0")
+def region_flags(spark, sf_dir):
+    rows = page_spans(spark, sf_dir)
+    on = ["doc", "page"]
+    found = structure.associated(rows.where("ord % 4 = 0"), rows.where("ord % 4 = 1"), on, "sharp")
+    return structure.stamped(found, rows.where("ord % 4 = 2"), on).select("doc", "page", "ord", "sharp", "stamp_associated")
+
+
+@query(f"WITH {PSPANS}, f AS (SELECT doc, page, ord, x0 + 5 * (x1 - x0) / (ord % 50 + 60) AS px0, y0 + 3 * (y1 - y0) / (ord % 40 + 50) AS py0, x0 + 25 * (x1 - x0) / (ord % 50 + 60) AS px1, y0 + 13 * (y1 - y0) / (ord % 40 + 50) AS py1, (x1 - x0) / (y1 - y0) BETWEEN 0.8 AND 1.2 OR (x1 - x0) / (y1 - y0 + 20) BETWEEN 0.8 AND 1.2 AND (x1 - x0) * (y1 - y0 + 20) < 0.15 * 6000 AS code FROM pspans) SELECT doc, page, ord, round(px0, 6) AS x0, round(py0, 6) AS y0, round(px1, 6) AS x1, round(py1, 6) AS y1, greatest(8, CAST(round_even((ord % 600) * 12.0 / 72, 0) AS INT)) AS block, code FROM f")
+def pixel_places(spark, sf_dir):
+    o = F.col("ord")
+    rows = page_spans(spark, sf_dir)
+    place = tuple(F.col(c) for c in ("x0", "y0", "x1", "y1"))
+    points = geometry.pixel_box((F.lit(5), F.lit(3), F.lit(20), F.lit(10)), (o % 50 + 60, o % 40 + 50), place)
+    tall = (place[0], place[1], place[2], place[3] + 20)
+    code = geometry.code_shaped(place, F.lit(1e9)) | geometry.code_shaped(tall, F.lit(6000.0))
+    return rows.select("doc", "page", "ord", *[F.round(p, 6).alias(n) for p, n in zip(points, ("x0", "y0", "x1", "y1"))], geometry.block_pixels(o % 600, 12.0).alias("block"), code.alias("code"))
+
+
+@query(f"WITH {META} SELECT doc_id, nullif(producer, '') AS producer, nullif(author, '') AS author, CASE WHEN delta_seconds < 120 THEN CAST(round_even(delta_seconds, 0) AS INT) || ' seconds' WHEN delta_seconds IS NOT NULL THEN CAST(round(delta_seconds / 60, 1) AS DECIMAL(10, 1)) || ' minutes' END AS interval_ FROM named WHERE delta_seconds IS NULL OR delta_seconds <> 0.5")
+def full_metadata(spark, sf_dir):
+    held = routing.full_metadata(named(spark, sf_dir).where("delta_seconds is null or delta_seconds <> 0.5"), "doc_id")
+    return held.select("doc_id", "metadata.producer", "metadata.author", F.col("metadata.modification_interval").alias("interval_"))

@@ -118,3 +118,29 @@ def object_versions(objects: DataFrame, most: int = 5) -> DataFrame:
 def write_findings(findings: DataFrame, folder: str) -> None:
     """Findings by layer; a run replaces the layers that it has."""
     findings.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("layer").parquet(folder)
+
+
+def quantisation(files: DataFrame) -> DataFrame:
+    """path, number, steps (64, in zigzag order) of the tables that a JPEG file's own bytes define; the last definition of a number counts."""
+    import pyarrow as pa
+
+    def tables(body: bytes) -> dict[int, list[int]]:
+        found, at = {}, 2
+        while body[:2] == b"\xff\xd8" and at + 4 <= len(body) and body[at] == 0xFF and body[at + 1] != 0xDA:
+            size = int.from_bytes(body[at + 2 : at + 4], "big")
+            part, here = body[at + 4 : at + 2 + size], 0
+            while body[at + 1] == 0xDB and here < len(part):
+                wide = 2 if part[here] >> 4 else 1
+                values = part[here + 1 : here + 1 + 64 * wide]
+                if len(values) == 64 * wide:
+                    found[part[here] & 15] = [int.from_bytes(values[i : i + wide], "big") for i in range(0, 64 * wide, wide)]
+                here += 1 + 64 * wide
+            at += 2 + max(size, 2)
+        return found
+
+    def run(batches):
+        for batch in batches:
+            rows = [(p, n, s) for p, c in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()) for n, s in sorted(tables(c or b"").items())]
+            yield pa.RecordBatch.from_pydict({"path": pa.array([r[0] for r in rows], pa.string()), "number": pa.array([r[1] for r in rows], pa.int32()), "steps": pa.array([r[2] for r in rows], pa.list_(pa.int32()))})
+
+    return files.select("path", "content").mapInArrow(run, "path string, number int, steps array<int>")

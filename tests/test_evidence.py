@@ -268,3 +268,11 @@ def test_tools_from_a_file(spark, tmp_path):
     known = metadata.producers(spark, str(tmp_path / "p.json"))
     docs = spark.createDataFrame([(1, "FOO Writer", None), (2, None, "fox"), (3, "", None)], "doc int, producer string, creator string")
     assert {r.doc: (r.name, r.suspicion, r.is_online_tool) for r in metadata.identified(docs, known, "doc").collect()} == {1: ("Foo", "HIGH", True), 2: ("Fo", "LOW", False), 3: ("Unknown", "UNKNOWN", False)}
+
+
+def test_quantisation_tables(spark, tmp_path):
+    body = b"\xff\xd8\xff\xe0\x00\x04ab\xff\xdb\x00\x43\x00" + bytes(range(1, 65)) + b"\xff\xdb\x00\x83\x11" + b"".join(i.to_bytes(2, "big") for i in range(300, 364)) + b"\xff\xda\x00\x02"
+    (tmp_path / "a.jpg").write_bytes(body)
+    (tmp_path / "b.jpg").write_bytes(b"\xff\xd8\xff\xdb\x00")
+    found = sources.quantisation(sources.images(spark, str(tmp_path))).orderBy("number").collect()
+    assert [(r.number, r.steps[0], r.steps[-1]) for r in found] == [(0, 1, 64), (1, 300, 363)]
