@@ -195,11 +195,11 @@ def line_gaps(spark, sf_dir):
     return content.line_gaps(content_lines(spark, sf_dir), "doc_id")
 
 
-@query(f"WITH {WORDS}, w AS (SELECT doc_id, line, i, word, i * 40 + (length(word) * 7 + doc_id) % 23 AS x0, i * 40 + (length(word) * 7 + doc_id) % 23 + length(word) * (3 + (i % 4) * 0.25::DOUBLE) AS x1 FROM words), g AS (SELECT *, CASE WHEN length(word) > 1 THEN (x1 - x0) / length(word) END AS wide, lead(x0) OVER (PARTITION BY doc_id, line ORDER BY x0, x1) - x1 AS gap FROM w) SELECT doc_id, line, round(coalesce(avg(wide), 0), 6) AS char_spacing, round(CASE WHEN count(wide) >= 2 AND avg(wide) > 0 THEN stddev_samp(wide) / avg(wide) END, 6) AS char_cv, round(coalesce(avg(gap) FILTER (gap > 0 AND gap < 50), 0), 6) AS word_spacing FROM g GROUP BY doc_id, line")
+@query(f"WITH {WORDS}, w AS (SELECT doc_id, line, i, word, i * 40 + (length(word) * 7 + doc_id) % 23 AS x0, i * 40 + (length(word) * 7 + doc_id) % 23 + length(word) * (3 + (i % 4) * 0.25::DOUBLE) AS x1 FROM words), g AS (SELECT *, CASE WHEN length(word) > 1 THEN (x1 - x0) / length(word) END AS wide, lead(x0) OVER (PARTITION BY doc_id, line ORDER BY x0, x1) - x1 AS gap FROM w) SELECT doc_id, line, round(coalesce(avg(wide), 0), 6) AS char_spacing, coalesce(round(CASE WHEN count(wide) >= 2 AND avg(wide) > 0 THEN stddev_samp(wide) / avg(wide) END, 6), -1) AS char_cv, round(coalesce(avg(gap) FILTER (gap > 0 AND gap < 50), 0), 6) AS word_spacing FROM g GROUP BY doc_id, line")
 def word_features(spark, sf_dir):
     x0 = F.col("i") * 40 + (F.length("word") * 7 + F.col("doc_id")) % 23
     rows = words(spark, sf_dir).select("doc_id", "line", F.col("word").alias("text"), x0.cast("double").alias("x0"), (x0 + F.length("word") * (3 + (F.col("i") % 4) * 0.25)).alias("x1"))
-    return content.word_features(rows, ["doc_id", "line"]).select("doc_id", "line", *[F.round(c, 6).alias(c) for c in ("char_spacing", "char_cv", "word_spacing")])
+    return content.word_features(rows, ["doc_id", "line"]).select("doc_id", "line", *[F.coalesce(F.round(c, 6), F.lit(-1.0)).alias(c) for c in ("char_spacing", "char_cv", "word_spacing")])
 
 
 @query("WITH f AS (SELECT p_partkey, p_size, ['Helvetica-Bold', 'ABCDEF+TimesNewRomanPSMT', 'Arial-BoldItalicMT', 'Courier-Oblique', '/Calibri', 'XYZABC+CIDFont+F1', 'Georgia_Regular', '-', 'Garamond-BoldItalic', '//ABCDEF+Times-Roman', 'ArialMT'][p_partkey % 11 + 1] AS name, p_partkey * 7919 AS colour FROM part) SELECT p_partkey, " + _family_sql("name") + " AS base, regexp_replace(string_split(lower(regexp_replace(regexp_replace(name, '^/+', ''), '^[A-Z]{6}\\+', '')), '-')[1], 'mt$', '') AS family, (colour >> 16) & 255 AS r, (colour >> 8) & 255 AS g, colour & 255 AS b FROM f")
@@ -227,12 +227,12 @@ def pdf_dates(spark, sf_dir):
     return dated(spark, sf_dir).select("k", F.date_format(dates.pdf_date(F.col("text")), "yyyy-MM-dd HH:mm:ss").alias("at"))
 
 
-@query("WITH a AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 17 > 0 THEN (o_orderkey * o_orderkey) % 60000 * 1000 // (1 + (o_orderkey % 5) * (o_orderkey % 5) * 400) - 3000 END AS s FROM orders), b AS (SELECT k, s, floor(s / 86400) AS d FROM a), c AS (SELECT *, floor((s - d * 86400) / 3600) AS h, floor((s - d * 86400) % 3600 / 60) AS m FROM b) SELECT k, CAST(d AS BIGINT) AS days_ago, CASE WHEN s IS NULL THEN 'Unknown' WHEN d = 0 AND h = 0 AND m > 0 THEN CAST(m AS BIGINT) || ' minutes ago' WHEN d = 0 AND h = 0 THEN 'Just now' WHEN d = 0 THEN CAST(h AS BIGINT) || ' hours ago' WHEN d < 7 THEN CAST(d AS BIGINT) || CASE WHEN d > 1 THEN ' days ago' ELSE ' day ago' END WHEN d < 30 THEN CAST(d AS BIGINT) // 7 || CASE WHEN d >= 14 THEN ' weeks ago' ELSE ' week ago' END WHEN d < 365 THEN CAST(d AS BIGINT) // 30 || CASE WHEN d >= 60 THEN ' months ago' ELSE ' month ago' END ELSE CAST(d AS BIGINT) // 365 || CASE WHEN d >= 730 THEN ' years ago' ELSE ' year ago' END END AS human_readable, CASE WHEN s IS NULL THEN 1.0 WHEN d = 0 AND h = 0 THEN 1.5 WHEN d = 0 THEN 1.3 WHEN d < 7 THEN 1.2 WHEN d < 30 THEN 1.0 WHEN d < 365 THEN 0.9 ELSE 0.8 END::DOUBLE AS risk_factor, coalesce(d < 1, false) AS is_recent, coalesce(d = 0 AND h < 3, false) AS is_very_recent FROM c")
+@query("WITH a AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 17 > 0 THEN (o_orderkey * o_orderkey) % 60000 * 1000 // (1 + (o_orderkey % 5) * (o_orderkey % 5) * 400) - 3000 END AS s FROM orders), b AS (SELECT k, s, floor(s / 86400) AS d FROM a), c AS (SELECT *, floor((s - d * 86400) / 3600) AS h, floor((s - d * 86400) % 3600 / 60) AS m FROM b) SELECT k, coalesce(CAST(d AS BIGINT), -1000000) AS days_ago, CASE WHEN s IS NULL THEN 'Unknown' WHEN d = 0 AND h = 0 AND m > 0 THEN CAST(m AS BIGINT) || ' minutes ago' WHEN d = 0 AND h = 0 THEN 'Just now' WHEN d = 0 THEN CAST(h AS BIGINT) || ' hours ago' WHEN d < 7 THEN CAST(d AS BIGINT) || CASE WHEN d > 1 THEN ' days ago' ELSE ' day ago' END WHEN d < 30 THEN CAST(d AS BIGINT) // 7 || CASE WHEN d >= 14 THEN ' weeks ago' ELSE ' week ago' END WHEN d < 365 THEN CAST(d AS BIGINT) // 30 || CASE WHEN d >= 60 THEN ' months ago' ELSE ' month ago' END ELSE CAST(d AS BIGINT) // 365 || CASE WHEN d >= 730 THEN ' years ago' ELSE ' year ago' END END AS human_readable, CASE WHEN s IS NULL THEN 1.0 WHEN d = 0 AND h = 0 THEN 1.5 WHEN d = 0 THEN 1.3 WHEN d < 7 THEN 1.2 WHEN d < 30 THEN 1.0 WHEN d < 365 THEN 0.9 ELSE 0.8 END::DOUBLE AS risk_factor, coalesce(d < 1, false) AS is_recent, coalesce(d = 0 AND h < 3, false) AS is_very_recent FROM c")
 def edit_ages(spark, sf_dir):
     k = F.col("o_orderkey")
     s = F.when(k % 17 > 0, F.floor(k * k % 60000 * 1000 / (1 + (k % 5) * (k % 5) * 400)) - 3000)
     now = F.timestamp_seconds(F.lit(1_700_000_000))
-    return read(spark, sf_dir, "orders").select(k.alias("k"), dates.edit_age(F.timestamp_seconds(F.lit(1_700_000_000) - s), now).alias("a")).select("k", "a.*")
+    return read(spark, sf_dir, "orders").select(k.alias("k"), dates.edit_age(F.timestamp_seconds(F.lit(1_700_000_000) - s), now).alias("a")).select("k", "a.*").na.fill(-1000000, ["days_ago"])
 
 
 # ---------------------------------------------------------------- numbers of lines
@@ -331,9 +331,9 @@ def entries(spark, sf_dir) -> DataFrame:
     return cells.select("doc", F.floor(F.col("r") / 4).alias("page"), (F.col("r") % 4).alias("line"), c.alias("ord"), x.cast("double").alias("x"), value.cast("double").alias("value"))
 
 
-@query(f"WITH RECURSIVE {TRANSACTIONS} SELECT doc, page, line, withdrawal, deposit, balance FROM tx")
+@query(f"WITH RECURSIVE {TRANSACTIONS} SELECT doc, page, line, coalesce(withdrawal, -1) AS withdrawal, coalesce(deposit, -1) AS deposit, balance FROM tx")
 def transactions(spark, sf_dir):
-    return ledgers.transactions(entries(spark, sf_dir), "doc")
+    return ledgers.transactions(entries(spark, sf_dir), "doc").na.fill(-1.0, ["withdrawal", "deposit"])
 
 
 @query(f"WITH RECURSIVE {TRANSACTIONS}, p AS (SELECT *, lag(balance) OVER (PARTITION BY doc ORDER BY page, line) - coalesce(withdrawal, 0) + coalesce(deposit, 0) AS expected FROM tx WHERE doc % 4 > 0) SELECT doc, page, line, expected, balance, abs(expected - balance) AS diff FROM p WHERE abs(expected - balance) > 1")

@@ -159,7 +159,7 @@ def stacked_text_pairs(spark, sf_dir):
     return rows.select("page", "a_ord", "b_ord", "a_text", "b_text", F.round("overlap", 6).alias("overlap"))
 
 
-@query(f"WITH RECURSIVE {SPANS}, m AS (SELECT a.page, a.ord AS a, b.ord AS b, {MEET} FROM spans a JOIN spans b ON a.page = b.page AND a.ord < b.ord AND a.text <> b.text), e AS (SELECT a, b FROM m WHERE w > 0 AND h > 0 AND w * h / smaller >= 0.5), both_ AS (SELECT a AS v, b AS w FROM e UNION SELECT b, a FROM e), reach(v, r) AS (SELECT v, v FROM both_ UNION SELECT both_.w, r FROM reach JOIN both_ ON reach.v = both_.v), c AS (SELECT v, min(r) AS component FROM reach GROUP BY v), t AS (SELECT component, text, count(*) AS n, min(v) AS first FROM c JOIN spans ON ord = v GROUP BY component, text), s AS (SELECT component, sum(n) AS n_members, string_agg(text, ',' ORDER BY first) AS texts FROM t GROUP BY component HAVING count(*) >= 2), best AS (SELECT c.component, first(m.a ORDER BY w * h / smaller DESC, m.a, m.b) AS a, first(m.b ORDER BY w * h / smaller DESC, m.a, m.b) AS b, max(w * h / smaller) AS overlap FROM m JOIN c ON c.v = m.a WHERE w > 0 AND h > 0 AND w * h / smaller >= 0.5 GROUP BY c.component) SELECT component, n_members, texts, a, b, round(overlap, 6) AS overlap FROM s JOIN best USING (component)")
+@query(f"WITH RECURSIVE {SPANS}, m AS (SELECT a.page, a.ord AS a, b.ord AS b, {MEET} FROM spans a JOIN spans b ON a.page = b.page AND a.ord < b.ord AND a.text <> b.text), e AS (SELECT a, b FROM m WHERE w > 0 AND h > 0 AND w * h / smaller >= 0.5), both_ AS (SELECT a AS v, b AS w FROM e UNION SELECT b, a FROM e), reach(v, r) AS (SELECT v, v FROM both_ UNION SELECT both_.w, r FROM reach JOIN both_ ON reach.v = both_.v), c AS (SELECT v, min(r) AS component FROM reach GROUP BY v), t AS (SELECT component, text, count(*) AS n, min(v) AS first FROM c JOIN spans ON ord = v GROUP BY component, text), s AS (SELECT component, CAST(sum(n) AS BIGINT) AS n_members, string_agg(text, ',' ORDER BY first) AS texts FROM t GROUP BY component HAVING count(*) >= 2), best AS (SELECT c.component, first(m.a ORDER BY w * h / smaller DESC, m.a, m.b) AS a, first(m.b ORDER BY w * h / smaller DESC, m.a, m.b) AS b, max(w * h / smaller) AS overlap FROM m JOIN c ON c.v = m.a WHERE w > 0 AND h > 0 AND w * h / smaller >= 0.5 GROUP BY c.component) SELECT component, n_members, texts, a, b, round(overlap, 6) AS overlap FROM s JOIN best USING (component)")
 def stacked_components(spark, sf_dir):
     rows = spans(spark, sf_dir)
     found = cluster.stacks(rows, spatial.stacked_pairs(rows, ["page"]), ["page"])

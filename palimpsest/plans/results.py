@@ -121,7 +121,7 @@ def scanned_pages(spark, sf_dir):
     return routing.scanned_pages(rows, routing.document_types(rows, doc_meta(spark, sf_dir), "doc"), "doc").select("doc", "page")
 
 
-@query(f"WITH {PAGES}, r AS (SELECT doc, list_sort(list_distinct(list(rotation))) AS rot FROM pg GROUP BY doc) SELECT doc, count(*) AS total_pages, sum(n_chars) AS total_chars, sum(n_chars // 5) AS total_words, sum(n_images) AS images, any_value(array_to_string(rot, ',')) AS rotations, any_value(len(rot) > 1) AS rotation_anomaly FROM pg JOIN r USING (doc) GROUP BY doc")
+@query(f"WITH {PAGES}, r AS (SELECT doc, list_sort(list_distinct(list(rotation))) AS rot FROM pg GROUP BY doc) SELECT doc, count(*) AS total_pages, CAST(sum(n_chars) AS BIGINT) AS total_chars, CAST(sum(n_chars // 5) AS BIGINT) AS total_words, CAST(sum(n_images) AS BIGINT) AS images, any_value(array_to_string(rot, ',')) AS rotations, any_value(len(rot) > 1) AS rotation_anomaly FROM pg JOIN r USING (doc) GROUP BY doc")
 def page_totals(spark, sf_dir):
     rows = pages(spark, sf_dir)
     turned = metadata.rotations(rows, "doc").select("doc", F.array_join(F.transform("rotations", lambda r: r.cast("string")), ",").alias("rotations"), "rotation_anomaly")
@@ -190,7 +190,7 @@ def fused_findings(spark, sf_dir):
     return fusion.fused(fusion.grouped(layer_findings(spark, sf_dir), "doc"), "doc").withColumn("layers", F.array_join("layers", ","))
 
 
-@query(f"WITH RECURSIVE {GROUPED}, g AS (SELECT doc, grp, count(DISTINCT layer) AS n, count(*) AS held FROM placed GROUP BY doc, grp) SELECT doc, sum(held) AS total, count(*) AS \"groups\", count(*) FILTER (n >= 2) AS agreed, count(*) FILTER (n < 2) AS single FROM g GROUP BY doc")
+@query(f"WITH RECURSIVE {GROUPED}, g AS (SELECT doc, grp, count(DISTINCT layer) AS n, count(*) AS held FROM placed GROUP BY doc, grp) SELECT doc, CAST(sum(held) AS BIGINT) AS total, count(*) AS \"groups\", count(*) FILTER (n >= 2) AS agreed, count(*) FILTER (n < 2) AS single FROM g GROUP BY doc")
 def fusion_stats(spark, sf_dir):
     return fusion.fusion_stats(fusion.grouped(layer_findings(spark, sf_dir), "doc"), "doc")
 
@@ -213,9 +213,9 @@ def repeating(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     return rows, furniture
 
 
-@query(f"WITH {CONTRADICTED} SELECT doc, layer, ord, page, n_pages, furniture_line, CASE layer WHEN 'numeric' THEN 'numeric_vs_structural_context' ELSE 'cross_page_repetition' END AS rule FROM contra")
+@query(f"WITH {CONTRADICTED} SELECT doc, layer, ord, page, coalesce(n_pages, -1) AS n_pages, coalesce(furniture_line, -1) AS furniture_line, CASE layer WHEN 'numeric' THEN 'numeric_vs_structural_context' ELSE 'cross_page_repetition' END AS rule FROM contra")
 def contradictions(spark, sf_dir):
-    return fusion.contradictions(*repeating(spark, sf_dir), "doc").drop("points")
+    return fusion.contradictions(*repeating(spark, sf_dir), "doc").drop("points").na.fill(-1, ["n_pages", "furniture_line"])
 
 
 @query(f"WITH {CONTRADICTED} SELECT doc, layer, 10 * count(*) AS points FROM contra GROUP BY doc, layer")
@@ -251,10 +251,10 @@ def drawn_findings(spark, sf_dir):
     return routing.drawn(held, strong, rows.where("ord % 37 = 0 and layer <> 'metadata'"), "doc").select("doc", "layer", "ord")
 
 
-@query(f"WITH {PSPANS}, t AS (SELECT doc, page, ord, lower(trim(text, ' ')) AS t FROM pspans WHERE ord % 6 = 0) SELECT t.doc, t.page, t.ord, first(s.y0 ORDER BY s.ord) AS y0 FROM t LEFT JOIN pspans s ON s.doc = t.doc AND s.page = t.page AND t.t <> '' AND s.ord % 6 > 0 AND contains(lower(s.text), t.t) GROUP BY ALL")
+@query(f"WITH {PSPANS}, t AS (SELECT doc, page, ord, lower(trim(text, ' ')) AS t FROM pspans WHERE ord % 6 = 0) SELECT t.doc, t.page, t.ord, coalesce(first(s.y0 ORDER BY s.ord), -1) AS y0 FROM t LEFT JOIN pspans s ON s.doc = t.doc AND s.page = t.page AND t.t <> '' AND s.ord % 6 > 0 AND contains(lower(s.text), t.t) GROUP BY ALL")
 def trace_places(spark, sf_dir):
     rows = page_spans(spark, sf_dir)
-    return fusion.first_span_with(rows.where("ord % 6 = 0").select("doc", "page", "ord", "text"), rows.where("ord % 6 > 0"), "doc").select("doc", "page", "ord", "y0")
+    return fusion.first_span_with(rows.where("ord % 6 = 0").select("doc", "page", "ord", "text"), rows.where("ord % 6 > 0"), "doc").select("doc", "page", "ord", F.coalesce("y0", F.lit(-1.0)).alias("y0"))
 
 
 @query(f"WITH {COMBINED}, a AS (SELECT *, list_filter([CASE WHEN metadata >= 30 THEN 'metadata' END, CASE WHEN content >= 20 THEN 'content' END, CASE WHEN numeric_ >= 20 THEN 'numeric' END, CASE WHEN ela >= 20 THEN 'ela' END, CASE WHEN pymupdf >= 20 THEN 'pymupdf' END], lambda x: x IS NOT NULL) AS act FROM combined) SELECT doc_id, array_to_string(act, ',') AS active, CASE WHEN verdict = 'UNCERTAIN' THEN 50 WHEN verdict = 'ORIGINAL' THEN CASE WHEN combined < 10 THEN 90 WHEN combined < 20 THEN 75 ELSE 55 END WHEN len(act) >= 3 THEN 92 WHEN len(act) = 2 THEN 78 WHEN len(act) = 1 THEN 60 ELSE 50 END AS detail_score, CASE WHEN verdict = 'UNCERTAIN' THEN 'REVIEW NEEDED' WHEN verdict = 'ORIGINAL' THEN CASE WHEN combined < 10 THEN 'VERY HIGH' WHEN combined < 20 THEN 'HIGH' ELSE 'MEDIUM' END WHEN len(act) >= 3 THEN 'VERY HIGH' WHEN len(act) = 2 THEN 'HIGH' WHEN len(act) = 1 THEN 'MEDIUM' ELSE 'LOW' END AS detail_label FROM a")
@@ -272,7 +272,7 @@ def responses(spark, sf_dir):
     return back.select("doc_id", "j.verdict", F.coalesce(F.size("j.lines"), F.lit(0)).alias("n_lines"))
 
 
-@query("WITH d AS (SELECT doc_id, doc_id % 3 AS k, (doc_id * 29) % 25 + 2000 AS created, 'Offer of ' || CAST(doc_id % 28 + 1 AS VARCHAR) || ' July ' || CAST(2000 + doc_id % 35 AS VARCHAR) || CASE WHEN doc_id % 2 = 0 THEN ', paid 1/2/' || CAST(1990 + doc_id % 60 AS VARCHAR) ELSE ' ' END || CASE WHEN doc_id % 5 = 0 THEN ' (2024-06-01)' ELSE '' END AS text FROM documents), y AS (SELECT doc_id, created, list_sort(list_distinct(list_filter([2000 + doc_id % 35, CASE WHEN doc_id % 2 = 0 AND 1990 + doc_id % 60 >= 2000 THEN 1990 + doc_id % 60 END, CASE WHEN doc_id % 5 = 0 THEN 2024 END], lambda x: x BETWEEN 2000 AND 2030))) AS printed FROM d) SELECT doc_id, array_to_string(printed, ',') AS printed, least(70, coalesce(list_sum(list_transform(printed, lambda x: CASE WHEN created - x > 1 THEN 35 WHEN x - created > 1 THEN 10 ELSE 0 END)), 0)) AS timeline FROM y")
+@query("WITH d AS (SELECT doc_id, doc_id % 3 AS k, (doc_id * 29) % 25 + 2000 AS created, 'Offer of ' || CAST(doc_id % 28 + 1 AS VARCHAR) || ' July ' || CAST(2000 + doc_id % 35 AS VARCHAR) || CASE WHEN doc_id % 2 = 0 THEN ', paid 1/2/' || CAST(1990 + doc_id % 60 AS VARCHAR) ELSE ' ' END || CASE WHEN doc_id % 5 = 0 THEN ' (2024-06-01)' ELSE '' END AS text FROM documents), y AS (SELECT doc_id, created, list_sort(list_distinct(list_filter([2000 + doc_id % 35, CASE WHEN doc_id % 2 = 0 AND 1990 + doc_id % 60 >= 2000 THEN 1990 + doc_id % 60 END, CASE WHEN doc_id % 5 = 0 THEN 2024 END], lambda x: x BETWEEN 2000 AND 2030))) AS printed FROM d) SELECT doc_id, array_to_string(printed, ',') AS printed, CAST(least(70, coalesce(list_sum(list_transform(printed, lambda x: CASE WHEN created - x > 1 THEN 35 WHEN x - created > 1 THEN 10 ELSE 0 END)), 0)) AS BIGINT) AS timeline FROM y")
 def timelines(spark, sf_dir):
     d = F.col("doc_id")
     text = F.concat(F.lit("Offer of "), (d % 28 + 1).cast("string"), F.lit(" July "), (2000 + d % 35).cast("string"), F.when(d % 2 == 0, F.concat(F.lit(", paid 1/2/"), (1990 + d % 60).cast("string"))).otherwise(" "), F.when(d % 5 == 0, " (2024-06-01)").otherwise(""))
@@ -295,10 +295,10 @@ def forms(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     return objects, structure.placements(used, rows.select("doc", "page", "width", "height"), "doc")
 
 
-@query(f"WITH {INJECTED} SELECT inj.doc, inj.objid, round(frequency, 6) AS frequency, injected FROM inj LEFT JOIN place USING (doc, objid)")
+@query(f"WITH {INJECTED} SELECT inj.doc, inj.objid, coalesce(round(frequency, 6), -1) AS frequency, injected FROM inj LEFT JOIN place USING (doc, objid)")
 def injected_forms(spark, sf_dir):
     objects, placed = forms(spark, sf_dir)
-    return structure.injected(objects, placed, "doc").join(placed.select("doc", "objid", "frequency"), ["doc", "objid"], "left").select("doc", "objid", F.round("frequency", 6).alias("frequency"), "injected")
+    return structure.injected(objects, placed, "doc").join(placed.select("doc", "objid", "frequency"), ["doc", "objid"], "left").select("doc", "objid", F.coalesce(F.round("frequency", 6), F.lit(-1.0)).alias("frequency"), "injected")
 
 
 @query("WITH f AS (SELECT o_orderkey AS k, o_orderkey % 6 AS eof, o_orderkey % 5 AS gen, o_orderkey % 4 AS notes, o_orderkey % 7 AS forms, o_orderkey % 3 AS xrefs, o_orderkey % 4 AS starts, o_orderkey % 2 AS old FROM orders) SELECT k, least(100, least(40, greatest(0, eof - 1) * 15) + least(35, gen * 10) + least(40, notes * 15) + least(30, forms * 10)) AS objects, least(100, least(50, greatest(0, eof - 1) * 20) + CASE WHEN xrefs > 1 AND xrefs <> starts THEN 25 ELSE 0 END + CASE WHEN old > 0 THEN 20 ELSE 0 END) AS incremental FROM f")
@@ -308,7 +308,7 @@ def structure_scores(spark, sf_dir):
 
 
 @query("""WITH f AS (SELECT c_custkey AS doc, 1000 AS size, c_custkey % 3 AS eof, c_custkey % 50 AS modified_at FROM customer), s AS (SELECT o_custkey AS doc, CASE WHEN o_orderkey % 7 > 0 THEN 0 END AS start1, CASE WHEN o_orderkey % 7 > 0 THEN 300 END AS length1, CASE WHEN o_orderkey % 7 > 0 THEN 400 END AS start2, CASE WHEN o_orderkey % 7 > 0 THEN CASE o_orderkey % 3 WHEN 0 THEN 600 WHEN 1 THEN 500 ELSE 700 END END AS length2, CASE WHEN o_orderkey % 5 > 0 THEN o_orderkey % 60 END AS signed_at FROM orders WHERE o_custkey % 2 = 0),
-r AS (SELECT *, start1 IS NOT NULL AS known, coalesce(start2 + length2 = size, false) AS whole FROM s JOIN f USING (doc)) SELECT doc, count(*) AS n_signatures, least(100, sum(CASE WHEN known AND NOT whole THEN 60 ELSE 0 END + CASE WHEN known AND size > start2 + length2 THEN 40 ELSE 0 END) + CASE WHEN max(eof) > 1 THEN 50 ELSE 0 END) AS shadow, max(CASE WHEN NOT whole THEN 70 WHEN modified_at > signed_at THEN 50 ELSE 0 END) AS signature FROM r GROUP BY doc""")
+r AS (SELECT *, start1 IS NOT NULL AS known, coalesce(start2 + length2 = size, false) AS whole FROM s JOIN f USING (doc)) SELECT doc, count(*) AS n_signatures, CAST(least(100, sum(CASE WHEN known AND NOT whole THEN 60 ELSE 0 END + CASE WHEN known AND size > start2 + length2 THEN 40 ELSE 0 END) + CASE WHEN max(eof) > 1 THEN 50 ELSE 0 END) AS BIGINT) AS shadow, max(CASE WHEN NOT whole THEN 70 WHEN modified_at > signed_at THEN 50 ELSE 0 END) AS signature FROM r GROUP BY doc""")
 def signature_scores(spark, sf_dir):
     c, k = F.col("c_custkey"), F.col("o_orderkey")
     files = read(spark, sf_dir, "customer").select(c.alias("doc"), F.lit(1000).alias("size"), (c % 3).alias("eof"), (c % 50).alias("modified_at"))
@@ -444,12 +444,12 @@ def anchor_groups(spark, sf_dir):
 # ---------------------------------------------------------------- descriptions and places
 
 
-@query("WITH a AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 9 > 0 THEN to_timestamp(1700000000 - (o_orderkey * o_orderkey % 7000) * 5000) AT TIME ZONE 'UTC' END AS at_, (o_orderkey * o_orderkey % 7000) * 5000 AS s FROM orders) SELECT k, strftime(at_, '%Y-%m-%dT%H:%M:%S+00:00') AS iso, strftime(at_, '%B %d, %Y at %I:%M %p') AS human, CASE WHEN at_ IS NOT NULL THEN s // 86400 END AS age_days, CASE WHEN at_ IS NULL THEN NULL WHEN s // 86400 = 0 THEN CASE WHEN s // 3600 > 0 THEN s // 3600 || ' hours ago' ELSE 'Just now' END WHEN s // 86400 < 7 THEN s // 86400 || CASE WHEN s // 86400 > 1 THEN ' days ago' ELSE ' day ago' END WHEN s // 86400 < 30 THEN s // 86400 // 7 || CASE WHEN s // 86400 // 7 > 1 THEN ' weeks ago' ELSE ' week ago' END WHEN s // 86400 < 365 THEN s // 86400 // 30 || CASE WHEN s // 86400 // 30 > 1 THEN ' months ago' ELSE ' month ago' END ELSE s // 86400 // 365 || CASE WHEN s // 86400 // 365 > 1 THEN ' years ago' ELSE ' year ago' END END AS relative FROM a")
+@query("WITH a AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 9 > 0 THEN to_timestamp(1700000000 - (o_orderkey * o_orderkey % 7000) * 5000) AT TIME ZONE 'UTC' END AS at_, (o_orderkey * o_orderkey % 7000) * 5000 AS s FROM orders) SELECT k, strftime(at_, '%Y-%m-%dT%H:%M:%S+00:00') AS iso, strftime(at_, '%B %d, %Y at %I:%M %p') AS human, CASE WHEN at_ IS NOT NULL THEN s // 86400 ELSE -1 END AS age_days, CASE WHEN at_ IS NULL THEN NULL WHEN s // 86400 = 0 THEN CASE WHEN s // 3600 > 0 THEN s // 3600 || ' hours ago' ELSE 'Just now' END WHEN s // 86400 < 7 THEN s // 86400 || CASE WHEN s // 86400 > 1 THEN ' days ago' ELSE ' day ago' END WHEN s // 86400 < 30 THEN s // 86400 // 7 || CASE WHEN s // 86400 // 7 > 1 THEN ' weeks ago' ELSE ' week ago' END WHEN s // 86400 < 365 THEN s // 86400 // 30 || CASE WHEN s // 86400 // 30 > 1 THEN ' months ago' ELSE ' month ago' END ELSE s // 86400 // 365 || CASE WHEN s // 86400 // 365 > 1 THEN ' years ago' ELSE ' year ago' END END AS relative FROM a")
 def described_dates(spark, sf_dir):
     k = F.col("o_orderkey")
     at = F.when(k % 9 > 0, F.timestamp_seconds(1_700_000_000 - k * k % 7000 * 5000))
     rows = read(spark, sf_dir, "orders").select(k.alias("k"), dates.described(at, F.timestamp_seconds(F.lit(1_700_000_000))).alias("d"))
-    return rows.select("k", F.col("d.iso8601").alias("iso"), "d.human", "d.age_days", "d.relative")
+    return rows.select("k", F.col("d.iso8601").alias("iso"), "d.human", F.coalesce("d.age_days", F.lit(-1)).alias("age_days"), "d.relative")
 
 
 @query(f"WITH {PSPANS} SELECT doc, page, ord, row_number() OVER (PARTITION BY doc, page ORDER BY round_even(y0 / 4, 0) * 4, x0, ord) AS place FROM pspans")
