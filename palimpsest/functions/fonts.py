@@ -25,7 +25,7 @@ def embedding_family(name: Column) -> Column:
 
 def rgb(colour: Column) -> tuple[Column, Column, Column]:
     """Red, green and blue of a packed colour."""
-    return tuple(F.shiftright(colour.cast("int"), shift).bitwiseAND(F.lit(255)) for shift in (16, 8, 0))
+    return tuple(F.shiftright(colour.cast("long"), shift).bitwiseAND(F.lit(255)) for shift in (16, 8, 0))
 
 
 def colour_distance(a: Column, b: Column) -> Column:

@@ -143,6 +143,12 @@ def test_colours(spark):
     assert [(r.text, r.difference) for r in content.colour_mismatches(rows, "doc").collect()] == [("changed", 144)]
 
 
+def test_colours_of_more_than_31_bits(spark):
+    values = [0x12345678, 2188684896, 9502792081, -1]
+    rows = spark.createDataFrame([(c,) for c in values], "colour long")
+    assert [tuple(r) for r in rows.select(*fonts.rgb(F.col("colour"))).collect()] == [tuple((c >> s) & 255 for s in (16, 8, 0)) for c in values]
+
+
 def test_ledger_of_a_payslip(spark):
     rows = [(1, 0, 0, "Basic Salary", 1000.0), (1, 0, 1, "HRA", 500.0), (1, 0, 2, "Gross", 1500.0), (1, 0, 3, "Total deductions", 200.0), (1, 0, 4, "Net pay", 5000.0), (2, 0, 0, "Opening balance", 10.0), (2, 0, 1, "Total deposits", 5.0), (2, 0, 2, "Total withdrawals", 3.0), (2, 1, 0, "Closing balance", 12.0), (3, 0, 0, "helpful remarks", 5.0)]
     found = ledgers.arithmetic_checks(spark.createDataFrame(rows, "doc int, page int, line int, text string, value double"), "doc").collect()
