@@ -29,15 +29,29 @@ def word_features(words: DataFrame, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(F.coalesce(F.avg("__w"), F.lit(0.0)).alias("char_spacing"), cv.alias("char_cv"), F.coalesce(F.avg(F.when((F.col("__g") > 0) & (F.col("__g") < 50), F.col("__g"))), F.lit(0.0)).alias("word_spacing"))
 
 
+def ordered_stats(values: Column) -> Column:
+    """mean and std (null of fewer than two) of an array's numbers, taken one after the other: as numbers of equal sets come in another order their sums differ in the last digits, so the array should be sorted."""
+    start = F.struct(*[F.lit(0.0).alias(c) for c in ("n", "sum", "mean", "squares")])
+
+    def step(held, x):
+        n = held["n"] + 1.0
+        mean = held["mean"] + (x - held["mean"]) / n
+        return F.struct(n.alias("n"), (held["sum"] + x).alias("sum"), mean.alias("mean"), (held["squares"] + (x - mean) * (x - held["mean"])).alias("squares"))
+
+    return F.aggregate(values, start, step, lambda held: F.struct(F.when(held["n"] > 0, held["sum"] / held["n"]).alias("mean"), F.when(held["n"] > 1, F.sqrt(held["squares"] / (held["n"] - 1))).alias("std")))
+
+
 def positive_stats(rows: DataFrame, keys: list[str], value: str = "value", trimmed: str = "trimmed") -> DataFrame:
-    """keys, n, mean, std, median of the values above 0. Where trimmed holds and there are four or more, a tenth at either end, one at least, is left out, unless fewer than two would stay. One value has no spread, no value is 0."""
+    """keys, n, mean, std, median of the values above 0, the same to the last digit however rows are dealt out. Where trimmed holds and there are four or more, a tenth at either end, one at least, is left out, unless fewer than two would stay. One value has no spread, no value is 0."""
     v = F.col(value)
     group = Window.partitionBy(*keys)
     held = rows.where(v > 0).withColumn("__n", F.count("*").over(group)).withColumn("__r", F.row_number().over(group.orderBy(v)))
     k = F.greatest(F.lit(1), F.floor(F.col("__n") * TRIM))
     cut = F.col(trimmed) & (F.col("__n") >= 4) & (F.col("__n") - 2 * k >= 2)
     kept = held.where(~cut | ((F.col("__r") > k) & (F.col("__r") <= F.col("__n") - k)))
-    return kept.groupBy(*keys).agg(F.max("__n").alias("n"), F.avg(v).alias("mean"), F.greatest(F.coalesce(F.stddev_samp(v), F.lit(TINY)), F.lit(TINY)).alias("std"), F.percentile(v, F.lit(0.5)).alias("median"))
+    held = kept.groupBy(*keys).agg(F.max("__n").alias("n"), F.sort_array(F.collect_list(v.cast("double"))).alias("__values"), F.percentile(v, F.lit(0.5)).alias("median"))
+    held = held.withColumn("__stats", ordered_stats(F.col("__values")))
+    return held.select(*keys, "n", F.col("__stats.mean").alias("mean"), F.greatest(F.coalesce(F.col("__stats.std"), F.lit(TINY)), F.lit(TINY)).alias("std"), "median")
 
 
 def dominant(rows: DataFrame, keys: list[str], value: str, order: list[str]) -> DataFrame:

@@ -128,6 +128,16 @@ def test_line_gaps(spark):
     assert [(r.doc, r.line, r.gap) for r in found] == [(1, 10, 60.0)]
 
 
+def test_line_gaps_of_a_spread_at_the_limit(spark):
+    y, rows = 0.0, []
+    for i, gap in enumerate([0, 7.625, 8.75, 10.625, 6.5, 8.0, 8.75, 8.375, 7.625, 8.0, 8.75, 7.625]):  # a spread of 0.5 without the ends
+        rows.append((1, 0, i, "some words in this line", y + gap, y + gap + 10))
+        y = rows[-1][-1]
+    table = spark.createDataFrame(rows, "doc int, page int, line int, text string, y0 double, y1 double")
+    for n in (1, 4):
+        assert [tuple(r) for r in content.line_gaps(table.repartition(n, "line"), "doc").collect()] == [(1, 0, 3, 10.6, 8.2, 4.92)]
+
+
 def test_suspicious_font_and_size(spark):
     rows = [(1, 1, i, f"word{i} and quite a few other plain words", "Helvetica", 11 + i % 3 * 0.1, 12.0) for i in range(20)]
     rows += [(1, 1, 20, "the sum of it was changed by someone", "Courier", 11.0, 12.0), (1, 1, 21, "gross pay of the person in question", "Courier", 30.0, 12.0), (1, 1, 22, "bold words of the family are fine here", "Helvetica-Bold", 11.0, 12.0), (1, 1, 23, "total days in the month were thirty one", "Courier", 40.0, 12.0)]
