@@ -138,6 +138,20 @@ def test_line_gaps_of_a_spread_at_the_limit(spark):
         assert [tuple(r) for r in content.line_gaps(table.repartition(n, "line"), "doc").collect()] == [(1, 0, 3, 10.6, 8.2, 4.92)]
 
 
+SIZES_AT_THE_LIMIT = [12.0, 11.25, 13.0, 11.5, 11.0, 12.25, 11.25, 12.5, 11.5]  # the largest is 2.5 deviations from the others' mean, and a rounding more in ascending order
+
+
+def sized_lines(spark):
+    rows = [(1, 1, i, f"word{i} and quite a few other plain words", "Helvetica", size) for i, size in enumerate(SIZES_AT_THE_LIMIT)]
+    return spark.createDataFrame(rows, "doc int, page int, line int, text string, font string, font_size double").withColumn("line_height", F.lit(12.0))
+
+
+def test_suspicious_size_at_the_limit(spark):
+    for n in (1, 4):
+        found = content.suspicious_lines(sized_lines(spark).repartition(n, "line"), "doc").collect()
+        assert [(r.line, r.reasons) for r in found] == [(2, ["font_size"])]
+
+
 def test_suspicious_font_and_size(spark):
     rows = [(1, 1, i, f"word{i} and quite a few other plain words", "Helvetica", 11 + i % 3 * 0.1, 12.0) for i in range(20)]
     rows += [(1, 1, 20, "the sum of it was changed by someone", "Courier", 11.0, 12.0), (1, 1, 21, "gross pay of the person in question", "Courier", 30.0, 12.0), (1, 1, 22, "bold words of the family are fine here", "Helvetica-Bold", 11.0, 12.0), (1, 1, 23, "total days in the month were thirty one", "Courier", 40.0, 12.0)]
