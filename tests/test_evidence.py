@@ -152,6 +152,11 @@ def test_suspicious_size_at_the_limit(spark):
         assert [(r.line, r.reasons) for r in found] == [(2, ["font_size"])]
 
 
+def test_reported_size_at_the_limit(spark):
+    found = content.reported_lines(content.suspicious_lines(sized_lines(spark).repartition(3, "line"), "doc"), "doc").collect()
+    assert [(r.line, r.rank, r.reasons) for r in found] == [(2, 1, ["font_size"])]
+
+
 def test_suspicious_font_and_size(spark):
     rows = [(1, 1, i, f"word{i} and quite a few other plain words", "Helvetica", 11 + i % 3 * 0.1, 12.0) for i in range(20)]
     rows += [(1, 1, 20, "the sum of it was changed by someone", "Courier", 11.0, 12.0), (1, 1, 21, "gross pay of the person in question", "Courier", 30.0, 12.0), (1, 1, 22, "bold words of the family are fine here", "Helvetica-Bold", 11.0, 12.0), (1, 1, 23, "total days in the month were thirty one", "Courier", 40.0, 12.0)]
