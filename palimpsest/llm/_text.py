@@ -15,10 +15,15 @@ import numpy as np
 import pyarrow as pa
 
 # Arrays of some MB that were freed go back to the system, and Arrow's buffers too; workers live long.
-with contextlib.suppress(OSError, AttributeError):
-    _libc = ctypes.CDLL("libc.so.6")
-    _libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
-    _libc.mallopt(-1, 1 << 20)  # M_TRIM_THRESHOLD
+def keep_freed(array: int, in_all: int) -> None:
+    """This process keeps freed arrays of less than so many bytes for the next ones, about so many bytes in all."""
+    with contextlib.suppress(OSError, AttributeError):
+        libc = ctypes.CDLL("libc.so.6")
+        libc.mallopt(-3, array)  # M_MMAP_THRESHOLD
+        libc.mallopt(-1, in_all)  # M_TRIM_THRESHOLD
+
+
+keep_freed(1 << 20, 1 << 20)
 pa.set_memory_pool(pa.system_memory_pool())
 
 U64 = np.uint64

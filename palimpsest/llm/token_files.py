@@ -4,7 +4,7 @@ A file (one blob) holds the ids of consecutive documents. Its text is a sequence
 ids, and nonterminals for pairs of symbols, found by replacing the most frequent pairs over and over
 until no pair occurs LEAST_COUNT times, so often that its rule (three numbers) pays; pairs never reach over a document's end. A round replaces all pairs
 of at least an eighth of the highest count whose occurrences don't overlap with those of a more frequent one; pairs are
-counted once, and after that only the pairs next to a replaced one are counted anew. Rules come with their
+counted once, and after that only the pairs next to a replaced one are counted anew; a round costs as much as what it replaces. Rules come with their
 expansion lengths, and each document's place in the sequence is stored, so any document, or any token
 range of it, is decoded without the rest.
 
@@ -33,13 +33,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from . import _exchange as X, _text as T
-from ._encode import PieceStore, fine_pieces, flat
+from ._encode import PieceStore, Ragged, fine_pieces, flat
 
 MAGIC = b"PRP2"
 #: Tokens of a file, about.
 FILE_TOKENS = 1 << 20
 #: A pair that is so frequent becomes a rule: it saves a symbol each time and costs three numbers.
 LEAST_COUNT = 4
+#: In the place of the pair that begins at a document's last symbol.
+CLOSES = -2
+#: For T.keep_freed(): a file's arrays are made over and over, and new memory for each took a fifth of the time.
+KEPT = 32 << 20, 64 << 20
 #: ahead: tokens of the part's files before this one.
 FILES = "part int, file int, n_docs long, n_tokens long, ahead long, blob binary"
 #: Up to so many parts, their offsets (24 bytes each) go to all executors; beyond, they are joined.
@@ -49,109 +53,118 @@ MOST_PARTS = 1 << 16
 # ---------------------------------------------------------------- grammar
 
 
-def pair_keys(seq: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """left << 32 | right of the pairs at these places."""
-    return (seq[at].astype(T.U64) << T.U64(32)) | seq[at + 1]
-
-
-def apart(pairs: np.ndarray) -> np.ndarray:
-    """Those of the pairs, the most frequent first, whose occurrences overlap with no occurrence of an earlier one."""
+def apart(pairs: np.ndarray) -> list[int]:
+    """Which of the pairs, the most frequent first, have no occurrence that overlaps with one of an earlier one of these."""
     left, right, kept = set(), set(), []
     for i, (a, b) in enumerate(zip((pairs >> T.U64(32)).tolist(), (pairs & T.U64(0xFFFFFFFF)).tolist())):
         if a not in right and b not in left and (a != b or a not in left and b not in right):
             left.add(a)
             right.add(b)
             kept.append(i)
-    return pairs[kept]
+    return kept
+
 
+def ordered(keys: np.ndarray, wide: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of keys of so many bits, equal ones by place, and the keys in it."""
+    bits = max(len(keys) - 1, 1).bit_length()
+    if wide + bits > 64:
+        order = np.argsort(keys, kind="stable")
+        return order, keys[order]
+    held = np.sort(keys << T.U64(bits) | np.arange(len(keys), dtype=T.U64))  # plain numbers sort faster than places by numbers
+    return (held & T.U64((1 << bits) - 1)).astype(np.int64), held >> T.U64(bits)
 
-class PairCounts:
-    """Counts of the pairs that occur LEAST times or more; a pair of known symbols only gets rarer."""
 
-    def __init__(self, keys: np.ndarray, least: int):
-        self.least, self.keys, self.counts = least, np.zeros(0, T.U64), np.zeros(0, np.int64)
-        self.add(keys)
+class Sequence:
+    """Symbols in a chain of places, which of the pairs that occur LEAST times or more begins at each, the counts of these pairs, and where they began when they came up.
 
-    def add(self, keys: np.ndarray) -> None:
-        """New pairs, by their occurrences."""
-        found, n = np.unique(keys, return_counts=True)
-        found, n = found[n >= self.least], n[n >= self.least]
-        at = np.searchsorted(self.keys, found)
-        self.keys, self.counts = np.insert(self.keys, at, found), np.insert(self.counts, at, n)
+    Only pairs with a symbol of the last round come up in a round, so a pair gets only rarer afterwards. The symbol of a pair is put at its left
+    place, and the right one leaves the chain, so a round costs as much as what it replaces, however long the sequence is.
+    """
 
-    def drop(self, gone: np.ndarray, lost: np.ndarray) -> None:
-        """gone: distinct pairs to forget; lost: occurrences that are no more."""
-        found, n = np.unique(lost, return_counts=True)
-        at = np.minimum(np.searchsorted(self.keys, found), len(self.keys) - 1)
-        held = self.keys[at] == found
-        self.counts[at[held]] -= n[held]
-        self.counts[np.searchsorted(self.keys, gone)] = 0
-        keep = self.counts >= self.least
-        self.keys, self.counts = self.keys[keep], self.counts[keep]
+    def __init__(self, ids: np.ndarray, ends: np.ndarray, first: int, least: int):
+        n = len(ids)
+        self.least, self.symbols = least, int(first)
+        self.seq, self.there = np.append(ids, 0).astype(np.uint32), np.ones(n, bool)
+        self.of = np.full(n + 1, -1, np.int32)
+        self.of[ends - 1] = self.of[n] = CLOSES  # place n stands before the first and after the last one
+        self.after, self.before = np.arange(1, n + 2, dtype=np.int32), np.arange(-1, n, dtype=np.int32)
+        self.before[0] = n
+        self.pairs, self.counts, self.places = np.zeros(0, T.U64), np.zeros(0, np.int64), Ragged(np.int32)
+        self.add(np.flatnonzero(self.of != CLOSES))
+
+    def add(self, at: np.ndarray) -> None:
+        """New pairs, which begin at these places."""
+        self.of[at] = -1
+        if not len(at):
+            return
+        wide = T.U64(self.symbols.bit_length())
+        order, held = ordered(self.seq[at].astype(T.U64) << wide | self.seq[self.after[at]], 2 * int(wide))
+        begin = np.flatnonzero(np.concatenate([[True], held[1:] != held[:-1]]))
+        sizes = np.diff(np.append(begin, len(held)))
+        often = sizes >= self.least
+        at, sizes, held = at[order[np.repeat(often, sizes)]], sizes[often], held[begin[often]]
+        self.of[at] = np.repeat(np.arange(len(self.pairs), len(self.pairs) + len(sizes), dtype=np.int32), sizes)
+        self.places.add(sizes, at)
+        self.pairs = np.concatenate([self.pairs, held >> wide << T.U64(32) | held & T.U64((1 << int(wide)) - 1)])
+        self.counts = np.concatenate([self.counts, sizes])
 
     def best(self) -> np.ndarray:
-        """Pairs of an eighth of the highest count or more, the most frequent first."""
-        much = np.flatnonzero(self.counts >= max(self.least, int(self.counts.max()) // 8))
-        return self.keys[much[np.argsort(-self.counts[much], kind="stable")]]
-
-
-def occurrences(seq: np.ndarray, last: np.ndarray, pairs: np.ndarray, symbols: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the pairs (sorted, apart) and which pair is there; of a run of one symbol every other place."""
-    side = np.zeros(symbols, np.uint8)
-    side[(pairs >> T.U64(32)).astype(np.int64)] = 1
-    side[(pairs & T.U64(0xFFFFFFFF)).astype(np.int64)] |= 2
-    of = side[seq]
-    at = np.flatnonzero((of[:-1] & (of[1:] >> 1)) & 1)
-    held = pair_keys(seq, at)
-    which = np.minimum(np.searchsorted(pairs, held), len(pairs) - 1)
-    hit = (pairs[which] == held) & ~last[at]
-    at, which = at[hit], which[hit]
-    begin = np.flatnonzero(np.concatenate([[True], np.diff(at) != 1]))[: len(at)]
-    keep = (np.arange(len(at)) - np.repeat(begin, np.diff(np.append(begin, len(at))))) % 2 == 0
-    return at[keep], which[keep]
-
-
-def beside(seq: np.ndarray, last: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
-    """The pairs that occurrences of this size have with their neighbours, each once."""
-    mine = np.zeros(len(seq) + size, bool)
-    mine[at] = True
-    before = at[at > 0] - 1
-    before = before[~last[before] & ~mine[before - (size - 1)]]  # the pair with an occurrence before it is that one's
-    after = at + size - 1
-    return pair_keys(seq, np.concatenate([before, after[~last[after]]]))
-
-
-def marked(n: int, places: np.ndarray) -> np.ndarray:
-    out = np.zeros(n, bool)
-    out[places] = True
-    return out
+        """Pairs of an eighth of the highest count or more whose occurrences don't overlap, in the order of their symbols."""
+        much = np.flatnonzero(self.counts >= max(self.least, int(self.counts.max(initial=0)) // 8))
+        much = much[np.lexsort((self.pairs[much], -self.counts[much]))]
+        much = much[apart(self.pairs[much])]
+        return much[np.argsort(self.pairs[much])]
+
+    def occurrences(self, best: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the pairs, ascending, and which pair is there; of a run of one symbol every other place."""
+        at, sizes = self.places.rows(best)
+        which = np.repeat(np.arange(len(best)), sizes)
+        now = self.of[at] == best[which]
+        both = np.sort(at[now].astype(T.U64) << T.U64(32) | which[now].astype(T.U64))  # memory is read in its order from here on
+        at, which = (both >> T.U64(32)).astype(np.int64), (both & T.U64(0xFFFFFFFF)).astype(np.int64)
+        if ((self.pairs[best] >> T.U64(32)) == (self.pairs[best] & T.U64(0xFFFFFFFF))).any():
+            begin = np.flatnonzero(np.concatenate([[True], self.after[at[:-1]] != at[1:]]))[: len(at)]
+            keep = (np.arange(len(at)) - np.repeat(begin, np.diff(np.append(begin, len(at))))) % 2 == 0
+            at, which = at[keep], which[keep]
+        return at, which
+
+    def replace(self, best: np.ndarray) -> np.ndarray:
+        """A symbol for each of the pairs; the pairs that got one, as a run of one symbol holds its pair half as often as counted."""
+        at, which = self.occurrences(best)
+        often = np.bincount(which, minlength=len(best)) >= self.least
+        if not often.all():
+            at, which = at[often[which]], which[often[which]]
+        right = self.after[at].astype(np.int64)
+        of_right = self.of[right]
+        self.of[right] = -1  # the pair with an occurrence before it is that one's
+        for lost in (of_right, self.of[self.before[at]]):
+            self.counts -= np.bincount(lost[lost >= 0], minlength=len(self.counts))
+        self.counts[best] = 0
+        self.seq[at] = (self.symbols - 1 + np.cumsum(often))[which]
+        self.symbols += int(often.sum())
+        self.there[right] = False
+        follows = self.after[right]
+        self.after[at], self.before[follows] = follows, at
+        self.of[at] = np.where(of_right == CLOSES, CLOSES, -1)
+        ahead = self.before[at].astype(np.int64)
+        ahead = ahead[np.append(-1, at[:-1]) != ahead]  # no occurrence itself
+        begins = np.concatenate([ahead, at])
+        self.add(begins[self.of[begins] != CLOSES])
+        return self.pairs[best[often]]
 
 
 def compress(ids: np.ndarray, ends: np.ndarray, first: int, least: int = LEAST_COUNT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Symbols, their count by document, and rules (left, right); ends are the documents' ends in ids, first the first free symbol."""
-    seq = ids.astype(np.uint32)
-    full = np.diff(np.concatenate([[0], ends])) > 0
-    final = ends[full].astype(np.int64) - 1  # the place of each document's last symbol
-    last = marked(len(seq), final)
-    counts = PairCounts(pair_keys(seq, np.flatnonzero(~last)), least)
-    rules, n_rules = [np.zeros(0, T.U64)], 0
-    while len(counts.keys):
-        pairs = np.sort(apart(counts.best()))
-        at, which = occurrences(seq, last, pairs, first + n_rules)
-        often = np.bincount(which, minlength=len(pairs)) >= least  # a run of one symbol holds its pair half as often as counted
-        at, which = at[often[which]], which[often[which]]
-        counts.drop(pairs, beside(seq, last, at, 2))
-        seq[at] = (first + n_rules - 1 + np.cumsum(often))[which]
-        seq = seq[~marked(len(seq), at + 1)]
-        final -= np.searchsorted(at, final, "left")  # every occurrence ahead takes a symbol
-        last = marked(len(seq), final)
-        counts.add(beside(seq, last, at - np.arange(len(at)), 1))
-        rules.append(pairs[often])
-        n_rules += int(often.sum())
+    ends = np.asarray(ends, np.int64)
+    full = np.diff(ends, prepend=0) > 0
+    held, rules = Sequence(ids, ends[full], first, least), [np.zeros(0, T.U64)]
+    while len(best := held.best()):
+        rules.append(held.replace(best))
     symbols = np.zeros(len(ends), np.uint32)
-    symbols[full] = np.diff(final, prepend=-1)
+    number = np.cumsum(held.there)
+    symbols[full] = np.diff(number[(held.of[:-1] == CLOSES) & held.there], prepend=0)
     found = np.concatenate(rules)
-    return seq, symbols, np.stack([(found >> T.U64(32)).astype(np.uint32), (found & T.U64(0xFFFFFFFF)).astype(np.uint32)], 1)
+    return held.seq[:-1][held.there], symbols, np.stack([(found >> T.U64(32)).astype(np.uint32), (found & T.U64(0xFFFFFFFF)).astype(np.uint32)], 1)
 
 
 def lengths(rules: np.ndarray, first: int) -> np.ndarray:
@@ -181,15 +194,60 @@ def expand(seq: np.ndarray, rules: np.ndarray, spans: np.ndarray, first: int) ->
     return out
 
 
+def expand_all(seq: np.ndarray, rules: np.ndarray, spans: np.ndarray, first: int) -> np.ndarray:
+    """As expand(), for a whole file: each rule is expanded once."""
+    if not len(rules):
+        return seq.astype(np.uint32)
+    spans = spans.astype(np.int64)
+    begin = np.cumsum(spans) - spans
+    pool = np.empty(int(spans.sum()), np.uint32)
+    low, rules = rules < first, rules.astype(np.int64)
+    halves = np.where(low, 1, spans[np.where(low, 0, rules - first)])
+    a = 0
+    while a < len(rules):  # as lengths(): rules of one round don't use each other
+        used = rules[a:].max(1) >= first + a
+        b = a + max(1, int(np.argmax(used)) if used.any() else len(used))
+        for side, to in ((0, begin[a:b]), (1, begin[a:b] + halves[a:b, 0])):
+            one = low[a:b, side]
+            pool[to[one]] = rules[a:b, side][one]
+            of, n = rules[a:b, side][~one] - first, halves[a:b, side][~one]
+            pool[T.ragged(to[~one], n)] = pool[T.ragged(begin[of], n)]
+        a = b
+    high = np.flatnonzero(seq >= first)
+    rule = seq[high].astype(np.int64) - first
+    sizes = np.ones(len(seq), np.int64)
+    sizes[high] = spans[rule]
+    at = np.cumsum(sizes) - sizes
+    out = np.empty(int(sizes.sum()), np.uint32)
+    out[at] = seq  # the places of rules are written over
+    out[T.ragged(at[high], spans[rule])] = pool[T.ragged(begin[rule], spans[rule])]
+    return out
+
+
 def to_bits(x: np.ndarray, wide: int) -> bytes:
-    """The lowest so many bits of each number."""
-    return np.packbits(np.unpackbits(x.astype(">u4").view(np.uint8).reshape(-1, 4), axis=1)[:, 32 - wide :]).tobytes()
+    """The lowest so many bits of each number, the highest bit first."""
+    rows = np.zeros((-(-len(x) // 8), 8), T.U64)
+    rows.ravel()[: len(x)] = x
+    out = np.zeros((len(rows), wide + 8), np.uint8)  # eight numbers take as many bytes as one takes bits
+    for i in range(8):
+        at, left = divmod(i * wide, 8)
+        shifted = rows[:, i] << T.U64(40 - wide - left)  # 40 bits hold any number from any bit of a byte on
+        for j in range((left + wide + 7) // 8):
+            out[:, at + j] |= (shifted >> T.U64(32 - 8 * j)).astype(np.uint8)
+    return np.ascontiguousarray(out[:, :wide]).tobytes()[: -(-len(x) * wide // 8)]
 
 
 def of_bits(body: bytes, wide: int, n: int) -> np.ndarray:
-    full = np.zeros((n, 32), np.uint8)
-    full[:, 32 - wide :] = np.unpackbits(np.frombuffer(body, np.uint8), count=n * wide).reshape(n, wide)
-    return np.packbits(full, axis=1).view(">u4").ravel().astype(np.uint32)
+    rows = np.zeros((-(-n // 8), wide), np.uint8)
+    rows.ravel()[: len(body)] = np.frombuffer(body, np.uint8)
+    out = np.empty((len(rows), 8), np.uint32)
+    for i in range(8):
+        at, left = divmod(i * wide, 8)
+        held, size = np.zeros(len(rows), T.U64), (left + wide + 7) // 8
+        for j in range(size):
+            held = held << T.U64(8) | rows[:, at + j]
+        out[:, i] = (held >> T.U64(8 * size - left - wide)) & T.U64((1 << wide) - 1)
+    return out.ravel()[:n]
 
 
 def to_blob(doc_ids: np.ndarray, known: np.ndarray, ids: np.ndarray, sizes: np.ndarray, first: int) -> bytes:
@@ -238,7 +296,7 @@ class TokenFile:
         return expand(seq[a:b], self.rules, self.spans, self.first)[skip : skip + end - start]
 
     def all(self) -> np.ndarray:
-        return expand(self.seq, self.rules, self.spans, self.first)
+        return expand_all(self.seq, self.rules, self.spans, self.first)
 
 
 # ---------------------------------------------------------------- encoding
@@ -364,6 +422,7 @@ def files(docs: DataFrame, tokenizer: str, end_id: int = 1, ident: str = "doc_id
     def write(batches):
         from pyspark import TaskContext
 
+        T.keep_freed(*KEPT)
         part, file, ahead, held = TaskContext.get().partitionId(), 0, 0, []
 
         def flush():
@@ -399,6 +458,7 @@ def read_documents(stored: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens, tokens (binary, little-endian unsigned 32-bit) of every document in the files."""
 
     def decode(batches):
+        T.keep_freed(*KEPT)
         for batch in batches:
             for base, blob in zip(batch.column("base").to_pylist(), batch.column("blob").to_pylist()):
                 found = TokenFile(blob)

@@ -105,6 +105,34 @@ def test_grammar_of_odd_sequences():
         assert token_files.expand(seq, rules, token_files.lengths(rules, 5), 5).tolist() == ids.tolist() and symbols.sum() == len(seq)
 
 
+def test_a_round_costs_what_it_replaces():
+    rng = np.random.RandomState(5)
+    ids = np.concatenate([rng.permutation(20_000), np.tile([20_001, 20_002], 4), np.full(9, 20_003)])
+    held = token_files.Sequence(ids, np.array([len(ids)]), 20_004, 4)
+    memory, seen = held.seq, 0
+    while len(best := held.best()):
+        seen += len(held.occurrences(best)[0])
+        held.replace(best)
+    assert held.seq is memory and seen == 8 and held.there.sum() == len(ids) - 8  # the sequence itself is never copied
+
+
+def test_every_rule_is_expanded_once():
+    rng = np.random.RandomState(6)
+    ids = np.concatenate([np.tile(rng.randint(0, 9, 64), 50), rng.randint(0, 9, 3000), np.full(77, 3)])
+    seq, _, rules = token_files.compress(ids, np.array([len(ids)]), 9)
+    spans = token_files.lengths(rules, 9)
+    assert token_files.expand_all(seq, rules, spans, 9).tolist() == token_files.expand(seq, rules, spans, 9).tolist() == ids.tolist()
+
+
+def test_bits_of_every_width():
+    x = np.random.RandomState(1).randint(0, 1 << 32, 1001).astype(np.uint32)
+    for wide in range(1, 33):
+        held = x & np.uint32((1 << wide) - 1)
+        body = token_files.to_bits(held, wide)
+        assert body == np.packbits(np.array([int(b) for v in held for b in f"{v:0{wide}b}"], np.uint8)).tobytes()
+        assert token_files.of_bits(body, wide, 1001).tolist() == held.tolist()
+
+
 def test_bits():
     x = np.random.RandomState(0).randint(0, 1 << 17, 1001).astype(np.uint32)
     assert token_files.of_bits(token_files.to_bits(x, 17), 17, 1001).tolist() == x.tolist()
