@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators.cluster import components
 from ..scratch import checkpoint, release, remove_folder, scratch_folder, scratch_name
-from ._text import U64, buffers, slices
+from ._text import U64, buffers, let_go, rest, slices
 
 __all__ = ["checkpoint", "components", "release", "remove_folder", "scratch_folder", "scratch_name"]
 
@@ -49,12 +49,14 @@ def shards(docs: DataFrame, ident: str, text: str, whole: bool = False) -> tuple
     def pack_rows(batches):
         from pyspark import TaskContext
 
+        let_go()
         shard = TaskContext.get().partitionId() << 32
         for batch in batches:
             _, offsets = buffers(batch.column(batch.schema.get_field_index(of_text)))
             for a, b in slices(offsets, SHARD_BYTES):
                 yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int64()), "blob": pa.array([to_blob(batch.slice(a, b - a))], pa.binary())})
                 shard += 1
+        rest()
 
     name = scratch_name("palimpsest_shards")
     _SHARD_TABLES.append(name)
@@ -83,9 +85,11 @@ def per_shard(table: DataFrame, work: Callable, schema: str) -> DataFrame:
     """work(shard, rows) for every shard."""
 
     def run(batches):
+        let_go()
         for batch in batches:
             for shard, blob in zip(batch.column("shard").to_pylist(), batch.column("blob")):
                 yield from work(shard, of_blob(blob)).to_batches()
+        rest()
 
     return table.mapInArrow(run, schema)
 
@@ -96,9 +100,11 @@ def with_answers(table: DataFrame, answers: DataFrame, work: Callable, schema: s
     nothing = to_arrow(schema)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        let_go()
         if asked_only and not right.num_rows:
             return nothing
         parts = [work(left["shard"][i].as_py(), of_blob(left["blob"][i]), right) for i in range(left.num_rows)]
+        rest()
         return pa.concat_tables(parts) if parts else nothing
 
     return table.groupBy("shard").cogroup(answers.groupBy("shard")).applyInArrow(run, schema)
@@ -150,12 +156,14 @@ def answer(judge: Callable, key_kind, note_kind) -> Callable:
     """For groupBy("bucket").applyInArrow: judge(keys, notes, shard index of each) gives a code for each and the two sums for the cost model."""
 
     def of_bucket(table: pa.Table) -> pa.Table:
+        let_go()
         rows = table.sort_by("shard")
         held = rows["shard"].to_numpy()
         keys = [np.frombuffer(x, key_kind) for x in rows["keys"].to_pylist()]
         notes = [unpack(x, note_kind) for x in rows["notes"].to_pylist()]
         sizes = np.array([len(x) for x in keys])
         codes, live, scan = judge(np.concatenate(keys), np.concatenate(notes), np.repeat(np.arange(len(keys)), sizes))
+        rest()
         ends = np.cumsum(sizes)
         return pa.table(
             {

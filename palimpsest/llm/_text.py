@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import gc
 
 import numpy as np
 import pyarrow as pa
@@ -23,9 +24,36 @@ def keep_freed(array: int, in_all: int) -> None:
         libc.mallopt(-1, in_all)  # M_TRIM_THRESHOLD
 
 
-keep_freed(1 << 20, 1 << 20)
+FREED = 1 << 20, 1 << 20
+keep_freed(*FREED)
 pa.set_memory_pool(pa.system_memory_pool())
 
+#: What this process keeps for later tasks, by module.
+_KEPT: list[dict] = []
+
+
+def kept() -> dict:
+    """For what later tasks of the same work need again (a tokenizer and the pieces it met); other work calls let_go()."""
+    _KEPT.append({})
+    return _KEPT[-1]
+
+
+def let_go() -> None:
+    """Drops what was kept and gives its memory back, as a worker goes from one stage of a job to the next and a tokenizer takes more than the other stages' own work."""
+    if any(_KEPT):
+        for held in _KEPT:
+            held.clear()
+        gc.collect()
+        keep_freed(*FREED)
+        rest()
+
+
+def rest() -> None:
+    """Gives back what was freed in pieces, at a task's end: its worker then waits beside a JVM that needs the memory."""
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 U64 = np.uint64
 _RNG = np.random.RandomState(20240229)
 _BYTE = _RNG.randint(0, 1 << 63, 256, dtype=np.int64).astype(U64) * U64(2) + U64(1)

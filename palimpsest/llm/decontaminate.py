@@ -176,8 +176,10 @@ def scanned(index: Index, batch) -> pa.RecordBatch | pa.Table:
 
 def scanner(index):
     def run(batches):
+        T.let_go()
         for batch in batches:
             yield scanned(index.value, batch)
+        T.rest()
 
     return run
 
@@ -246,9 +248,11 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, ident: str = "doc_id",
         index = sent(docs, items, window, gram)
 
         def keep(batches):
+            T.let_go()
             for batch in batches:
                 column = batch.column(batch.schema.get_field_index(text))
                 yield batch.filter(pa.array([m is None or 20 * int(m.sum()) < n for n, m, _ in index.value.scan(column)], pa.bool_()))
+            T.rest()
 
         return docs.mapInArrow(keep, docs.schema)
     bad = judged(scan(docs, benchmark, ident, text, item, item_text, window, gram, chunk_bytes, tagged=True)).where("contaminated")

@@ -217,7 +217,7 @@ class Codec:
             raise ValueError("decoded text differs from that of the sentencepiece library")
 
 
-_CODECS: dict[str, Codec] = {}
+_CODECS: dict[str, Codec] = T.kept()
 
 
 def codec(path: str) -> Codec:
@@ -249,6 +249,7 @@ def encoded(docs: DataFrame, path: str, ident: str = "doc_id", text: str = "text
                         "decoded": pa.Array.from_buffers(pa.string(), b - a, [None, pa.py_buffer(text_ends), pa.py_buffer(data.tobytes())]),
                     }
                 )
+        T.rest()
 
     return docs.select(F.col(ident).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "doc_id long, n_tokens long, tokens binary, decoded string")
 

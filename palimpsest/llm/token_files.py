@@ -402,7 +402,7 @@ class TextEncoder:
             yield a, b, out, sizes + 1
 
 
-_ENCODERS: dict[tuple, TextEncoder] = {}
+_ENCODERS: dict[tuple, TextEncoder] = T.kept()
 
 
 def encoder(path: str, end_id: int) -> TextEncoder:

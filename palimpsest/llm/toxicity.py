@@ -240,6 +240,7 @@ def count_grams(learn: DataFrame) -> tuple[DataFrame, int]:
     def gather(batches):
         from pyspark import TaskContext
 
+        T.let_go()
         keys, counts = np.zeros(0, T.U64), np.zeros((0, 2), np.int64)
         for batch in batches:
             k, c = text_grams(batch.column("text"), batch.column("label").to_numpy())
@@ -248,6 +249,7 @@ def count_grams(learn: DataFrame) -> tuple[DataFrame, int]:
         order = np.argsort(mixed)
         mixed, counts = mixed[order], np.ascontiguousarray(counts[order])
         yield from X.send(TaskContext.get().partitionId(), mixed, counts, n, whole=True).to_batches()
+        T.rest()
 
     def total(table: pa.Table) -> pa.Table:
         keys, counts = sums_sent(table, 2)
@@ -414,8 +416,10 @@ class Judge:
         sent = docs.sparkSession.sparkContext.broadcast(self)
 
         def batched(batches):
+            T.let_go()
             for batch in batches:
                 yield work(batch, sent.value)
+            T.rest()
 
         return docs.mapInArrow(batched, schema)
 

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from palimpsest.llm import _encode, _text, sentencepiece_tokens, token_files
+from palimpsest.llm import _encode, _exchange, _text, sentencepiece_tokens, token_files
 
 
 def thue_morse(n, letters="ab"):
@@ -200,6 +200,15 @@ def test_models_that_are_refused(tmp_path):
             sentencepiece_tokens.Codec(model_file(tmp_path, some_pieces(np.random.RandomState(0), False), kind))
 
 
+def test_other_work_drops_tokenizers():
+    path, words = token_files.tokenizer_path("word_bpe_49k.json"), sentencepiece_tokens.tokenizer_path("piece_bpe_32k.model")
+    assert token_files.encoder(path, 1) is token_files.encoder(path, 1) and sentencepiece_tokens.codec(words) is sentencepiece_tokens.codec(words)
+    sent = pa.table({"bucket": pa.array([0], pa.int32()), "shard": pa.array([7]), "keys": [np.array([1, 2], np.uint32).tobytes()], "notes": [_exchange.pack(np.ones(2, np.uint8))]})
+    found = _exchange.answer(lambda keys, notes, _: (notes, 2, 2), np.uint32, np.uint8)(sent)
+    assert found["n_sent"].to_pylist() == [2] and not token_files._ENCODERS and not sentencepiece_tokens._CODECS
+    assert sentencepiece_tokens.codec(words).batch(sentencepiece_tokens.codec(words).whole, ["as before"])[1].tolist() == [2]
+
+
 def test_a_difference_raises():
     codec = sentencepiece_tokens.Codec(token_files.tokenizer_path("piece_bpe_32k.model"))
     with pytest.raises(ValueError):
