@@ -26,7 +26,7 @@ KIND[~T.SPACED] = 5
 CUTS = np.zeros(36, bool)
 for _x, _y in ((0, 2), (2, 0), (0, 1), (1, 0), (1, 2), (2, 1), (1, 4), (4, 1), (1, 1)):
     CUTS[6 * _x + _y] = True
-_KIND6 = KIND * 6
+_CUTS = np.append(CUTS, np.zeros(220, bool))
 
 
 class KeyTable:
@@ -115,7 +115,7 @@ class PieceStore:
             return np.zeros(0, np.int32), np.zeros(0, np.int64)
         sizes = ends - starts
         far = np.flatnonzero(sizes > SHORT)
-        keys = short_keys(data if fold is None else fold[data], starts, np.minimum(sizes, SHORT))
+        keys = short_keys(data if fold is None else T.mapped(data, fold), starts, np.minimum(sizes, SHORT))
         hashes, own = T.hash_ranges(data, starts[far], ends[far], fold)
         keys[far] = hashes | _LONG
         order = np.argsort(keys)
@@ -159,7 +159,8 @@ def fine_pieces(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple
     if len(data) < 2:
         return starts, ends
     begin = np.zeros(len(data) + 1, bool)
-    begin[1:-1] = CUTS[_KIND6[data[:-1]] + KIND[data[1:]]]
+    kind = T.mapped(data, KIND)
+    begin[1:-1] = T.mapped(kind[:-1] * np.uint8(6) + kind[1:], _CUTS)
     end = begin.copy()
     begin[starts] = end[ends] = True
     return np.flatnonzero(begin), np.flatnonzero(end)

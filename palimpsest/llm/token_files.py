@@ -55,12 +55,14 @@ MOST_PARTS = 1 << 16
 
 def apart(pairs: np.ndarray) -> list[int]:
     """Which of the pairs, the most frequent first, have no occurrence that overlaps with one of an earlier one of these."""
-    left, right, kept = set(), set(), []
-    for i, (a, b) in enumerate(zip((pairs >> T.U64(32)).tolist(), (pairs & T.U64(0xFFFFFFFF)).tolist())):
-        if a not in right and b not in left and (a != b or a not in left and b not in right):
-            left.add(a)
-            right.add(b)
-            kept.append(i)
+    firsts, seconds, kept = pairs >> T.U64(32), pairs & T.U64(0xFFFFFFFF), []
+    n = int(max(firsts.max(initial=0), seconds.max(initial=0))) + 1
+    left, right = bytearray(n), bytearray(n)  # whether a symbol is one of a kept pair
+    for i, (a, b) in enumerate(zip(firsts.tolist(), seconds.tolist())):
+        if right[a] or left[b] or a == b and (left[a] or right[b]):
+            continue
+        left[a] = right[b] = 1
+        kept.append(i)
     return kept
 
 
@@ -137,8 +139,12 @@ class Sequence:
         right = self.after[at].astype(np.int64)
         of_right = self.of[right]
         self.of[right] = -1  # the pair with an occurrence before it is that one's
-        for lost in (of_right, self.of[self.before[at]]):
-            self.counts -= np.bincount(lost[lost >= 0], minlength=len(self.counts))
+        lost = np.concatenate([of_right, self.of[self.before[at]]])
+        lost = lost[lost >= 0]
+        if 4 * len(lost) < len(self.counts):
+            np.subtract.at(self.counts, lost, 1)
+        else:
+            self.counts -= np.bincount(lost, minlength=len(self.counts))
         self.counts[best] = 0
         self.seq[at] = (self.symbols - 1 + np.cumsum(often))[which]
         self.symbols += int(often.sum())

@@ -213,3 +213,29 @@ def test_a_difference_raises():
     codec = sentencepiece_tokens.Codec(token_files.tokenizer_path("piece_bpe_32k.model"))
     with pytest.raises(ValueError):
         codec.verify("some text", np.array([5, 6, 7]))
+
+
+def test_bytes_by_table_take_no_index():
+    import tracemalloc
+
+    data = np.random.RandomState(3).randint(0, 256, 1 << 20).astype(np.uint8)
+    kinds = _encode.KIND[data].astype(int)
+    cut = _encode.CUTS[6 * kinds[:-1] + kinds[1:]]
+    starts, ends = np.array([0]), np.array([len(data)])
+    tracemalloc.start()
+    mapped = _text.mapped(data, _text.LOWER)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (mapped == _text.LOWER[data]).all() and peak < 3 * len(data)
+    assert _encode.fine_pieces(data, starts, ends)[0].tolist() == [0, *(np.flatnonzero(cut) + 1).tolist()]
+
+
+def test_pairs_apart():
+    rng = np.random.RandomState(4)
+    for _ in range(50):
+        pairs = rng.randint(0, 12, (30, 2))
+        left, right, kept = set(), set(), []
+        for i, (a, b) in enumerate(pairs.tolist()):
+            if a not in right and b not in left and (a != b or a not in left and b not in right):
+                left.add(a), right.add(b), kept.append(i)
+        assert token_files.apart(pairs[:, 0].astype(np.uint64) << np.uint64(32) | pairs[:, 1].astype(np.uint64)) == kept
