@@ -35,6 +35,7 @@ def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Masks secrets in the texts, in the words where they were found; n_chars, if there is such a column, follows."""
     forest = secret_forest.train(secret_forest.labelled_findings(spark))
+    _exchange.release(spark)  # what the training left, before the scan is planned
     out = secret_forest.redacted(docs, forest)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 

@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import os
 import struct
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +32,8 @@ from . import _text as T
 from ._encode import PieceStore, flat
 from .token_files import tokenizer_path
 
+#: Texts or pieces that the library encodes at once; what it returns for each is many times the ids.
+AT_ONCE = 2_000
 NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6
 UNIGRAM, BPE = 1, 2
 MARK = "▁"
@@ -140,7 +143,7 @@ class Codec:
         with open(path, "rb") as f:
             self.model = Model(f.read())
         self.check = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.whole, self.part = build(self.model, True), build(self.model, False)
+        self.part = build(self.model, False)
         self.store = PieceStore(lambda pieces: self.batch(self.part, pieces))
         m = self.model
         body = [bytes([int(p[3:5], 16)]) if k == BYTE else b"" if k == CONTROL else b" \xe2\x81\x87 " if k == UNKNOWN else p.replace(MARK, " ").encode() for p, k in zip(m.pieces, m.kinds)]
@@ -149,11 +152,17 @@ class Codec:
         self.bytes = np.frombuffer(b"".join(body), np.uint8)
         self.cuts = self.safe_cuts() if m.type == BPE and m.prefix and m.keeps_text else None
 
+    @cached_property
+    def whole(self):
+        """The tokenizer of whole texts, which few models and texts need."""
+        return build(self.model, True)
+
     @staticmethod
     def batch(tokenizer, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts and how many each has, by the library's threads."""
         os.environ["TOKENIZERS_PARALLELISM"] = "true"  # read at every call
-        return flat([e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)])
+        parts = [flat([e.ids for e in tokenizer.encode_batch_fast(texts[i : i + AT_ONCE], add_special_tokens=False)]) for i in range(0, max(len(texts), 1), AT_ONCE)]
+        return np.concatenate([ids for ids, _ in parts]), np.concatenate([sizes for _, sizes in parts])
 
     def safe_cuts(self) -> np.ndarray:
         """Whether two bytes may be parted: ASCII characters (a blank stands for the mark) that meet in no piece; any byte and a blank, if no piece has the mark after another character."""

@@ -1,5 +1,6 @@
 """Classifiers against plain computations, and on hard texts."""
 
+import hashlib
 import math
 import re
 import time
@@ -191,3 +192,20 @@ def test_redaction_in_place(spark):
     assert out[1].text == f"see\t{short}x  pwd=[secret]\n\npassword = [secret] end"
     assert out[1].tokens == "a" and out[1]["__found"] == [1] and out[None].text is None and out[2].text == ""
     assert secret_forest.secrets(rows.limit(0), forest).count() == 0 and secret_forest.redacted(rows.limit(0), forest).count() == 0
+
+
+def test_findings_are_planned_and_made_once(spark):
+    """The driver holds a small plan of the labelled findings, whose rows are those of before, and the forest's passes don't make its rows anew."""
+    found = secret_forest.labelled_findings(spark)
+    assert found._jdf.queryExecution().analyzed().toJSON().count("class") < 3_000
+    rows = hashlib.md5(str([tuple(r) for r in found.orderBy("value", "before", "word", "secret").collect()]).encode()).hexdigest()
+    assert rows == "1b184846f12da0c71812831aa9b5038b"
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(row):
+        made.add(1)
+        return row
+
+    few = secret_forest.labelled_findings(spark, 400)
+    forest = secret_forest.train(spark.createDataFrame(few.rdd.map(counted), few.schema), 3, 3)
+    assert made.value <= 800 and forest == secret_forest.train(few, 3, 3)

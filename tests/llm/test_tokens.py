@@ -239,3 +239,25 @@ def test_pairs_apart():
             if a not in right and b not in left and (a != b or a not in left and b not in right):
                 left.add(a), right.add(b), kept.append(i)
         assert token_files.apart(pairs[:, 0].astype(np.uint64) << np.uint64(32) | pairs[:, 1].astype(np.uint64)) == kept
+
+
+def test_pieces_are_encoded_a_few_at_once(monkeypatch):
+    """A worker has one tokenizer where texts are cut into pieces, and never holds what the library returns for all of them; ids are those of all at once."""
+    codec = sentencepiece_tokens.Codec(sentencepiece_tokens.tokenizer_path("piece_bpe_32k.model"))
+    column = pa.array([f"alpha{i} beta {i} gamma{i % 7}" for i in range(300)] + ["", None])
+    ids, sizes = zip(*[(i, n) for _, _, i, n in codec.encode(column)])
+    assert "whole" not in vars(codec)
+    pieces, calls = [f"word{i}" for i in range(sentencepiece_tokens.AT_ONCE * 2 + 1)], []
+    every = codec.part.encode_batch_fast(pieces, add_special_tokens=False)
+
+    class Counted:
+        def encode_batch_fast(self, texts, add_special_tokens):
+            calls.append(len(texts))
+            return codec.part.encode_batch_fast(texts, add_special_tokens=add_special_tokens)
+
+    found, n = codec.batch(Counted(), pieces)
+    assert found.tolist() == [x for e in every for x in e.ids] and n.tolist() == [len(e.ids) for e in every]
+    assert calls == [sentencepiece_tokens.AT_ONCE] * 2 + [1] and codec.batch(codec.part, [])[0].tolist() == []
+    monkeypatch.setattr(sentencepiece_tokens, "AT_ONCE", 10)
+    other = sentencepiece_tokens.Codec(sentencepiece_tokens.tokenizer_path("piece_bpe_32k.model"))
+    assert [i.tolist() for _, _, i, _ in other.encode(column)] == [i.tolist() for i in ids]
